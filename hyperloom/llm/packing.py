@@ -25,9 +25,8 @@ from .common import bounded_batches, slices, stored
 
 WINDOW = 2048
 END_ID = 1
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 2_000_000
 
-#: Largest remainder count by which a solved pattern may exceed its share in a block.
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,7 +51,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         encoder = _encoding(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 ids = [encoder.encode_ordinary(t or "") for t in part.column("text").to_pylist()]
                 for x in ids:
                     x.append(END_ID)

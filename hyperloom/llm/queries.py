@@ -17,8 +17,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(_table(spark, sf_dir, "documents")))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import groups
+
+    return groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing,)}
+    return {f.__name__: f for f in (op3_packing, op8_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
