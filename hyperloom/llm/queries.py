@@ -5,18 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    scored = predict(docs, train(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import digests, pack
 
     return digests(pack(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import THRESHOLD, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    scored = score(docs, train(docs, _table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import groups
 
@@ -24,7 +45,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op8_minhash)}
+    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
