@@ -44,8 +44,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash)}
+    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
