@@ -50,8 +50,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan, summary
+
+    return summary(scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash, op9_warc)}
+    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash, op9_warc, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
