@@ -29,6 +29,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(_table(spark, sf_dir, "documents")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import hits
+
+    return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import THRESHOLD, score, train
 
@@ -57,7 +63,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_packing, op6_quality, op8_minhash, op9_warc, op10_licences)}
+    return {f.__name__: f for f in (op2_langid, op3_packing, op5_decontaminate, op6_quality, op8_minhash, op9_warc, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
