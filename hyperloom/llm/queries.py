@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict, train
 
@@ -63,7 +69,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_packing, op5_decontaminate, op6_quality, op8_minhash, op9_warc, op10_licences)}
+    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op5_decontaminate, op6_quality, op8_minhash, op9_warc, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
