@@ -50,6 +50,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import groups
 
@@ -69,8 +75,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op5_decontaminate, op6_quality, op8_minhash, op9_warc, op10_licences)}
+    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op5_decontaminate, op6_quality, op7_topk, op8_minhash, op9_warc, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .topk import ORACLE as TOPK
+
+    return {"op7_topk": TOPK}
