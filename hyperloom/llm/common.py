@@ -24,13 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
         local = tempfile.mkdtemp(prefix="hyperloom-")
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext.setCheckpointDir(f"file://{local}")
-        found = f"file://{local}"
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

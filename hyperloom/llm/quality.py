@@ -169,6 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, max_train: int
     return Model(model_words, model_shapes, center, scale, layers, float(grid[int(np.argmin(loss))]), float(y.mean()))
 
 
+def scores(texts: list[str | None], slots: Slots, m: Model) -> np.ndarray:
+    both = [slots.of(t) for t in texts]
+    x = (np.array([pooled(w, s, m.words, m.shapes) for w, s in both]).reshape(len(both), -1) - m.center) / m.scale
+    p = sigmoid(forward(x, m.layers)[1] / m.temperature)
+    return np.where([len(w) > 0 for w, _ in both], p, m.base)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row: the calibrated probability that the text is good, from the text alone.
 
@@ -182,11 +189,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         slots = Slots()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                both = [slots.of(t) for t in part.column("text").to_pylist()]
-                x = (np.array([pooled(w, s, m.words, m.shapes) for w, s in both]) - m.center) / m.scale
-                p = sigmoid(forward(x, m.layers)[1] / m.temperature)
-                p = np.where([len(w) > 0 for w, _ in both], p, m.base)
+                p = scores(part.column("text").to_pylist(), slots, m)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are; no shuffle.
+
+    Null and empty texts score the sample's share of good rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        slots = Slots()
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                yield part.filter(pa.array(scores(part.column("text").to_pylist(), slots, m) >= threshold))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

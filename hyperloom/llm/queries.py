@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import remainder
 
+#: The key of the registered query; a deployment sets a secret one.
+PII_KEY = "registered query"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +38,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(_table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, pseudonymise
+
+    out = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import hits
 
@@ -75,7 +85,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op5_decontaminate, op6_quality, op7_topk, op8_minhash, op9_warc, op10_licences)}
+    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op4_pii, op5_decontaminate, op6_quality, op7_topk, op8_minhash, op9_warc, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
