@@ -1,19 +1,801 @@
-"""The registered queries over the virtual cube and their SQL."""
+"""The registered queries, over the virtual cube and the star schema, each with its SQL.
+
+The virtual cube sees ``embeddings`` as 25 samples a line and 64 bands; ``invalid`` variants have NaN and infinities planted by the same rule on both
+sides. Doubles are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color
+from ..functions.formula import PRESETS, compile_formula
+from ..functions.valid import nearest_rank, to_long
+from ..model import ROIS, BatchOptions, Header, RenderOptions, SegmentationParams, ramp, virtual_cube
+from ..operators import decompose, preprocess, render, roi, segment, stats
+from ..sources.tables import session_rois
+from . import pipelines
+
+BANDS, WIDTH = 64, 25
+WL = ramp(BANDS)
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: The cube in SQL: px and lg (long form) as they are, lv (long form) with invalid cells.
+PRELUDE = """with px as (
+  select cast(vec_id // 25 as integer) as line, cast(vec_id % 25 as integer) as sample, label, vec_id,
+    list_transform(embedding, lambda x: cast(x as double)) as sp from embeddings),
+lg as (select line, sample, label, vec_id, cast(unnest(range(0, 64)) as integer) as band, unnest(sp) as v from px),
+lv as (select line, sample, label, vec_id, band, case when (vec_id * 64 + band) % 97 = 0 then 'nan'::double
+    when (vec_id * 64 + band) % 101 = 0 then 'inf'::double else v end as v from lg),
+dim as (select cast(max(line) + 1 as integer) as n_lines, 25 as n_samples from px)
+"""
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query and its SQL; SQL that begins with a comma or "select" gets the prelude."""
+
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = PRELUDE + sql if sql.lstrip().startswith((",", "select")) else sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c, 6) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def s6(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cube(spark: SparkSession, sf_dir: str, invalid: bool = False) -> DataFrame:
+    return virtual_cube(spark, sf_dir, invalid).select("cube_id", "line", "sample", "spectrum")
+
+
+def size_of(pixels: DataFrame) -> Header:
+    """Header of the virtual cube."""
+    return Header(WIDTH, pixels.agg(F.max("line")).first()[0] + 1, BANDS, wavelengths=tuple(WL))
+
+
+def long_result(pixels: DataFrame) -> DataFrame:
+    return to_long(pixels).select("line", "sample", "band", r6("value", "value"))
+
+
+ROI_ROWS = [
+    (1, "rect", [3, 6], [2, 4], 0), (2, "circle", [12], [9], 5), (3, "polygon", [2, 20, 23, 8], [1, 3, 15, 17], 0), (4, "pixel", [5], [5], 0),
+]
+
+
+def rois(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, k, xs, ys, r, 0, None, None, None, None) for i, k, xs, ys, r in ROI_ROWS], ROIS)
+
+
+def region_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = size_of(cube(spark, sf_dir))
+    return roi.rasterise(rois(spark), h.lines, h.samples)
+
+
+#: The same regions as SQL over px.
+_POLYGON = list(zip(ROI_ROWS[2][2], ROI_ROWS[2][3]))
+
+
+def _crossings() -> str:
+    out = []
+    for (xi, yi), (xj, yj) in zip(_POLYGON, _POLYGON[-1:] + _POLYGON[:-1]):
+        if yi != yj:
+            out.append(f"cast((({yi} > line) <> ({yj} > line)) and sample < ({xj}.0 - {xi}.0) * (line - {yi}.0) / ({yj}.0 - {yi}.0) + {xi}.0 as integer)")
+    return " + ".join(out)
+
+
+MASK = f""", roi as (
+  select 1 as roi_id, line, sample from px where sample between 3 and 9 and line between 2 and 6
+  union all select 2, line, sample from px where (sample - 12) * (sample - 12) + (line - 9) * (line - 9) <= 25
+  union all select 3, line, sample from px where ({_crossings()}) % 2 = 1
+  union all select 4, line, sample from px where sample = 5 and line = 5)
+"""
+#: A mask of scattered pixels and its SQL.
+SPECKLE_BAND, SPECKLE = 7, 0.02
+
+
+def speckle(pixels: DataFrame) -> DataFrame:
+    return pixels.where(F.col("spectrum")[SPECKLE_BAND].cast("double") > SPECKLE).select("cube_id", "line", "sample")
+
+
+SPECKLED = f", m as (select line, sample from px where sp[{SPECKLE_BAND + 1}] > {SPECKLE})\n"
+
+
+# -- aggregation
+
+
+@query(f"""select band, {s6('coalesce(min(v) filter (isfinite(v)), 0)')} as min, {s6('coalesce(max(v) filter (isfinite(v)), 0)')} as max,
+  {s6('coalesce(avg(v) filter (isfinite(v)), 0)')} as mean, {s6('coalesce(stddev_pop(v) filter (isfinite(v)), 0)')} as std from lv group by band""")
+def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.band_stats(cube(spark, sf_dir, True)).select("band", *[r6(c, c) for c in ("min", "max", "mean", "std")])
+
+
+@query(f"""select band, {s6('coalesce(min(v) filter (not isnan(v) and abs(v - 0.1) >= 1e-5), 0)')} as min,
+  case when isinf(max(v) filter (not isnan(v))) then 'inf'::double else {s6('coalesce(max(v) filter (not isnan(v) and abs(v - 0.1) >= 1e-5), 1)')} end as max from lv group by band""")
+def band_minmax_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.band_minmax(cube(spark, sf_dir, True), 0.1)
+    return out.select("band", r6("min", "min"), F.when(F.col("max") == float("inf"), F.col("max")).otherwise(r6(F.when(F.col("max") < float("inf"), F.col("max")))).alias("max"))
+
+
+@query(MASK + f"""select band, {s6('min(v)')} as min, {s6('max(v)')} as max from lg join (select distinct line, sample from roi) using (line, sample) group by band""")
+def masked_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.band_minmax(cube(spark, sf_dir), mask=region_mask(spark, sf_dir)).select("band", r6("min", "min"), r6("max", "max"))
+
+
+@query(f"select band, {s6('coalesce(avg(v) filter (isfinite(v)), 0)')} as mean from lv group by band")
+def global_mean_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mean_spectrum(cube(spark, sf_dir, True)).select("band", r6("mean", "mean"))
+
+
+@query(f"select label, band, {s6('avg(v)')} as mean from lg group by label, band")
+def class_mean_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mean_spectrum(virtual_cube(spark, sf_dir), ["label"]).select("label", "band", r6("mean", "mean"))
+
+
+@query(MASK + f"""select roi_id, band, {s6('coalesce(sum(v) filter (not isnan(v)), 0) / count(*)')} as mean
+  from (select roi_id, band, case when isinf(v) then 0 else v end as v from lv join roi using (line, sample)) group by roi_id, band""")
+def roi_mean_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir, True).withColumn("spectrum", F.transform("spectrum", lambda v: F.when(v == float("inf"), F.lit(0.0).cast("float")).otherwise(v)))
+    return stats.roi_mean_spectrum(pixels, region_mask(spark, sf_dir)).select("roi_id", "band", r6("mean", "mean"))
+
+
+@query(f"""select line, sample, {s6('avg(v)')} as mean, {s6('min(v)')} as min, {s6('max(v)')} as max, {s6('max(v) - min(v)')} as range
+  from lv where isfinite(v) and not (vec_id * 64) % 97 = 0 group by line, sample""")
+def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pixel_stats(cube(spark, sf_dir, True)).where(~F.isnan("mean")).select("line", "sample", *[r6(c, c) for c in ("mean", "min", "max", "range")])
+
+
+def _stats_sql(source: str) -> str:
+    ranks = ", ".join(f"{s6(f'(list_sort(list(v)))[least(cast(count(*) as bigint) - 1, cast(floor(count(*) * {p}.0 / 100) as bigint)) + 1]')} as p{p}" for p in (1, 2, 5, 25, 50, 75, 95, 98, 99))
+    return f"""select {s6('min(v)')} as min, {s6('max(v)')} as max, {s6('avg(v)')} as mean, {s6('stddev_pop(v)')} as std,
+  {s6('(list_sort(list(v)))[cast(floor(count(*) * 50.0 / 100) as bigint) + 1]')} as median,
+  {s6('avg((v - m) * (v - m) * (v - m)) / pow(max(s), 3)')} as skew, {ranks}, count(*) as count
+  from (select v, avg(v) over () as m, stddev_pop(v) over () as s from ({source}))"""
+
+
+def _stats_of(rows: DataFrame, column: str) -> DataFrame:
+    out = stats.result_stats(rows, column)
+    return out.select(*[r6(c, c) for c in out.columns if c != "count"], "count")
+
+
+@query("with q as (select 1) " + _stats_sql("select value as v from events where isfinite(value)"))
+def result_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats_of(table(spark, sf_dir, "events"), "value")
+
+
+@query("with q as (select 1) " + _stats_sql("select l_extendedprice as v from lineitem"))
+def result_stats_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats_of(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(f"""select band, {s6('s[cast(floor(n * 2.0 / 100) as bigint) + 1]')} as lo, {s6('s[greatest(1, cast(floor(n * 98.0 / 100) as bigint))]')} as render_hi,
+  {s6('s[least(n, cast(floor(n * 98.0 / 100) as bigint) + 1)]')} as hi
+  from (select band, list_sort(list(v)) as s, count(*) as n from lv where isfinite(v) group by band)""")
+def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = to_long(cube(spark, sf_dir, True)).select("band", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value").cast("double")).alias("v"))
+    out = nearest_rank(rows, ["band"], "v", [("lo", 2.0, "plain"), ("render_hi", 98.0, "render_high"), ("hi", 98.0, "plain")])
+    return out.select("band", r6("lo", "lo"), r6("render_hi", "render_hi"), r6("hi", "hi"))
+
+
+def _histogram_sql(source: str, lo: str, hi: str) -> str:
+    return f"""with v as ({source}), e as (select {lo} as lo, {hi} as hi from v),
+  b as (select cast(greatest(0, least(255, floor((v - lo) / (case when hi = lo then 1 else hi - lo end) * 255))) as integer) as bin from v, e)
+  select cast(g.bin as integer) as bin, count(b.bin) as count from range(256) g(bin) left join b on b.bin = g.bin group by g.bin"""
+
+
+@query(_histogram_sql("select l_extendedprice as v from lineitem", "min(v)", "max(v)"))
+def histogram_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(_histogram_sql("select value as v from events where isfinite(value)", "10.0", "60.0").replace("from v),", "),", 1))
+def histogram_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(table(spark, sf_dir, "events"), "value", lo=10.0, hi=60.0)
+
+
+@query(f"""select a.band as i, b.band as j, {s6('covar_samp(a.v, b.v)')} as covariance from lg a join lg b using (vec_id) where a.band <= b.band group by all""")
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.covariance(cube(spark, sf_dir)).select("i", "j", r6("covariance", "covariance"))
+
+
+@query(f"""select source, count(*) as documents from (select regexp_extract(source, '^[^0-9]*') || '_' || split_part(source, 'src', 2) as file, source from documents) group by source, split_part(file, '_', 1)""")
+def class_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.concat_ws("_", F.regexp_extract("source", "^[^0-9]*", 0), F.split("source", "src")[1]).alias("file"))
+    return docs.groupBy("source", F.split("file", "_")[0].alias("class")).agg(F.count("*").alias("documents")).select("source", "documents")
+
+
+@query("select event_type, min(event_id) as first from events group by event_type")
+def distinct_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query(f"""with k as (select try_cast(json_extract_string(props, '$.k') as double) as k, value from events)
+select count(*) as kept, {s6('avg(value)')} as mean from k where k is not null""")
+def drop_bad_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return table(spark, sf_dir, "events").where(k.isNotNull()).agg(F.count("*").alias("kept"), r6(F.avg("value"), "mean"))
+
+
+# -- projection and filters
+
+
+@query("select line, sample, sp[11] as value from px")
+def band_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).select("line", "sample", F.col("spectrum")[10].cast("double").alias("value"))
+
+
+@query("select band, v as value from lg where line = 3 and sample = 7")
+def spectrum_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_long(cube(spark, sf_dir).where("line = 3 and sample = 7")).select("band", F.col("value").cast("double").alias("value"))
+
+
+@query("select line - 2 as line, sample - 4 as sample, band - 10 as band, v as value from lg where line between 2 and 9 and sample between 4 and 20 and band between 10 and 20")
+def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_long(preprocess.crop(cube(spark, sf_dir), (4, 20), (2, 9), (10, 20))).select("line", "sample", "band", F.col("value").cast("double").alias("value"))
+
+
+@query("select sample, sp[6] as value from px where line = 4")
+def profile_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).where("line = 4").select("sample", F.col("spectrum")[5].cast("double").alias("value"))
+
+
+@query("select line, sp[6] as value from px where sample = 4")
+def profile_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).where("sample = 4").select("line", F.col("spectrum")[5].cast("double").alias("value"))
+
+
+@query("select line, sample, sp[1] as value from px where line % 4 = 0 and sample % 4 = 0")
+def subsample4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).where("line % 4 = 0 and sample % 4 = 0").select("line", "sample", F.col("spectrum")[0].cast("double").alias("value"))
+
+
+@query("select cast(count(*) as bigint) as pixels from px, dim where sample between 5 and n_samples - 5 and line between 5 and n_lines - 5")
+def central_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    return pixels.where(F.col("sample").between(5, h.samples - 5) & F.col("line").between(5, h.lines - 5)).agg(F.count("*").alias("pixels"))
+
+
+@query("""with w as (select cast(i as integer) as band, 400 + i * 500.0 / 63 as wl from range(64) t(i)), t as (select unnest([640.0, 550.0, 460.0, 800.0, 10.0, 2000.0]) as target)
+select target, cast(arg_min(band, struct_pack(d := abs(wl - target), b := band)) as integer) as band from w, t group by target""")
+def nearest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wl = spark.createDataFrame(list(enumerate(WL)), "band int, wl double")
+    targets = spark.createDataFrame([(t,) for t in (640.0, 550.0, 460.0, 800.0, 10.0, 2000.0)], "target double")
+    pairs = targets.crossJoin(F.broadcast(wl))  # a header's bands
+    return pairs.groupBy("target").agg(F.min_by("band", F.struct(F.abs(F.col("wl") - F.col("target")), "band")).alias("band"))
+
+
+@query("""with a as (select cast(i as integer) as band, 400 + i * 500.0 / 63 as wl from range(64) t(i)), b as (select cast(i as integer) as ref, 390 + i * 13.0 as rwl from range(40) t(i))
+select band, cast(arg_min(ref, struct_pack(d := abs(rwl - wl), b := ref)) as integer) as ref from a, b group by band""")
+def nearest_band_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = preprocess.nearest_bands(WL, [390 + i * 13.0 for i in range(40)])
+    return spark.createDataFrame(list(enumerate(found)), "band int, ref int")
+
+
+@query("select line, sample, sp[1] as value from px where vec_id <> 17")
+def outlier_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_cube(spark, sf_dir).where("vec_id <> 17").select("line", "sample", F.col("spectrum")[0].cast("double").alias("value"))
+
+
+# -- preprocessing
+
+CALIBRATED = """, w as (select sample, band, max(v) filter (isfinite(v)) as w from lv where line in (0, 1) group by all),
+d as (select sample, band, min(v) filter (isfinite(v)) as d from lv where line in (2, 3) group by all),
+cal as (select line, sample, band, case when not isfinite(v) then v
+  else least(1, greatest(0, (v - coalesce(d, 0)) / greatest(coalesce(w, 1) - coalesce(d, 0), 1e-4) * 0.99)) end as v from lv join w using (sample, band) join d using (sample, band))
+"""
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir, True)
+    return preprocess.calibrate(pixels, pixels.where("line in (0, 1)"), pixels.where("line in (2, 3)"))
+
+
+def _finite(pixels: DataFrame) -> DataFrame:
+    return long_result(pixels.withColumn("spectrum", F.transform("spectrum", lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)))).where("value is not null")
+
+
+@query(CALIBRATED + f"select line, sample, band, {s6('v')} as value from cal where isfinite(v)")
+def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finite(calibrated(spark, sf_dir))
+
+
+@query(CALIBRATED + f"select line, sample, band, {s6('-log10(greatest(v, 1e-4))')} as value from cal where isfinite(v)")
+def absorbance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finite(preprocess.absorbance(calibrated(spark, sf_dir)))
+
+
+SNV = """, mo as (select line, sample, avg(v) as m, stddev_pop(v) as s from lv where isfinite(v) group by all)
+"""
+
+
+@query(SNV + f"select line, sample, band, {s6('(v - m) / (case when s < 1e-6 then 1 else s end)')} as value from lv join mo using (line, sample) where isfinite(v)")
+def snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finite(preprocess.snv(cube(spark, sf_dir, True)))
+
+
+@query(SNV + f"select line, sample, band, {s6('(v - m) / (case when s < 1e-6 then 1 else s end)')} as value from lv join mo using (line, sample) where isfinite(v)")
+def snv_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finite(preprocess.snv_expression(cube(spark, sf_dir, True)))
+
+
+@query(f""", me as (select band, avg(v) as m from lv where isfinite(v) group by band),
+fit as (select line, sample, regr_slope(v, m) as b, regr_intercept(v, m) as a from lv join me using (band) where isfinite(v) group by all)
+select line, sample, band, {s6('(v - a) / b')} as value from lv join fit using (line, sample) where isfinite(v) and abs(b) > 1e-3""")
+def msc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.valid import valid
+
+    pixels = cube(spark, sf_dir, True)
+    means = stats.mean_spectrum(pixels)
+    long = to_long(pixels).withColumn("v", valid(F.col("value"))).where("v is not null").join(means, ["cube_id", "band"])
+    steep = long.groupBy("line", "sample").agg(F.regr_slope("v", "mean").alias("b")).where("abs(b) > 1e-3").select("line", "sample")
+    return _finite(preprocess.msc(pixels)).join(steep, ["line", "sample"], "left_semi")
+
+
+def _savgol_sql(window: int, polynomial: int, derivative: int) -> str:
+    weights = "[" + ", ".join(repr(float(w)) for w in preprocess.savgol_coefficients(window, polynomial, derivative)) + "]"
+    half = window // 2
+    total = f"list_sum(list_transform(range({-half}, {half + 1}), lambda k: {weights}[k + {half + 1}] * sp[greatest(1, least(64, b + k + 1))]))"
+    return f"""select line, sample, cast(unnest(range(0, 64)) as integer) as band, {s6('unnest(y)')} as value from (select line, sample, list_transform(range(0, 64), lambda b: {total}) as y from px)"""
+
+
+@query(_savgol_sql(15, 2, 1))
+def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_result(preprocess.savgol(cube(spark, sf_dir), BANDS, 15, 2, 1))
+
+
+@query(_savgol_sql(5, 2, 0))
+def savgol_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_result(preprocess.savgol(cube(spark, sf_dir), BANDS, 5, 2, 0))
+
+
+@query(f""", s as (select line, sample, band, v, 400 + band * 500.0 / 63 as wl from lg where sample = 3),
+a as (select *, coalesce((lead(v) over w - lag(v) over w) / (lead(wl) over w - lag(wl) over w), 0) as d1 from s window w as (partition by line order by band)),
+b as (select *, (lead(d1) over w - lag(d1) over w) / (lead(wl) over w - lag(wl) over w) as e from a window w as (partition by line order by band))
+select line, band, {s6('d1')} as d1, {s6('case when band between 2 and 61 then e else 0 end')} as d2 from b""")
+def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = to_long(cube(spark, sf_dir).where("sample = 3")).select("line", "band", F.col("value").cast("double").alias("value"), (400 + F.col("band") * 500.0 / 63).alias("wl"))
+    return preprocess.derivatives(rows, ["line"]).select("line", "band", r6("d1", "d1"), r6("d2", "d2"))
+
+
+@query(f""", o as (select a.i - 1 as dy, b.i - 1 as dx from range(3) a(i), range(3) b(i)),
+n as (select p.line, p.sample, p.band, case when isnan(q.v) then '-inf'::double else q.v end as v from (select * from lv where band between 8 and 11) p, o, dim,
+  (select * from lv where band between 8 and 11) q where q.band = p.band and q.line = greatest(0, least(n_lines - 1, p.line + dy)) and q.sample = greatest(0, least(n_samples - 1, p.sample + dx)))
+select line, sample, band - 8 as band, {s6('(list_sort(list(v)))[5]')} as value from n group by all having isfinite((list_sort(list(v)))[5])""")
+def median3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir, True).withColumn("spectrum", F.slice("spectrum", 9, 4))
+    h = size_of(pixels)
+    return _finite(preprocess.median_filter(pixels, 3, h.lines, h.samples, tile=8))
+
+
+def _rotate_sql(degrees: float, lines: str) -> str:
+    import math
+
+    a = degrees * math.pi / 180
+    c, s = f"{math.cos(a)!r}::double", f"{math.sin(a)!r}::double"
+    corner = lambda x, y: (f"({c} * ({x} - cx) - {s} * ({y} - cy) + cx)", f"({s} * ({x} - cx) + {c} * ({y} - cy) + cy)")
+    xs, ys = zip(*(corner(x, y) for x in ("0.0::double", "25.0::double") for y in ("0.0::double", "n")))
+    ends = ", ".join(f"{f}({', '.join(v)}) as {n}" for f, v, n in (("least", xs, "x0"), ("greatest", xs, "x1"), ("least", ys, "y0"), ("greatest", ys, "y1")))
+    return f""", e as (select cast(n_lines as double) as n, 12.5::double as cx, n_lines / 2.0::double as cy, n_lines from dim), f as (select *, {ends} from e),
+g as (select cast(y.i as integer) as line, cast(x.i as integer) as sample, cx, cy, x0, y0 from f, range(200) y(i), range(200) x(i) where y.i < ceil(y1 - y0) and x.i < ceil(x1 - x0)),
+h as (select line, sample, cast(round_even({c} * (sample + x0 - cx) + {s} * (line + y0 - cy) + cx, 0) as integer) as sx,
+  cast(round_even(-({s}) * (sample + x0 - cx) + {c} * (line + y0 - cy) + cy, 0) as integer) as sy from g)
+select h.line, h.sample, {s6('sp[11]')} as value from h left join px on px.line = sy and px.sample = sx"""
+
+
+@query(_rotate_sql(30.0, ""))
+def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    out = preprocess.rotate(pixels, 30.0, h.lines, h.samples).select("line", "sample", F.col("spectrum")[10].alias("v"))
+    return out.select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+
+
+@query("""select cast(line as integer) as line, cast(sample as integer) as sample, value from (
+  select line, (dense_rank() over (order by label) - 1) * 25 + sample as sample, value from (
+    select l.label, y.line, x.sample, round(px.sp[4], 6) + 0.0 as value from (select distinct label from px where label < 2) l, (select distinct line from px where label < 2) y,
+      (select distinct sample from px) x left join px on px.label = l.label and px.line = y.line and px.sample = x.sample)) where line <= (select max(line) from px where label < 2)""")
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = virtual_cube(spark, sf_dir).where("label < 2").withColumn("cube_id", F.concat(F.lit("c"), F.col("label").cast("string")))
+    lines = pixels.agg(F.max("line")).first()[0] + 1
+    sizes = pixels.select("cube_id").distinct().select("cube_id", F.col("cube_id").alias("path"), F.lit(lines).alias("lines"), F.lit(WIDTH).alias("samples"), F.lit(BANDS).alias("bands"))
+    out = preprocess.mosaic(pixels, sizes).select("line", "sample", F.col("spectrum")[3].alias("v"))
+    there = virtual_cube(spark, sf_dir).where("label < 2").select("line").distinct()
+    return out.join(there, "line", "left_semi").select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+
+
+# -- formulas
+
+
+def _band_at(nm: float) -> int:
+    return min(range(BANDS), key=lambda i: (abs(WL[i] - nm), i)) + 1
+
+
+def _guard(x: str) -> str:
+    return f"case when isfinite(coalesce({x}, 'nan'::double)) then coalesce({x}, 0) else 0 end"
+
+
+_N, _R, _B, _G = (f"sp[{_band_at(w)}]" for w in (800, 680, 450, 550))
+
+
+def _formula(text: str, excluded=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cube(spark, sf_dir).select("line", "sample", r6(compile_formula(text, WL, excluded), "value"))
+
+    return run
+
+
+def _formula_query(name: str, text: str, sql: str, excluded=None) -> None:
+    query(f"select line, sample, {s6(_guard(sql))} as value from px", name)(_formula(text, excluded))
+
+
+_formula_query("formula_ndvi", PRESETS["ndvi"], f"({_N} - {_R}) / nullif({_N} + {_R}, 0)")
+_formula_query("formula_evi", PRESETS["evi"], f"2.5 * ({_N} - {_R}) / nullif({_N} + 6 * {_R} - 7.5 * {_B} + 1, 0)")
+_formula_query("formula_ratio", PRESETS["ratio"], f"{_R} / nullif({_G}, 0)")
+_formula_query("formula_first_derivative", PRESETS["first_derivative"], "(sp[10] - sp[8]) / 2")
+_formula_query("formula_second_derivative", PRESETS["second_derivative"], "sp[11] - 2 * sp[10] + sp[9]")
+_formula_query("formula_sum", PRESETS["sum"], "sp[1] + sp[2]")
+_formula_query("formula_geometric_mean", PRESETS["geometric_mean"], "case when sp[1] * sp[2] >= 0 then sqrt(sp[1] * sp[2]) end")
+_formula_query("formula_log", PRESETS["log"], "ln(sp[1] + 1)")
+_formula_query("formula_square", PRESETS["square"], "pow(sp[1], 2)")
+_formula_query("formula_root", PRESETS["root"], "case when sp[1] >= 0 then sqrt(sp[1]) end")
+_formula_query("formula_power", "-B[3]^2 + (B[1] + B[2])^2 * 2^3^0.5", "-pow(sp[3], 2) + pow(sp[1] + sp[2], 2) * pow(2, pow(3, 0.5))")
+_formula_query(
+    "formula_functions", "MIN(sin(B[1]), cos(B[2])) + max(exp(B[3]), atan2(B[4], PI)) + floor(B[5]*10) + ceil(B[6]*10) + round(B[7]*10) + abs(tan(B[8])) + asin(B[9]) + acos(B[10]) + atan(E) + log2(2 + B[11]) + log10(2 + B[12])",
+    "least(sin(sp[1]), cos(sp[2])) + greatest(exp(sp[3]), atan2(sp[4], pi())) + floor(sp[5] * 10) + ceil(sp[6] * 10) + round_even(sp[7] * 10, 0) + abs(tan(sp[8])) + asin(sp[9]) + acos(sp[10]) + atan(exp(1)) + log2(2 + sp[11]) + log10(2 + sp[12])",
+)
+_formula_query("formula_excluded", "B{680} + B{800} * 3 + B[200]", f"{_N} * 3 + sp[64]", [(670.0, 690.0)])
+
+
+# -- similarity and regression
+
+
+@query(f""", ref as (select band, avg(v) as r from lg where line between 2 and 6 and sample between 3 and 9 group by band),
+a as (select line, sample, sum(v * r) as dot, sqrt(sum(v * v)) as nv, sqrt(sum(r * r)) as nr from lg join ref using (band) group by line, sample)
+select line, sample, {s6('acos(greatest(-1, least(1, dot / (nv * nr))))')} as angle from a""")
+def spectral_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    mask = region_mask(spark, sf_dir).where("roi_id = 1")
+    reference = [r["mean"] for r in stats.roi_mean_spectrum(pixels, mask).orderBy("band").collect()]  # one spectrum
+    return decompose.spectral_angle(pixels, reference).select("line", "sample", r6("angle", "angle"))
+
+
+_COEF = [(b % 7 - 3) / 10 for b in range(60)]
+
+
+@query(f"select line, sample, {s6('1.5 + sum(case when isfinite(v) and band < 60 then v * (band % 7 - 3) / 10 else 0 end)')} as prediction from lv group by line, sample")
+def pls_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    out = decompose.predict(cube(spark, sf_dir, True), decompose.Pls(np.array(_COEF), 1.5))
+    return out.select("line", "sample", r6("prediction", "prediction"))
+
+
+@query(f"select line, sample, {s6('list_avg(sp)')} as x, {s6('sp[33] - sp[17]')} as y from px")
+def pseudo_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose.pseudo_scatter(cube(spark, sf_dir)).select("line", "sample", r6("x", "x"), r6("y", "y"))
+
+
+@query(f"select {s6('sum(var)')} as total, cast(64 as integer) as bands from (select var_samp(v) as var from lg group by band)")
+def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components' variances sum to the bands' own."""
+    pixels = cube(spark, sf_dir)
+    m = decompose.moments(pixels)
+    c = decompose.principal(pixels, BANDS)
+    total = float(c.explained.sum() * m.scatter.trace() / (m.n - 1))
+    return spark.createDataFrame([(total, BANDS)], "total double, bands int").select(r6("total", "total"), "bands")
+
+
+@query()
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    return decompose.project(pixels, decompose.principal(pixels, 3), True).select("line", "sample", *[r6(F.col("scores")[i], f"pc{i + 1}") for i in range(3)])
+
+
+@query()
+def pca_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose.pca_rgb(cube(spark, sf_dir)).drop("cube_id")
+
+
+@query()
+def nipals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    return decompose.project(pixels, decompose.nipals(pixels), True).select("line", "sample", *[r6(F.col("scores")[i], f"pc{i + 1}") for i in range(3)])
+
+
+@query()
+def analysed_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_result(decompose.analysed(cube(spark, sf_dir), 5))
+
+
+_PRICE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(f"""select {s6('regr_slope(l_extendedprice, l_quantity)')} as coefficient, {s6('regr_intercept(l_extendedprice, l_quantity)')} as intercept, {s6('regr_r2(l_extendedprice, l_quantity)')} as r2 from lineitem""".replace("select", "with q as (select 1) select", 1))
+def pls_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One component on one column that varies (beside one that doesn't) is least squares."""
+    rows = table(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity"), F.lit(1.0)).alias("spectrum"), F.col("l_extendedprice").alias("y"))
+    m = decompose.train_pls(rows, 1)
+    return spark.createDataFrame([(float(m.coefficients[0]), m.intercept, m.r2)], "coefficient double, intercept double, r2 double").select(*[r6(c, c) for c in ("coefficient", "intercept", "r2")])
+
+
+@query()
+def pls_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.array(*[F.col(c).cast("double") for c in _PRICE]).alias("spectrum"), F.col("l_extendedprice").alias("y"))
+    m = decompose.train_pls(rows, 3)
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(_PRICE, m.coefficients)] + [("intercept", m.intercept), ("r2", m.r2), ("rmse", m.rmse)], "name string, value double").select("name", r6("value", "value"))
+
+
+# -- regions
+
+
+@query(MASK + "select roi_id, line, sample from roi")
+def roi_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_mask(spark, sf_dir)
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    mask = region_mask(spark, sf_dir)
+    return mask.where("roi_id = 1").select("line", "sample"), mask.where("roi_id = 2").select("line", "sample")
+
+
+_AB = MASK + ", a as (select line, sample from roi where roi_id = 1), b as (select line, sample from roi where roi_id = 2)\n"
+
+
+@query(_AB + "select * from a union select * from b")
+def roi_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.union(*_two(spark, sf_dir))
+
+
+@query(_AB + "select * from a except select * from b")
+def roi_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.subtract(*_two(spark, sf_dir))
+
+
+@query(_AB + "select * from a intersect select * from b")
+def roi_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.intersect(*_two(spark, sf_dir))
+
+
+@query(MASK + "select roi_id, min(sample) as x0, max(sample) as x1, min(line) as y0, max(line) as y1 from roi group by roi_id")
+def roi_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.bounds(region_mask(spark, sf_dir))
+
+
+@query(MASK + ", mm as (select distinct line, sample from roi) select p.line, p.sample, case when mm.line is null then null else round(sp[1], 6) + 0.0 end as value from px p left join mm using (line, sample)")
+def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = roi.apply_mask(cube(spark, sf_dir), region_mask(spark, sf_dir)).select("line", "sample", F.col("spectrum")[0].cast("double").alias("v"))
+    return out.select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+
+
+_FOUR = ", o as (select * from (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), n as (select m.line + dy as line, m.sample + dx as sample from m, o)\n"
+
+
+@query(SPECKLED + _FOUR + "select distinct n.line, n.sample from n, dim where n.line between 0 and n_lines - 1 and n.sample between 0 and n_samples - 1")
+def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    return roi.dilate(speckle(pixels), h.lines, h.samples)
+
+
+@query(SPECKLED + _FOUR + "select line, sample from n group by all having count(*) = 5")
+def erode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.erode(speckle(cube(spark, sf_dir)))
+
+
+@query(SPECKLED + _FOUR + """select m.line, m.sample from m join (select line, sample, count(*) as c from n group by all) using (line, sample), dim
+where c < 5 or m.line = 0 or m.sample = 0 or m.line = n_lines - 1 or m.sample = n_samples - 1""")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    return roi.edges(speckle(pixels), h.lines, h.samples)
+
+
+def _reach(source: str, step: str) -> str:
+    """Components of the cells of ``source`` by recursion from every cell."""
+    return f""" walk(root, line, sample) as (select line * 25 + sample, line, sample from {source}
+  union select w.root, c.line, c.sample from walk w join {source} c on {step})"""
+
+
+_EIGHT = "abs(c.line - w.line) <= 1 and abs(c.sample - w.sample) <= 1"
+_CROSS = "abs(c.line - w.line) + abs(c.sample - w.sample) <= 1"
+
+
+def _recursive(sql: str) -> str:
+    return (PRELUDE + sql).replace("with px", "with recursive px", 1)
+
+
+@query(_recursive(SPECKLED + "," + _reach("m", _EIGHT) + """, c as (select line, sample, min(root) as root from walk group by all)
+select line, sample, cast(dense_rank() over (order by root) as integer) as label from c"""))
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.labels(speckle(cube(spark, sf_dir))).select("line", "sample", "label")
+
+
+@query(_recursive(SPECKLED + "," + _reach("m", _EIGHT) + """, c as (select line, sample, min(root) as root from walk group by all), z as (select root, count(*) as area from c group by root having count(*) >= 6),
+z2 as (select root, area, row_number() over (order by root) as k from z)
+select line, sample, area, format('Instancia_{:03d}', k) as name from c join z2 using (root)"""))
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segments(speckle(cube(spark, sf_dir)), 6).select("line", "sample", "area", "name")
+
+
+@query(_recursive(SPECKLED + ", bg as (select line, sample from px where (line, sample) not in (select (line, sample) from m))," + _reach("bg", _CROSS) + """, c as (select line, sample, min(root) as root from walk group by all),
+outside as (select distinct root from c, dim where line = 0 or sample = 0 or line = n_lines - 1 or sample = n_samples - 1)
+select line, sample from m union select line, sample from c where root not in (select root from outside)"""))
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    return segment.fill_holes(speckle(pixels), h.lines, h.samples).select("line", "sample")
+
+
+@query(_recursive(""", s4 as (select line, sample, list_transform(range(0, 16), lambda k: sp[k * 4 + 1]) as s from px),
+seed as (select s as t from s4 where line = 8 and sample = 12),
+ok as (select line, sample from s4, seed where list_dot_product(s, t) / sqrt(list_dot_product(s, s) * list_dot_product(t, t)) >= cos(0.9 * 1.5)),
+walk(line, sample) as (select line, sample from ok where line = 8 and sample = 12
+  union select c.line, c.sample from walk w join ok c on abs(c.line - w.line) + abs(c.sample - w.sample) <= 1)
+select line, sample from walk"""))
+def region_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.grow(cube(spark, sf_dir), 8, 12, 90.0, BANDS).select("line", "sample")
+
+
+@query()
+def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    p = SegmentationParams(threshold=110, invert=True, open_iterations=1, close_iterations=1, min_area=4, ignore_top=5)
+    h = size_of(pixels)
+    mask = segment.raw_mask(segment.to_8bit(pixels, 20), h.lines, h.samples, p)
+    return segment.segments(mask, p.min_area).select("line", "sample", "label", "area", "name")
+
+
+@query("""with s as (select '{"SessionDate":"2024-01-01","Selections":[]}' as j) select cast(roi_id as integer) as roi_id, kind, brix from (values (0, 'rect', 12.5::float), (2, 'circle', null::float)) t(roi_id, kind, brix)""")
+def session_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import SESSION
+
+    shapes = [("Rect", 0, [1, 5], [2, 6], 0, "a", "", 12.5, ""), ("Pixel", 0, [99], [2], 0, "", "", None, ""), ("Circle", 0, [5], [5], 3, "", "", None, "")]
+    return session_rois(spark.createDataFrame([("2024-01-01", shapes)], SESSION), WIDTH, 20).select("roi_id", "kind", "brix")
+
+
+# -- rendering
+
+_LIMITS = ", q as (select list_sort(list(v)) as s, count(*) as n from lv where band = 20 and isfinite(v)), e as (select s[cast(floor(n * 0.02) as bigint) + 1] as lo, s[cast(floor(n * 0.98) as bigint) + 1] as hi from q)\n"
+
+
+@query(_LIMITS + """select line, sample, case when not isfinite(v) then 0 else cast(floor(greatest(0, least(1, (v - lo) / (case when hi - lo <= 1e-5 then 1 else hi - lo end))) * 255) as integer) end as gray from lv, e where band = 20""")
+def stretch_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.to_8bit(cube(spark, sf_dir, True), 20).select("line", "sample", "gray")
+
+
+def _byte(x: str) -> str:
+    return f"cast(floor(greatest(0.0, least(1.0, {x})) * 255) as integer)"
+
+
+_RAINBOW = {
+    "r": "case when t < 0.375 then 0.0 when t < 0.625 then (t - 0.375) * 4 else 1.0 end",
+    "g": "case when t < 0.125 then 0.0 when t < 0.375 then (t - 0.125) * 4 when t < 0.625 then 1.0 when t < 0.875 then 1 - (t - 0.625) * 4 else (t - 0.875) * 8 end",
+    "b": "case when t < 0.125 then 0.5 + t * 4 when t < 0.375 then 1.0 when t < 0.625 then 1 - (t - 0.375) * 4 when t < 0.875 then 0.0 else (t - 0.875) * 8 end",
+}
+_MAPS = {
+    "rainbow": _RAINBOW,
+    "heatmap": {"r": "t * 3", "g": "t * 3 - 1", "b": "t * 3 - 2"},
+    "grayscale": {"r": "t", "g": "t", "b": "t"},
+    "cold_blue": {"r": "t * 2 - 1", "g": "t * 2 - 1", "b": "t * 2"},
+    "green_fluorescent": {"r": "greatest(0.0, least(1.0, t * 2 - 1)) * 0.5", "g": "t * 1.5", "b": "t * 0.5"},
+    "red_fluorescent": {"r": "t * 1.5", "g": "greatest(0.0, least(1.0, t * 0.5)) * 0.3", "b": "0.0"},
+}
+#: Fractions of 1024 are exact on both sides.
+_GRID = "with t as (select cast(i as integer) as i, cast(i as double) / 1024 as t from range(1025) g(i)) "
+
+
+def _colormap_query(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.range(1025).select(F.col("id").cast("int").alias("i"), color.colormap(F.col("id").cast("double") / 1024, name).alias("c")).select("i", "c.*")
+
+    query(_GRID + "select i, " + ", ".join(f"{_byte(x)} as {c}" for c, x in _MAPS[name].items()) + " from t", f"colormap_{name}")(run)
+
+
+for _name in _MAPS:
+    _colormap_query(_name)
+
+
+@query(_GRID + "select i, " + ", ".join(f"{_byte(f'1.5 - abs(2 * t - {c})')} as {n}" for c, n in ((1.5, "r"), (1.0, "g"), (0.5, "b"))) + " from t")
+def colormap_jet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1025).select(F.col("id").cast("int").alias("i"), color.jet(F.col("id").cast("double") / 1024).alias("c")).select("i", "c.*")
+
+
+_RENDER = """, q as (select list_sort(list(v)) as s, count(*) as n from lv where band = 20 and not isnan(v)),
+e as (select s[least(cast(floor(n * 0.02) as bigint), greatest(0, cast(floor(n * 0.98) as bigint) - 1)) + 1] as lo, s[greatest(0, cast(floor(n * 0.98) as bigint) - 1) + 1] as hi from q),
+x as (select line, sample, v, greatest(0.0, least(1.0, (v - lo) / (case when hi - lo <= 0 then 1e-6 else hi - lo end))) as t from lv, e where band = 20)
+"""
+
+
+@query(_RENDER + "select line, sample, " + ", ".join(f"case when isnan(v) or v < -0.1 then 0 else {_byte(x)} end as {c}" for c, x in _RAINBOW.items()) + " from x")
+def render_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_band(cube(spark, sf_dir, True), 20, RenderOptions(threshold=-0.1)).drop("cube_id")
+
+
+def _rgb_sql() -> str:
+    bands = [_band_at(w) - 1 for w in (640, 550, 460)]
+    out = ""
+    for i, b in enumerate(bands):
+        out += f", q{i} as (select list_sort(list(v)) as s, count(*) as n from lg where band = {b}), e{i} as (select s[cast(floor(n * 0.02) as bigint) + 1] as lo{i}, s[cast(floor(n * 0.98) as bigint)] as hi{i} from q{i})\n"
+    cols = ", ".join(f"{_byte(f'(sp[{b + 1}] - lo{i}) / (hi{i} - lo{i})')} as {c}" for i, (b, c) in enumerate(zip(bands, "rgb")))
+    return out + f"select line, sample, {cols} from px, e0, e1, e2"
+
+
+@query(_rgb_sql())
+def render_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = tuple(_band_at(w) - 1 for w in (640, 550, 460))
+    return render.render_rgb(cube(spark, sf_dir), bands).drop("cube_id")
+
+
+@query(MASK + ", mm as (select distinct line, sample from roi), e as (select min(sp[31]) as lo, max(sp[31]) as hi from px join mm using (line, sample)),"
+       " x as (select px.line, px.sample, mm.line is not null as inside, greatest(0.0, least(1.0, (sp[31] - lo) / (case when hi - lo <= 0 then 1e-6 else hi - lo end))) as t from px left join mm using (line, sample), e) select line, sample, "
+       + ", ".join(f"case when inside then {_byte(x)} else cast(floor(t * 255 * 0.25) as integer) end as {c}" for c, x in _RAINBOW.items()) + " from x")
+def masked_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.masked_render(cube(spark, sf_dir), 30, region_mask(spark, sf_dir)).drop("cube_id")
+
+
+@query(MASK + ", mm as (select distinct line, sample from roi) select sample as at, cast(min(line) as integer) as first, cast(max(line) as integer) as last from mm group by sample")
+def cube_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roi.extremes(region_mask(spark, sf_dir), "line").withColumnRenamed("sample", "at")
+
+
+@query()
+def cube_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.faces(cube(spark, sf_dir), region_mask(spark, sf_dir), -0.5, 0.5, BANDS)
+
+
+# -- pipelines
+
+
+@query()
+def batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    o = BatchOptions(snv=True, savgol=True, segment=False)
+    return long_result(pipelines.batch(pixels, h, o, pixels.where("line in (0, 1)"), pixels.where("line in (2, 3)")))
+
+
+@query(MASK + f""", s as (select line, sample, avg(v) as m, stddev_pop(v) as d from lg group by all)
+select roi_id, band, {s6('avg(v)')} as original, {s6('avg((v - m) / d)')} as treated from lg join s using (line, sample) join roi using (line, sample) group by roi_id, band""")
+def roi_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    out = pipelines.compare(pixels, preprocess.snv(pixels), region_mask(spark, sf_dir))
+    return out.select("roi_id", "band", r6("original", "original"), r6("treated", "treated"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    """Mean SNV spectrum of each class."""
+    pixels = virtual_cube(spark, sf_dir)
+    treated = preprocess.snv(pixels.select("cube_id", "line", "sample", "spectrum", "label"))
+    return stats.mean_spectrum(treated, ["label"]).select("label", "band", r6("mean", "mean"))
+
+
+@query(SNV.replace("from lv", "from lg") + f"select label, band, {s6('avg((v - m) / s)')} as mean from lg join mo using (line, sample) group by label, band")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entry(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
