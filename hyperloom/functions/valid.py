@@ -62,18 +62,18 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: list[tupl
         F.array(
             *[
                 F.struct(
-                    F.lit(i).alias("i"), rank_index(F.col("__n"), p, c).alias("k"),
-                    (F.col("__min") if low[i] <= 0 else F.col("__lo")[i]).alias("lo"), (F.col("__max") if high[i] >= 1 else F.col("__hi")[i]).alias("hi"),
+                    F.lit(i).alias("__i"), rank_index(F.col("__n"), p, c).alias("__k"),
+                    (F.col("__min") if low[i] <= 0 else F.col("__lo")[i]).alias("__low"), (F.col("__max") if high[i] >= 1 else F.col("__hi")[i]).alias("__high"),
                 )
                 for i, (_, p, c) in enumerate(wanted)
             ]
         )
     )
-    brackets = stats.select(*keys, which.alias("w")).select(*keys, "w.*")
+    brackets = stats.select(*keys, which.alias("__w")).select(*keys, "__w.*")
     joined = rows.join(brackets, keys) if keys else rows.crossJoin(F.broadcast(brackets))
-    place = F.when(F.col("__v") < F.col("lo"), F.lit(None)).otherwise(F.col("__v"))
-    counted = joined.where(F.col("__v") <= F.col("hi")).groupBy(*keys, "i", "k", place.alias("x")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = counted.withColumn("upto", F.sum("c").over(order)).where((F.col("upto") > F.col("k")) & F.col("x").isNotNull())
-    picked = [F.min(F.when(F.col("i") == i, F.col("x"))).alias(name) for i, (name, _, _) in enumerate(wanted)]
+    place = F.when(F.col("__v") < F.col("__low"), F.lit(None)).otherwise(F.col("__v"))
+    counted = joined.where(F.col("__v") <= F.col("__high")).groupBy(*keys, "__i", "__k", place.alias("__x")).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("__upto", F.sum("__c").over(order)).where((F.col("__upto") > F.col("__k")) & F.col("__x").isNotNull())
+    picked = [F.min(F.when(F.col("__i") == i, F.col("__x"))).alias(name) for i, (name, _, _) in enumerate(wanted)]
     return found.groupBy(*keys).agg(*picked) if keys else found.agg(*picked)

@@ -244,7 +244,7 @@ def median_filter(pixels: DataFrame, size: int, lines: int, samples: int, tile:
             rows += list(np.where(np.isneginf(near), np.nan, near))
         have = frame[(frame["line"].between(y0, y1 - 1)) & (frame["sample"].between(x0, x1 - 1))]
         at = (have["line"].to_numpy() - y0) * len(xs) + (have["sample"].to_numpy() - x0)
-        return pd.DataFrame({"cube_id": have["cube_id"], "line": have["line"], "sample": have["sample"], "spectrum": [rows[k] for k in at]})
+        return pd.DataFrame({"cube_id": have["cube_id"], "line": have["line"], "sample": have["sample"], "spectrum": pd.Series([rows[k] for k in at], index=have.index, dtype=object)})
 
     return tiled(out, half, kernel, out.schema, tile)
 

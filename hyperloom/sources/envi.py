@@ -121,7 +121,7 @@ class _Reader(DataSourceReader):
         path = options["path"]
         self.paths = scan_folder(path) if os.path.isdir(path) else [path]
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
-        self.size = int(options.get("partitionBytes", 64 << 20))
+        self.size = int(options.get("partitionbytes", 64 << 20))
 
     def partitions(self) -> list[_Lines]:
         out = []
@@ -160,7 +160,7 @@ class EnviSource(DataSource):
         return PIXELS
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
 def _dtype(h: Header) -> str:
