@@ -6,7 +6,8 @@ the first one (a single hash split over buckets would leave those of short docum
 equal registers less the collisions expected of compressed ones; pairs that the estimate doesn't rule out are confirmed on the full sets.
 
 Equal sets are one node from the start, so copies are never paired. Within a band's bucket, candidates are linked to one leader
-at a time instead of in all pairs; what the leaders haven't joined, and only that, is compared in pairs across components, so no link
+at a time instead of in all pairs. Only buckets whose nodes the leaders haven't joined are compared further, across components, inside tasks and in
+blocks; a pair is compared in the first band that it shares, and from large buckets only confirmed links leave a task. So no link
 is lost. At a similarity of 0.85 a pair misses all 24 bands with a probability of 2e-8, and the estimate (standard
 error 0.036 there) rules a pair out only below 0.63.
 """
@@ -31,6 +32,9 @@ SLACK = 0.22
 LEADER_ROUNDS = 2
 #: Members of a star that one group compares with the leader.
 GROUP = 256
+#: Buckets of more open nodes are compared with full sets at hand, in blocks of ``OPEN_BLOCK`` nodes.
+SMALL_BUCKET = 64
+OPEN_BLOCK = 512
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, np.uint64) | np.uint64(1)
@@ -180,15 +184,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(sizes, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     leaders = sizes.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = stored(members.union(leaders), "minhash-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                hashes, counts = shingles(piece.column("text"))
-                ends = np.cumsum(counts)
-                sets = [hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([piece.column("leader"), piece.column("part"), piece.column("doc_id"), pa.array(sets, pa.binary())], names=["leader", "part", "doc_id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.zeros(0, np.uint64)
@@ -200,18 +195,136 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     leader, own = lead, other
                     continue
                 assert lead == leader, "a star's part must begin with its leader"
-                at = np.searchsorted(own, other)
-                common = int((own[np.minimum(at, len(own) - 1)] == other).sum()) if len(own) else 0
-                if 100 * common >= percent * (len(own) + len(other) - common):
+                both = common(own, other)
+                if 100 * both >= percent * (len(own) + len(other) - both):
                     a.append(lead)
                     b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("leader", "part", "doc_id", "text").mapInArrow(to_set, "leader long, part int, doc_id long, set binary")
-    by_star = sets.repartition("leader", "part").sortWithinPartitions("leader", "part", (F.col("doc_id") != F.col("leader")))
+    by_star = sorted_sets(docs, wanted).repartition("leader", "part").sortWithinPartitions("leader", "part", (F.col("doc_id") != F.col("leader")))
     return by_star.mapInArrow(compare, "a long, b long")
 
 
+def sorted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rows of doc_id and others) with the document's ``set``, sorted 64-bit hashes."""
+    keep = [c for c in wanted.columns if c != "doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 2 << 20):
+                hashes, counts = shingles(piece.column("text"))
+                ends = np.cumsum(counts)
+                sets = [hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), piece.column("doc_id"), pa.array(sets, pa.binary())], names=[*keep, "doc_id", "set"])
+
+    types = dict(wanted.dtypes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select(*keep, "doc_id", "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "doc_id long", "set binary"]))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def open_pairs(r: np.ndarray, n: np.ndarray, component: np.ndarray, block: np.ndarray, band: int, i: int, j: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a < b of a bucket's group that may be linked, and their estimates: of different components, plausible, and in their first common band."""
+    a_out, b_out, e_out = [], [], []
+    for a in range(len(r) - 1):
+        b = np.arange(a + 1, len(r))
+        b = b[(component[b] != component[a]) & ((block[b] != block[a]) if i != j else True)]
+        if not len(b):
+            continue
+        equal = r[b] == r[a]
+        e = equal.mean(1)
+        chance = 0.7213 * 2.0**-MANTISSA * n[a] * n[b] / (n[a] + n[b]) ** 2
+        e = (e - chance) / (1 - chance)
+        first = equal.reshape(len(b), -1, BAND).all(2).argmax(1)
+        ok = (e >= least - SLACK) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (first == band)
+        a_out.append(np.full(ok.sum(), a))
+        b_out.append(b[ok])
+        e_out.append(e[ok])
+    if not a_out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return np.concatenate(a_out), np.concatenate(b_out), np.concatenate(e_out)
+
+
+def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal band, key, i and j."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j"))))
+        begin = 0
+        for row, key in enumerate(keys):
+            if key != at:
+                if row > begin:
+                    held.append(batch.slice(begin, row - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, begin = [], key, row
+        if begin < len(keys):
+            held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _group_arrays(group: pa.Table) -> tuple:
+    r = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(group), BUCKETS)
+    band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+    return r, np.asarray(group.column("n_shingles"), dtype=float), np.asarray(group.column("component")), np.asarray(group.column("block")), band, i, j
+
+
+def open_candidates(rows: DataFrame, least: float) -> DataFrame:
+    """``a, b``: plausible pairs across components of small buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in open_groups(batches):
+            a, b, _ = open_pairs(*_group_arrays(group), least)
+            node = np.asarray(group.column("doc_id"))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+    place = ["band", "key", "i", "j"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
+def open_links(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: confirmed links across components of large buckets, enough to join what is linked within each group (rows carry full sets)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in open_groups(batches):
+            arrays = _group_arrays(group)
+            a, b, e = open_pairs(*arrays, percent / 100)
+            node = np.asarray(group.column("doc_id"))
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            root = {c: c for c in arrays[2].tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            out = []
+            for k in np.argsort(-e, kind="stable").tolist():
+                x, y = int(a[k]), int(b[k])
+                cx, cy = find(int(arrays[2][x])), find(int(arrays[2][y]))
+                if cx == cy:
+                    continue
+                both = common(sets[x], sets[y])
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    root[max(cx, cy)] = min(cx, cy)
+                    out.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    place = ["band", "key", "i", "j"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -224,10 +337,10 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = stored(linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "minhash-nodes")
     width = 2 * BAND
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(BUCKETS // BAND)]))
-    bands = nodes.select("node", keys.alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(bands.join(shared, "key"), "minhash-members")
+    keys = F.posexplode(F.array(*[F.xxhash64(F.substring("registers", k * width + 1, width)) for k in range(BUCKETS // BAND)]))
+    bands = nodes.select("node", keys.alias("band", "key"))
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    members = stored(bands.join(shared, ["band", "key"]), "minhash-members")
     found = None
     parts = None
 
@@ -236,12 +349,11 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
             return members.withColumn("component", F.col("node"))
         return members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def verify(candidates: DataFrame, best_only: bool) -> bool:
+    def verify(candidates: DataFrame) -> bool:
         """Adds confirmed links; says whether there was any candidate."""
         nonlocal found, parts
         near = plausible(candidates, nodes, percent / 100)
-        if best_only:
-            near = near.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+        near = near.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
         near = stored(near.select("a", "b"), "minhash-candidates")
         if near.isEmpty():
             return False
@@ -252,18 +364,34 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     for turn in range(LEADER_ROUNDS):
         now = with_parts()
-        leader = now.groupBy("key").agg(
+        leader = now.groupBy("band", "key").agg(
             (F.min(F.struct("node", "component")) if turn == 0 else F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)))).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).where("lo <> hi").select("key", F.col("l.node").alias("a"), F.col("l.component").alias("ca"))
-        if not verify(now.join(leader, "key").where("component <> ca").select("a", F.col("node").alias("b")).distinct(), True):
+        ).where("lo <> hi").select("band", "key", F.col("l.node").alias("a"), F.col("l.component").alias("ca"))
+        if not verify(now.join(leader, ["band", "key"]).where("component <> ca").select("a", F.col("node").alias("b")).distinct()):
             break
     else:
         now = with_parts()
-        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = stored(now.join(split, "key").select("key", "node", "component"), "minhash-open")
-        one = open_.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-        two = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        verify(one.join(two, "key").where("ca < cb").select("a", "b").distinct(), False)
+        split = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        blocks = F.ceil(F.col("n") / OPEN_BLOCK).cast("int")
+        rows_open = (
+            now.join(split.select("band", "key", "n", blocks.alias("blocks")), ["band", "key"])
+            .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("band", "key", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", F.col("node").alias("doc_id"))
+        )
+        sketches = nodes.select(F.col("node").alias("doc_id"), "registers", "n_shingles")
+        rows_open = stored(rows_open.join(sketches, "doc_id"), "minhash-open")
+        pairs = stored(open_candidates(rows_open.where(F.col("n") <= SMALL_BUCKET), percent / 100).distinct(), "minhash-candidates")
+        more = []
+        if not pairs.isEmpty():
+            more.append(stored(confirmed(docs, pairs, percent), "minhash-links"))
+        large = rows_open.where(F.col("n") > SMALL_BUCKET)
+        if not large.isEmpty():
+            sets = sorted_sets(docs, large.select("doc_id").distinct())
+            more.append(stored(open_links(large.join(sets, "doc_id"), percent), "minhash-links"))
+        if more:
+            found = reduce(DataFrame.union, more, found)
+            parts = stored(components(found), "minhash-components")
 
     of_digest = nodes.select("digest", "node")
     if parts is not None:
