@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python task handles at a time.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is set and removed at exit.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        local = tempfile.mkdtemp(prefix="hyperloom-")
-        atexit.register(shutil.rmtree, local, True)
-        spark.sparkContext.setCheckpointDir(f"file://{local}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+from ..shared import new_path, shared_dir, stored
 
+__all__ = ["bounded_batches", "new_path", "remainder", "shared_dir", "slices", "stored", "utf8_parts"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: an executor lost later costs a re-read of Parquet, not the work that made the rows.
-    """
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+#: Bytes of text that a Python task handles at a time.
+SLICE_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import bounded_batches, slices, stored, utf8_parts
-from .graph import components
 
 WORDS = 5
 BUCKETS, BAND = 96, 4
