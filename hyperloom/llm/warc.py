@@ -186,7 +186,7 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> Da
         names, counts, sizes = zip(*done) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "records", "bytes"])
 
-    bounded_batches(pages.sparkSession, 500)
+    bounded_batches(pages.sparkSession)
     return joined.mapInArrow(run, "archive string, records long, bytes long")
 
 
@@ -211,11 +211,7 @@ def read(spark: SparkSession, path: str, names: str = "*.warc*") -> DataFrame:
                             some, held = [], 0
                 yield _rows(some)
 
-    bounded_batches(spark, 1)
-    try:
-        return _archives(spark, path, names).mapInArrow(run, RECORDS)
-    finally:
-        bounded_batches(spark)
+    return _archives(spark, path, names).mapInArrow(run, RECORDS)
 
 
 def gaps(spark: SparkSession, path: str, names: str = "*.warc*") -> DataFrame:
