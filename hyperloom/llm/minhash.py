@@ -409,3 +409,27 @@ def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with their columns as they are."""
     gone = groups(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
+#: The query's rows in SQL, from all pairs that share a shingle.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from w, unnest(range(1, greatest(2, len(ws) - 3))) t(i) where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), c as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), e as (
+  select x, y from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)
+), both_ways as (
+  select x, y from e union all select y, x from e
+), walk(root, doc_id) as (
+  select doc_id, doc_id from w union select k.root, b.y from walk k join both_ways b on b.x = k.doc_id
+), least_root as (
+  select doc_id, min(root) as component_id from walk group by doc_id
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from w left join n using (doc_id) join least_root using (doc_id)
+"""

@@ -163,3 +163,66 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         out = out.withColumn(f"n_{kind}", F.coalesce(counted(kind), F.lit(0)))
     any_found = F.exists("__found", lambda m: m["kind"].isNotNull())
     return out.withColumn("text", F.when(any_found, rebuilt).otherwise(text)).drop("__found")
+
+
+def oracle(key: str) -> str:
+    """The query's rows in SQL: candidates as rows, a step of the permutation a subquery."""
+    luhn_sum = (
+        "list_sum(list_transform(range(0, len({d})), lambda i: case when i % 2 = {odd} then cast({d}[len({d}) - i] as int) * 2"
+        " - case when cast({d}[len({d}) - i] as int) > 4 then 9 else 0 end else cast({d}[len({d}) - i] as int) end))"
+    )
+    steps = []
+    for i in range(ROUNDS):
+        x = "r" if i % 2 == 0 else "l"
+        mixed = f"cast('0x' || sha256('{key}|' || kind || '|{i}|' || {x})[1:15] as bigint)"
+        l, r = ("(l + " + mixed + " % a) % a", "r") if i % 2 == 0 else ("l", "(r + " + mixed + " % b) % b")
+        steps.append(f"f{i + 1} as (select * replace ({l} as l, {r} as r) from f{i})")
+    ten = lambda n: f"cast('1' || repeat('0', {n}) as bigint)"
+    pattern = PATTERN.replace("'", "''")
+    return f"""
+with t as (
+  select doc_id, text, regexp_extract_all(text, '{pattern}') as ms, regexp_split_to_array(text, '{pattern}') as segs from documents where regexp_matches(text, '[0-9@]')
+), m as (
+  select doc_id, i, ms[i] as x, regexp_replace(ms[i], '[^0-9]', '', 'g') as d,
+    try_cast(case when contains(ms[i], '/') then ms[i][7:10] || '-' || ms[i][1:2] || '-' || ms[i][4:5] else ms[i] end as date) - date '{FIRST_DAY}' as day
+  from t, unnest(range(1, len(ms) + 1)) u(i)
+), k as (
+  select *, case when contains(x, '@') then 'email' when contains(x, '(') then 'phone'
+    when regexp_full_match(x, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') then
+      case when len(list_filter(string_split(x, '.'), lambda o: cast(o as int) > 255 or (len(o) > 1 and o[1] = '0'))) = 0 then 'ip' end
+    when regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') then case when day between 0 and {DAYS - 1} then 'date' end
+    when regexp_full_match(x, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') then
+      case when cast(x[1:3] as int) not in (0, 666) and cast(x[1:3] as int) < 900 and x[5:6] <> '00' and x[8:11] <> '0000' then 'ssn' end
+    when regexp_full_match(x, '[0-9]{{13,19}}|[0-9]{{4}}[ -].*') then case when {luhn_sum.format(d="d", odd=1)} % 10 = 0 then 'card' end
+    when len(x) between 32 and 64 and regexp_matches(x, '[A-Fa-f]') and regexp_matches(x, '[0-9]') then 'secret' end as kind from m
+), v as (
+  select *, case kind when 'card' then cast(d[1 : len(d) - 1] as bigint) when 'phone' then cast(d[len(d) - 9 : len(d)] as bigint)
+      when 'ip' then list_reduce(list_transform(string_split(x, '.'), lambda o: cast(o as bigint)), lambda s, o: s * 256 + o)
+      when 'date' then cast(day as bigint)
+      when 'ssn' then ((cast(x[1:3] as bigint) - case when cast(x[1:3] as int) > 666 then 2 else 1 end) * 99 + cast(x[5:6] as bigint) - 1) * 9999 + cast(x[8:11] as bigint) - 1
+      else 0 end as v,
+    case kind when 'card' then {ten("len(d) - 1 - (len(d) - 1) // 2")} when 'phone' then 100000 when 'ip' then 65536 when 'date' then 270 when 'ssn' then 88902 else 1 end as a,
+    case kind when 'card' then {ten("(len(d) - 1) // 2")} when 'phone' then 100000 when 'ip' then 65536 when 'date' then 270 when 'ssn' then 9999 else 1 end as b
+  from k
+), f0 as (select *, v // b as l, v % b as r from v), {", ".join(steps)}, g as (
+  select *, l * b + r as w, case kind when 'card' then lpad(cast(l * b + r as varchar), cast(len(d) - 1 as integer), '0') when 'phone' then lpad(cast(l * b + r as varchar), 10, '0') else '' end as p,
+    sha256('{key}|text|' || lower(x)) as h from f{ROUNDS}
+), c as (
+  select *, case when kind = 'card' then p || cast((10 - {luhn_sum.format(d="p", odd=0)} % 10) % 10 as varchar) end as q from g
+), y as (
+  select doc_id, i, kind, case kind
+    when 'card' then case when x[5] in (' ', '-') then q[1:4] || x[5] || q[5:8] || x[10] || q[9:12] || x[15] || q[13:16] else q end
+    when 'phone' then case when x[1] = '+' then '+1 ' else '' end || '(' || p[1:3] || ') ' || p[4:6] || '-' || p[7:10]
+    when 'ip' then cast(w >> 24 as varchar) || '.' || cast((w >> 16) % 256 as varchar) || '.' || cast((w >> 8) % 256 as varchar) || '.' || cast(w % 256 as varchar)
+    when 'date' then case when contains(x, '/') then strftime(date '{FIRST_DAY}' + cast(w as integer), '%m/%d/%Y') else strftime(date '{FIRST_DAY}' + cast(w as integer), '%Y-%m-%d') end
+    when 'ssn' then lpad(cast(w // 989901 + case when w // 989901 + 1 >= 666 then 2 else 1 end as varchar), 3, '0') || '-' || lpad(cast(w % 989901 // 9999 + 1 as varchar), 2, '0') || '-' || lpad(cast(w % 9999 + 1 as varchar), 4, '0')
+    when 'email' then 'user-' || h[1:12] || '@' || h[13:20] || '.invalid'
+    when 'secret' then case when lower(x) <> x then upper(h[1 : len(x)]) else h[1 : len(x)] end
+    else x end as y from c
+), z as (
+  select doc_id, list(y order by i) as ys, {", ".join(f"cast(count(*) filter (kind = '{n}') as integer) as n_{n}" for n in KINDS)} from y group by doc_id
+)
+select d.doc_id, case when z.doc_id is null then d.text else array_to_string(list_transform(range(1, len(segs) + 1), lambda j: segs[j] || coalesce(ys[j], '')), '') end as text,
+  {", ".join(f"coalesce(n_{n}, 0) as n_{n}" for n in KINDS)}
+from documents d left join t using (doc_id) left join z using (doc_id)
+"""

@@ -89,6 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .topk import ORACLE as TOPK
+    from . import minhash, pii, topk, warc
 
-    return {"op7_topk": TOPK}
+    return {"op4_pii": pii.oracle(PII_KEY), "op7_topk": topk.ORACLE, "op8_minhash": minhash.ORACLE, "op9_warc": warc.ORACLE}

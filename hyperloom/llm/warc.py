@@ -257,3 +257,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "warc")
     records = write(pages, path).agg(F.sum("records")).first()[0]
     return read(spark, path) if records else spark.createDataFrame([], RECORDS)
+
+
+#: The query's rows in SQL, from the pages themselves.
+ORACLE = """
+with p as (select page_id, encode(coalesce(html, '')) as raw from pages),
+d as (select page_id, octet_length(raw) as payload_bytes, sha1(raw) as payload_digest from p),
+h as (select payload_digest, max(page_id) as head from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when head is null or head = page_id then 'response' else 'revisit' end as record_type,
+  case when head <> page_id then head end as refers_to
+from d left join h using (payload_digest)
+"""
