@@ -655,7 +655,28 @@ def region_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.grow(cube(spark, sf_dir), 8, 12, 90.0, BANDS).select("line", "sample")
 
 
-@query()
+#: Stretch limits of band 20.
+_LIMITS = ", q as (select list_sort(list(v)) as s, count(*) as n from lv where band = 20 and isfinite(v)), e as (select s[cast(floor(n * 0.02) as bigint) + 1] as lo, s[cast(floor(n * 0.98) as bigint) + 1] as hi from q)\n"
+
+
+def _segment_sql() -> str:
+    """Threshold, close, open and label, a step a subquery."""
+    sql = _LIMITS.replace("lv", "lg") + """, gray as (select line, sample, cast(floor(greatest(0, least(1, (v - lo) / (case when hi - lo <= 1e-5 then 1 else hi - lo end))) * 255) as integer) as gray from lg, e where band = 20),
+k as (select * from (values """ + ", ".join(f"({dy}, {dx})" for dy, dx in segment.ELLIPSE) + """) t(dy, dx)),
+s0 as (select line, sample from gray, dim where gray <= 110 and line >= cast(floor(n_lines * 5 / 100) as integer))"""
+    needed = "(select count(*) from k where c.line + dy between 0 and n_lines - 1 and c.sample + dx between 0 and n_samples - 1)"
+    for i, step in enumerate(("dilate", "erode", "erode", "dilate")):
+        shifted = f"select s{i}.line + dy as line, s{i}.sample + dx as sample from s{i}, k"
+        if step == "dilate":
+            sql += f", s{i + 1} as (select distinct line, sample from ({shifted}), dim where line between 0 and n_lines - 1 and sample between 0 and n_samples - 1)"
+        else:
+            sql += f", c{i} as (select line, sample, count(*) as n from ({shifted}) group by all), s{i + 1} as (select line, sample from c{i} c, dim where line between 0 and n_lines - 1 and sample between 0 and n_samples - 1 and n = {needed})"
+    return _recursive(sql + "," + _reach("s4", _EIGHT) + """, c as (select line, sample, min(root) as root from walk group by all), l as (select *, cast(dense_rank() over (order by root) as integer) as label from c),
+z as (select label, count(*) as area from l group by label having count(*) >= 4), z2 as (select label, area, row_number() over (order by label) as k from z)
+select line, sample, label, area, format('Instancia_{:03d}', k) as name from l join z2 using (label)""")
+
+
+@query(_segment_sql())
 def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     p = SegmentationParams(threshold=110, invert=True, open_iterations=1, close_iterations=1, min_area=4, ignore_top=5)
@@ -674,7 +695,6 @@ def session_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- rendering
 
-_LIMITS = ", q as (select list_sort(list(v)) as s, count(*) as n from lv where band = 20 and isfinite(v)), e as (select s[cast(floor(n * 0.02) as bigint) + 1] as lo, s[cast(floor(n * 0.98) as bigint) + 1] as hi from q)\n"
 
 
 @query(_LIMITS + """select line, sample, case when not isfinite(v) then 0 else cast(floor(greatest(0, least(1, (v - lo) / (case when hi - lo <= 1e-5 then 1 else hi - lo end))) * 255) as integer) end as gray from lv, e where band = 20""")
@@ -757,7 +777,21 @@ def cube_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.extremes(region_mask(spark, sf_dir), "line").withColumnRenamed("sample", "at")
 
 
-@query()
+_TINT = {
+    "r": "case when h < 1 then 1.0 when h < 2 then x when h < 4 then 0.0 when h < 5 then x else 1.0 end",
+    "g": "case when h < 1 then x when h < 3 then 1.0 when h < 4 then x else 0.0 end",
+    "b": "case when h < 2 then 0.0 when h < 3 then x when h < 5 then 1.0 else x end",
+}
+_FACES = " union all ".join(
+    f"select '{face}' as face, lg.band, lg.{other} as \"at\", lg.v from lg join (select {other}, {f}({along}) as {along} from mm group by {other}) using (line, sample)"
+    for face, along, other, f in (("top", "line", "sample", "min"), ("bottom", "line", "sample", "max"), ("left", "sample", "line", "min"), ("right", "sample", "line", "max"))
+)
+
+
+@query(MASK + f""", mm as (select distinct line, sample from roi), f as ({_FACES}),
+h as (select *, (270 * (1 - band / 63.0::double)) / 60 as h, 0.25 + 0.75 * greatest(0.0, least(1.0, (v + 0.5::double) / 1.0)) as i from f),
+x as (select *, 1 - abs(h % 2 - 1) as x from h)
+select face, band, "at", """ + ", ".join(f"cast(floor(floor(({e}) * 255) * i) as integer) as {c}" for c, e in _TINT.items()) + " from x")
 def cube_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.faces(cube(spark, sf_dir), region_mask(spark, sf_dir), -0.5, 0.5, BANDS)
 
@@ -765,7 +799,15 @@ def cube_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- pipelines
 
 
-@query()
+def _batch_sql() -> str:
+    sg = _savgol_sql(15, 2, 1).replace(" from px)", " from treated)")
+    return CALIBRATED.replace("from lv", "from lg") + """, ab as (select line, sample, band, -log10(greatest(v, 1e-4)) as v from cal),
+mo as (select line, sample, avg(v) as m, stddev_pop(v) as s from ab group by all),
+treated as (select line, sample, list((v - m) / (case when s < 1e-6 then 1 else s end) order by band) as sp from ab join mo using (line, sample) group by line, sample)
+""" + sg
+
+
+@query(_batch_sql())
 def batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     h = size_of(pixels)
