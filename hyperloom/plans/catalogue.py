@@ -504,6 +504,20 @@ def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(total, BANDS)], "total double, bands int").select(r6("total", "total"), "bands")
 
 
+_COV3 = ", ".join(f"covar_samp(sp[{i + 1}], sp[{j + 1}]) as a{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+@query(f""", c as (select {_COV3} from px), t as (select *, (a00 + a11 + a22) / 3 as q from c),
+u as (select *, sqrt(((a00 - q) * (a00 - q) + (a11 - q) * (a11 - q) + (a22 - q) * (a22 - q) + 2 * (a01 * a01 + a02 * a02 + a12 * a12)) / 6) as p from t),
+d as (select *, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)) / (p * p * p) / 2 as r from u),
+f as (select *, acos(greatest(-1, least(1, r))) / 3 as phi from d), e as (select q, q + 2 * p * cos(phi) as e1, q + 2 * p * cos(phi + 2 * pi() / 3) as e3 from f)
+select cast(1 as integer) as component, {s6('e1 / (3 * q)')} as explained from e union all select 2, {s6('(3 * q - e1 - e3) / (3 * q)')} from e union all select 3, {s6('e3 / (3 * q)')} from e""")
+def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of variance of three bands' components; a 3 x 3 matrix has its eigenvalues in closed form."""
+    c = decompose.principal(cube(spark, sf_dir).withColumn("spectrum", F.slice("spectrum", 1, 3)), 3)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(c.explained)], "component int, explained double").select("component", r6("explained", "explained"))
+
+
 @query()
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
@@ -537,6 +551,24 @@ def pls_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(m.coefficients[0]), m.intercept, m.r2)], "coefficient double, intercept double, r2 double").select(*[r6(c, c) for c in ("coefficient", "intercept", "r2")])
 
 
+def _pls_sql() -> str:
+    cov = ", ".join(f"covar_samp({a}, {b}) as c{i}{j}" for i, a in enumerate(_PRICE) for j, b in enumerate(_PRICE))
+    with_y = ", ".join(f"covar_samp({a}, l_extendedprice) as y{i}" for i, a in enumerate(_PRICE))
+    means = ", ".join(f"avg({a}) as m{i}" for i, a in enumerate(_PRICE))
+    tt = " + ".join(f"w{i} * w{j} * c{i}{j}" for i in range(4) for j in range(4))
+    rows = " union all ".join(f"select '{a}' as name, {s6(f'b{i}')} as value from b" for i, a in enumerate(_PRICE))
+    return f"""with c as (select {cov}, {with_y}, {means}, avg(l_extendedprice) as my from lineitem), n as (select *, sqrt(y0 * y0 + y1 * y1 + y2 * y2 + y3 * y3) as norm from c),
+w as (select *, {", ".join(f"y{i} / norm as w{i}" for i in range(4))} from n), q as (select *, (w0 * y0 + w1 * y1 + w2 * y2 + w3 * y3) / ({tt}) as q from w),
+b as (select {", ".join(f"w{i} * q as b{i}" for i in range(4))}, my - q * (w0 * m0 + w1 * m1 + w2 * m2 + w3 * m3) as b4 from q) {rows} union all select 'intercept', {s6("b4")} from b"""
+
+
+@query(_pls_sql())
+def pls_one_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.array(*[F.col(c).cast("double") for c in _PRICE]).alias("spectrum"), F.col("l_extendedprice").alias("y"))
+    m = decompose.train_pls(rows, 1)
+    return spark.createDataFrame([*zip(_PRICE, m.coefficients.tolist()), ("intercept", m.intercept)], "name string, value double").select("name", r6("value", "value"))
+
+
 @query()
 def pls_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.array(*[F.col(c).cast("double") for c in _PRICE]).alias("spectrum"), F.col("l_extendedprice").alias("y"))

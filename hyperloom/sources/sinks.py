@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,3 +75,17 @@ def session_json(rois: DataFrame, date: str) -> DataFrame:
     )
     kept = rois.where("kind <> 'mask'").agg(F.array_sort(F.collect_list(F.struct("roi_id", one.alias("s")))).alias("all"))
     return kept.select(F.to_json(F.struct(F.lit(date).alias("SessionDate"), F.col("all.s").alias("Selections"))).alias("value"))
+
+
+def png(image: DataFrame, header: Header) -> bytes:
+    """A rendered image (line, sample, r, g, b) as a PNG file; an image is bounded by its header."""
+    out = np.zeros((header.lines, header.samples, 3), np.uint8)
+    for line, sample, r, g, b in image.select("line", "sample", "r", "g", "b").toLocalIterator():
+        out[line, sample] = r, g, b
+    rows = b"".join(b"\0" + row.tobytes() for row in out)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", header.samples, header.lines, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

@@ -119,3 +119,13 @@ def test_folder_and_stream(spark, tmp_path):
     q = watch(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "cp"), o)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_png(spark):
+    import struct
+    import zlib
+
+    data = sinks.png(spark.createDataFrame([(0, 1, 1, 2, 3)], "line int, sample int, r int, g int, b int"), Header(2, 1, 1))
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (2, 1)
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]) == bytes([0, 0, 0, 0, 1, 2, 3])
