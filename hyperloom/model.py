@@ -30,6 +30,11 @@ class Header:
     ignore_value: float = float("nan")
     raw: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def resolution(self) -> float:
+        """Mean distance of neighbouring bands."""
+        return (self.wavelengths[-1] - self.wavelengths[0]) / self.bands if self.wavelengths and self.bands else 0.0
+
 
 @dataclass(frozen=True)
 class Cube:

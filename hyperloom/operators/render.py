@@ -85,3 +85,9 @@ def faces(pixels: DataFrame, mask: DataFrame, lo: float, hi: float, bands: int)
     i = 0.25 + 0.75 * clamp((F.col("v").cast("double") - lo) / width)
     tint = hue_color(band_hue(F.col("band"), bands))
     return out.withColumn("t", tint).select("face", "band", "at", *[F.floor(F.col(f"t.{n}") * i).cast("int").alias(n) for n in "rgb"])
+
+
+def thumbnail(image: DataFrame, factor: int) -> DataFrame:
+    """A rendered image with each factor x factor block as its mean colour."""
+    small = lambda c: ((F.col(c) - F.col(c) % factor) / factor).cast("int").alias(c)
+    return image.groupBy("cube_id", small("line"), small("sample")).agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])

@@ -139,3 +139,31 @@ def extremes(mask: DataFrame, along: str) -> DataFrame:
     """First and last mask index along ``line`` or ``sample`` for each row of the other."""
     other = "sample" if along == "line" else "line"
     return mask.groupBy(other).agg(F.min(along).alias("first"), F.max(along).alias("last"))
+
+
+def edited(rois: DataFrame, roi_id: int, **changes) -> DataFrame:
+    """One region's variety, date, brix (0 to 100, or None) or notes replaced."""
+    unknown = set(changes) - {"variety", "date", "brix", "notes"}
+    if unknown:
+        raise ValueError(f"not editable: {sorted(unknown)}")
+    brix = changes.get("brix")
+    if brix is not None and not 0 <= brix <= 100:
+        raise ValueError("brix goes from 0 to 100")
+    types = dict(rois.dtypes)
+    return rois.withColumns({c: F.when(F.col("roi_id") == roi_id, F.lit(v).cast(types[c])).otherwise(F.col(c)) for c, v in changes.items()})
+
+
+def small_as_pixel(rois: DataFrame, least: int = 4) -> DataFrame:
+    """Rectangles narrower and lower than ``least`` become their corner pixel."""
+    tiny = (F.col("kind") == "rect") & (F.col("xs")[1] < least) & (F.col("ys")[1] < least)
+    return rois.withColumns({"xs": F.when(tiny, F.slice("xs", 1, 1)).otherwise(F.col("xs")), "ys": F.when(tiny, F.slice("ys", 1, 1)).otherwise(F.col("ys")), "kind": F.when(tiny, "pixel").otherwise(F.col("kind"))})
+
+
+def boxed(rois: DataFrame, mask: DataFrame) -> DataFrame:
+    """Explicit masks replaced by the rectangles around them (two pixels wide at least); other metadata stay, brix goes."""
+    box = bounds(mask)
+    wide = rois.join(box, "roi_id", "left")
+    on = (F.col("kind") == "mask") & F.col("x0").isNotNull()
+    side = lambda a, b: F.array(F.col(a), F.greatest(F.lit(2), F.col(b) - F.col(a) + 1)).cast("array<int>")
+    out = wide.withColumns({"xs": F.when(on, side("x0", "x1")).otherwise(F.col("xs")), "ys": F.when(on, side("y0", "y1")).otherwise(F.col("ys")), "brix": F.when(~on, F.col("brix")), "kind": F.when(on, "rect").otherwise(F.col("kind"))})
+    return out.select(*rois.columns)

@@ -147,3 +147,21 @@ def fit_quality(rows: DataFrame, y: Column, predicted: Column) -> DataFrame:
     return sums.select(r2.alias("r2"), F.sqrt(F.col("sse") / F.when(F.col("n") > 0, F.col("n"))).alias("rmse"))
 
 
+
+
+def sampled_limits(pixels: DataFrame, cells: int = 5000, seed: int = 42) -> DataFrame:
+    """2nd and 98th percentile of about ``cells`` random cells of each cube, drawn without sorting the cube."""
+    total = pixels.select(F.sum(F.size("spectrum"))).first()[0] or 0
+    drawn = to_long(pixels).sample(min(1.0, cells / max(1, total)), seed)
+    return nearest_rank(drawn.withColumn("v", valid(F.col("value"))), ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")])
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two spectra (wl, value) on the union of their wavelengths."""
+    return a.select("wl", F.col("value").alias("a")).join(b.select("wl", F.col("value").alias("b")), "wl", "full_outer")
+
+
+def nearest_point(scores: DataFrame, x: float, y: float, within: float) -> DataFrame:
+    """The row (id, x, y) nearest to a place, if any is within reach; ties go to the smaller id."""
+    d = F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
+    return scores.withColumn("distance", d).where(F.col("distance") <= within).agg(F.min_by("id", F.struct("distance", "id")).alias("id"))

@@ -828,6 +828,31 @@ def cube_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.faces(cube(spark, sf_dir), region_mask(spark, sf_dir), -0.5, 0.5, BANDS)
 
 
+@query(_rgb_sql().replace("select line, sample,", ", img as (select line, sample,", 1) + """) select cast(line // 2 as integer) as line, cast(sample // 2 as integer) as sample,
+cast(floor(avg(r)) as integer) as r, cast(floor(avg(g)) as integer) as g, cast(floor(avg(b)) as integer) as b from img group by line // 2, sample // 2""")
+def thumbnail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = tuple(_band_at(w) - 1 for w in (640, 550, 460))
+    return render.thumbnail(render.render_rgb(cube(spark, sf_dir), bands), 2).drop("cube_id")
+
+
+@query(f"""select {s6('min(v) - 0.05 * (max(v) - min(v))')} as lo, {s6('max(v) + 0.05 * (max(v) - min(v))')} as hi from (select v from lv where isfinite(v))""")
+def joint_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.joint_range(to_long(cube(spark, sf_dir, True)), "value", 0.05).select(r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query("""select cast(arg_min(vec_id, struct_pack(d := sqrt((sp[1] - 0.05) * (sp[1] - 0.05) + (sp[2] + 0.02) * (sp[2] + 0.02)), i := vec_id)) as bigint) as id from px""")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = virtual_cube(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("spectrum")[0].cast("double").alias("x"), F.col("spectrum")[1].cast("double").alias("y"))
+    return stats.nearest_point(points, 0.05, -0.02, 10.0)
+
+
+@query(f"""select band, {s6('avg(v) filter (label = 0)')} as a, {s6('avg(v) filter (label = 1)')} as b from lg group by band""")
+def cube_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = stats.mean_spectrum(virtual_cube(spark, sf_dir), ["label"])
+    one = lambda k: means.where(F.col("label") == k).select(F.col("band").alias("wl"), F.col("mean").alias("value"))
+    return stats.side_by_side(one(0), one(1)).select(F.col("wl").alias("band"), r6("a", "a"), r6("b", "b"))
+
+
 # -- pipelines
 
 

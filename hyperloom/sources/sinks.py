@@ -89,3 +89,17 @@ def png(image: DataFrame, header: Header) -> bytes:
 
     head = struct.pack(">IIBBBBB", header.samples, header.lines, 8, 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def mat(variables: dict[str, np.ndarray]) -> bytes:
+    """Double matrices as a version 5 MAT file, such as the wavelengths and the spectra of each region's pixels."""
+
+    def element(kind: int, data: bytes) -> bytes:
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<HH", 0x0100, 0x4D49)
+    for name, a in variables.items():
+        a = np.atleast_2d(np.asarray(a, dtype="<f8"))
+        body = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<ii", *a.shape)) + element(1, name.encode("ascii")) + element(9, a.tobytes("F"))
+        out += element(14, body)
+    return out

@@ -233,3 +233,28 @@ def test_pipelines(spark):
     assert turned.count() == 9
     means, empty = pipelines.extract(p, h, o)
     assert means.count() == 1 and empty.count() == 0
+
+
+def test_region_edits(spark):
+    df = spark.createDataFrame([(1, "rect", [1, 2], [1, 3], 0, 0, "a", "", 5.0, ""), (2, "mask", [4], [4], 0, 0, "b", "", 7.0, "n")], ROIS)
+    assert [r["variety"] for r in roi.edited(df, 2, variety="c", brix=None).orderBy("roi_id").collect()] == ["a", "c"]
+    with pytest.raises(ValueError):
+        roi.edited(df, 1, brix=101)
+    with pytest.raises(ValueError):
+        roi.edited(df, 1, kind="rect")
+    assert roi.small_as_pixel(df).orderBy("roi_id").first()["kind"] == "pixel"
+    m = spark.createDataFrame([(2, 3, 4), (2, 5, 4)], "roi_id int, line int, sample int")
+    r = roi.boxed(df, m).where("roi_id = 2").first()
+    assert (r["kind"], r["xs"], r["ys"], r["brix"], r["notes"]) == ("rect", [4, 2], [3, 3], None, "n")
+
+
+def test_small_helpers(spark):
+    p = pixels(spark, {(y, x): [float(y), float(x)] for y in range(30) for x in range(30)})
+    lo, hi = stats.sampled_limits(p, 900).select("lo", "hi").first()
+    assert 0 <= lo <= 3 and 26 <= hi <= 29
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 4.0)], "id int, x double, y double")
+    assert stats.nearest_point(points, 3, 5, 10).first()[0] == 2 and stats.nearest_point(points, 99, 99, 10).first()[0] is None
+    a = spark.createDataFrame([(1.0, 2.0)], "wl double, value double")
+    b = spark.createDataFrame([(1.0, 3.0), (2.0, 4.0)], "wl double, value double")
+    assert sorted(tuple(r) for r in stats.side_by_side(a, b).na.fill(-1.0).collect()) == [(1.0, 2.0, 3.0), (2.0, -1.0, 4.0)]
+    assert Header(1, 1, 2, wavelengths=(400.0, 500.0)).resolution == 50

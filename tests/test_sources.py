@@ -129,3 +129,13 @@ def test_png(spark):
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (2, 1)
     at = data.index(b"IDAT")
     assert zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]) == bytes([0, 0, 0, 0, 1, 2, 3])
+
+
+def test_mat():
+    import struct
+
+    data = sinks.mat({"wvgood": np.array([400.0, 500.0]), "ROI_1_Spec": np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])})
+    assert len(data) % 8 == 0 and data[126:128] == b"IM"
+    kind, size = struct.unpack("<II", data[128:136])
+    body = data[136 : 136 + size]
+    assert kind == 14 and struct.unpack("<ii", body[24:32]) == (1, 2) and body[40:46] == b"wvgood" and np.frombuffer(body[56:72]).tolist() == [400.0, 500.0]
