@@ -27,6 +27,7 @@ ARCHIVE_BYTES = 16 << 20
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 VERSION = b"WARC/1.1"
+INFLATE_BYTES = 8 << 10
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -55,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def member(raw: bytes, level: int = 5) -> bytes:
+def member(raw: bytes, level: int = 2) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
 
@@ -87,14 +88,17 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 def inflate(raw: bytes, at: int) -> tuple[bytes, int]:
     """The member at ``at`` and its end; ValueError where it is no whole member."""
-    opener = zlib.decompressobj(31)
-    try:
-        out = opener.decompress(memoryview(raw)[at:])
-    except zlib.error as e:
-        raise ValueError(str(e)) from None
-    if not opener.eof:
-        raise ValueError("the member is cut off")
-    return out, len(raw) - len(opener.unused_data)
+    opener, view, out = zlib.decompressobj(31), memoryview(raw), []
+    while not opener.eof:
+        if at >= len(raw):
+            raise ValueError("the member is cut off")
+        piece = view[at : at + INFLATE_BYTES]  # the inflater copies what it leaves unused
+        try:
+            out.append(opener.decompress(piece))
+        except zlib.error as e:
+            raise ValueError(str(e)) from None
+        at += len(piece)
+    return b"".join(out), at - len(opener.unused_data)
 
 
 def next_start(raw: bytes, at: int, compressed: bool) -> int:
