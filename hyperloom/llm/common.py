@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shared import new_path, shared_dir, stored
 
-__all__ = ["bounded_batches", "new_path", "remainder", "shared_dir", "slices", "stored", "utf8_parts"]
+__all__ = ["bounded_batches", "new_path", "remainder", "runs", "shared_dir", "slices", "stored", "utf8_parts"]
 
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4 << 20
@@ -49,3 +51,23 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal keys, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+        begin = 0
+        for i, v in enumerate(values):
+            if v != at:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, begin = [], v, i
+        if begin < len(values):
+            held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded_batches, slices, stored, utf8_parts
+from .common import bounded_batches, runs, slices, stored, utf8_parts
 
 WORDS = 5
 BUCKETS, BAND = 96, 4
@@ -251,24 +251,8 @@ def open_pairs(r: np.ndarray, n: np.ndarray, component: np.ndarray, block: np.nd
     return np.concatenate(a_out), np.concatenate(b_out), np.concatenate(e_out)
 
 
-def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of consecutive rows with equal band, key, i and j."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j"))))
-        begin = 0
-        for row, key in enumerate(keys):
-            if key != at:
-                if row > begin:
-                    held.append(batch.slice(begin, row - begin))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, at, begin = [], key, row
-        if begin < len(keys):
-            held.append(batch.slice(begin))
-    if held:
-        yield pa.Table.from_batches(held)
+#: Where a pair of blocks of one bucket meets.
+PLACE = ["band", "key", "i", "j"]
 
 
 def _group_arrays(group: pa.Table) -> tuple:
@@ -281,21 +265,20 @@ def open_candidates(rows: DataFrame, least: float) -> DataFrame:
     """``a, b``: plausible pairs across components of small buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in open_groups(batches):
+        for group in runs(batches, PLACE):
             a, b, _ = open_pairs(*_group_arrays(group), least)
             node = np.asarray(group.column("doc_id"))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-    place = ["band", "key", "i", "j"]
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, "a long, b long")
 
 
 def open_links(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b``: confirmed links across components of large buckets, enough to join what is linked within each group (rows carry full sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in open_groups(batches):
+        for group in runs(batches, PLACE):
             arrays = _group_arrays(group)
             a, b, e = open_pairs(*arrays, percent / 100)
             node = np.asarray(group.column("doc_id"))
@@ -321,8 +304,7 @@ def open_links(rows: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    place = ["band", "key", "i", "j"]
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import runs, stored
 
 PIVOTS, ANNULI = 16, 8
 #: Vectors on which pivots and the annuli's edges are fitted, in expectation.
@@ -180,26 +180,6 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of consecutive rows with equal keys, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
-        begin = 0
-        for i, v in enumerate(values):
-            if v != at:
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, at, begin = [], v, i
-        if begin < len(values):
-            held.append(batch.slice(begin))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 #: The same result in SQL, for the registered query.
 ORACLE = """
 with v as (
