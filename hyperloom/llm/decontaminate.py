@@ -71,6 +71,7 @@ class Index:
     upper: np.ndarray
     #: Largest impact of each term in each block of parts.
     part_blocks: np.ndarray
+    block_size: int
     item: list[int]
     texts: dict[int, str]
 
@@ -106,7 +107,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[str, int], n_parts: int,
         [p[np.minimum(c + POSTINGS_PER_BLOCK, len(p)) - 1] for p, c in zip(postings, cuts)],
         [np.maximum.reduceat(i, c) for i, c in zip(impacts, cuts)],
         np.array([i.max() for i in impacts] or [0.0]),
-        part_blocks, item, dict(rows),
+        part_blocks, size, item, dict(rows),
     )
 
 
@@ -130,13 +131,16 @@ class Cursor:
         return (float(self.most[k]), int(self.last[k])) if k < len(self.last) else (0.0, 1 << 62)
 
 
-def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
-    """All parts whose score over the distinct ``terms`` is ``least`` or more, by block-max WAND."""
+def wand(index: Index, terms: list[int], least: float, first: int = 0, stop: int = 1 << 62) -> list[tuple[int, float]]:
+    """All parts from ``first`` to before ``stop`` whose score over the distinct ``terms`` is ``least`` or more, by block-max WAND."""
     cursors = [Cursor(index, t) for t in terms]
+    if first:
+        for c in cursors:
+            c.seek(first)
     found = []
     least -= 1e-9
     while True:
-        cursors = sorted((c for c in cursors if c.part < 1 << 62), key=lambda c: c.part)
+        cursors = sorted((c for c in cursors if c.part < stop), key=lambda c: c.part)
         bound, pivot = 0.0, -1
         for i, c in enumerate(cursors):
             bound += c.upper
@@ -168,8 +172,8 @@ def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]
                     c.seek(part)
 
 
-def passages(index: Index, found: list[list[str]]) -> Iterator[tuple[int, list[int]]]:
-    """(document, distinct terms) of the passages whose bound allows a hit."""
+def passages(index: Index, found: list[list[str]]) -> Iterator[tuple[int, list[int], int, int]]:
+    """(document, distinct terms, first part, stop) of the passages and blocks of parts whose bounds allow a hit."""
     get = index.term.get
     sizes = np.array([len(w) for w in found])
     ids = np.fromiter((get(w, -1) for d in found for w in d), np.int64, int(sizes.sum()))
@@ -182,16 +186,17 @@ def passages(index: Index, found: list[list[str]]) -> Iterator[tuple[int, list[i
     n_terms = len(index.term)
     both = [first[document] + p for p in (half, half - 1)]
     inside = [both[0] < first[document + 1], half > 0]
-    pairs = np.unique(np.concatenate([p[ok] * n_terms + ids[known][ok] for p, ok in zip(both, inside)]))
+    pairs = np.concatenate([p[ok] * n_terms + ids[known][ok] for p, ok in zip(both, inside)])
+    pairs = np.unique(pairs.astype(np.int32) if first[-1] * n_terms < 1 << 31 else pairs)
     if not len(pairs):
         return
     of, term = pairs // n_terms, pairs % n_terms
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    bound = np.add.reduceat(index.part_blocks[term], starts, axis=0).max(1)
+    bound = np.add.reduceat(index.part_blocks[term], starts, axis=0)
     ends = np.r_[starts[1:], len(of)]
     owner = np.repeat(np.arange(len(found)), n_passages)
-    for k in np.flatnonzero(bound >= LEAST_SCORE - 1e-4).tolist():
-        yield int(owner[of[starts[k]]]), term[starts[k] : ends[k]].tolist()
+    for k, block in zip(*(x.tolist() for x in np.nonzero(bound >= LEAST_SCORE - 1e-4))):
+        yield int(owner[of[starts[k]]]), term[starts[k] : ends[k]].tolist(), block * index.block_size, (block + 1) * index.block_size
 
 
 def overlap(wanted: list[str], have: set[tuple[str, ...]], sequence: str) -> float:
@@ -247,8 +252,8 @@ def _search(docs: DataFrame, index: Index, least_overlap: float) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 found = [words(t) for t in part.column("text").to_pylist()]
                 scores: dict[tuple[int, int], float] = {}
-                for d, terms in passages(own, found):
-                    for p, s in wand(own, terms, LEAST_SCORE):
+                for d, terms, first, stop in passages(own, found):
+                    for p, s in wand(own, terms, LEAST_SCORE, first, stop):
                         key = d, own.item[p]
                         scores[key] = max(s, scores.get(key, 0.0))
                 out = []
