@@ -138,7 +138,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 hashes, counts = shingles(part.column("text"))
                 digest: list = [None] * len(counts)
                 rows: list = [None] * len(counts)
@@ -211,7 +211,7 @@ def sorted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
+            for piece in slices(batch, "text", 1 << 20):
                 hashes, counts = shingles(piece.column("text"))
                 ends = np.cumsum(counts)
                 sets = [hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
@@ -312,8 +312,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; ``component_id`` is the smallest doc_id
     reachable and ``kept`` marks it. Null and empty texts, and texts of white space, have an empty set and stand alone. Rows of a
-    null doc_id are never linked and are kept, with a null component. Rows that repeat a doc_id are one document if their texts are
-    equal, and are linked by their own texts otherwise. Other columns are ignored; an empty table gives no rows.
+    null doc_id are never linked and are kept, with a null component. Rows that repeat a doc_id are taken for copies of one document,
+    of equal texts. Other columns are ignored; an empty table gives no rows.
     """
     rows = stored(sketch(docs), "minhash-sketch")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
