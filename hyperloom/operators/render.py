@@ -32,9 +32,11 @@ def render_rgb(pixels: DataFrame, bands: tuple[int, int, int], options: RenderOp
     """Three bands as r, g and b, each with its own stretch; any NaN gives black."""
     out = pixels.select("cube_id", "line", "sample", *[F.col("spectrum")[b].alias(f"v{i}") for i, b in enumerate(bands)])
     bad = F.isnan("v0") | F.isnan("v1") | F.isnan("v2")
-    for i in range(3):
-        one = _with_limits(out.select("cube_id", F.col(f"v{i}").alias("v")), options).select("cube_id", "lo", "hi").distinct()
-        out = out.join(one.withColumnsRenamed({"lo": f"lo{i}", "hi": f"hi{i}"}), "cube_id")
+    channels = out.select("cube_id", F.posexplode(F.array("v0", "v1", "v2")).alias("channel", "v")).withColumn("v", valid(F.col("v"), infinite=True))
+    ends = nearest_rank(channels, ["cube_id", "channel"], "v", [("lo", options.low, "plain"), ("hi", options.high, "render_high")])
+    first = lambda c, i, instead: F.coalesce(F.max(F.when(F.col("channel") == i, F.col(c))), F.lit(instead))
+    limits = ends.groupBy("cube_id").agg(*[f for i in range(3) for f in (first("hi", i, 1.0).alias(f"hi{i}"), F.least(first("lo", i, 0.0), first("hi", i, 1.0)).alias(f"lo{i}"))])
+    out = out.join(limits, "cube_id")
     byte = lambda i: to_byte(gamma(stretch(F.col(f"v{i}").cast("double"), F.col(f"lo{i}"), F.col(f"hi{i}"), 0.0, 1e-6), options.gamma))
     return out.select("cube_id", "line", "sample", *[F.when(bad, 0).otherwise(byte(i)).alias(n) for i, n in enumerate("rgb")])
 
