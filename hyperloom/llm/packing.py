@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def _encoding(path: str):
 
 
 def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, ids array<int>, block_hint``: each text's ids, then id 1. Null texts count as empty.
+    """``doc_id, ids``: each text's ids, then id 1, as little-endian 32-bit words. Null texts count as empty.
 
     The ranks file holds the vocabulary of ``byte_bpe_50k.json``; a test holds its ids against that of ``tokenizers``.
     """
@@ -55,13 +56,10 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ids = [encoder.encode_ordinary(t or "") for t in part.column("text").to_pylist()]
                 for x in ids:
                     x.append(END_ID)
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW, triples_per_length: int = 3) -> np.ndarray:
@@ -197,7 +195,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def pack_ids(tokens: DataFrame) -> DataFrame:
     """``tokens``: stored rows of doc_id and ids."""
-    rest = (F.size("ids") % WINDOW).alias("rest")
+    rest = ((F.length("ids") / 4).cast("int") % WINDOW).alias("rest")
     histogram = np.zeros(WINDOW, np.int64)
     for rest_length, n in tokens.groupBy(rest).count().collect():  # 2048 rows at most
         histogram[rest_length] = n
@@ -214,8 +212,7 @@ def pack_ids(tokens: DataFrame) -> DataFrame:
         n_ids = 0
         for batch in batches:
             at = 0
-            sizes = np.diff(np.frombuffer(batch.column("ids").buffers()[1], np.int32)[batch.column("ids").offset :][: batch.num_rows + 1])
-            for i, size in enumerate(sizes.tolist()):
+            for i, size in enumerate((pc.binary_length(batch.column("ids")).to_numpy() // 4).tolist()):
                 n_ids += size
                 if n_ids >= BLOCK_IDS:
                     held.append(batch.slice(at, i + 1 - at))
@@ -231,11 +228,10 @@ def pack_ids(tokens: DataFrame) -> DataFrame:
 
     def emit(held: list[pa.RecordBatch], first: int) -> tuple[int, Iterator[pa.RecordBatch]]:
         table = pa.Table.from_batches(held).combine_chunks()
-        ids = table.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        offsets = np.asarray(ids.offsets)
-        flat = np.asarray(ids.values)
-        lengths = np.diff(offsets).astype(np.int64)
+        ids = table.column("ids").to_pylist()
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        offsets = np.r_[0, np.cumsum(lengths)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
         share = np.ceil(counts * (len(lengths) / max(1, total))).astype(np.int64)
         sequences = pack_block(lengths, patterns, share)
         doc_ids = table.column("doc_id").combine_chunks()
