@@ -13,6 +13,7 @@ go once to the shared folder; there is no shuffle of texts or ids. A block holds
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
 
@@ -32,19 +33,23 @@ PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long,
 
 
 def _encoding(path: str):
-    """The vocabulary at ``path`` (ranks of byte strings), as an encoder of whole texts."""
+    """The vocabulary at ``path`` (ranks of byte strings), as an encoder of whole texts that knows the added tokens of the tokenizer file beside it, if there is one."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole, added = os.path.splitext(path)[0] + ".json", {}
+    if os.path.exists(whole):
+        with open(whole, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids``: each text's ids, then id 1, as little-endian 32-bit words. Null texts count as empty.
 
-    The ranks file holds the vocabulary of ``byte_bpe_50k.json``; a test holds its ids against that of ``tokenizers``.
+    The ranks file holds the vocabulary of ``byte_bpe_50k.json``, whose added tokens are found in texts too; a test holds its ids against that of ``tokenizers``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +58,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encoder = _encoding(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = [encoder.encode_ordinary(t or "") for t in part.column("text").to_pylist()]
+                ids = [encoder.encode(t or "", allowed_special="all") for t in part.column("text").to_pylist()]
                 for x in ids:
                     x.append(END_ID)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])

@@ -55,6 +55,12 @@ def test_edges(docs, clashing):
     assert sum(r["length"] for r in twice if r["doc_id"] == 7) == 2 * len(truth()("same text")) and any(r["doc_id"] is None for r in twice)
 
 
+def test_added_tokens_are_found_in_texts(docs):
+    texts = {1: "a <|endoftext|> b", 2: "\x00 <|endoftext|> é漢", 3: "<|endoftext|><|endoftext|>\n", 4: "<|endoftext", 5: "x  <|endoftext|>  y", 6: None, 7: "", 8: "word " * 30_000}
+    assert 50256 in truth()(texts[1])
+    check(packing.digests(packing.pack(docs(list(texts.items())))).collect(), texts)
+
+
 def test_solver_fills_windows():
     h = np.zeros(2048, np.int64)
     h[[1000, 1048, 500, 700, 848]] = [40, 40, 30, 30, 30]
