@@ -351,29 +351,29 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         ).where("lo <> hi").select("band", "key", F.col("l.node").alias("a"), F.col("l.component").alias("ca"))
         if not verify(now.join(leader, ["band", "key"]).where("component <> ca").select("a", F.col("node").alias("b")).distinct()):
             break
-    else:
-        now = with_parts()
-        split = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        blocks = F.ceil(F.col("n") / OPEN_BLOCK).cast("int")
-        rows_open = (
-            now.join(split.select("band", "key", "n", blocks.alias("blocks")), ["band", "key"])
-            .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", "key", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", F.col("node").alias("doc_id"))
-        )
-        sketches = nodes.select(F.col("node").alias("doc_id"), "registers", "n_shingles")
-        rows_open = stored(rows_open.join(sketches, "doc_id"), "minhash-open")
-        pairs = stored(open_candidates(rows_open.where(F.col("n") <= SMALL_BUCKET), percent / 100).distinct(), "minhash-candidates")
-        more = []
-        if not pairs.isEmpty():
-            more.append(stored(confirmed(docs, pairs, percent), "minhash-links"))
-        large = rows_open.where(F.col("n") > SMALL_BUCKET)
-        if not large.isEmpty():
-            sets = sorted_sets(docs, large.select("doc_id").distinct())
-            more.append(stored(open_links(large.join(sets, "doc_id"), percent), "minhash-links"))
-        if more:
-            found = reduce(DataFrame.union, more, found)
-            parts = stored(components(found), "minhash-components")
+    # whatever the rounds found: that no leader resembles its bucket says nothing of two other members
+    now = with_parts()
+    split = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    blocks = F.ceil(F.col("n") / OPEN_BLOCK).cast("int")
+    rows_open = (
+        now.join(split.select("band", "key", "n", blocks.alias("blocks")), ["band", "key"])
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "key", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", F.col("node").alias("doc_id"))
+    )
+    sketches = nodes.select(F.col("node").alias("doc_id"), "registers", "n_shingles")
+    rows_open = stored(rows_open.join(sketches, "doc_id"), "minhash-open")
+    pairs = stored(open_candidates(rows_open.where(F.col("n") <= SMALL_BUCKET), percent / 100).distinct(), "minhash-candidates")
+    more = []
+    if not pairs.isEmpty():
+        more.append(stored(confirmed(docs, pairs, percent), "minhash-links"))
+    large = rows_open.where(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        sets = sorted_sets(docs, large.select("doc_id").distinct())
+        more.append(stored(open_links(large.join(sets, "doc_id"), percent), "minhash-links"))
+    if more:
+        found = reduce(DataFrame.union, more if found is None else [found, *more])
+        parts = stored(components(found), "minhash-components")
 
     of_digest = nodes.select("digest", "node")
     if parts is not None:

@@ -75,6 +75,19 @@ def test_chained_copies_in_large_buckets(docs, monkeypatch, small, block):
     assert got(docs(rows)) == brute(rows)
 
 
+def test_near_pair_in_a_crowd_of_unlike_leaders(docs):
+    """The only near pair of the table; in all of its buckets an unlike document of a smaller id leads."""
+    rng = random.Random(2)
+    parts = [[f"p{i}w{j}" for j in range(60)] for i in range(12)]
+    rows = [(i, " ".join(w for p in sorted(rng.sample(range(12), 5)) for w in parts[p]) + " " + " ".join(f"o{i}x{j}" for j in range(150))) for i in range(600)]
+    one = [w for p in parts for w in p]
+    changed = set(range(30, 720, 72))
+    rows += [(1100, " ".join(one)), (1101, " ".join(f"z{k}" if k in changed else w for k, w in enumerate(one)))]
+    want = brute(rows)
+    assert [i for i, (_, _, kept) in want.items() if not kept] == [1101]
+    assert got(docs(rows)) == want
+
+
 def test_edges(docs, clashing):
     long = " ".join(f"v{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE\ttwo"), (6, "one two three"), (7, long), (8, long + " end"), (9, "Ä ö ü ß é"), (10, "ä ö ü ß é"), (11, "a\xa0b c d e f"), (12, "x\x00y z")]
