@@ -9,22 +9,24 @@ the line like the first does, so copied documents are left for document dedup.
 A passage, a line of ``PASSAGE_TOKENS`` or more, recurs from two documents on where they have little else in common: two lines at most that
 fewer than ``MIN_DOCS`` documents have, and a third of the shorter one's lines at most. Documents that share more are versions of each other, and are left for document dedup too.
 
-Equal lines are merged before anything meets in a leaf, by partial sums. A leaf of very many lines is parsed in parts, whose templates are merged after. Long lines are
+Equal lines are merged before anything meets in a leaf, by partial sums. A leaf of very many lines gets the same templates: its first lines are parsed, all others are
+held against their leaders in parts, and what agrees with none is parsed in order, with an index of the leaders. Long lines are
 compared at ``POSITIONS`` positions, the same for all lines of a leaf.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, stored
@@ -143,6 +145,69 @@ def grouped(lines: DataFrame, keys: list[str]) -> DataFrame:
     return spread.select("line", "leaf", "n", "compared", *[k for k in keys if k != "leaf"]).mapInArrow(run, "line long, template long, leaf long, n long, compared binary")
 
 
+class Leaders:
+    """A leaf's leaders in order. Positions are dealt to so many sets that two lines which agree are equal in one of them."""
+
+    def __init__(self, width: int) -> None:
+        differ = width - math.ceil(SIMILAR * width)
+        self.least = width - differ
+        self.sets = [slice(k, None, differ + 1) for k in range(differ + 1)]
+        self.lines = array("q")
+        self.compared = np.zeros((64, width), np.uint16)
+        self.index: dict[tuple[int, bytes], array] = {}
+
+    def first(self, row: np.ndarray) -> int:
+        """The first leader that ``row`` agrees with; -1 if there is none."""
+        best = len(self.lines)
+        for k, s in enumerate(self.sets):
+            some = self.index.get((k, row[s].tobytes()), ())
+            for at in range(0, len(some), 256):
+                if some[at] >= best:
+                    break
+                piece = np.array(some[at : at + 256])
+                hit = np.flatnonzero((self.compared[piece] == row).sum(1) >= self.least)
+                if len(hit):
+                    best = min(best, int(piece[hit[0]]))
+                    break
+        return best if best < len(self.lines) else -1
+
+    def add(self, line: int, row: np.ndarray) -> None:
+        n = len(self.lines)
+        if n == len(self.compared):
+            self.compared = np.concatenate([self.compared, np.zeros_like(self.compared)])
+        self.compared[n] = row
+        self.lines.append(line)
+        for k, s in enumerate(self.sets):
+            self.index.setdefault((k, row[s].tobytes()), array("i")).append(n)
+
+
+def followed(lines: DataFrame, keys: list[str], grow: bool) -> DataFrame:
+    """``line, template, leaf, n, compared, leads`` as from ``grouped``, row by row: only leaders are held.
+
+    Rows with ``leads`` are leaders from the start. Others that agree with none become leaders if ``grow``, and have no template if not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, None
+        for batch in batches:
+            template = []
+            for key, line, compared, leads in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in ("line", "compared", "leads"))):
+                row = np.frombuffer(compared, np.uint16)
+                if key != at:
+                    at, known = key, Leaders(len(row))
+                found = -1 if leads else known.first(row)
+                if found < 0 and (leads or grow):
+                    known.add(line, row)
+                template.append(known.lines[found] if found >= 0 else line if leads or grow else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("line"), pa.array(template, pa.int64()), batch.column("leaf"), batch.column("n"), batch.column("compared"), batch.column("leads")],
+                names=["line", "template", "leaf", "n", "compared", "leads"],
+            )
+
+    spread = lines.repartition(*keys).sortWithinPartitions(*keys, F.col("leads").desc(), F.col("n").desc(), "line")
+    return spread.select("line", "leaf", "n", "compared", "leads", *[k for k in keys if k != "leaf"]).mapInArrow(run, "line long, template long, leaf long, n long, compared binary, leads boolean")
+
+
 def distinct_lines(rows: DataFrame) -> DataFrame:
     """``leaf, line, n, compared, passage``: each different line and how many different texts have it."""
     by_copy = rows.groupBy("leaf", "line", "copy").agg(F.first("compared").alias("compared"), F.first("passage").alias("passage"))
@@ -154,15 +219,18 @@ def templates(lines: DataFrame) -> DataFrame:
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where(F.col("docs") >= MIN_DOCS)
     lines = lines.join(leaves, "leaf")
     alone = lines.where("lines = 1").select("line", F.col("line").alias("template"))
-    part = F.when(F.col("lines") > LEAF_LINES, F.pmod(F.xxhash64("line"), F.ceil(F.col("lines") / LEAF_LINES))).otherwise(0)
-    several = lines.where("lines > 1").withColumn("part", part)
-    first = stored(grouped(several, ["leaf", "part"]), "lines-parts")
-    # merge the parts' templates, in leaves that had parts; where those are too many still, among lines with two more tokens in common
-    split = first.where("line = template").join(leaves.where(F.col("lines") > LEAF_LINES), "leaf")
-    many = split.groupBy("leaf").agg(F.count("*").alias("leaders"))
-    deeper = F.when(F.col("leaders") > 10 * LEAF_LINES, F.xxhash64(F.substring("compared", 1, 4))).otherwise(0)
-    merged = grouped(split.join(many, "leaf").withColumn("deeper", deeper), ["leaf", "deeper"]).select(F.col("line").alias("template"), F.col("template").alias("merged"))
-    return first.select("line", "template").join(merged, "template", "left").select("line", F.coalesce("merged", "template").alias("template")).union(alone)
+    small = grouped(lines.where(F.col("lines").between(2, LEAF_LINES)), ["leaf"]).select("line", "template")
+    large = lines.where((F.col("lines") > LEAF_LINES) & (F.col("lines") > 1)).select("leaf", "line", "n", "compared", F.ceil(F.col("lines") / (8 * LEAF_LINES)).cast("int").alias("parts"), F.lit(False).alias("leads"))
+    # leaders among the first lines come before all others, so the rest can be held against them in parts
+    place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.col("n").desc(), "line"))
+    head = stored(followed(large.withColumn("place", place).where(F.col("place") <= LEAF_LINES), ["leaf"], True), "lines-heads")
+    rest = large.join(head.select("line"), "line", "left_anti").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    parts = large.select("leaf", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lead = head.where("line = template").withColumn("leads", F.lit(True)).join(parts, "leaf")
+    columns = ["leaf", "line", "n", "compared", "leads", "part"]
+    held = stored(followed(rest.select(columns).union(lead.select(columns)), ["leaf", "part"], False).where("not leads"), "lines-held")
+    tail = followed(held.where("template is null").drop("template"), ["leaf"], True)
+    return reduce(DataFrame.union, [x.select("line", "template") for x in (small, head, held.where("template is not null"), tail, alone)])
 
 
 def recurring(rows: DataFrame, distinct: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from hyperloom.llm import lines
 
 
@@ -63,6 +65,22 @@ def test_large_leaves_are_split_and_merged(docs, monkeypatch):
     assert sum(n for _, _, n in got.values()) == 39
 
 
+def test_templates_do_not_depend_on_the_size_of_a_leaf(docs, monkeypatch):
+    """Leaves far beyond the limit against the same leaves in one group; variable fields at the first compared positions."""
+    rng = random.Random(4)
+    texts = [f"log entry of {words(i)} has been seen here again today by us" for i in range(150)]
+    texts += [f"log entry of {words(i)} {words(i * 3)} been seen here again today by us" for i in range(60)]
+    texts += ["log entry of " + " ".join(rng.choice("abc") for _ in range(9)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    distinct = lines.distinct_lines(lines.parsed(docs(rows)))
+    whole = {r["line"]: r["template"] for r in lines.templates(distinct).collect()}
+    dropped = sum(n for _, _, n in run(docs(rows)).values())
+    monkeypatch.setattr(lines, "LEAF_LINES", 5)
+    got = lines.templates(distinct).collect()
+    assert len(got) == len(whole) and {r["line"]: r["template"] for r in got} == whole
+    assert sum(n for _, _, n in run(docs(rows)).values()) == dropped >= 149
+
+
 def test_brute_force(docs):
     """Against templates formed by comparing all lines of a leaf in the same order."""
     rows = [(i, "\n".join(f"log entry number {words(i * 5 + k)} of kind {words(k)} was written now ok" for k in range(4))) for i in range(12)]
