@@ -128,6 +128,16 @@ class Automaton:
         for s in reversed(order):
             self.phrases[s] = own.get(s, []) + self.phrases[self.link[s]]
 
+    def held(self, s: int, n: int) -> dict[tuple[int, int], int]:
+        """The places (template, end) of the match of ``n`` words that ends in state ``s`` and of its suffixes, with the longest length at each."""
+        out: dict[tuple[int, int], int] = {}
+        while n >= LEAST_RUN:
+            for place in self.ends[s]:
+                out.setdefault(place, n)
+            s = self.link[s]
+            n = self.length[s]
+        return out
+
     def stream(self, ids: list[int]) -> Iterator[tuple[int, int]]:
         """Matching statistics: the state and the length of the longest match that ends at each word of a run of known words."""
         follow, link, length = self.next, self.link, self.length
@@ -159,10 +169,13 @@ def chain(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     """Runs of one template, as (document word, template word, length), in document order: the most template words that
     runs in rising order of both cover without overlap, and the first and last document word of them."""
     best: list[tuple[int, int, int]] = []
+    longest = max(n for _, _, n in runs)
     for i, (at, place, n) in enumerate(runs):
         top = (n, at, at + n - 1)
-        for j in range(max(0, i - 32), i):
+        for j in range(i - 1, -1, -1):
             a, p, m = runs[j]
+            if at - (a + longest) > 2 * n + 16:
+                break
             overlap = max(0, a + m - at, p + m - place)
             if a < at and p < place and overlap < n and at - (a + m) <= 2 * n + 16 and best[j][0] + n - overlap > top[0]:
                 top = (best[j][0] + n - overlap, best[j][1], at + n - 1)
@@ -185,16 +198,21 @@ def scan_text(a: Automaton, n_phrases: int, text: str | None) -> tuple[int, list
         for i, (s, n) in enumerate(states):
             if n >= 2 and a.phrases[s]:
                 places += [(p, begin + i + 1 - size) for p, size in a.phrases[s] if size <= n]
-            if n >= LEAST_RUN and (i + 1 == len(states) or states[i + 1][1] <= n):  # it grows no further
-                for template, end in a.ends[s]:
-                    if template < len(a.names) - n_phrases:
-                        runs.setdefault(template, []).append((begin + i + 1 - n, end - n, n))
+            if n >= LEAST_RUN:
+                after = a.held(*states[i + 1]) if i + 1 < len(states) else {}
+                for (template, end), m in a.held(s, n).items():
+                    if (template, end + 1) not in after and template < len(a.names) - n_phrases:  # it grows no further
+                        runs.setdefault(template, []).append((begin + i + 1 - m, end - m, m))
     spans = []
     for template, some in sorted(runs.items()):
-        covered, first, last = chain(sorted(some))
-        share = covered / a.sizes[template]
-        if share >= LEAST_COVER:
-            spans.append((a.names[template], share, first, last))
+        todo = [sorted(some)]
+        while todo:
+            part = todo.pop()
+            covered, first, last = chain(part)
+            share = covered / a.sizes[template]
+            if share >= LEAST_COVER:
+                spans.append((a.names[template], share, first, last))
+                todo += [x for x in ([r for r in part if r[0] + r[2] <= first], [r for r in part if r[0] > last]) if x]
     return len(found), places, spans
 
 
@@ -202,7 +220,7 @@ SCAN = "doc_id long, n_words long, phrases array<struct<label:string,word:long>>
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, n_words, phrases, spans`` of every row: each place of a phrase, and each template's best chain of long matches.
+    """``doc_id, n_words, phrases, spans`` of every row: each place of a phrase, and each template's chains of long matches that cover enough of it.
 
     Null and empty texts have no words and empty lists. Rows that repeat are scanned alike; equal places of several phrases all count;
     other columns are ignored; an empty table gives no rows. Phrases have two words or more.

@@ -57,6 +57,20 @@ def test_templates(docs):
     assert span["first"] == 3
 
 
+def test_templates_inside_others_have_spans():
+    a = lic.build(lic.TEMPLATES, lic.PHRASES)
+    spans = {t: (c, f, e) for t, c, f, e in lic.scan_text(a, len(lic.PHRASES), "x y " + lic.TEMPLATES["apache-2.0-notice"])[2]}
+    assert spans["apache-2.0"] == (1.0, 2, 9) and spans["apache-2.0-notice"][0] == 1.0
+    inner = lic.build({"long": "a b c d e f g h", "short": "c d e f z"}, {})
+    assert {t: c for t, c, _, _ in lic.scan_text(inner, 0, "a b c d e f z")[2]} == {"long": 0.75, "short": 1.0}
+
+
+def test_every_covered_span_is_returned():
+    a = lic.build({"t": "a b c d e f g h"}, {})
+    spans = lic.scan_text(a, 0, "a b c d e f g h x a b c d e f g h " + "y " * 50 + "a b c d e f")[2]
+    assert sorted((f, e, c) for _, c, f, e in spans) == [(0, 7, 1.0), (9, 16, 1.0), (67, 72, 0.75)]
+
+
 def test_edges(docs, clashing):
     long = "word " * 60_000 + "mit license " * 3
     got = summary(clashing(docs([(1, None), (2, ""), (3, long), (3, long), (None, "MIT-License"), (4, "mitlicense"), (5, "mit é license")])))
