@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import new_path, shared_dir, stored
 
-__all__ = ["bounded_batches", "new_path", "remainder", "runs", "shared_dir", "slices", "stored", "utf8_parts"]
+__all__ = ["bounded_batches", "free", "mix", "new_path", "powers", "remainder", "runs", "shared_dir", "slices", "stored", "utf8_parts"]
 
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4 << 20
@@ -25,6 +25,17 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of an id's decimal text modulo ``modulus``; null ids give null."""
     c = F.col(column) if isinstance(column, str) else column
@@ -53,6 +64,27 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; kept for the next slice."""
+    if base not in _tables or len(_tables[base]) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _tables[base] = np.multiply.accumulate(out)
+    return _tables[base][:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scatters 64-bit numbers one to one."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []

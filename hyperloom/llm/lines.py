@@ -1,104 +1,149 @@
 """Line dedup by a tree of log templates.
 
 Lines are parsed at a fixed depth: a leaf of the tree holds the lines of one token count and the same three leading tokens, fields
-with digits masked. Within a leaf, lines that agree at three quarters of their other positions share a template, whose
+with digits masked. Within a leaf, lines that agree at three quarters of all their other positions share a template, whose
 remaining positions are its variable fields. A template that occurs in ``MIN_DOCS`` different documents recurs: all of its occurrences are
 dropped but the first, that with the smallest doc_id. Copies of one text count as one document, and the copies of the first keep
 the line like the first does, so copied documents are left for document dedup.
 
-A passage, a line of ``PASSAGE_TOKENS`` or more, recurs from two documents on where they have little else in common: two lines at most that
-fewer than ``MIN_DOCS`` documents have, and a third of the shorter one's lines at most. Documents that share more are versions of each other, and are left for document dedup too.
+Lines of one or two tokens ("Yes.", a menu's entries) say too little by themselves: such a line recurs where it and the line after it, or the
+one before it, stand in ``MIN_DOCS`` different documents. Tokens are divided by white space; in Chinese, Japanese, Thai and Lao text each character is one.
 
-Equal lines are merged before anything meets in a leaf, by partial sums. A leaf of very many lines gets the same templates: its first lines are parsed, all others are
-held against their leaders in parts, and what agrees with none is parsed in order, with an index of the leaders. Long lines are
-compared at ``POSITIONS`` positions, the same for all lines of a leaf.
+A passage, a line of ``PASSAGE_TOKENS`` or more, recurs from two documents on unless they are versions of each other, with half of the larger one's
+lines and half of its tokens in common (lines that begin alike count, so that edited ones do); versions are left for document dedup too.
+
+Equal lines are merged before anything meets in a leaf, by partial sums. A leaf of very many lines gets the same templates as it would in one group: its first lines are
+parsed, all others are held against their leaders in parts, and what agrees with none is parsed in order within groups that share some positions,
+with an index of the leaders. Lines that make up a thousandth of all rows, a thousand at most, are looked up in a broadcast table, so no shuffle gathers them.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, stored
+from ..operators.graph import components
+from .common import bounded_batches, free, mix, powers, slices, stored, utf8_parts
 
 #: Leading tokens of a leaf.
 DEPTH = 3
-#: Lines of fewer tokens say too little to be called templates.
-MIN_TOKENS = 4
 MIN_DOCS = 4
 SIMILAR = 0.75
+#: Lines of fewer tokens can't agree at ``SIMILAR`` of their positions unless they are equal.
+LEAST_COMPARED = DEPTH + math.ceil(1 / (1 - SIMILAR))
 PASSAGE_TOKENS = 50
-#: Rare lines that two documents may share and yet not be versions of each other.
-COMMON_LINES, COMMON_SHARE = 2, 1 / 3
-POSITIONS = 24
+#: Share of lines and of tokens that versions of a document have in common.
+VERSION_SHARE = 0.5
 #: Lines that one group of a leaf compares.
 LEAF_LINES = 2000
-
-_DIGIT = re.compile(r"\d")
-_FIELD = re.compile(r"\S*\d\S*")
-
-
-@lru_cache(4096)
-def positions(n: int) -> tuple[int, ...]:
-    """Positions after the leading tokens at which lines of n tokens are compared."""
-    rest = n - DEPTH
-    return tuple(range(DEPTH, n)) if rest <= POSITIONS else tuple(DEPTH + k * rest // POSITIONS for k in range(POSITIONS))
-
-
-def parse(line: str) -> tuple[int, int, bytes, bool] | None:
-    """Leaf, hash of the masked line, two bytes for each compared token, and whether it is a passage; None for a line that is too short."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return None
-    masked = " ".join(tokens)
-    if _DIGIT.search(masked):
-        tokens = [_FIELD.sub("<*>", t) for t in tokens]
-        masked = " ".join(tokens)
-    crc = zlib.crc32
-    compared = array("H", [crc(tokens[p].encode()) & 0xFFFF for p in positions(n)]).tobytes()
-    return _number(f"{n} " + " ".join(tokens[:DEPTH])), _number(masked), compared, n >= PASSAGE_TOKENS
-
-
-def _number(text: str) -> int:
-    """A 64-bit hash."""
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+#: Lines that make up more than 1 / HOT of all rows are broadcast; there are HOT of them at most.
+HOT = 1000
+
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 2**64)
+_Q = 0xD6E8FEB86659FD93
+_FIELD, _FORWARD, _BACKWARD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x632BE59BD9B4E019), np.uint64(0x9FB21C651E98DF25)
+_random = np.random.default_rng(7)
+_BYTE = _random.integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+#: First bytes of U+3000 to U+9FFF: characters that stand for a token each.
+_WIDE = np.zeros(256, bool)
+_WIDE[0xE3:0xEA] = True
+
+
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each token of concatenated texts; tokens with an ASCII digit are one field."""
+    n = len(raw)
+    space = _SPACE[raw]
+    wide = _WIDE[raw]
+    wide[:-1] |= (raw[:-1] == 0xE0) & (raw[1:] >= 0xB8) & (raw[1:] <= 0xBB)
+    begins = ~space
+    begins[1:] &= space[:-1]
+    inner = offsets[:-1][offsets[:-1] < n]
+    begins[inner] = ~space[inner]
+    alone = np.flatnonzero(wide)
+    begins[alone] = True
+    after = alone[alone + 3 < n] + 3
+    begins[after] = ~space[after]
+    starts = np.flatnonzero(begins)
+    stop = np.r_[space, True]
+    stop[offsets] = True
+    stop[starts] = True
+    stops = np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, side="right")]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers(_P, n), out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * powers(_P_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    digits = np.zeros(n + 1, np.int32)
+    np.cumsum(_DIGIT[raw], out=digits[1:])
+    hashes[digits[ends] > digits[starts]] = _FIELD
+    return starts, ends, hashes
+
+
+def parse(column: pa.Array) -> list[pa.Array | np.ndarray]:
+    """Row, line number, token count, hash of the leading tokens, hash of the line, and two bytes for each compared token, of every line that has tokens.
+
+    A line of one or two tokens gives a row for each neighbour in its text, with the hash of both lines.
+    """
+    raw, offsets = utf8_parts(column)
+    starts, _, h = tokens(raw, offsets)
+    row = np.searchsorted(offsets[:-1], starts, side="right") - 1
+    newlines = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(raw == 10, out=newlines[1:])
+    number = newlines[starts] - newlines[offsets[row]]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])]) if len(starts) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(starts)])
+    place = np.arange(len(starts)) - np.repeat(first, n)
+    row, number = row[first], number[first]
+    with np.errstate(over="ignore"):
+        weighted = h * powers(_Q, int(n.max(initial=0)) + 1)[place]
+        line = mix(np.add.reduceat(weighted, first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+        head = np.zeros(len(first), np.uint64)
+        for k in range(DEPTH):
+            has = n > k
+            head[has] += weighted[first[has] + k]
+        head = mix(head + np.uint64(DEPTH))
+        full = n >= DEPTH
+        compared = (place >= DEPTH) & np.repeat(n >= LEAST_COMPARED, n)
+        ends = np.r_[0, np.cumsum(np.where(n >= LEAST_COMPARED, n - DEPTH, 0)[full]) * 2].astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), int(full.sum()), [None, pa.py_buffer(ends), pa.py_buffer((h[compared] & np.uint64(0xFFFF)).astype("<u2"))])
+        # lines of one or two tokens, with the line after and the line before
+        a = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
+        both = line[a] * np.uint64(3) + line[a + 1]
+        fore, back = n[a] < DEPTH, n[a + 1] < DEPTH
+        short = np.r_[a[fore], a[back] + 1]
+        pair = np.r_[mix(both[fore] ^ _FORWARD), mix(both[back] ^ _BACKWARD)]
+    every = np.r_[np.flatnonzero(full), short]
+    empty = pa.array([b""] * len(short), pa.binary())
+    return [row[every], number[every].astype(np.int32), n[every].astype(np.int32), np.r_[head[full], pair].view(np.int64), np.r_[line[full], pair].view(np.int64), pa.concat_arrays([values, empty])]
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """``doc_id, copy, line_no, leaf, line, compared, passage`` of every line that is long enough; ``copy`` is a hash of the whole text."""
+    """``doc_id, copy, line_no, size, head, line, compared`` of every line that is looked at; ``copy`` is a hash of the whole text."""
+    names = ["doc_id", "copy", "line_no", "size", "head", "line", "compared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                row, line_no, found = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for k, line in enumerate(text.split("\n")):
-                        p = parse(line)
-                        if p:
-                            row.append(i)
-                            line_no.append(k)
-                            found.append(p)
-                at = pa.array(row, pa.int32())
-                leaf, line, compared, passage = zip(*found) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(at), part.column("copy").take(at), pa.array(line_no, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(compared, pa.binary()), pa.array(passage, pa.bool_())],
-                    names=["doc_id", "copy", "line_no", "leaf", "line", "compared", "passage"],
-                )
+            for part in slices(batch, "text", 1 << 20):
+                row, *columns = parse(part.column("text"))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("copy").take(at), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=names)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, copy long, line_no int, leaf long, line long, compared binary, passage boolean")
+    return rows.mapInArrow(run, "doc_id long, copy long, line_no int, size int, head long, line long, compared binary")
 
 
 def leaders(compared: np.ndarray) -> np.ndarray:
@@ -208,19 +253,53 @@ def followed(lines: DataFrame, keys: list[str], grow: bool) -> DataFrame:
     return spread.select("line", "leaf", "n", "compared", "leads", *[k for k in keys if k != "leaf"]).mapInArrow(run, "line long, template long, leaf long, n long, compared binary, leads boolean")
 
 
-def distinct_lines(rows: DataFrame) -> DataFrame:
-    """``leaf, line, n, compared, passage``: each different line and how many different texts have it."""
-    by_copy = rows.groupBy("leaf", "line", "copy").agg(F.first("compared").alias("compared"), F.first("passage").alias("passage"))
-    return by_copy.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("compared").alias("compared"), F.first("passage").alias("passage"))
+def by_text(rows: DataFrame) -> DataFrame:
+    """``line, copy, size, head, doc_id, line_no, rows``: each different line of each different text, where it stands first, and in how many rows."""
+    return rows.groupBy("line", "copy").agg(F.first("size").alias("size"), F.first("head").alias("head"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("rows")).select(
+        "line", "copy", "size", "head", "at.doc_id", "at.line_no", "rows"
+    )
+
+
+def distinct_lines(texts: DataFrame) -> DataFrame:
+    """``line, leaf, size, n, rows, first``: each different line, how many different texts and how many rows have it, and its first place."""
+    lines = texts.groupBy("line").agg(F.first("size").alias("size"), F.first("head").alias("head"), F.count("*").alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("doc_id", "line_no", "copy")).alias("first"))
+    return lines.select("line", F.xxhash64("size", "head").alias("leaf"), "size", "n", "rows", "first")
+
+
+def crowded(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """``leaf, line, n, compared, lines`` of the lines that may share a template with another: of leaves of two lines or more that enough documents have."""
+    lines = lines.where(F.col("size") >= LEAST_COMPARED).select("leaf", "line", "n")
+    leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where((F.col("docs") >= MIN_DOCS) & (F.col("lines") > 1))
+    found = lines.join(leaves, "leaf").select("leaf", "line", "n", "lines")
+    compared = rows.where(F.col("size") >= LEAST_COMPARED).groupBy("line").agg(F.first("compared").alias("compared"))
+    return found.join(compared, "line").select("leaf", "line", "n", "compared", "lines")
+
+
+def sharing(lines: DataFrame) -> DataFrame:
+    """``line, part`` of the lines that are equal to another of their leaf in one of the sets of positions: only lines of one part can agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, key = [], []
+            for leaf, of, raw in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "compared"))):
+                row = np.frombuffer(raw, np.uint16)
+                sets = Leaders(len(row)).sets
+                line += [of] * len(sets)
+                key += [int.from_bytes(blake2b(b"%d %d " % (leaf, k) + row[s].tobytes(), digest_size=8).digest(), "little", signed=True) for k, s in enumerate(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(key, pa.int64())], names=["line", "key"])
+
+    keys = lines.select("leaf", "line", "compared").mapInArrow(run, "line long, key long")
+    least = keys.groupBy("key").agg(F.min("line").alias("least"), F.count("*").alias("n")).where("n > 1")
+    links = keys.join(least, "key").select(F.col("line").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    return components(links).select(F.col("node").alias("line"), F.col("component").alias("part"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """``line, template`` of the lines whose leaf holds enough documents for a template to recur."""
-    leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where(F.col("docs") >= MIN_DOCS)
-    lines = lines.join(leaves, "leaf")
-    alone = lines.where("lines = 1").select("line", F.col("line").alias("template"))
-    small = grouped(lines.where(F.col("lines").between(2, LEAF_LINES)), ["leaf"]).select("line", "template")
-    large = lines.where((F.col("lines") > LEAF_LINES) & (F.col("lines") > 1)).select("leaf", "line", "n", "compared", F.ceil(F.col("lines") / (8 * LEAF_LINES)).cast("int").alias("parts"), F.lit(False).alias("leads"))
+    """``line, template`` of ``crowded`` lines."""
+    small = grouped(lines.where(F.col("lines") <= LEAF_LINES), ["leaf"]).select("line", "template")
+    large = stored(lines.where(F.col("lines") > LEAF_LINES).select("leaf", "line", "n", "compared", F.ceil(F.col("lines") / (8 * LEAF_LINES)).cast("int").alias("parts"), F.lit(False).alias("leads")), "lines-large")
+    if large.isEmpty():
+        return small
     # leaders among the first lines come before all others, so the rest can be held against them in parts
     place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.col("n").desc(), "line"))
     head = stored(followed(large.withColumn("place", place).where(F.col("place") <= LEAF_LINES), ["leaf"], True), "lines-heads")
@@ -229,62 +308,99 @@ def templates(lines: DataFrame) -> DataFrame:
     lead = head.where("line = template").withColumn("leads", F.lit(True)).join(parts, "leaf")
     columns = ["leaf", "line", "n", "compared", "leads", "part"]
     held = stored(followed(rest.select(columns).union(lead.select(columns)), ["leaf", "part"], False).where("not leads"), "lines-held")
-    tail = followed(held.where("template is null").drop("template"), ["leaf"], True)
-    return reduce(DataFrame.union, [x.select("line", "template") for x in (small, head, held.where("template is not null"), tail, alone)])
+    tail = held.where("template is null").drop("template")
+    shared = stored(sharing(tail), "lines-shared")
+    followers = followed(tail.join(shared, "line"), ["part"], True)
+    others = tail.join(shared, "line", "left_anti").select("line", F.col("line").alias("template"))
+    return reduce(DataFrame.union, [x.select("line", "template") for x in (small, head, held.where("template is not null"), followers, others)])
 
 
-def recurring(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``line, first_copy, first_line_no`` of the lines whose template occurs in ``MIN_DOCS`` different documents or more."""
-    # written first: of a known size it is broadcast at once if small; else the join can split a line that very many documents have
-    named = rows.select("doc_id", "copy", "line_no", "line").join(stored(templates(distinct), "lines-templates"), "line")
-    by_copy = named.groupBy("template", "copy").agg(F.min(F.struct("doc_id", "line_no", "copy")).alias("first"))
-    wide = by_copy.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
-    lines = named.select("line", "template").distinct()
-    return lines.join(wide, "template").select("line", F.col("first.copy").alias("first_copy"), F.col("first.line_no").alias("first_line_no"))
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of rows and ``table`` by ``keys``, ``line`` among them; rows of ``hot`` lines, which are few, never move."""
+    lines = F.broadcast(hot.select("line"))
+    cold = rows.join(lines, "line", "left_anti").join(table.join(lines, "line", "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(table.join(lines, "line", "left_semi")), keys))
 
 
-def passages(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``copy, line`` of the passages that an earlier, otherwise different document has; ``copy`` is the later one's.
+def recurring(texts: DataFrame, distinct: DataFrame, named: DataFrame, common: DataFrame) -> DataFrame:
+    """``line, first_copy, first_line_no`` of the lines whose template occurs in ``MIN_DOCS`` different texts or more; ``named``: line, template.
+
+    ``common``: hot lines of ``MIN_DOCS`` texts or more, which need no count of texts.
+    """
+    columns = ["line", F.col("first.copy").alias("first_copy"), F.col("first.line_no").alias("first_line_no")]
+    alone = distinct.where(F.col("n") >= MIN_DOCS).join(named.select("line"), "line", "left_anti").select(columns)
+    lines = named.join(distinct.select("line", "n", "first"), "line")
+    wide = lines.groupBy("template").agg(F.max("n").alias("least"), F.sum("n").alias("most"), F.min("first").alias("first")).where(F.col("most") >= MIN_DOCS)
+    # texts of several lines of one template count once; only templates whose lines have few texts each need a look
+    sure = wide.where(F.col("least") >= MIN_DOCS)
+    unsure = named.join(wide.where(F.col("least") < MIN_DOCS).select("template"), "template")
+    enough = texts.join(F.broadcast(common), "line", "left_anti").select("line", "copy").join(unsure, "line")
+    enough = enough.groupBy("template").agg(F.count_distinct("copy").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("template")
+    wide = sure.union(wide.join(enough, "template", "left_semi")).select("template", "first")
+    return alone.union(named.join(wide, "template").select(columns))
+
+
+def passages(texts: DataFrame, distinct: DataFrame, common: DataFrame) -> DataFrame:
+    """``line, copy`` of the passages that an earlier, otherwise different text has; ``copy`` is the later one's.
 
     Only lines of fewer than ``MIN_DOCS`` texts are looked at, so a line makes ``MIN_DOCS - 2`` pairs with its first text at most.
     """
-    rare = distinct.where(F.col("n").between(2, MIN_DOCS - 1)).select("line", "passage")
-    held = rows.select("doc_id", "copy", "line").join(rare, "line").groupBy("line", "passage", "copy").agg(F.min("doc_id").alias("doc_id"))
-    texts = held.groupBy("line", "passage").agg(F.array_sort(F.collect_list(F.struct("doc_id", "copy"))).alias("t"))  # MIN_DOCS - 1 at most
-    pairs = texts.select("line", "passage", F.col("t")[0]["copy"].alias("a"), F.explode(F.slice("t", 2, MIN_DOCS)).alias("b")).select("line", "passage", "a", F.col("b.copy").alias("b"))
+    rare = distinct.where(F.col("n").between(2, MIN_DOCS - 1) & (F.col("size") >= PASSAGE_TOKENS)).select("line")
+    held = texts.join(F.broadcast(common), "line", "left_anti").select("line", "copy", "doc_id").join(rare, "line")
+    by_line = held.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("doc_id", "copy"))).alias("t"))  # MIN_DOCS - 1 at most
+    pairs = by_line.select("line", F.col("t")[0]["copy"].alias("a"), F.explode(F.slice("t", 2, MIN_DOCS)).alias("b")).select("line", "a", F.col("b.copy").alias("b"))
     pairs = stored(pairs, "lines-pairs")
-    few = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("passage").alias("passage")).where(F.col("passage") & (F.col("common") <= COMMON_LINES)).drop("passage")
-    sizes = rows.groupBy("copy").agg(F.count_distinct("line").alias("size"))
+    both = pairs.select("a", "b").distinct()
+    heads = texts.where(F.col("size") >= DEPTH).select("copy", "head", "size")
+    wanted = both.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
+    heads = heads.join(wanted, "copy", "left_semi").groupBy("copy", "head").agg(F.count("*").alias("lines"), F.sum("size").alias("tokens"))
+    heads = stored(heads, "lines-heads-of-texts")
+    sizes = heads.groupBy("copy").agg(F.sum("lines").alias("lines"), F.sum("tokens").alias("tokens"))
+    theirs = both.join(heads.withColumnRenamed("copy", "b"), "b").join(heads.select(F.col("copy").alias("a"), "head"), ["a", "head"], "left_semi")
+    alike = theirs.groupBy("a", "b").agg(F.sum("lines").alias("lines"), F.sum("tokens").alias("tokens"))
     for c in ("a", "b"):
-        few = few.join(sizes.select(F.col("copy").alias(c), F.col("size").alias(f"size_{c}")), c)
-    few = few.where(F.col("common") <= COMMON_SHARE * F.least("size_a", "size_b"))
-    return pairs.where("passage").join(few, ["a", "b"]).select(F.col("b").alias("copy"), "line").distinct()
+        alike = alike.join(sizes.select(F.col("copy").alias(c), F.col("lines").alias(f"lines_{c}"), F.col("tokens").alias(f"tokens_{c}")), c)
+    half = [F.col(x) >= VERSION_SHARE * F.greatest(f"{x}_a", f"{x}_b") for x in ("lines", "tokens")]
+    return pairs.join(alike.where(~(half[0] & half[1])), ["a", "b"], "left_semi").select("line", F.col("b").alias("copy")).distinct()
+
+
+def without(text: Column, drop: Column) -> Column:
+    """``text`` without the lines whose numbers, rising, ``drop`` holds; work in proportion to the text."""
 
+    def rest(lines: Column) -> Column:
+        after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(drop, k - 1) + 1)
+        until = lambda k: F.coalesce(F.get(drop, k), F.size(lines))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda k: F.slice(lines, after(k) + 1, until(k) - after(k)))), "\n")
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with recurring lines cut from ``text``, and ``n_lines`` and ``n_dropped`` beside.
+    # let-bound, so that the text is split once
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), rest), 1)
 
-    Null texts stay null, with null counts; an empty text is one line. Rows of a null doc_id keep all lines. Repeated rows are the same document and are treated
-    alike. Ties in doc_id go to the earlier line. Further columns stay as they are, but for ``n_lines`` and ``n_dropped``, which are replaced. An empty table gives no rows.
+
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """The rows of ``docs`` with recurring lines cut from ``text``, and the counts ``n_lines`` and ``n_dropped`` beside.
+
+    Null texts stay null, with null counts; an empty text is one line, which stays, as do lines of white space. Rows of a null doc_id keep all lines. Repeated rows are the same
+    document and are treated alike. Ties in doc_id go to the earlier line. Further columns stay as they are, but for those named like the two counts, which are replaced. An
+    empty table gives no rows. Texts of any length and number of lines are parsed and rewritten whole.
     """
     rows = stored(parsed(docs), "lines-parsed")
-    distinct = stored(distinct_lines(rows), "lines-distinct")
-    again = stored(recurring(rows, distinct), "lines-recurring")
-    # a document's copies are one entry: its id's lines are those of its text
-    places = rows.select("copy", "line_no", "line").distinct()
+    texts = stored(by_text(rows.drop("compared")), "lines-texts")
+    distinct = stored(distinct_lines(texts), "lines-distinct")
+    total = distinct.agg(F.sum("rows")).first()[0] or 0
+    hot = distinct.where(F.col("rows") * HOT > total).select("line")
+    common = distinct.where((F.col("rows") * HOT > total) & (F.col("n") >= MIN_DOCS)).select("line")
+    named = stored(templates(crowded(distinct, rows)), "lines-templates")
+    again = stored(recurring(texts, distinct, named, common), "lines-recurring")
+    places = rows.select("doc_id", "copy", "line_no", "line")
+    id_, copy, drop = free(docs, "doc", "copy", "drop")
     drops = (
-        places.join(again, "line").where("copy <> first_copy or line_no <> first_line_no").select("copy", "line_no")
-        .union(places.join(passages(rows, distinct), ["copy", "line"]).select("copy", "line_no")).distinct()
-        .groupBy(F.col("copy").alias("__copy")).agg(F.sort_array(F.collect_list("line_no")).alias("__drop"))
-    )
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    marked = docs.drop("n_lines", "n_dropped").withColumn("__copy", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")))
-    return (
-        marked.join(drops, "__copy", "left")
-        .withColumn("n_lines", F.size(lines))
-        .withColumn("n_dropped", F.when(F.col("text").isNotNull(), F.coalesce(F.size("__drop"), F.lit(0))))
-        .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.col("n_lines")))
-        .withColumn("text", F.when(F.col("__drop").isNotNull(), kept).otherwise(F.col("text")))
-        .drop("__copy", "__drop")
+        split_join(places, again, ["line"], hot).where("copy <> first_copy or line_no <> first_line_no").select("doc_id", "copy", "line_no")
+        .union(split_join(places, stored(passages(texts, distinct, common), "lines-passages"), ["line", "copy"], hot).select("doc_id", "copy", "line_no")).distinct()
+        .groupBy(F.col("doc_id").alias(id_), F.col("copy").alias(copy)).agg(F.sort_array(F.collect_list("line_no")).alias(drop))
     )
+    others = [c for c in docs.columns if c not in (n_lines, n_dropped)]
+    marked = docs.select(*[F.col(f"`{c}`") for c in others]).join(drops, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(copy)), "left")
+    has = F.col("text").isNotNull()
+    counts = [F.when(has, F.size(F.split("text", "\n", -1))).alias(n_lines), F.when(has, F.coalesce(F.size(drop), F.lit(0))).alias(n_dropped)]
+    text = F.when(F.col(drop).isNotNull(), without(F.col("text"), F.col(drop))).otherwise(F.col("text"))
+    return marked.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in others], *counts)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded_batches, runs, slices, stored, utf8_parts
+from .common import bounded_batches, mix, powers, runs, slices, stored, utf8_parts
 
 WORDS = 5
 BUCKETS, BAND = 96, 4
@@ -49,26 +49,6 @@ _P_INVERSE = pow(_P, -1, 2**64)
 _Q = [np.uint64(pow(0xD6E8FEB86659FD93, k, 2**64)) for k in range(WORDS)]
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; kept for the next slice."""
-    if len(_tables.get(base, ())) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        _tables[base] = np.multiply.accumulate(out)
-    return _tables[base][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, concatenated, and each text's count.
 
@@ -89,18 +69,18 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = stops[np.searchsorted(stops, starts, side="right")]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _powers(_P, len(raw)), out=sums[1:])
-        words = _mix((sums[ends] - sums[starts]) * _powers(_P_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(_BYTE[raw] * powers(_P, len(raw)), out=sums[1:])
+        words = mix((sums[ends] - sums[starts]) * powers(_P_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
         first = np.searchsorted(starts, offsets[:-1])
         last = np.searchsorted(starts, offsets[1:])
         n = len(words)
-        all_five = _mix(reduce(np.add, (words[k : n - WORDS + 1 + k] * _Q[k] for k in range(WORDS)))) if n >= WORDS else np.zeros(0, np.uint64)
+        all_five = mix(reduce(np.add, (words[k : n - WORDS + 1 + k] * _Q[k] for k in range(WORDS)))) if n >= WORDS else np.zeros(0, np.uint64)
         out, counts = [], np.zeros(n_docs, np.int64)
         for d, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
             if b - a >= WORDS:
                 h = np.unique(all_five[a : b - WORDS + 1])
             elif b > a:
-                h = _mix(reduce(np.add, (words[a + k : a + k + 1] * _Q[k] for k in range(b - a))) + np.uint64(b - a))
+                h = mix(reduce(np.add, (words[a + k : a + k + 1] * _Q[k] for k in range(b - a))) + np.uint64(b - a))
             else:
                 continue
             counts[d] = len(h)
