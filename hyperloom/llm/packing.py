@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, stored
+from .common import bounded_batches, slices, stored, utf8_parts
 
 WINDOW = 2048
 END_ID = 1
@@ -46,19 +46,47 @@ def _encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+#: Texts with a longer run of bytes without ASCII white space, or of white space and bytes beyond ASCII alone, are left to the tokenizer itself.
+LONG_RUN = 1 << 17
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ASCII_SOLID = ~_ASCII_SPACE
+_ASCII_SOLID[128:] = False
+
+
+def long_runs(column: pa.Array) -> list[int]:
+    """Rows whose texts have a run of ``LONG_RUN`` bytes: the faster encoder's pattern fails on white space of about a million characters."""
+    raw, offsets = utf8_parts(column)
+    out = []
+    for row in np.flatnonzero(np.diff(offsets) >= LONG_RUN).tolist():
+        own = raw[offsets[row] : offsets[row + 1]]
+        if any(np.diff(np.r_[-1, np.flatnonzero(kind[own]), len(own)]).max() > LONG_RUN for kind in (_ASCII_SPACE, _ASCII_SOLID)):
+            out.append(row)
+    return out
+
+
 def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids``: each text's ids, then id 1, as little-endian 32-bit words. Null texts count as empty.
 
-    The ranks file holds the vocabulary of ``byte_bpe_50k.json``, whose added tokens are found in texts too; a test holds its ids against that of ``tokenizers``.
+    Ids are those of ``tokenizers`` with ``byte_bpe_50k.json``. Its ranks file and added tokens go through a faster encoder of the same ids, but for texts with very
+    long runs, which go through ``tokenizers``; tests hold the one against the other. ``vocabulary`` is the path of another ranks file, with its tokenizer file beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = _encoding(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        encoder, whole = _encoding(path), None
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = [encoder.encode(t or "", allowed_special="all") for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                slow = long_runs(part.column("text"))
+                if slow and whole is None:
+                    from tokenizers import Tokenizer
+
+                    whole = Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+                aside = {row: whole.encode(texts[row], add_special_tokens=False).ids for row in slow}
+                ids = [aside[row] if row in aside else encoder.encode(t or "", allowed_special="all") for row, t in enumerate(texts)]
                 for x in ids:
                     x.append(END_ID)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])

@@ -98,3 +98,23 @@ def test_blocks_of_a_large_table_stay_whole():
             seen[base[row] + start : base[row] + start + n] += 1
     assert (seen == 1).all()
     assert all(t & (t - 1) == 0 for t in (sum(n for _, _, n in s) for s in sequences))
+
+
+def test_runs_of_any_length(docs):
+    """White space, letters and wide characters in runs around and far beyond the limit."""
+    n = packing.LONG_RUN
+    texts = {1: " " * 1_000_000, 2: "x" + "\n" * 5_000_000 + "y", 3: "a" * (n + 5), 4: "\u00a0 " * n, 5: "\u3000" * n, 6: "b" * (n - 1) + " c", 7: "<|endoftext|>" + " " * (n + 1) + "<|endoftext|>", 8: "plain text"}
+    rows = packing.digests(packing.pack(docs(list(texts.items())))).collect()
+    check(rows, texts)
+    import pyarrow as pa
+
+    assert packing.long_runs(pa.array([texts[i] for i in range(1, 9)])) == [0, 1, 2, 3, 4, 6]
+    assert packing.long_runs(pa.array(["a " * n, None, ""])) == []
+
+
+def test_random_strings_have_the_tokenizers_ids():
+    rng = np.random.default_rng(5)
+    alphabet = list("ab CD\n\t'09.,!?-é漢\u00a0\u3000\u200d😀") + ["'s", "'ll", "<|endoftext|>", "  ", "\r\n", "ﬁ", "İ"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(4000)]
+    encode, fast = truth(), packing._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert all(fast.encode(t, allowed_special="all") + [1] == encode(t) for t in texts)
