@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shared import new_path, shared_dir, stored
 
-__all__ = ["bounded_batches", "free", "mix", "new_path", "powers", "remainder", "runs", "shared_dir", "slices", "stored", "utf8_parts"]
+__all__ = ["bounded_batches", "free", "hot_values", "mix", "new_path", "powers", "remainder", "runs", "shared_dir", "slices", "split_join", "stored", "utf8_parts"]
 
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4 << 20
@@ -36,6 +36,27 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Values that make up more than 1 / HOT of all rows are broadcast; there are HOT of them at most.
+HOT = 1000
+
+
+def hot_values(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The values of ``key`` that make up more than 1 / HOT of the rows counted in ``n``: at most HOT of them, whatever the table."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * HOT > total).select(key)
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of rows and ``table`` by ``keys``; rows with a ``hot`` value, which are few values, never move.
+
+    ``hot``: values of one of the keys, of which ``table`` holds few rows each.
+    """
+    (key,) = hot.columns
+    values = F.broadcast(hot)
+    cold = rows.join(values, key, "left_anti").join(table.join(values, key, "left_anti"), keys)
+    return cold.unionByName(rows.join(F.broadcast(table.join(values, key, "left_semi")), keys))
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of an id's decimal text modulo ``modulus``; null ids give null."""
     c = F.col(column) if isinstance(column, str) else column

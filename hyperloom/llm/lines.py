@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded_batches, free, mix, powers, slices, stored, utf8_parts
+from .common import bounded_batches, free, hot_values, mix, powers, slices, split_join, stored, utf8_parts
 
 #: Leading tokens of a leaf.
 DEPTH = 3
@@ -44,8 +44,6 @@ PASSAGE_TOKENS = 50
 VERSION_SHARE = 0.5
 #: Lines that one group of a leaf compares.
 LEAF_LINES = 2000
-#: Lines that make up more than 1 / HOT of all rows are broadcast; there are HOT of them at most.
-HOT = 1000
 
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
@@ -315,13 +313,6 @@ def templates(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [x.select("line", "template") for x in (small, head, held.where("template is not null"), followers, others)])
 
 
-def split_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Inner join of rows and ``table`` by ``keys``, ``line`` among them; rows of ``hot`` lines, which are few, never move."""
-    lines = F.broadcast(hot.select("line"))
-    cold = rows.join(lines, "line", "left_anti").join(table.join(lines, "line", "left_anti"), keys)
-    return cold.unionByName(rows.join(F.broadcast(table.join(lines, "line", "left_semi")), keys))
-
-
 def recurring(texts: DataFrame, distinct: DataFrame, named: DataFrame, common: DataFrame) -> DataFrame:
     """``line, first_copy, first_line_no`` of the lines whose template occurs in ``MIN_DOCS`` different texts or more; ``named``: line, template.
 
@@ -386,9 +377,8 @@ def dedup(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped
     rows = stored(parsed(docs), "lines-parsed")
     texts = stored(by_text(rows.drop("compared")), "lines-texts")
     distinct = stored(distinct_lines(texts), "lines-distinct")
-    total = distinct.agg(F.sum("rows")).first()[0] or 0
-    hot = distinct.where(F.col("rows") * HOT > total).select("line")
-    common = distinct.where((F.col("rows") * HOT > total) & (F.col("n") >= MIN_DOCS)).select("line")
+    hot = hot_values(distinct, "line", "rows")
+    common = hot.join(distinct.where(F.col("n") >= MIN_DOCS), "line", "left_semi")
     named = stored(templates(crowded(distinct, rows)), "lines-templates")
     again = stored(recurring(texts, distinct, named, common), "lines-recurring")
     places = rows.select("doc_id", "copy", "line_no", "line")
