@@ -2,7 +2,7 @@
 
 ``B{nm}`` is the band nearest to a wavelength, ``B[n]`` the n-th band (from 1, clamped); ``PI`` and ``E``; ``+ - * / ^`` with the usual
 precedence, ``^`` from the right and above a sign; functions of one and two arguments, in any case. Bands are
-resolved while compiling. Divisions and functions follow IEEE arithmetic (NaN and infinities instead of errors) and the result's NaN and
+resolved while compiling; an invalid cell counts as 0. Divisions and functions follow IEEE arithmetic (NaN and infinities instead of errors) and the result's NaN and
 infinities become 0.
 """
 
@@ -14,10 +14,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .valid import is_valid
+
 NAN = float("nan")
 _TOKEN = re.compile(r"\s*(?:(B\{[^}]*\}|B\[[^\]]*\])|(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(.))")
 
-#: Named expressions.
+#: Named expressions.
 PRESETS = {
     "ndvi": "(B{800} - B{680}) / (B{800} + B{680})",
     "evi": "2.5 * (B{800} - B{680}) / (B{800} + 6*B{680} - 7.5*B{450} + 1)",
@@ -146,7 +148,7 @@ class _Parser:
         if any(a <= self.wavelengths[k] <= b for a, b in self.excluded):
             return F.lit(0.0)
         v = F.col(self.spectrum)[k].cast("double")
-        return v
+        return F.when(is_valid(v), v).otherwise(F.lit(0.0))
 
 
 def compile_formula(text: str, wavelengths: list[float], excluded: list[tuple[float, float]] | None = None, spectrum: str = "spectrum") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .preprocess import doubles
-from .stats import cross_products, fit_quality, pixel_stats
+from .stats import cross_products, pixel_stats
 
 
 @dataclass(frozen=True)
@@ -23,15 +24,12 @@ class Moments:
 
 
 def moments(pixels: DataFrame) -> Moments:
-    """Count, mean and centred cross products of the rows without an invalid value; combined by position before they reach the driver."""
-    parts = cross_products(pixels.withColumn("cube_id", F.lit("all")))
-    sums = parts.select("n", F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("at").collect()
-    if not sums or not sums[0]["n"]:
+    """Count, mean and centred cross products of the rows without an invalid value, in one pass; merged before they reach the driver."""
+    found = cross_products(pixels.withColumn("cube_id", F.lit("all"))).first()
+    if found is None or not found["n"]:
         raise ValueError("no valid rows")
-    n, total = sums[0]["n"], np.array([r["x"] for r in sums])
-    cells = parts.select(F.posexplode("products").alias("at", "xy")).groupBy("at").agg(F.sum("xy").alias("xy")).orderBy("at").collect()
-    products = np.array([r["xy"] for r in cells]).reshape(len(total), -1)
-    return Moments(n, total / n, products - np.outer(total, total) / n)
+    mean = np.array(found["mean"])
+    return Moments(found["n"], mean, np.array(found["scatter"]).reshape(len(mean), -1))
 
 
 @dataclass(frozen=True)
@@ -159,7 +157,7 @@ def train_pls(rows: DataFrame, components: int, scale: bool = False) -> Pls:
     """PLS1 of ``y`` on ``spectrum`` from cross products (columns spectrum array, y double).
 
     Columns are centred, and with ``scale`` also divided by their sample deviation. Extraction stops where the covariance left
-    is under 1e-10; no component at all, or as many components as rows or columns, is an error.
+    is under 1e-10; R2 and RMSE are those of the rows without an invalid value, which train; no component at all, or as many components as rows or columns, is an error.
     """
     joint = rows.select(F.concat(doubles(), F.array(F.col("y").cast("double"))).alias("spectrum"), F.lit("all").alias("cube_id"))
     m = moments(joint)
@@ -192,9 +190,10 @@ def train_pls(rows: DataFrame, components: int, scale: bool = False) -> Pls:
     if not rs:
         raise ValueError("no component could be extracted")
     b = b / unit
-    model = Pls(b, float(m.mean[p] - m.mean[:p] @ b))
-    quality = fit_quality(predict(rows, model).where("y is not null"), F.col("y").cast("double"), F.col("prediction")).first()
-    return Pls(model.coefficients, model.intercept, quality["r2"], quality["rmse"])
+    # the fit's quality follows from the same moments
+    sst = float(m.scatter[p, p])
+    sse = max(0.0, sst - 2 * float(b @ m.scatter[:p, p]) + float(b @ m.scatter[:p, :p] @ b))
+    return Pls(b, float(m.mean[p] - m.mean[:p] @ b), 1 - sse / sst if sst >= 1e-10 else 0.0, math.sqrt(sse / m.n))
 
 
 def predict(pixels: DataFrame, model: Pls) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import stretch
 from ..functions.valid import nearest_rank, valid
 from ..model import SegmentationParams
+from ..shared import stored
 from .graph import components
 
 #: The 5 x 5 ellipse as (line, sample) offsets.
@@ -71,25 +74,69 @@ def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -
     return mask
 
 
+#: Lines of an image that one task labels at a time.
+STRIP = 256
+
+
+def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """Runs (line, first, last sample) of a strip's pixels and, for each, the first run that it is connected to within the strip."""
+    order = np.lexsort((sample, line))
+    line, sample = line[order], sample[order]
+    new = np.r_[True, (line[1:] != line[:-1]) | (sample[1:] != sample[:-1] + 1)]
+    begin = np.flatnonzero(new)
+    y, a, b = line[begin], sample[begin], sample[np.r_[begin[1:], len(line)] - 1]
+    root = list(range(len(begin)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    of_line = np.searchsorted(y, np.arange(y[0], y[-1] + 2))
+    for top, middle, end in zip(of_line[:-2].tolist(), of_line[1:-1].tolist(), of_line[2:].tolist()):
+        i, j = top, middle
+        while i < middle and j < end:
+            if a[i] <= b[j] + reach and a[j] <= b[i] + reach:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+            if b[i] < b[j]:
+                i += 1
+            else:
+                j += 1
+    return y, a, b, np.array([find(i) for i in range(len(root))])
+
+
 def labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """``cube_id, line, sample, label``: connected components, numbered from 1 in the order of their first pixel (by line, then sample).
 
-    A line's consecutive pixels are one node; nodes of neighbouring lines that touch are edges of a distributed components job.
+    Tasks join what touches within strips of ``STRIP`` lines; only contacts across the strips' edges are links of a distributed components job, between numbers given to the strips' parts.
     """
-    order = Window.partitionBy("cube_id", "line").orderBy("sample")
-    start = F.when(F.col("sample") - F.lag("sample").over(order) == 1, 0).otherwise(1)
-    runs = mask.distinct().withColumn("new", start).withColumn("run", F.sum("new").over(order))
-    ends = runs.groupBy("cube_id", "line", "run").agg(F.min("sample").alias("a"), F.max("sample").alias("b"))
-    # a run's number orders runs by line, then sample, within its cube; cubes are kept apart by a rank of their ids
-    cubes = mask.select("cube_id").distinct().withColumn("c", F.dense_rank().over(Window.orderBy("cube_id")).cast("long"))
-    ends = ends.join(F.broadcast(cubes), "cube_id").withColumn("node", (F.col("c") * (1 << 24) + F.col("line")) * (1 << 24) + F.col("a"))
     reach = 1 if connectivity == 8 else 0
-    below = ends.select("cube_id", (F.col("line") - 1).alias("line"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("node2"))
-    touching = ends.join(below, ["cube_id", "line"]).where((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach))
-    found = components(touching.select(F.col("node2").alias("a"), F.col("node").alias("b")))
-    named = ends.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    numbers = named.select("cube_id", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("cube_id").orderBy("root")))
-    return named.join(numbers, ["cube_id", "root"]).select("cube_id", "line", "label", F.explode(F.sequence("a", "b")).alias("sample")).select("cube_id", "line", "sample", "label")
+
+    def strip(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["line", "sample"])
+        y, a, b, part = _joined_runs(rows["line"].to_numpy(), rows["sample"].to_numpy(), reach)
+        return pd.DataFrame({"cube_id": rows["cube_id"].iloc[0], "strip": rows["strip"].iloc[0], "line": y, "a": a, "b": b, "part": part})
+
+    strips = mask.select("cube_id", "line", "sample", F.floor(F.col("line") / STRIP).cast("int").alias("strip"))
+    runs = stored(strips.groupBy("cube_id", "strip").applyInPandas(strip, "cube_id string, strip int, line int, a int, b int, part int"), "runs")
+    parts = runs.groupBy("cube_id", "strip", "part").agg(F.min(F.struct("line", "a")).alias("first"))
+    parts = stored(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
+    keys = ["cube_id", "strip", "part"]
+    last, first = runs.where(F.col("line") % STRIP == STRIP - 1), runs.where(F.col("line") % STRIP == 0)
+    below = first.select("cube_id", (F.col("line") - 1).alias("line"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("strip").alias("strip2"), F.col("part").alias("part2"))
+    touching = last.join(below, ["cube_id", "line"]).where((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach)).select(*keys, "strip2", "part2").distinct()
+    two = parts.select("cube_id", F.col("strip").alias("strip2"), F.col("part").alias("part2"), F.col("id").alias("b"))
+    links = stored(touching.join(parts.select(*keys, F.col("id").alias("a")), keys).join(two, ["cube_id", "strip2", "part2"]).select("a", "b"), "contacts")
+    root = F.col("id")
+    if not links.isEmpty():
+        parts = parts.join(components(links).withColumnRenamed("node", "id"), "id", "left")
+        root = F.coalesce("component", "id")
+    named = parts.withColumn("root", root)
+    numbers = named.groupBy("cube_id", "root").agg(F.min("first").alias("first")).withColumn("label", F.row_number().over(Window.partitionBy("cube_id").orderBy("first")))
+    of_part = named.join(numbers.select("cube_id", "root", "label"), ["cube_id", "root"]).select(*keys, "label")
+    return runs.join(of_part, keys).select("cube_id", "line", "label", F.explode(F.sequence("a", "b")).alias("sample")).select("cube_id", "line", "sample", "label")
 
 
 def segments(mask: DataFrame, min_area: int) -> DataFrame:

@@ -87,38 +87,74 @@ def histogram(rows: DataFrame, value: str, bins: int = 256, lo: float | None = N
 
 
 def covariance(pixels: DataFrame) -> DataFrame:
-    """``i, j, covariance`` (n - 1) for i <= j over the pixels without an invalid band, of each cube, in one pass over centred blocks.
+    """``i, j, covariance`` (n - 1) for i <= j over the pixels without an invalid band, of each cube, in one pass over centred blocks."""
+    i, j = (F.col("at") - F.col("at") % F.col("bands")) / F.col("bands"), F.col("at") % F.col("bands")
+    cells = cross_products(pixels).select("cube_id", "n", F.size("mean").alias("bands"), F.posexplode("scatter").alias("at", "xy"))
+    return cells.select("cube_id", i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("xy") / F.when(F.col("n") > 1, F.col("n") - 1)).alias("covariance")).where("i <= j")
 
-    Each task folds its pixels into one row of sums and cross products a cube, so what is shuffled doesn't grow with the pixels.
-    """
-    parts = cross_products(pixels)
-    n, i, j = F.sum("n"), F.col("i"), F.col("j")
-    cells = parts.select("cube_id", "n", F.posexplode("products").alias("at", "xy"), "bands", "sums").select(
-        "cube_id", "n", "xy", ((F.col("at") - F.col("at") % F.col("bands")) / F.col("bands")).cast("int").alias("i"), (F.col("at") % F.col("bands")).cast("int").alias("j"), "sums"
-    ).where("i <= j")
-    cells = cells.select("cube_id", "i", "j", "n", "xy", F.col("sums")[i].alias("x"), F.col("sums")[j].alias("y"))
-    return cells.groupBy("cube_id", "i", "j").agg(((F.sum("xy") - F.sum("x") * F.sum("y") / n) / F.when(n > 1, n - 1)).alias("covariance"))
+
+#: Groups in which the tasks' moments of a cube are merged first.
+_MERGERS = 64
+_MOMENTS = "cube_id string, part int, n long, mean array<double>, scatter array<double>"
+
+
+def _merged(one, two):
+    """Count, mean and centred cross products of two disjoint sets of rows."""
+    import numpy as np
+
+    (n, m, s), (k, o, t) = one, two
+    if not n or not k:
+        return one if n else two
+    d = o - m
+    return n + k, m + d * (k / (n + k)), s + t + np.outer(d, d) * (n * k / (n + k))
 
 
 def cross_products(pixels: DataFrame) -> DataFrame:
-    """``cube_id, n, bands, sums, products``: a task's partial sums of spectra and of their outer products."""
+    """``cube_id, n, mean, scatter``: of each cube's pixels without an invalid band, the count, mean spectrum and centred cross products (row by row).
+
+    Each batch is centred by itself and each task folds its batches, so what is shuffled doesn't grow with the pixels; the tasks' moments are merged in
+    two steps, so none meets all of them.
+    """
     import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        held: dict[str, list] = {}
+    def rows(held: dict, part: int):
+        for cube, (n, m, s) in held.items():
+            yield pa.RecordBatch.from_pydict({"cube_id": [cube], "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "mean": [m.tolist()], "scatter": [s.ravel().tolist()]})
+
+    def fold(batches):
+        from pyspark import TaskContext
+
+        held: dict[str, tuple] = {}
         for batch in batches:
             ids = np.array(batch.column("cube_id").to_pylist(), object)
             for cube in dict.fromkeys(ids.tolist()):
                 some = batch.column("spectrum").filter(pa.array(ids == cube))
                 x = np.asarray(some.flatten(), dtype=float).reshape(len(some), -1)
                 x = x[np.isfinite(x).all(1)]
-                n, s, p = held.get(cube, (0, 0.0, 0.0))
-                held[cube] = [n + len(x), s + x.sum(0), p + x.T @ x]
-        for cube, (n, s, p) in held.items():
-            yield pa.RecordBatch.from_pydict({"cube_id": [cube], "n": pa.array([n], pa.int64()), "bands": pa.array([len(s)], pa.int32()), "sums": [s.tolist()], "products": [p.ravel().tolist()]})
+                if not len(x):
+                    own = 0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+                else:
+                    mean = x.mean(0)
+                    own = len(x), mean, (x - mean).T @ (x - mean)
+                held[cube] = _merged(held[cube], own) if cube in held else own
+        yield from rows(held, TaskContext.get().partitionId() % _MERGERS)
+
+    def merge(batches):
+        at, held = None, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["cube_id"], r["part"]) != at:
+                    yield from rows(held, at[1]) if at else ()
+                    at, held = (r["cube_id"], r["part"]), {}
+                m = np.array(r["mean"])
+                own = r["n"], m, np.array(r["scatter"]).reshape(len(m), -1)
+                held[r["cube_id"]] = _merged(held[r["cube_id"]], own) if held else own
+        yield from rows(held, at[1]) if at else ()
 
-    return pixels.select("cube_id", F.col("spectrum").cast("array<double>").alias("spectrum")).mapInArrow(run, "cube_id string, n long, bands int, sums array<double>, products array<double>")
+    parts = pixels.select("cube_id", F.col("spectrum").cast("array<double>").alias("spectrum")).mapInArrow(fold, _MOMENTS)
+    met = lambda some: some.repartition("cube_id", "part").sortWithinPartitions("cube_id", "part").mapInArrow(merge, _MOMENTS)
+    return met(met(parts).withColumn("part", F.lit(0))).drop("part")
 
 
 def percentiles(rows: DataFrame, value: str, keys: list[str], convention: str) -> DataFrame:
@@ -147,8 +183,6 @@ def fit_quality(rows: DataFrame, y: Column, predicted: Column) -> DataFrame:
     return sums.select(r2.alias("r2"), F.sqrt(F.col("sse") / F.when(F.col("n") > 0, F.col("n"))).alias("rmse"))
 
 
-
-
 def sampled_limits(pixels: DataFrame, cells: int = 5000, seed: int = 42) -> DataFrame:
     """2nd and 98th percentile of about ``cells`` random cells of each cube, drawn without sorting the cube."""
     total = pixels.select(F.sum(F.size("spectrum"))).first()[0] or 0

@@ -258,3 +258,48 @@ def test_small_helpers(spark):
     b = spark.createDataFrame([(1.0, 3.0), (2.0, 4.0)], "wl double, value double")
     assert sorted(tuple(r) for r in stats.side_by_side(a, b).na.fill(-1.0).collect()) == [(1.0, 2.0, 3.0), (2.0, -1.0, 4.0)]
     assert Header(1, 1, 2, wavelengths=(400.0, 500.0)).resolution == 50
+
+
+def test_formulas_read_invalid_cells_as_zero(spark):
+    for bad in (NAN, INF, -INF):
+        assert one(spark, [bad, 2]).select(compile_formula("B[1]+B[2]+1", [400, 500])).first()[0] == 3
+
+
+def test_labels_of_very_many_cubes(spark):
+    cells = spark.range(40_000).select(F.col("id").cast("string").alias("cube_id"), F.explode(F.array(F.lit(0), F.lit(2))).alias("line"), F.lit(1).alias("sample"))
+    got = segment.labels(cells).groupBy("cube_id").agg(F.count("*").alias("n"), F.max("label").alias("m")).where("n = 2 and m = 2").count()
+    assert got == 40_000
+
+
+@pytest.mark.parametrize("strip", [1, 3, 256])
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_labels_across_strips(spark, monkeypatch, strip, connectivity):
+    monkeypatch.setattr(segment, "STRIP", strip)
+    rng = np.random.default_rng(strip + connectivity)
+    on = rng.random((17, 19)) < 0.5
+    seen, want = set(), {}
+    for y, x in zip(*np.nonzero(on)):
+        if (y, x) in seen:
+            continue
+        number, todo = len(set(want.values())) + 1, [(int(y), int(x))]
+        seen.add((int(y), int(x)))
+        while todo:
+            r, c = todo.pop()
+            want[r, c] = number
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    n = (r + dy, c + dx)
+                    if (connectivity == 8 or dy == 0 or dx == 0) and 0 <= n[0] < 17 and 0 <= n[1] < 19 and on[n] and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+    got = {(r["line"], r["sample"]): r["label"] for r in segment.labels(mask(spark, list(want)), connectivity).collect()}
+    assert got == want
+
+
+def test_moments_of_large_values_keep_their_digits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) + 1e7
+    df = spark.createDataFrame([("c", i, 0, [float(v) for v in r]) for i, r in enumerate(x)], "cube_id string, line int, sample int, spectrum array<double>").repartition(7)
+    got = {(r["i"], r["j"]): r["covariance"] for r in stats.covariance(df).collect()}
+    want = np.cov(x.T)
+    assert all(got[i, j] == pytest.approx(want[i, j], rel=1e-6, abs=1e-8) for i in range(3) for j in range(i, 3)) and len(got) == 6
