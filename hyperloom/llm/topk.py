@@ -5,15 +5,16 @@ distance from it, and each pivot's distances are cut into sorted annuli. The dir
 and largest distance, largest norm and count. Large annuli are split into blocks of about ``BLOCK`` vectors, so that many equal vectors
 don't meet in one task.
 
-A query first searches the block in which its own vector lies, which bounds its k-th score from below. Then the annuli are expanded in the order of their
+A query's k-th score among the sample's vectors bounds its k-th score from below. Its annuli are then expanded in the order of their
 bounds: by the triangle inequality no vector of an annulus is nearer to q than |d(q, pivot) - r| for the nearest r in it, and
-2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2. The expansion stops at the first annulus whose bound is below the query's k-th score. Queries
-travel in chunks to the blocks left, where one matrix product scores a chunk.
+2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2. The ``FIRST`` annuli come first; what they hold raises the k-th score, and the expansion goes on from there and stops
+at the first annulus whose bound is below it. Queries travel in chunks to the blocks, where one matrix product scores a chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ SAMPLE = 4096
 BLOCK = 2048
 CHUNK = 256
 SCALE = 1024
+#: Annuli of a query that are expanded before its k-th score is looked at again.
+FIRST = 8
+LOWEST = np.iinfo(np.int64).min
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -80,22 +84,114 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, least: int) -> l
     return list(zip(ids[order].tolist(), scores[order].tolist()))
 
 
+def kth_score(q: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th score among other vectors, whose ids differ from each other; the lowest number where there are fewer."""
+    out = np.full(len(q), LOWEST)
+    if len(ids) <= k:
+        return out
+    for at in range(0, len(q), CHUNK):
+        scores = products(q[at : at + CHUNK], vectors)
+        scores[own[at : at + CHUNK, None] == ids] = LOWEST
+        out[at : at + CHUNK] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out
+
+
+@dataclass(frozen=True)
+class Directory:
+    """Annuli as parallel arrays: pivot, number, smallest and largest distance, largest squared norm, and blocks."""
+
+    pivots: np.ndarray
+    pivot: np.ndarray
+    annulus: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    norm2: np.ndarray
+    blocks: np.ndarray
+
+    def expansion(self, q: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query its annuli in falling order of their bounds, and how many of them come before the first hopeless one."""
+        d = distances(q, self.pivots)[:, self.pivot]
+        gap = np.maximum(0, np.maximum(self.lo - d, d - self.hi) - 1e-6 * (1 + d))
+        bound = ((q.astype(float) ** 2).sum(1)[:, None] + self.norm2 - gap**2) / 2
+        bound += 1e-6 * (1 + np.abs(bound))
+        return np.argsort(-bound, axis=1, kind="stable"), (bound >= least[:, None]).sum(1)
+
+
+PLACE = ["pivot", "annulus", "block"]
+
+
+def asked(queries: DataFrame, directory: Directory, first: int, last: int | None) -> DataFrame:
+    """Chunks of queries (query_id, vec, least) at the blocks of their annuli from ``first`` to before ``last`` in the order of expansion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                q, least, own = matrix(part.column("vec")), np.asarray(part.column("least")), np.asarray(part.column("query_id"))
+                order, stop = directory.expansion(q, least)
+                wanted = np.arange(order.shape[1]) < stop[:, None]
+                wanted[:, :first] = False
+                if last is not None:
+                    wanted[:, last:] = False
+                reached = np.zeros_like(wanted)
+                np.put_along_axis(reached, order, wanted, 1)
+                for e in np.flatnonzero(reached.any(0)).tolist():
+                    some = np.flatnonzero(reached[:, e])
+                    raw, n = (q[some].tobytes(), own[some].tobytes(), least[some].tobytes()), int(directory.blocks[e])
+                    columns = [[int(directory.pivot[e])] * n, [int(directory.annulus[e])] * n, list(range(n)), *([x] * n for x in raw)]
+                    types = [pa.int32()] * 3 + [pa.binary()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*PLACE, "queries", "own", "least"])
+
+    return queries.mapInArrow(run, "pivot int, annulus int, block int, queries binary, own binary, least binary")
+
+
+def scored(blocks: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the k best of each block for each query that asks it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, PLACE):
+            is_query = np.asarray(group.column("queries").is_valid())
+            if is_query.all() or not is_query.any():
+                continue
+            some = group.filter(pa.array(~is_query))
+            ids, x = np.asarray(some.column("vec_id")), matrix(some.column("vec").combine_chunks())
+            ids, first = np.unique(ids, return_index=True)
+            x = x[first]
+            for r in group.filter(pa.array(is_query)).select(["queries", "own", "least"]).to_pylist():
+                own, least = np.frombuffer(r["own"], np.int64), np.frombuffer(r["least"], np.int64)
+                scores = products(np.frombuffer(r["queries"], np.int64).reshape(len(own), -1), x)
+                found = [(int(own[i]), v, s) for i in range(len(own)) for v, s in best(scores[i], ids, int(own[i]), k, int(least[i]))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    both = blocks.select(*PLACE, "vec_id", "vec").unionByName(chunks, allowMissingColumns=True)
+    return both.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+
+
 def search(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest inner products of each row whose vec_id is divisible by ``every`` with all other rows.
 
     Ties go to the smaller vec_id; a query of fewer than k other rows gets all of them. Rows of an equal vec_id are not each other's
     candidates; repeated rows of a query are one query, and a candidate that repeats counts once. Vectors null or with null or
-    non-finite components, and rows of a null vec_id, take no part. All vectors must have one length. Other columns are ignored; an empty table gives no rows.
+    non-finite components, and rows of a null vec_id, take no part; nor do vectors of another length than most have (the longest such). Other columns are ignored; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
     out_type = "query_id long, rank int, vec_id long, score long"
     vectors = quantised(embeddings)
-    n = vectors.count()
-    if not n:
+    lengths = vectors.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("m")).first()["m"]
+    if lengths is None:
         return spark.createDataFrame([], out_type)
+    n, width = lengths["n"], lengths["size"]
+    vectors = vectors.where(F.size("vec") == width)
     share = vectors if n <= SAMPLE else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
-    fitted = np.array([r["vec"] for r in (share.select("vec").collect() or vectors.limit(1).collect())], np.int64)
-    pivots, edges = fit(fitted)
+    sample = {r["vec_id"]: r["vec"] for r in share.collect() or vectors.limit(1).collect()}  # about SAMPLE rows
+    pivots, edges = fit(np.array(list(sample.values()), np.int64))
+    known = spark.sparkContext.broadcast((np.array(list(sample), np.int64), np.array(list(sample.values()), np.int64)))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,75 +205,25 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                     names=["vec_id", "vec", "pivot", "annulus", "r", "norm2"],
                 )
 
-    index = stored(vectors.mapInArrow(key, "vec_id long, vec binary, pivot int, annulus int, r double, norm2 double"), "topk-index")
-    directory = index.groupBy("pivot", "annulus").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm2").alias("norm2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()
-    of = {(d["pivot"], d["annulus"]): d["blocks"] for d in directory}
-    n_blocks = F.create_map(*[F.lit(x) for p, a in of for x in (p * ANNULI + a, of[p, a])])[F.col("pivot") * ANNULI + F.col("annulus")]
-    blocks = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
-    place = ["pivot", "annulus", "block"]
-
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, place):
-            ids, x = np.asarray(group.column("vec_id")), matrix(group.column("vec").combine_chunks())
-            at = np.flatnonzero(ids % every == 0)
-            if not len(at):
-                continue
-            scores = products(x[at], x)
-            least = []
-            for i, own in enumerate(ids[at].tolist()):
-                # a vec_id that repeats must not stand for several of the k
-                top = best(scores[i], ids, own, len(ids), np.iinfo(np.int64).min)
-                kth = list({v: s for v, s in reversed(top)}.values())[::-1]
-                kth.sort(reverse=True)
-                least.append(kth[k - 1] if len(kth) >= k else np.iinfo(np.int64).min)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([v.tobytes() for v in x[at]], pa.binary()), pa.array(least, pa.int64())], names=["query_id", "vec", "least"])
-
-    spread = blocks.select("vec_id", "vec", *place).repartition(*place).sortWithinPartitions(*place)
-    queries = spread.mapInArrow(seed, "query_id long, vec binary, least long").groupBy("query_id").agg(F.first("vec").alias("vec"), F.max("least").alias("least"))
-    lo, hi, norm2 = (np.array([d[c] for d in directory]) for c in ("lo", "hi", "norm2"))
-    of_pivot = np.array([d["pivot"] for d in directory])
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                q, least, own = matrix(part.column("vec")), np.asarray(part.column("least")), np.asarray(part.column("query_id"))
-                d = distances(q, pivots)[:, of_pivot]
-                gap = np.maximum(0, np.maximum(lo - d, d - hi) - 1e-6 * (1 + d))
-                bound = ((q.astype(float) ** 2).sum(1)[:, None] + norm2 - gap**2) / 2
-                reached = bound + 1e-6 * (1 + np.abs(bound)) >= least[:, None]
-                rows = []
-                for k_, e in enumerate(directory):
-                    some = np.flatnonzero(reached[:, k_])
-                    if len(some):
-                        rows += [(e["pivot"], e["annulus"], b, q[some].tobytes(), own[some].tobytes(), least[some].tobytes()) for b in range(e["blocks"])]
-                columns = list(zip(*rows)) if rows else [()] * 6
-                types = [pa.int32()] * 3 + [pa.binary()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*place, "queries", "own", "least"])
-
-    asked = queries.mapInArrow(expand, "pivot int, annulus int, block int, queries binary, own binary, least binary")
-    both = blocks.select(*place, "vec_id", "vec").unionByName(asked, allowMissingColumns=True)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, place):
-            is_query = np.asarray(group.column("queries").is_valid())
-            if is_query.all() or not is_query.any():
-                continue
-            some = group.filter(pa.array(~is_query))
-            ids, x = np.asarray(some.column("vec_id")), matrix(some.column("vec").combine_chunks())
-            ids, first = np.unique(ids, return_index=True)
-            x = x[first]
-            for r in group.filter(pa.array(is_query)).select(["queries", "own", "least"]).to_pylist():
-                own, least = np.frombuffer(r["own"], np.int64), np.frombuffer(r["least"], np.int64)
-                scores = products(np.frombuffer(r["queries"], np.int64).reshape(len(own), -1), x)
-                found = [(int(own[i]), v, s) for i in range(len(own)) for v, s in best(scores[i], ids, int(own[i]), k, int(least[i]))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                least = kth_score(matrix(batch.column("vec")), np.asarray(batch.column("query_id")), *known.value, k)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), pa.array(least)], names=["query_id", "vec", "least"])
 
-    meeting = both.repartition(*place).sortWithinPartitions(*place)
-    found = meeting.mapInArrow(score, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = stored(vectors.mapInArrow(key, "vec_id long, vec binary, pivot int, annulus int, r double, norm2 double"), "topk-index")
+    rows = index.groupBy("pivot", "annulus").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm2").alias("norm2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()
+    directory = Directory(pivots, *(np.array([r[c] for r in rows]) for c in ("pivot", "annulus", "lo", "hi", "norm2", "blocks")))
+    n_blocks = F.create_map(*[F.lit(x) for r in rows for x in (r["pivot"] * ANNULI + r["annulus"], r["blocks"])])[F.col("pivot") * ANNULI + F.col("annulus")]
+    blocks = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+    own = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("vec").alias("vec"))
+    queries = stored(own.mapInArrow(seed, "query_id long, vec binary, least long"), "topk-queries")
+
+    found = stored(ranked(scored(blocks, asked(queries, directory, 0, FIRST), k), k), "topk-first")
+    reached = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    further = queries.join(reached, "query_id", "left").select("query_id", "vec", F.greatest("least", "kth").alias("least"))
+    rest = scored(blocks, asked(further, directory, FIRST, None), k)
+    return ranked(found.drop("rank").union(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same result in SQL, for the registered query.

@@ -50,3 +50,35 @@ def test_large_components_stay_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(c)) for c in rng.normal(size=4) * 1e5]) for i in range(120)]
     assert search(spark, rows) == brute(rows)
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0, -0.5]) for i in range(50)]
+    odd = [(100, [1.0, 2.0]), (101, [1.0] * 6), (200, [5.0])]
+    assert search(spark, rows + odd) == brute(rows)
+
+
+def test_expansion_is_ordered_and_stops():
+    """Annuli come in falling order of their bounds, no vector beats its annulus's bound, and hopeless ones are left out."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(16, 8)) * 4000
+    x = np.floor(centres[rng.integers(0, 16, 4000)] + rng.normal(size=(4000, 8)) * 60).astype(np.int64)
+    pivots, edges = topk.fit(x)
+    d = topk.distances(x, pivots)
+    near, r = d.argmin(1), d.min(1)
+    place = near * topk.ANNULI + (r[:, None] >= edges[near]).sum(1)
+    of = np.unique(place)
+    parts = [np.flatnonzero(place == p) for p in of]
+    directory = topk.Directory(pivots, of // topk.ANNULI, of % topk.ANNULI, *(np.array([f(p) for p in parts]) for f in (lambda p: r[p].min(), lambda p: r[p].max(), lambda p: (x[p].astype(float) ** 2).sum(1).max(), lambda p: 1)))
+    q = x[:40]
+    exact = q @ x.T
+    least = np.sort(exact, 1)[:, -10]
+    order, stop = directory.expansion(q, least)
+    visited = 0
+    for i in range(len(q)):
+        inside = set(order[i, : stop[i]].tolist())
+        assert all(exact[i, parts[e]].max() < least[i] for e in range(len(of)) if e not in inside)
+        visited += stop[i]
+    assert visited < 0.5 * len(q) * len(of)
+    tighter, fewer = directory.expansion(q, least + 1000)
+    assert (tighter == order).all() and (fewer <= stop).all()
