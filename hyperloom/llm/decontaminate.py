@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, free, slices, stored
 
 K1, B = 1.2, 0.75
 #: A passage is two half-passages of so many words; each half but the first and last is in two passages.
 HALF = 64
 #: Longer items are indexed in parts of at most so many words, each with hits of its own.
 PART = 64
-ITEMS_PER_INDEX = 2_000
-#: Blocks of parts, whose bounds are summed for every passage.
-PART_BLOCKS = 64
+ITEMS_PER_INDEX = 10_000
+#: Blocks of parts, whose bounds are summed for every passage: so many, or so many parts each if that makes more.
+PART_BLOCKS, BLOCK_PARTS = 64, 64
 POSTINGS_PER_BLOCK = 16
 LEAST_SCORE = 0.6
 LEAST_OVERLAP = 0.5
@@ -97,7 +97,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[str, int], n_parts: int,
         item.append(item_id)
     postings = [np.array([p for p, _ in x], np.int64) for x in lists]
     impacts = [np.array([i for _, i in x]) for x in lists]
-    size = max(1, -(-len(item) // PART_BLOCKS))
+    size = max(1, min(BLOCK_PARTS, -(-len(item) // PART_BLOCKS)))
     part_blocks = np.zeros((len(lists), -(-len(item) // size)), np.float32)
     for t, (p, i) in enumerate(zip(postings, impacts)):
         np.maximum.at(part_blocks[t], p // size, i.astype(np.float32))
@@ -216,7 +216,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
     """One row for each document and benchmark item that it leaks: best passage score, and overlaps of question and answer.
 
     Null and empty texts on either side match nothing, nor do items without an id. Repeated rows of a document are reported as often as they occur; repeated
-    item_ids are joined into one item per distinct text. Other columns are ignored; an empty table gives no rows.
+    item_ids are joined into one item per distinct text. Other columns are ignored; an empty table gives no rows. The corpus is read once for
+    each ``ITEMS_PER_INDEX`` items, so that a broadcast index has a bound.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
@@ -224,7 +225,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
     n_parts, mean_length = tokens.agg(F.count("*"), F.avg("size")).first()
     out = None
     if n_parts:
-        frequency = tokens.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        frequency = stored(tokens.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "benchmark-terms")
         n_items = rows.count()
         n_blocks = -(-n_items // ITEMS_PER_INDEX)
         for k in range(n_blocks):
@@ -272,6 +273,10 @@ def _search(docs: DataFrame, index: Index, least_overlap: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no benchmark item, with their columns as they are. Rows of a null doc_id stay."""
-    leaky = hits(docs, benchmark).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(leaky, docs["doc_id"].cast("long") == leaky["__leaky"], "left_anti")
+    """The rows of ``docs`` that leak no benchmark item, with their columns as they are.
+
+    Rows of a null doc_id and null or empty texts stay; rows that repeat a doc_id go together. Further columns of any name stay; an empty table gives no rows.
+    """
+    (name,) = free(docs, "leaky")
+    leaky = hits(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaky, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded_batches, mix, powers, runs, slices, stored, utf8_parts
+from .common import bounded_batches, free, mix, powers, runs, slices, stored, utf8_parts
 
 WORDS = 5
 BUCKETS, BAND = 96, 4
@@ -174,7 +174,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 if lead == doc:
                     leader, own = lead, other
                     continue
-                assert lead == leader, "a star's part must begin with its leader"
+                if lead != leader:
+                    continue  # the leader's row is not there
                 both = common(own, other)
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     a.append(lead)
@@ -199,7 +200,8 @@ def sorted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     types = dict(wanted.dtypes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select(*keep, "doc_id", "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "doc_id long", "set binary"]))
+    # a small table of wanted ids is broadcast by its size, and the texts stay where they are
+    return texts.join(wanted, "doc_id").select(*keep, "doc_id", "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "doc_id long", "set binary"]))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -292,8 +294,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; ``component_id`` is the smallest doc_id
     reachable and ``kept`` marks it. Null and empty texts, and texts of white space, have an empty set and stand alone. Rows of a
-    null doc_id are never linked and are kept, with a null component. Rows that repeat a doc_id are taken for copies of one document,
-    of equal texts. Other columns are ignored; an empty table gives no rows.
+    null doc_id are never linked and are kept, with a null component. Rows that repeat a doc_id are one document, also with different
+    texts: any of them links it, and ``n_shingles`` is the row's own. Other columns are ignored; an empty table gives no rows.
     """
     rows = stored(sketch(docs), "minhash-sketch")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
@@ -368,9 +370,22 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, with their columns as they are."""
-    gone = groups(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each document that stands for its group, with its columns as they are.
+
+    Rows of a null doc_id all stay, and null and empty texts stand alone. Of rows that repeat a doc_id, that with the smallest text (null first) stays. Further columns
+    of any name stay; an empty table gives no rows.
+    """
+    (name,) = free(docs, "gone")
+    gone = groups(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    # ids alone are counted; only rows that repeat one are compared, combined before they move
+    repeated = stored(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "minhash-repeated")
+    if repeated.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col(name)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("row")).select("row.*")
+    return left.join(repeated, same, "left_anti").union(once)
 
 
 #: The query's rows in SQL, from all pairs that share a shingle.

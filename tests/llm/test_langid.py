@@ -31,3 +31,44 @@ def test_labels_are_no_inputs(docs):
     model = langid.train(docs(rows), F.lit(True))
     a, b = (langid.predict(docs([(i, "the dog", lang)]), model).first() for i, lang in ((1, "en"), (2, "de")))
     assert (a["lang_pred"], a["score"]) == (b["lang_pred"], b["score"])
+
+
+def grams(text):
+    """Byte n-grams of 2 to 5 within words with a space at each end, hashed as the operator states."""
+    clean = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    padded = b" " + b" ".join(clean.split()) + b" "
+    out = []
+    for size in langid.SIZES:
+        for i in range(len(padded) - size + 1):
+            g = padded[i : i + size]
+            if b" " in g[1:-1] or g == b"  ":
+                continue
+            h = size
+            for b in g:
+                h = (h ^ b) * 0x01000193 % 2**32
+            h ^= h >> 15
+            h = h * 0x85EBCA6B % 2**32
+            out.append(h >> 16)
+    return out
+
+
+def test_scores_against_ngrams_one_by_one(spark):
+    """The folded table over whole slices against logits averaged n-gram by n-gram."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, F.lit(True), max_train=150)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    seen = 0
+    for r in docs.collect():
+        found = grams(r["text"] or "")
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        z = (sum(model.table[g].astype(float) for g in found) / max(1, len(found)) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert abs(got[r["doc_id"]]["score"] - p.max()) < 1e-5 and got[r["doc_id"]]["lang_pred"] == model.languages[int(p.argmax())]
+        assert got[r["doc_id"]]["rejected"] == (p.max() < model.threshold)
+        seen += 1
+    assert seen > 100

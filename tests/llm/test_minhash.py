@@ -125,3 +125,11 @@ def test_hashes_ignore_where_a_text_stands():
     texts = pa.array(["a b c d e f", None, "", "x y", "A b C d e f"])
     hashes, counts = minhash.shingles(texts)
     assert counts.tolist() == [2, 0, 0, 1, 2] and hashes[:2].tolist() == hashes[-2:].tolist()
+
+
+def test_rows_that_repeat_a_document(docs, clashing):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (2, "other words"), (3, None), (3, None), (3, "k"), (5, "x y z"), (None, "q"), (None, "q"), (6, "six")]
+    df = clashing(docs(rows)).withColumnRenamed("a", "gone")
+    kept = minhash.dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (2, "other words"), (3, None), (6, "six"), (None, "q"), (None, "q")], key=repr)

@@ -51,6 +51,18 @@ def test_stages_take_odd_rows(spark, docs, clashing):
         assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark, docs):
+    from pyspark.sql import functions as F
+
+    names = ["before", "lines", "dropped", "n_lines", "n_dropped", "__copy", "__drop", "__before", "copy", "gone", "leaky", "row", "count"]
+    own = lambda i: " ".join("abcdefgh"[i] * k for k in range(1, 12)) + "\nread more here"
+    df = docs([(i, own(i)) for i in range(8)] + [(3, own(3))]).withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        df = spark.createDataFrame(stage(spark, df, SF).collect(), df.schema)
+        assert all(r[n] == n for r in df.collect() for n in names)
+    assert sorted(r["doc_id"] for r in df.collect()) == list(range(8)) and df.where("text like '%read more here'").count() == 1
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -42,3 +42,32 @@ def test_fit_repeats(docs, spark):
     d, labels = small(docs, spark)
     a, b = (quality.train(d, labels, F.lit(True)) for _ in range(2))
     assert a.temperature == b.temperature and all((x == y).all() for x, y in zip(a.layers, b.layers))
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Pooled vectors and the network, token by token."""
+    import zlib
+
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, m).collect()}
+    for r in docs.collect():
+        tokens = (r["text"] or "").split()
+        if not tokens:
+            assert got[r["doc_id"]] == m.base
+            continue
+        word, form, last, counts = np.zeros(quality.DIMENSIONS), np.zeros(quality.DIMENSIONS), None, {}
+        for t in tokens:
+            slot = zlib.crc32(quality._EDGE.match(t).group(2).lower().encode()) % quality.SLOTS
+            word += m.words[slot]
+            form += m.shapes[quality.SLOTS - 1 if slot == last else zlib.crc32(quality.shape(t).encode()) % (quality.SLOTS - 1)]
+            counts[slot] = counts.get(slot, 0) + 1
+            last = slot
+        n = len(tokens)
+        x = np.concatenate([word / n, form / n, [np.log1p(n), len(counts) / n, sum(c * c for c in counts.values()) / n**2]])
+        w1, b1, w2, b2 = m.layers
+        z = np.maximum((x - m.center) / m.scale @ w1 + b1, 0) @ w2 + b2[0]
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z / m.temperature))) < 1e-3
