@@ -11,41 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperloom.llm import decontaminate, lines, minhash, packing, quality
-from hyperloom.llm.common import remainder, stored
+from hyperloom.llm.common import free, remainder, stored
 
 #: A document that line dedup leaves less than this share of its characters goes.
 LEAST_LEFT = 0.2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more; the classifier learns from labelled rows outside the held-out fifth."""
+    """Documents that score 0.3 or more; the classifier learns from labelled rows outside the held-out fifth.
+
+    Null and empty texts score the sample's share of good rows; repeated rows score alike; further columns of any name stay; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels, remainder("doc_id", 5) != 0))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; ``n_chars`` follows the text."""
-    before = F.length("text")
-    out = lines.dedup(docs.withColumn("__before", before))
-    left = F.col("n_dropped").isNull() | (F.col("n_dropped") == 0) | (F.length(F.trim("text")) >= LEAST_LEFT * F.col("__before"))
+    """Documents without recurring lines; ``n_chars`` follows the text, and documents of which under ``LEAST_LEFT`` is left go.
+
+    Null and empty texts and rows of a null doc_id stay as they are; repeated rows and ties as in ``lines.dedup``; further columns of any name stay; an empty table gives no rows.
+    """
+    before, n_lines, n_dropped = free(docs, "before", "lines", "dropped")
+    out = lines.dedup(docs.withColumn(before, F.length("text")), n_lines, n_dropped)
+    left = F.col(n_dropped).isNull() | (F.col(n_dropped) == 0) | (F.length(F.trim("text")) >= LEAST_LEFT * F.col(before))
     out = out.where(left)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id."""
+    """One row of each near-duplicate group, that of the smallest doc_id; nulls, empty texts and repeated rows as in ``minhash.dedup``."""
     return minhash.dedup(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; nulls, empty texts and repeated rows as in ``decontaminate.clean``."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, with their ids."""
+    """Pieces of training sequences, with their ids; nulls, empty texts and repeated rows as in ``packing.pack``."""
     return packing.pack(docs)
 
 
