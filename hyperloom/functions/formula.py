@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .valid import is_valid
@@ -158,3 +158,12 @@ def compile_formula(text: str, wavelengths: list[float], excluded: list[tuple[fl
     if parser.peek() is not None:
         raise FormulaError(f"unexpected {parser.peek()}")
     return F.when(out.isNotNull() & ~F.isnan(out) & (F.abs(out) < float("inf")), out).otherwise(0.0)
+
+
+def preview(pixels: DataFrame, text: str, wavelengths: list[float], lines: int, samples: int, mask: DataFrame | None = None) -> DataFrame:
+    """``sample, line, value`` of a formula at one pixel: the first one (by line, then sample) of the first region, or else the image's centre."""
+    value = compile_formula(text, wavelengths).alias("value")
+    if mask is None:
+        return pixels.where((F.col("line") == lines // 2) & (F.col("sample") == samples // 2)).select("sample", "line", value)
+    first = mask.agg(F.min(F.struct("roi_id", "line", "sample")).alias("at")).select("at.line", "at.sample")  # one row
+    return pixels.join(F.broadcast(first), ["line", "sample"]).select("sample", "line", value)

@@ -47,33 +47,34 @@ _BRACKET = 0.002
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: list[tuple[str, float, str]]) -> DataFrame:
     """``keys`` and one exact order statistic a column: (name, percent, convention) of ``wanted``; null values are skipped.
 
-    No group is ever sorted as a whole: approximate percentiles bracket each rank, and only the distinct values within a bracket, with
-    their counts, are ordered.
+    No group is ever sorted as a whole: approximate percentiles bracket each rank. A row is counted once, by how many brackets begin at or below it; only rows within a
+    bracket are also counted by their values, which alone are ordered.
     """
+    order = sorted(wanted, key=lambda w: w[1])
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    low = [max(0.0, p / 100 - _BRACKET) for _, p, _ in wanted]
-    high = [min(1.0, p / 100 + _BRACKET) for _, p, _ in wanted]
+    low = [max(0.0, p / 100 - _BRACKET) for _, p, _ in order]
+    high = [min(1.0, p / 100 + _BRACKET) for _, p, _ in order]
     accuracy = int(4 / _BRACKET)
-    n = F.count("*")
-    stats = rows.groupBy(*keys).agg(
-        n.alias("__n"), F.percentile_approx("__v", low, accuracy).alias("__lo"), F.percentile_approx("__v", high, accuracy).alias("__hi"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
-    )
-    which = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("__i"), rank_index(F.col("__n"), p, c).alias("__k"),
-                    (F.col("__min") if low[i] <= 0 else F.col("__lo")[i]).alias("__low"), (F.col("__max") if high[i] >= 1 else F.col("__hi")[i]).alias("__high"),
-                )
-                for i, (_, p, c) in enumerate(wanted)
-            ]
-        )
-    )
-    brackets = stats.select(*keys, which.alias("__w")).select(*keys, "__w.*")
-    joined = rows.join(brackets, keys) if keys else rows.crossJoin(F.broadcast(brackets))
-    place = F.when(F.col("__v") < F.col("__low"), F.lit(None)).otherwise(F.col("__v"))
-    counted = joined.where(F.col("__v") <= F.col("__high")).groupBy(*keys, "__i", "__k", place.alias("__x")).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = counted.withColumn("__upto", F.sum("__c").over(order)).where((F.col("__upto") > F.col("__k")) & F.col("__x").isNotNull())
-    picked = [F.min(F.when(F.col("__i") == i, F.col("__x"))).alias(name) for i, (name, _, _) in enumerate(wanted)]
+    stats = rows.groupBy(*keys).agg(F.percentile_approx("__v", low, accuracy).alias("__lo"), F.percentile_approx("__v", high, accuracy).alias("__hi"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    ends = [(F.col("__min") if low[i] <= 0 else F.col("__lo")[i]).alias(f"__lo{i}") for i in range(len(order))]
+    ends += [(F.col("__max") if high[i] >= 1 else F.col("__hi")[i]).alias(f"__hi{i}") for i in range(len(order))]
+    stats = stats.select(*keys, *ends)
+    joined = rows.join(stats, keys) if keys else rows.crossJoin(F.broadcast(stats))  # one row
+    v = F.col("__v")
+    begun = sum((v >= F.col(f"__lo{i}")).cast("int") for i in range(len(order)))
+    one = lambda i, x: F.struct(F.lit(i).alias("__i"), x.alias("__x"))
+    inside = [F.when(v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), one(i, v)) for i in range(len(order))]
+    some = F.explode(F.array_compact(F.array(F.struct((-1 - begun).alias("__i"), F.lit(None).cast(rows.schema["__v"].dataType).alias("__x")), *inside)))
+    counted = joined.select(*keys, some.alias("__s")).groupBy(*keys, "__s").agg(F.count("*").alias("__c")).select(*keys, "__s.*", "__c")
+    whole = counted.where("__i < 0")
+    below = [F.coalesce(F.sum(F.when(-1 - F.col("__i") <= i, F.col("__c"))), F.lit(0)).alias(f"__b{i}") for i in range(len(order))]
+    totals = whole.groupBy(*keys).agg(F.sum("__c").alias("__n"), *below)
+    pick = lambda f: F.element_at(F.array(*[f(i) for i in range(len(order))]), F.col("__i") + 1)
+    near = counted.where("__i >= 0")
+    near = near.join(totals, keys) if keys else near.crossJoin(F.broadcast(totals))
+    place = Window.partitionBy(*keys, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("__upto", F.sum("__c").over(place) + pick(lambda i: F.col(f"__b{i}"))).withColumn("__k", pick(lambda i: rank_index(F.col("__n"), *order[i][1:])))
+    found = near.where("__upto > __k")
+    picked = {name: F.min(F.when(F.col("__i") == i, F.col("__x"))).alias(name) for i, (name, _, _) in enumerate(order)}
+    picked = [picked[name] for name, _, _ in wanted]
     return found.groupBy(*keys).agg(*picked) if keys else found.agg(*picked)

@@ -89,6 +89,12 @@ def project(pixels: DataFrame, components: Components, centred: bool) -> DataFra
     return pixels.select(*names, doubles().alias("spectrum")).mapInArrow(run, schema)
 
 
+def refit_without(rows: DataFrame, outliers: list, k: int, key: str = "id") -> tuple[DataFrame, Components]:
+    """The rows without the named samples, and components fitted again on what is left."""
+    left = rows.where(~F.col(key).isin(outliers))
+    return left, principal(left, k)
+
+
 def scaled(scores: DataFrame, k: int) -> DataFrame:
     """Each component from 0 to 1 over all rows; a range under 1e-9 counts as 1."""
     ends = scores.agg(*[f(F.col("scores")[i]).alias(f"{n}{i}") for i in range(k) for f, n in ((F.min, "lo"), (F.max, "hi"))])

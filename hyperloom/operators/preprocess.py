@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.valid import is_valid, let
+from ..shared import stored
 from .stats import mean_array
 
 
@@ -46,11 +47,11 @@ def calibrate(pixels: DataFrame, white: DataFrame, dark: DataFrame, white_bands:
     """Reflectance ((v - dark) / max(white - dark, 1e-4)) * 0.99, from 0 to 1; invalid cells stay as they are.
 
     ``white`` and ``dark`` are pixels of reference cubes of the same width; ``*_bands`` map a band to a reference's nearest one (default: the same band).
-    References shrink to one array a sample before they are joined.
+    References shrink to one array a sample, worked out at once and written to the shared folder; of a known size, they are broadcast if small.
     """
-    w, d = reference_by_sample(white, "white"), reference_by_sample(dark, "dark")
+    both = stored(reference_by_sample(white, "white").join(reference_by_sample(dark, "dark"), "sample", "full_outer"), "references")
     at = lambda name, bands: F.col(name) if bands is None else F.transform(F.array(*[F.lit(b) for b in bands]), lambda b: F.element_at(F.col(name), b + 1))
-    joined = pixels.join(w, "sample", "left").join(d, "sample", "left")
+    joined = pixels.join(both, "sample", "left")
     refs = F.arrays_zip(at("white", white_bands).alias("w"), at("dark", dark_bands).alias("d"))
     joined = joined.withColumn("__refs", refs)
 
@@ -64,6 +65,13 @@ def calibrate(pixels: DataFrame, white: DataFrame, dark: DataFrame, white_bands:
     return joined.withColumn("spectrum", out).drop("white", "dark", "__refs").select(*pixels.columns)
 
 
+def with_cell(pixels: DataFrame, line: int, sample: int, band: int, value: float) -> DataFrame:
+    """The cube with one cell replaced; a place outside of it changes nothing."""
+    here = (F.col("line") == line) & (F.col("sample") == sample)
+    new = F.transform("spectrum", lambda v, b: F.when(b == band, F.lit(value).cast("float")).otherwise(v))
+    return pixels.withColumn("spectrum", F.when(here, new).otherwise(F.col("spectrum")))
+
+
 def absorbance(pixels: DataFrame, calibrated: bool = True, already: bool = False) -> DataFrame:
     """-log10(max(r, 1e-4)) of valid cells; unchanged, with a warning, unless calibrated and not absorbance already."""
     if not calibrated or already:
@@ -123,7 +131,8 @@ def msc(pixels: DataFrame) -> DataFrame:
 
     Pixels of under two valid bands or a degenerate fit are left; a slope of (nearly) 0 counts as 1 after the intercept is worked out.
     """
-    means = mean_array(pixels.select("cube_id", "line", "sample", "spectrum")).withColumnRenamed("mean", "__mean")
+    # of a known size: broadcast if small, so that the pixels of a cube don't meet in one task
+    means = stored(mean_array(pixels.select("cube_id", "line", "sample", "spectrum")).withColumnRenamed("mean", "__mean"), "means")
     names = pixels.columns
     wide = pixels.withColumn("spectrum", doubles()).join(means, "cube_id").select(*names, "__mean")
     schema = wide.drop("__mean").schema

@@ -167,3 +167,23 @@ def boxed(rois: DataFrame, mask: DataFrame) -> DataFrame:
     side = lambda a, b: F.array(F.col(a), F.greatest(F.lit(2), F.col(b) - F.col(a) + 1)).cast("array<int>")
     out = wide.withColumns({"xs": F.when(on, side("x0", "x1")).otherwise(F.col("xs")), "ys": F.when(on, side("y0", "y1")).otherwise(F.col("ys")), "brix": F.when(~on, F.col("brix")), "kind": F.when(on, "rect").otherwise(F.col("kind"))})
     return out.select(*rois.columns)
+
+
+def central_window(lines: int, samples: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """First and last sample and line, inclusive, of the window that is analysed where nothing is selected; small images have narrower margins."""
+    x = (40, samples - 60) if samples < 1000 else (200, samples - 200)
+    return x, (70 if lines < 600 else 300, lines - (40 if lines < 600 else 100))
+
+
+def central(pixels: DataFrame, lines: int, samples: int) -> DataFrame:
+    """The pixels within ``central_window``."""
+    (x0, x1), (y0, y1) = central_window(lines, samples)
+    return pixels.where(F.col("sample").between(x0, x1) & F.col("line").between(y0, y1))
+
+
+def moved(rois: DataFrame, roi_id: int, step: int) -> DataFrame:
+    """The regions with one moved a place up (-1) or down (1) in their order: it and its neighbour change ids. At the end of the order nothing changes."""
+    beyond = F.when(F.col("roi_id") < roi_id, F.col("roi_id")) if step < 0 else F.when(F.col("roi_id") > roi_id, F.col("roi_id"))
+    other = rois.agg((F.max if step < 0 else F.min)(beyond).alias("__other"))  # one row
+    new = F.when(F.col("roi_id") == roi_id, F.coalesce("__other", "roi_id")).when(F.col("roi_id") == F.col("__other"), F.lit(roi_id)).otherwise(F.col("roi_id"))
+    return rois.crossJoin(F.broadcast(other)).withColumn("roi_id", new.cast(rois.schema["roi_id"].dataType)).select(*rois.columns)

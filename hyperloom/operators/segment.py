@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import stretch
@@ -31,25 +31,53 @@ def to_8bit(pixels: DataFrame, band: int, limits: tuple[float, float] | None = N
     return v.select("cube_id", "line", "sample", F.coalesce(F.floor(t * 255).cast("int"), F.lit(0)).alias("gray"))
 
 
-def _inside(lines: int, samples: int) -> Column:
-    return F.col("line").between(0, lines - 1) & F.col("sample").between(0, samples - 1)
+#: Side of the tiles in which masks are dilated and eroded.
+TILE = 256
 
 
-def _shifted(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
-    return mask.select("cube_id", "line", "sample", o.alias("o")).select("cube_id", (F.col("line") + F.col("o.dy")).alias("line"), (F.col("sample") + F.col("o.dx")).alias("sample"))
+def morphed(mask: DataFrame, lines: int, samples: int, steps: list[tuple[str, list[tuple[int, int]]]]) -> DataFrame:
+    """The mask after "dilate" and "erode" steps with their offsets, in one pass over tiles with a halo as wide as all steps reach.
+
+    Dilation stays within the image; erosion keeps pixels all of whose neighbours within the image are on.
+    """
+    halo = sum(max(max(abs(y), abs(x)) for y, x in offsets) for _, offsets in steps)
+    if not steps:
+        return mask.select("cube_id", "line", "sample").distinct()
+    side = TILE + 2 * halo
+
+    def shifted(a: np.ndarray, dy: int, dx: int, outside: bool) -> np.ndarray:
+        """a[y + dy, x + dx] at each y, x."""
+        out = np.full_like(a, outside)
+        n = len(a)
+        out[max(0, -dy) : n - max(0, dy), max(0, -dx) : n - max(0, dx)] = a[max(0, dy) : n - max(0, -dy), max(0, dx) : n - max(0, -dx)]
+        return out
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(rows["ty"].iloc[0]) * TILE - halo, int(rows["tx"].iloc[0]) * TILE - halo
+        y, x = np.arange(top, top + side), np.arange(left, left + side)
+        inside = ((y >= 0) & (y < lines))[:, None] & ((x >= 0) & (x < samples))
+        on = np.zeros((side, side), bool)
+        on[rows["line"].to_numpy() - top, rows["sample"].to_numpy() - left] = True
+        for kind, offsets in steps:
+            if kind == "dilate":
+                on = np.logical_or.reduce([shifted(on, -dy, -dx, False) for dy, dx in offsets]) & inside
+            else:
+                on = np.logical_and.reduce([shifted(on | ~inside, dy, dx, True) for dy, dx in offsets]) & inside
+        core = np.nonzero(on[halo : halo + TILE, halo : halo + TILE])
+        return pd.DataFrame({"cube_id": rows["cube_id"].iloc[0], "line": (core[0] + top + halo).astype(np.int32), "sample": (core[1] + left + halo).astype(np.int32)})
+
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / TILE).cast("int"), F.floor((F.col(c) + halo) / TILE).cast("int")))
+    spread = mask.select("cube_id", "line", "sample", reach("line").alias("ty")).select("*", reach("sample").alias("tx"))
+    return spread.groupBy("cube_id", "ty", "tx").applyInPandas(tile, "cube_id string, line int, sample int")
 
 
 def dilate(mask: DataFrame, lines: int, samples: int, offsets: list[tuple[int, int]] = ELLIPSE) -> DataFrame:
-    return _shifted(mask, offsets).where(_inside(lines, samples)).distinct()
+    return morphed(mask, lines, samples, [("dilate", offsets)])
 
 
 def erode(mask: DataFrame, lines: int, samples: int, offsets: list[tuple[int, int]] = ELLIPSE) -> DataFrame:
     """Pixels all of whose neighbours within the image are on."""
-    mirrored = [(-dy, -dx) for dy, dx in offsets]
-    seen = _shifted(mask, mirrored).groupBy("cube_id", "line", "sample").agg(F.count("*").alias("n"))
-    needed = sum((((F.col("line") + dy).between(0, lines - 1)) & ((F.col("sample") + dx).between(0, samples - 1))).cast("int") for dy, dx in offsets)
-    return seen.where(_inside(lines, samples) & (F.col("n") == needed)).select("cube_id", "line", "sample")
+    return morphed(mask, lines, samples, [("erode", offsets)])
 
 
 def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -> DataFrame:
@@ -59,10 +87,9 @@ def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -
     left, right = int(samples * p.ignore_left / 100), int(samples * p.ignore_right / 100)
     margin = F.col("line").between(top, lines - bottom - 1) & F.col("sample").between(left, samples - right - 1)
     mask = gray.where(on & margin).select("cube_id", "line", "sample")
-    for first, then, times in ((dilate, erode, p.close_iterations), (erode, dilate, p.open_iterations)):
-        for step in (first, then):
-            for _ in range(times):
-                mask = step(mask, lines, samples)
+    closed = ["dilate"] * p.close_iterations + ["erode"] * p.close_iterations
+    opened = ["erode"] * p.open_iterations + ["dilate"] * p.open_iterations
+    mask = morphed(mask, lines, samples, [(step, ELLIPSE) for step in closed + opened])
     if p.repair:
         disc = [(dy, dx) for dy in range(-10, 11) for dx in range(-10, 11) if dy * dy + dx * dx <= 100]
         spots = gray.select("cube_id").distinct().select("cube_id", F.explode(F.array(*[F.struct(F.lit(y).alias("line"), F.lit(x).alias("sample")) for x, y in p.repair])).alias("s")).select("cube_id", "s.*")

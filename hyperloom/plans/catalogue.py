@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..functions.formula import PRESETS, compile_formula
+from ..functions.formula import PRESETS, compile_formula, preview
 from ..functions.valid import nearest_rank, to_long
 from ..model import ROIS, BatchOptions, Header, RenderOptions, SegmentationParams, ramp, virtual_cube
 from ..operators import decompose, preprocess, render, roi, segment, stats
+from ..sources import sinks
 from ..sources.tables import session_rois
 from . import pipelines
 
@@ -267,11 +268,18 @@ def subsample4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).where("line % 4 = 0 and sample % 4 = 0").select("line", "sample", F.col("spectrum")[0].cast("double").alias("value"))
 
 
-@query("select cast(count(*) as bigint) as pixels from px, dim where sample between 5 and n_samples - 5 and line between 5 and n_lines - 5")
+#: Orders seen as an image 125 samples wide.
+_ORDERS = """with o as (select cast(o_orderkey // 125 as integer) as line, cast(o_orderkey % 125 as integer) as sample, o_totalprice as v from orders),
+d as (select max(line) + 1 as n_lines, 125 as n_samples from o) """
+
+
+@query(_ORDERS + f"""select o.line, o.sample, {s6('v')} as value from o, d where sample between case when n_samples < 1000 then 40 else 200 end and n_samples - case when n_samples < 1000 then 60 else 200 end
+  and line between case when n_lines < 600 then 70 else 300 end and n_lines - case when n_lines < 600 then 40 else 100 end""")
 def central_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = cube(spark, sf_dir)
-    h = size_of(pixels)
-    return pixels.where(F.col("sample").between(5, h.samples - 5) & F.col("line").between(5, h.lines - 5)).agg(F.count("*").alias("pixels"))
+    key = F.col("o_orderkey")
+    image = table(spark, sf_dir, "orders").select(((key - key % 125) / 125).cast("int").alias("line"), (key % 125).cast("int").alias("sample"), F.array("o_totalprice").alias("spectrum"))
+    lines = image.agg(F.max("line")).first()[0] + 1
+    return roi.central(image, lines, 125).select("line", "sample", r6(F.col("spectrum")[0], "value"))
 
 
 @query("""with w as (select cast(i as integer) as band, 400 + i * 500.0 / 63 as wl from range(64) t(i)), t as (select unnest([640.0, 550.0, 460.0, 800.0, 10.0, 2000.0]) as target)
@@ -290,9 +298,18 @@ def nearest_band_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(found)), "band int, ref int")
 
 
-@query("select line, sample, sp[1] as value from px where vec_id <> 17")
-def outlier_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return virtual_cube(spark, sf_dir).where("vec_id <> 17").select("line", "sample", F.col("spectrum")[0].cast("double").alias("value"))
+@query(f"select {s6('sum(var)')} as total, cast(max(n) as bigint) as rows from (select var_samp(v) as var, count(*) as n from lg where vec_id not in (17, 30) group by band)")
+def outlier_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components fitted again without two samples; their variances sum to the bands' own."""
+    left, c = decompose.refit_without(virtual_cube(spark, sf_dir), [17, 30], BANDS, "vec_id")
+    m = decompose.moments(left)
+    total = float((c.loadings.T @ m.scatter @ c.loadings).trace() / (m.n - 1))
+    return spark.createDataFrame([(total, m.n)], "total double, rows long").select(r6("total", "total"), "rows")
+
+
+@query(f"select line, sample, band, {s6('case when line = 3 and sample = 7 and band = 9 then 2.5 else v end')} as value from lg")
+def cell_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_long(preprocess.with_cell(cube(spark, sf_dir), 3, 7, 9, 2.5)).select("line", "sample", "band", r6(F.col("value").cast("double"), "value"))
 
 
 # -- preprocessing
@@ -367,21 +384,20 @@ def savgol_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_result(preprocess.savgol(cube(spark, sf_dir), BANDS, 5, 2, 0))
 
 
-@query(f""", s as (select line, sample, band, v, 400 + band * 500.0 / 63 as wl from lg where sample = 3),
-a as (select *, coalesce((lead(v) over w - lag(v) over w) / (lead(wl) over w - lag(wl) over w), 0) as d1 from s window w as (partition by line order by band)),
-b as (select *, (lead(d1) over w - lag(d1) over w) / (lead(wl) over w - lag(wl) over w) as e from a window w as (partition by line order by band))
-select line, band, {s6('d1')} as d1, {s6('case when band between 2 and 61 then e else 0 end')} as d2 from b""")
+@query(f""", s as (select line, sample, band, v, 400 + band * 500.0 / 63 as wl from lg),
+a as (select *, coalesce((lead(v) over w - lag(v) over w) / (lead(wl) over w - lag(wl) over w), 0) as d1 from s window w as (partition by line, sample order by band)),
+b as (select *, (lead(d1) over w - lag(d1) over w) / (lead(wl) over w - lag(wl) over w) as e from a window w as (partition by line, sample order by band))
+select line, sample, band, {s6('d1')} as d1, {s6('case when band between 2 and 61 then e else 0 end')} as d2 from b""")
 def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = to_long(cube(spark, sf_dir).where("sample = 3")).select("line", "band", F.col("value").cast("double").alias("value"), (400 + F.col("band") * 500.0 / 63).alias("wl"))
-    return preprocess.derivatives(rows, ["line"]).select("line", "band", r6("d1", "d1"), r6("d2", "d2"))
+    rows = to_long(cube(spark, sf_dir)).select("line", "sample", "band", F.col("value").cast("double").alias("value"), (400 + F.col("band") * 500.0 / 63).alias("wl"))
+    return preprocess.derivatives(rows, ["line", "sample"]).select("line", "sample", "band", r6("d1", "d1"), r6("d2", "d2"))
 
 
 @query(f""", o as (select a.i - 1 as dy, b.i - 1 as dx from range(3) a(i), range(3) b(i)),
-n as (select p.line, p.sample, p.band, case when isnan(q.v) then '-inf'::double else q.v end as v from (select * from lv where band between 8 and 11) p, o, dim,
-  (select * from lv where band between 8 and 11) q where q.band = p.band and q.line = greatest(0, least(n_lines - 1, p.line + dy)) and q.sample = greatest(0, least(n_samples - 1, p.sample + dx)))
-select line, sample, band - 8 as band, {s6('(list_sort(list(v)))[5]')} as value from n group by all having isfinite((list_sort(list(v)))[5])""")
+n as (select p.line, p.sample, p.band, case when isnan(q.v) then '-inf'::double else q.v end as v from lv p, o, dim, lv q where q.band = p.band and q.line = greatest(0, least(n_lines - 1, p.line + dy)) and q.sample = greatest(0, least(n_samples - 1, p.sample + dx)))
+select line, sample, band, {s6('(list_sort(list(v)))[5]')} as value from n group by all having isfinite((list_sort(list(v)))[5])""")
 def median3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = cube(spark, sf_dir, True).withColumn("spectrum", F.slice("spectrum", 9, 4))
+    pixels = cube(spark, sf_dir, True)
     h = size_of(pixels)
     return _finite(preprocess.median_filter(pixels, 3, h.lines, h.samples, tile=8))
 
@@ -398,28 +414,34 @@ def _rotate_sql(degrees: float, lines: str) -> str:
 g as (select cast(y.i as integer) as line, cast(x.i as integer) as sample, cx, cy, x0, y0 from f, range(200) y(i), range(200) x(i) where y.i < ceil(y1 - y0) and x.i < ceil(x1 - x0)),
 h as (select line, sample, cast(round_even({c} * (sample + x0 - cx) + {s} * (line + y0 - cy) + cx, 0) as integer) as sx,
   cast(round_even(-({s}) * (sample + x0 - cx) + {c} * (line + y0 - cy) + cy, 0) as integer) as sy from g)
-select h.line, h.sample, {s6('sp[11]')} as value from h left join px on px.line = sy and px.sample = sx"""
+select h.line, h.sample, cast(b.i as integer) as band, {s6('sp[b.i + 1]')} as value from h join px on px.line = sy and px.sample = sx, range(64) b(i)
+union all select h.line, h.sample, -1, null from h where not exists (select 1 from px where px.line = sy and px.sample = sx)"""
+
+
+def _or_empty(pixels: DataFrame) -> DataFrame:
+    """All cells; one row of band -1 and no value for a pixel of nothing but NaN."""
+    cells = to_long(pixels).select("line", "sample", "band", F.col("value").cast("double").alias("v"))
+    some = cells.where(~F.isnan("v")).select("line", "sample", "band", r6("v", "value"))
+    empty = pixels.where(F.forall("spectrum", lambda v: F.isnan(v))).select("line", "sample", F.lit(-1).alias("band"), F.lit(None).cast("double").alias("value"))
+    return some.union(empty)
 
 
 @query(_rotate_sql(30.0, ""))
 def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     h = size_of(pixels)
-    out = preprocess.rotate(pixels, 30.0, h.lines, h.samples).select("line", "sample", F.col("spectrum")[10].alias("v"))
-    return out.select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+    return _or_empty(preprocess.rotate(pixels, 30.0, h.lines, h.samples))
 
 
-@query("""select cast(line as integer) as line, cast(sample as integer) as sample, value from (
-  select line, (dense_rank() over (order by label) - 1) * 25 + sample as sample, value from (
-    select l.label, y.line, x.sample, round(px.sp[4], 6) + 0.0 as value from (select distinct label from px where label < 2) l, (select distinct line from px where label < 2) y,
-      (select distinct sample from px) x left join px on px.label = l.label and px.line = y.line and px.sample = x.sample)) where line <= (select max(line) from px where label < 2)""")
+@query(f""", l as (select label, dense_rank() over (order by cast(label as varchar)) - 1 as k from (select distinct label from px)),
+g as (select cast(y.i as integer) as line, cast(k * 25 + x.i as integer) as sample, label, cast(x.i as integer) as s from l, range(10000) y(i), range(25) x(i), dim where y.i < n_lines)
+select g.line, g.sample, cast(b.i as integer) as band, {s6('sp[b.i + 1]')} as value from g join px on px.label = g.label and px.line = g.line and px.sample = g.s, range(64) b(i)
+union all select g.line, g.sample, -1, null from g where not exists (select 1 from px where px.label = g.label and px.line = g.line and px.sample = g.s)""")
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = virtual_cube(spark, sf_dir).where("label < 2").withColumn("cube_id", F.concat(F.lit("c"), F.col("label").cast("string")))
+    pixels = virtual_cube(spark, sf_dir).withColumn("cube_id", F.concat(F.lit("c"), F.col("label").cast("string")))
     lines = pixels.agg(F.max("line")).first()[0] + 1
     sizes = pixels.select("cube_id").distinct().select("cube_id", F.col("cube_id").alias("path"), F.lit(lines).alias("lines"), F.lit(WIDTH).alias("samples"), F.lit(BANDS).alias("bands"))
-    out = preprocess.mosaic(pixels, sizes).select("line", "sample", F.col("spectrum")[3].alias("v"))
-    there = virtual_cube(spark, sf_dir).where("label < 2").select("line").distinct()
-    return out.join(there, "line", "left_semi").select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+    return _or_empty(preprocess.mosaic(pixels, sizes))
 
 
 # -- formulas
@@ -465,6 +487,23 @@ _formula_query(
 _formula_query("formula_excluded", "B{680} + B{800} * 3 + B[200]", f"{_N} * 3 + sp[64]", [(670.0, 690.0)])
 
 
+@query(f"""select line, sample, {s6('case when isfinite(a) then a else 0 end + case when isfinite(b) then b else 0 end * 2 + 1')} as value
+  from (select line, sample, max(v) filter (band = 0) as a, max(v) filter (band = 1) as b from lv group by line, sample)""")
+def formula_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid cells read as 0 before anything is worked out."""
+    return cube(spark, sf_dir, True).select("line", "sample", r6(compile_formula("B[1] + B[2] * 2 + 1", WL), "value"))
+
+
+@query(MASK + f""", c as (select line, sample, 'centre' as place from dim, px where line = n_lines // 2 and sample = n_samples // 2
+  union all (select line, sample, 'region' from roi where roi_id = 1 order by line, sample limit 1))
+select place, sample, line, {s6('sp[1] + sp[2]')} as value from c join px using (line, sample)""")
+def formula_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    h = size_of(pixels)
+    both = [preview(pixels, "B[1] + B[2]", WL, h.lines, h.samples, m).withColumn("place", F.lit(p)) for p, m in (("centre", None), ("region", region_mask(spark, sf_dir)))]
+    return both[0].union(both[1]).select("place", "sample", "line", r6("value", "value"))
+
+
 # -- similarity and regression
 
 
@@ -504,18 +543,12 @@ def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(total, BANDS)], "total double, bands int").select(r6("total", "total"), "bands")
 
 
-_COV3 = ", ".join(f"covar_samp(sp[{i + 1}], sp[{j + 1}]) as a{i}{j}" for i in range(3) for j in range(i, 3))
-
-
-@query(f""", c as (select {_COV3} from px), t as (select *, (a00 + a11 + a22) / 3 as q from c),
-u as (select *, sqrt(((a00 - q) * (a00 - q) + (a11 - q) * (a11 - q) + (a22 - q) * (a22 - q) + 2 * (a01 * a01 + a02 * a02 + a12 * a12)) / 6) as p from t),
-d as (select *, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)) / (p * p * p) / 2 as r from u),
-f as (select *, acos(greatest(-1, least(1, r))) / 3 as phi from d), e as (select q, q + 2 * p * cos(phi) as e1, q + 2 * p * cos(phi + 2 * pi() / 3) as e3 from f)
-select cast(1 as integer) as component, {s6('e1 / (3 * q)')} as explained from e union all select 2, {s6('(3 * q - e1 - e3) / (3 * q)')} from e union all select 3, {s6('e3 / (3 * q)')} from e""")
+@query(f"""select {s6('sum(v) / sum(v)')} as shares, {s6('(select sum(c * c) from (select covar_samp(a.v, b.v) as c from lg a join lg b using (vec_id) group by a.band, b.band)) / pow(sum(v), 2)')} as squares
+  from (select var_samp(v) as v from lg group by band)""")
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of variance of three bands' components; a 3 x 3 matrix has its eigenvalues in closed form."""
-    c = decompose.principal(cube(spark, sf_dir).withColumn("spectrum", F.slice("spectrum", 1, 3)), 3)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(c.explained)], "component int, explained double").select("component", r6("explained", "explained"))
+    """Shares of variance of all components: they sum to 1, and their squares to those of the covariances."""
+    e = decompose.principal(cube(spark, sf_dir), BANDS).explained
+    return spark.createDataFrame([(float(e.sum()), float((e * e).sum()))], "shares double, squares double").select(r6("shares", "shares"), r6("squares", "squares"))
 
 
 @query()
@@ -569,7 +602,34 @@ def pls_one_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*zip(_PRICE, m.coefficients.tolist()), ("intercept", m.intercept)], "name string, value double").select("name", r6("value", "value"))
 
 
-@query()
+def _pls3_sql() -> str:
+    """Three components on four columns: each extraction a few subqueries."""
+    n = range(len(_PRICE))
+    cov = ", ".join(f"covar_samp({a}, {b}) as c{i}{j}" for i, a in enumerate(_PRICE) for j, b in enumerate(_PRICE))
+    first = ", ".join(f"covar_samp({a}, l_extendedprice) as y{i}, avg({a}) as m{i}, 0.0 as b0_{i}, covar_samp({a}, l_extendedprice) as s0_{i}" for i, a in enumerate(_PRICE))
+    dot = lambda a, b: " + ".join(f"{a}{i} * {b}{i}" for i in n)
+    sql = f"with k0 as (select {cov}, {first}, avg(l_extendedprice) as my, var_samp(l_extendedprice) as vy, count(*) as n from lineitem)"
+    for k in range(1, 4):
+        sql += f", u{k} as (select *, " + ", ".join(f"s{k - 1}_{i} / sqrt({dot(f's{k - 1}_', f's{k - 1}_')}) as w{k}_{i}" for i in n) + f" from k{k - 1})"
+        before = f"u{k}"
+        for j in range(1, k):  # made orthogonal to the loadings so far, one after another
+            old = f"w{k}_"
+            name = f"r{k}_{j}_"
+            source = f"r{k}_{j - 1}_" if j > 1 else old
+            sql += f", v{k}_{j} as (select *, " + ", ".join(f"{source}{i} - ({dot(f'p{j}_', old)}) * r{j}_{i} as {name}{i}" for i in n) + f" from {before})"
+            before = f"v{k}_{j}"
+        last = f"r{k}_{k - 1}_" if k > 1 else f"w{k}_"
+        sql += f", r{k} as (select *, " + ", ".join(f"{last}{i} as r{k}_{i}" for i in n) + f" from {before})"
+        sql += f", t{k} as (select *, " + " + ".join(f"r{k}_{i} * r{k}_{j} * c{i}{j}" for i in n for j in n) + f" as tt{k} from r{k})"
+        sql += f", l{k} as (select *, " + ", ".join("(" + " + ".join(f"c{i}{j} * r{k}_{j}" for j in n) + f") / tt{k} as p{k}_{i}" for i in n) + f", ({dot(f'r{k}_', f's{k - 1}_')}) / tt{k} as q{k} from t{k})"
+        sql += f", k{k} as (select *, " + ", ".join(f"s{k - 1}_{i} - p{k}_{i} * q{k} * tt{k} as s{k}_{i}, b{k - 1}_{i} + r{k}_{i} * q{k} as b{k}_{i}" for i in n) + f" from l{k})"
+    fit = " + ".join(f"b3_{i} * b3_{j} * c{i}{j}" for i in n for j in n)
+    sql += f", f as (select *, my - ({dot('b3_', 'm')}) as intercept, vy - 2 * ({dot('b3_', 'y')}) + {fit} as e from k3)"
+    rows = " union all ".join(f"select '{a}' as name, {s6(f'b3_{i}')} as value from f" for i, a in enumerate(_PRICE))
+    return sql + f" {rows} union all select 'intercept', {s6('intercept')} from f union all select 'r2', {s6('1 - e / vy')} from f union all select 'rmse', {s6('sqrt(e * (n - 1) / n)')} from f"
+
+
+@query(_pls3_sql())
 def pls_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.array(*[F.col(c).cast("double") for c in _PRICE]).alias("spectrum"), F.col("l_extendedprice").alias("y"))
     m = decompose.train_pls(rows, 3)
@@ -618,6 +678,46 @@ def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
 
 
+_POINTS = [(5, 5), (4, 3), (12, 9), (12, 4), (20, 15), (0, 0), (24, 19)]
+
+
+@query(MASK + ", p as (select * from (values " + ", ".join(str(p) for p in _POINTS) + ") t(x, y)) select x, y, max(roi_id) as top, min(roi_id) as first from p left join roi on roi.sample = x and roi.line = y group by x, y")
+def region_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that hold a point: the last one added, and the first."""
+    out = None
+    for x, y in _POINTS:
+        top, first = (roi.hit(rois(spark), x, y, last).withColumnRenamed("roi_id", n) for last, n in ((True, "top"), (False, "first")))
+        one = top.crossJoin(first).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "top", "first")  # a row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+_OUTLINE = [(2, 1), (3, 2), (4, 2), (9, 4), (15, 3), (20, 3), (21, 8), (23, 14), (16, 15), (8, 16), (7, 12), (3, 6)]
+
+
+def _outline_sql() -> str:
+    points = roi.simplify(_OUTLINE)
+    crossings = " + ".join(
+        f"cast((({yi} > line) <> ({yj} > line)) and sample < ({xj}.0 - {xi}.0) * (line - {yi}.0) / ({yj}.0 - {yi}.0) + {xi}.0 as integer)" for (xi, yi), (xj, yj) in zip(points, points[-1:] + points[:-1]) if yi != yj
+    )
+    return f"select line, sample from px where ({crossings}) % 2 = 1"
+
+
+@query(_outline_sql())
+def freehand_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A freehand outline, simplified and filled."""
+    points = roi.simplify(_OUTLINE)
+    df = spark.createDataFrame([(1, "freehand", [x for x, _ in points], [y for _, y in points], 0, 0, None, None, None, None)], ROIS)
+    h = size_of(cube(spark, sf_dir))
+    return roi.rasterise(df, h.lines, h.samples).select("line", "sample")
+
+
+@query("select cast(roi_id as integer) as roi_id, kind from (values (2, 'rect'), (1, 'circle'), (3, 'polygon'), (4, 'pixel')) t(roi_id, kind)")
+def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region moved up past its neighbour, another that is the last moved down."""
+    return roi.moved(roi.moved(rois(spark), 2, -1), 4, 1).select("roi_id", "kind")
+
+
 _FOUR = ", o as (select * from (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), n as (select m.line + dy as line, m.sample + dx as sample from m, o)\n"
 
 
@@ -809,6 +909,29 @@ def cube_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.extremes(region_mask(spark, sf_dir), "line").withColumnRenamed("sample", "at")
 
 
+_JET = {c: f"1.5 - abs(2 * t - {m})" for c, m in (("r", 1.5), ("g", 1.0), ("b", 0.5))}
+
+
+@query(MASK + """, mm as (select distinct line, sample from roi),
+p as (select line, sample, 1.5 + sum(case when isfinite(v) and band < 60 then v * (band % 7 - 3) / 10 else 0 end) as v, max(v) filter (band = 0) as g from lv group by line, sample),
+q as (select list_sort(list(v)) as s, count(*) as n from p join mm using (line, sample)), e as (select s[cast(floor(n * 0.02) as bigint) + 1] as lo, s[least(n, cast(floor(n * 0.98) as bigint) + 1)] as hi from q),
+x as (select p.line, p.sample, mm.line is not null as inside, greatest(0.0, least(1.0, (v - lo) / (case when hi - lo <= 1e-4 then 1 else hi - lo end))) as t,
+  case when isnan(g) then 0 else greatest(0.0, least(1.0, g)) end as g from p left join mm using (line, sample), e) select line, sample, """
+       + ", ".join(f"case when inside then {_byte(x)} else cast(floor(g * 255 * 0.2) as integer) end as {c}" for c, x in _JET.items()) + " from x")
+def prediction_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    predicted = decompose.predict(cube(spark, sf_dir, True), decompose.Pls(np.array(_COEF), 1.5))
+    return render.prediction_render(predicted, region_mask(spark, sf_dir)).drop("cube_id")
+
+
+@query(MASK + _LIMITS + """, mm as (select distinct line, sample from roi),
+y as (select line, sample, case when not isfinite(v) then 0 else cast(floor(greatest(0, least(1, (v - lo) / (case when hi - lo <= 1e-5 then 1 else hi - lo end))) * 255) as integer) end as gray from lv, e where band = 20)
+select y.line, y.sample, case when mm.line is null then gray else 0 end as r, case when mm.line is null then gray else 255 end as g, case when mm.line is null then gray else 0 end as b from y left join mm using (line, sample)""")
+def mask_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.overlay(segment.to_8bit(cube(spark, sf_dir, True), 20), region_mask(spark, sf_dir)).drop("cube_id")
+
+
 _TINT = {
     "r": "case when h < 1 then 1.0 when h < 2 then x when h < 4 then 0.0 when h < 5 then x else 1.0 end",
     "g": "case when h < 1 then x when h < 3 then 1.0 when h < 4 then x else 0.0 end",
@@ -872,6 +995,42 @@ def batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_result(pipelines.batch(pixels, h, o, pixels.where("line in (0, 1)"), pixels.where("line in (2, 3)")))
 
 
+def _scatter_sql(source: str) -> str:
+    """MSC of ``source`` (line, sample, band, v) as ``out``."""
+    return f""", me as (select band, avg(v) as m from {source} group by band), fit as (select line, sample, regr_slope(v, m) as sl, regr_intercept(v, m) as ic from {source} join me using (band) group by all),
+out as (select line, sample, band, (v - ic) / sl as v from {source} join fit using (line, sample))"""
+
+
+_ABSORBED = CALIBRATED.replace("from lv", "from lg") + ", ab as (select line, sample, band, -log10(greatest(v, 1e-4)) as v from cal)"
+_STANDARD = _ABSORBED + ", mo as (select line, sample, avg(v) as m, stddev_pop(v) as s from ab group by all), sn as (select line, sample, band, (v - m) / (case when s < 1e-6 then 1 else s end) as v from ab join mo using (line, sample))"
+
+
+def _pipeline(spark: SparkSession, sf_dir: str, run: Callable, **steps) -> DataFrame:
+    pixels = cube(spark, sf_dir)
+    return long_result(run(pixels, size_of(pixels), BatchOptions(segment=False, **steps), pixels.where("line in (0, 1)"), pixels.where("line in (2, 3)")))
+
+
+@query(_ABSORBED + _scatter_sql("ab") + f" select line, sample, band, {s6('v')} as value from out")
+def interactive_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MSC where SNV isn't asked for."""
+    return _pipeline(spark, sf_dir, pipelines.interactive, msc=True)
+
+
+@query(_STANDARD + _scatter_sql("sn") + f" select line, sample, band, {s6('v')} as value from out")
+def sequential_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNV and MSC both."""
+    return _pipeline(spark, sf_dir, pipelines.sequential, snv=True, msc=True)
+
+
+@query("select line, sample, band, case when v = 0 then '0' else printf('%.4e', v) end as text from lg")
+def csv_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five significant digits as the CSV files have them, read back and written in one form."""
+    text = sinks.general(F.col("value"), 5)
+    again = F.regexp_replace(F.format_string("%.4e", text.cast("double")), "e([+-])([0-9])$", "e$10$2")
+    cells = to_long(cube(spark, sf_dir)).select("line", "sample", "band", F.col("value").cast("double").alias("value"))
+    return cells.select("line", "sample", "band", F.when(F.col("value") == 0, "0").otherwise(again).alias("text"))
+
+
 @query(MASK + f""", s as (select line, sample, avg(v) as m, stddev_pop(v) as d from lg group by all)
 select roi_id, band, {s6('avg(v)')} as original, {s6('avg((v - m) / d)')} as treated from lg join s using (line, sample) join roi using (line, sample) group by roi_id, band""")
 def roi_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:

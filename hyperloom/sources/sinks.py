@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Header
@@ -17,6 +17,30 @@ def wide_spectra(spectra: DataFrame, wavelengths: list[float], keys: list[str],
     return spectra.select(*keys, *[F.col(column)[b].alias(f"{prefix}{w:.{digits}f}") for b, w in enumerate(wavelengths)])
 
 
+def general(v: Column, digits: int) -> Column:
+    """A number in at most ``digits`` significant digits without trailing zeros, with an exponent from 10^digits on and under 1E-05."""
+    v = v.cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
+    power = parts[1].cast("int")
+    sign = F.when(parts[0].startswith("-"), "-").otherwise("")
+    figures = F.regexp_replace(F.regexp_replace(parts[0], "[-.]", ""), "0+$", "")
+    figures = F.when(figures == "", "0").otherwise(figures)
+    n = F.length(figures)
+    piece = lambda a, size: F.substr(figures, a, size)
+    tail = F.when(n > power + 1, F.concat(F.lit("."), piece(power + 2, n))).otherwise("")
+    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)).otherwise(F.concat(F.rpad(piece(F.lit(1), power + 1), power + 1, F.lit("0")), tail))
+    rest = F.when(n > 1, F.concat(F.lit("."), piece(F.lit(2), n))).otherwise("")
+    exponent = F.concat(piece(F.lit(1), F.lit(1)), rest, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    number = F.concat(sign, F.when((power >= digits) | (power < -5), exponent).otherwise(plain))
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(number)
+
+
+def formatted(rows: DataFrame, digits: int, keys: list[str]) -> DataFrame:
+    """A table of numbers as text for a CSV file: every column but ``keys`` in ``digits`` significant digits (5 in batch tables, 6 in sample tables)."""
+    quoted = lambda c: F.col(f"`{c}`")
+    return rows.select(*[quoted(c) if c in keys else general(quoted(c), digits).alias(c) for c in rows.columns])
+
+
 def sample_table(spectra: DataFrame, wavelengths: list[float]) -> DataFrame:
     """Spectra of instances (cube_id, roi_id, mean) as the spectral matrix: id ``file_k``, class (the file's name up to its first _), file, wavelengths."""
     from pyspark.sql import Window
@@ -54,10 +78,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def mask_array(mask: DataFrame, header: Header) -> np.ndarray:
-    """One image's mask as a line, sample array; an image is bounded by its header."""
+    """One image's mask as a line, sample array; an image is bounded by its header. Its pixels arrive as Arrow columns."""
     out = np.zeros((header.lines, header.samples), bool)
-    for line, sample in mask.select("line", "sample").toLocalIterator():
-        out[line, sample] = True
+    found = mask.select("line", "sample").toArrow()
+    out[found["line"].to_numpy(), found["sample"].to_numpy()] = True
     return out
 
 
@@ -77,12 +101,18 @@ def session_json(rois: DataFrame, date: str) -> DataFrame:
     return kept.select(F.to_json(F.struct(F.lit(date).alias("SessionDate"), F.col("all.s").alias("Selections"))).alias("value"))
 
 
-def png(image: DataFrame, header: Header) -> bytes:
-    """A rendered image (line, sample, r, g, b) as a PNG file; an image is bounded by its header."""
+def image_array(image: DataFrame, header: Header) -> np.ndarray:
+    """A rendered image (line, sample, r, g, b) as an array of bytes; an image is bounded by its header."""
     out = np.zeros((header.lines, header.samples, 3), np.uint8)
-    for line, sample, r, g, b in image.select("line", "sample", "r", "g", "b").toLocalIterator():
-        out[line, sample] = r, g, b
-    rows = b"".join(b"\0" + row.tobytes() for row in out)
+    found = image.select("line", "sample", "r", "g", "b").toArrow()
+    for k, c in enumerate("rgb"):
+        out[found["line"].to_numpy(), found["sample"].to_numpy(), k] = found[c].to_numpy()
+    return out
+
+
+def png(image: DataFrame, header: Header) -> bytes:
+    """A rendered image (line, sample, r, g, b) as a PNG file."""
+    rows = np.pad(image_array(image, header).reshape(header.lines, -1), ((0, 0), (1, 0))).tobytes()
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -91,6 +121,19 @@ def png(image: DataFrame, header: Header) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def tiff(image: DataFrame, header: Header) -> bytes:
+    """The same as an uncompressed TIFF file of one strip."""
+    data = image_array(image, header).tobytes()
+    short, long = 3, 4
+    # width, height, bits a channel (beside the data), no compression, RGB, strip, channels, rows a strip, bytes a strip
+    entries = [
+        (256, long, 1, header.samples), (257, long, 1, header.lines), (258, short, 3, 8 + len(data)), (259, short, 1, 1), (262, short, 1, 2), (273, long, 1, 8),
+        (277, short, 1, 3), (278, long, 1, header.lines), (279, long, 1, len(data)),
+    ]
+    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(data) + 6) + data + struct.pack("<3H", 8, 8, 8) + directory
+
+
 def mat(variables: dict[str, np.ndarray]) -> bytes:
     """Double matrices as a version 5 MAT file, such as the wavelengths and the spectra of each region's pixels."""
 

@@ -235,6 +235,14 @@ def test_pipelines(spark):
     assert means.count() == 1 and empty.count() == 0
 
 
+def test_numbers_of_csv_files(spark):
+    from hyperloom.sources.sinks import general
+
+    known = {123456.0: "1.2346E+05", 12345.0: "12345", 0.00001: "1E-05", 0.0000012: "1.2E-06", 0.5: "0.5", 100.0: "100", -2.50: "-2.5", 0.0: "0", 99999.6: "1E+05", NAN: "NaN", INF: "Infinity", 1e100: "1E+100", 0.000123456: "0.00012346"}
+    df = spark.createDataFrame([(k,) for k in known], "v double")
+    assert [r[0] for r in df.select(general(F.col("v"), 5)).collect()] == list(known.values())
+
+
 def test_region_edits(spark):
     df = spark.createDataFrame([(1, "rect", [1, 2], [1, 3], 0, 0, "a", "", 5.0, ""), (2, "mask", [4], [4], 0, 0, "b", "", 7.0, "n")], ROIS)
     assert [r["variety"] for r in roi.edited(df, 2, variety="c", brix=None).orderBy("roi_id").collect()] == ["a", "c"]
