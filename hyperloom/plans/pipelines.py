@@ -64,11 +64,15 @@ def extract(pixels: DataFrame, header: Header, options: BatchOptions) -> tuple[D
     return spectra, pixels.select("cube_id").distinct().join(found, "cube_id", "left_anti")
 
 
-def folder(spark: SparkSession, path: str, options: BatchOptions, white: DataFrame | None = None, dark: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Spectra of every cube of a folder, cubes of one shape in one job; and (file, problem) of the files left out."""
+SPECTRA = "cube_id string, roi_id int, mean array<double>"
+PROBLEMS = "file string, problem string"
+
+
+def by_shape(headers: list[str]) -> tuple[dict[tuple[int, int, int], list[str]], list[tuple[str, str]]]:
+    """Headers grouped by their cubes' (lines, samples, bands), and (file, problem) of those that can't be read."""
     shapes: dict[tuple[int, int, int], list[str]] = {}
     problems: list[tuple[str, str]] = []
-    for p in envi.scan_folder(path):
+    for p in headers:
         try:
             h = envi.load_header(p)
             envi.mapped(p, h)
@@ -76,19 +80,25 @@ def folder(spark: SparkSession, path: str, options: BatchOptions, white: DataFra
             problems.append((p, str(e)))
             continue
         shapes.setdefault((h.lines, h.samples, h.bands), []).append(p)
-    out = None
+    return shapes, problems
+
+
+def extract_all(spark: SparkSession, headers: list[str], options: BatchOptions, white: DataFrame | None = None, dark: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Spectra of cubes, a scan and a job for each shape among them; and the files left out, with their problems, as rows worked out when they are asked for."""
+    shapes, unreadable = by_shape(headers)
+    spectra, problems = spark.createDataFrame([], SPECTRA), spark.createDataFrame(unreadable, PROBLEMS)
     for paths in shapes.values():
         h = envi.load_header(paths[0])
-        cubes = [envi.read(spark, p) for p in paths]
-        pixels = cubes[0]
-        for c in cubes[1:]:
-            pixels = pixels.unionByName(c)
-        spectra, empty = extract(batch(pixels, h, options, white, dark), h, options)
-        problems += [(r["cube_id"], "no objects found") for r in empty.collect()]
-        out = spectra if out is None else out.unionByName(spectra)
-    if out is None:
-        out = spark.createDataFrame([], "cube_id string, roi_id int, mean array<double>")
-    return out, problems
+        pixels = envi.read(spark, paths[0], headers="\n".join(paths))
+        own, empty = extract(batch(pixels, h, options, white, dark), h, options)
+        spectra = spectra.unionByName(own)
+        problems = problems.union(empty.select(F.col("cube_id").alias("file"), F.lit("no objects found").alias("problem")))
+    return spectra, problems
+
+
+def folder(spark: SparkSession, path: str, options: BatchOptions, white: DataFrame | None = None, dark: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Spectra (cube_id, roi_id, mean) of every cube of a folder; and (file, problem) of the files left out and the cubes without segments."""
+    return extract_all(spark, envi.scan_folder(path), options, white, dark)
 
 
 def compare(original: DataFrame, treated: DataFrame, mask: DataFrame) -> DataFrame:
@@ -96,5 +106,3 @@ def compare(original: DataFrame, treated: DataFrame, mask: DataFrame) -> DataFra
     a = roi_mean_spectrum(original, mask).withColumnRenamed("mean", "original")
     b = roi_mean_spectrum(treated, mask).withColumnRenamed("mean", "treated")
     return a.join(b, ["cube_id", "roi_id", "band"], "full_outer")
-
-

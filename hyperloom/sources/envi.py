@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import PIXELS, Header, ramp
 
-#: The format's type codes.
+#: The format's type codes, and the extensions of data files.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4"}
 EXTENSIONS = (".raw", ".img", ".dat", ".bil", ".bip", ".bsq")
 #: Name prefixes of reference scans, which folder scans leave out.
@@ -119,8 +119,10 @@ class _Lines(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         path = options["path"]
-        self.paths = scan_folder(path) if os.path.isdir(path) else [path]
+        self.paths = options["headers"].split("\n") if options.get("headers") else scan_folder(path) if os.path.isdir(path) else [path]
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
+        first, _, last = options.get("lines", "").partition(":")
+        self.lines = int(first or 0), int(last) if last else None
         self.size = int(options.get("partitionbytes", 64 << 20))
 
     def partitions(self) -> list[_Lines]:
@@ -129,7 +131,8 @@ class _Reader(DataSourceReader):
             h = load_header(path)
             line = max(1, h.samples * h.bands * np.dtype(_dtype(h)).itemsize)
             step = max(1, self.size // line)
-            out += [_Lines(path, a, min(a + step, h.lines)) for a in range(0, h.lines, step)]
+            first, last = self.lines[0], h.lines if self.lines[1] is None else min(self.lines[1], h.lines)
+            out += [_Lines(path, a, min(a + step, last)) for a in range(first, last, step)]
         return out
 
     def read(self, partition: _Lines) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,8 @@ class _Reader(DataSourceReader):
 
 
 class EnviSource(DataSource):
-    """``spark.read.format("envi").load(header or folder)``; option ``bands`` reads only some, ``partitionBytes`` sizes the line ranges."""
+    """``spark.read.format("envi").load(header or folder)``; options: ``bands`` (a list) and ``lines`` (first:last) read only
+    those bytes of the files, ``headers`` names the headers of one scan by itself, a line each, ``partitionBytes`` sizes the line ranges."""
 
     @classmethod
     def name(cls) -> str:

@@ -18,7 +18,7 @@ def wide_spectra(spectra: DataFrame, wavelengths: list[float], keys: list[str],
 
 
 def general(v: Column, digits: int) -> Column:
-    """A number in at most ``digits`` significant digits without trailing zeros, with an exponent from 10^digits on and under 1E-05."""
+    """A number in at most ``digits`` significant digits without trailing zeros, with an exponent from 10^digits on and below 0.0001."""
     v = v.cast("double")
     parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
     power = parts[1].cast("int")
@@ -30,8 +30,8 @@ def general(v: Column, digits: int) -> Column:
     tail = F.when(n > power + 1, F.concat(F.lit("."), piece(power + 2, n))).otherwise("")
     plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)).otherwise(F.concat(F.rpad(piece(F.lit(1), power + 1), power + 1, F.lit("0")), tail))
     rest = F.when(n > 1, F.concat(F.lit("."), piece(F.lit(2), n))).otherwise("")
-    exponent = F.concat(piece(F.lit(1), F.lit(1)), rest, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    number = F.concat(sign, F.when((power >= digits) | (power < -5), exponent).otherwise(plain))
+    exponent = F.concat(piece(F.lit(1), F.lit(1)), rest, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    number = F.concat(sign, F.when((power >= digits) | (power < -4), exponent).otherwise(plain))
     return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(number)
 
 

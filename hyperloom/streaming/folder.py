@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import BatchOptions
-from ..plans.pipelines import batch, extract
-from ..sources import envi
+from ..plans.pipelines import extract_all
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, options: BatchOptions) -> StreamingQuery:
-    """Starts a query that takes the headers that arrive in ``folder`` and appends their spectra to the Parquet table ``out``."""
-    headers = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.hdr").load(folder).selectExpr("_metadata.file_path as path")
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, options: BatchOptions, files: int = 1000) -> StreamingQuery:
+    """Starts a query that takes the headers that arrive in ``folder``, ``files`` at most at a time, and adds their spectra to the Parquet table ``out``.
+
+    A batch is one job for each shape of its cubes and is written under its own number, so that one that is repeated after a failure replaces what it wrote before.
+    """
+    headers = (
+        spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files).load(f"{folder}/*.hdr").selectExpr("_metadata.file_path as path")
+    )
 
     def process(rows: DataFrame, batch_id: int) -> None:
-        for row in rows.distinct().toLocalIterator():  # a row a new file
-            path = row["path"].removeprefix("file://").removeprefix("file:")
-            h = envi.load_header(path)
-            spectra, _ = extract(batch(envi.read(spark, path), h, options), h, options)
-            spectra.write.mode("append").parquet(out)
+        paths = sorted(r["path"].removeprefix("file://").removeprefix("file:") for r in rows.distinct().collect())  # ``files`` at most
+        spectra, _ = extract_all(spark, paths, options)
+        spectra.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return headers.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

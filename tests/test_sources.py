@@ -114,11 +114,35 @@ def test_folder_and_stream(spark, tmp_path):
     (tmp_path / "bad.raw").write_bytes(b"0000")
     o = BatchOptions(segmentation=SegmentationParams(threshold=100, invert=False, open_iterations=0, close_iterations=0, min_area=2, stretch=(0.0, 9.0)))
     spectra, problems = pipelines.folder(spark, str(tmp_path), o)
-    assert [list(r["mean"]) for r in spectra.collect()] == [[9.0] * 5] and "bad.hdr" in problems[0][0]
+    assert [list(r["mean"]) for r in spectra.collect()] == [[9.0] * 5] and "bad.hdr" in problems.collect()[0][0]
     os.remove(tmp_path / "bad.hdr")
     q = watch(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "cp"), o)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    make(tmp_path, "y_2", values=values)
+    make(tmp_path, "z_3", values=np.zeros((5, 3, 4)))
+    watch(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "cp"), o).awaitTermination(120)
+    assert {r["cube_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"x_1", "y_2"}
+    spectra, problems = pipelines.folder(spark, str(tmp_path), o)
+    assert spectra.count() == 2 and [tuple(r) for r in problems.collect()] == [("z_3", "no objects found")]
+
+
+def test_reads_of_some_lines_and_bands(spark, tmp_path):
+    make(tmp_path, "a")
+    whole = {(r["line"], r["sample"]): list(r["spectrum"]) for r in envi.read(spark, f"{tmp_path}/a.hdr").collect()}
+    some = {(r["line"], r["sample"]): list(r["spectrum"]) for r in envi.read(spark, f"{tmp_path}/a.hdr", lines="1:2", bands="3,0").collect()}
+    assert some == {k: [v[3], v[0]] for k, v in whole.items() if k[0] == 1}
+
+
+def test_tiff(spark):
+    import struct
+
+    data = sinks.tiff(spark.createDataFrame([(0, 1, 1, 2, 3)], "line int, sample int, r int, g int, b int"), Header(2, 1, 1))
+    mark, version, at = struct.unpack("<2sHI", data[:8])
+    n = struct.unpack("<H", data[at : at + 2])[0]
+    entries = {e[0]: e[3] for e in (struct.unpack("<HHII", data[at + 2 + 12 * i : at + 14 + 12 * i]) for i in range(n))}
+    assert (mark, version) == (b"II", 42) and (entries[256], entries[257]) == (2, 1)
+    assert data[entries[273] : entries[273] + entries[279]] == bytes([0, 0, 0, 1, 2, 3]) and struct.unpack("<3H", data[entries[258] : entries[258] + 6]) == (8, 8, 8)
 
 
 def test_png(spark):
