@@ -34,6 +34,7 @@ def _rgb(r: Column, g: Column, b: Column) -> Column:
 def colormap(t: Column, name: str = "rainbow") -> Column:
     """struct<r, g, b> of a value in 0 ... 1; names not known are the rainbow."""
     zero, one = F.lit(0.0), F.lit(1.0)
+    # fixed values: the maps' slopes and offsets
     if name == "heatmap":
         return _rgb(t * 3, t * 3 - 1, t * 3 - 2)
     if name == "grayscale":
@@ -53,6 +54,7 @@ def colormap(t: Column, name: str = "rainbow") -> Column:
 
 def jet(t: Column) -> Column:
     """The prediction maps' colours."""
+    # fixed values: the channels' centres
     part = lambda c: 1.5 - F.abs(2 * t - c)
     return _rgb(part(1.5), part(1.0), part(0.5))
 
@@ -71,6 +73,7 @@ def hue_color(hue: Column, lightness: float = 0.5) -> Column:
 
 
 def band_hue(band: Column, bands: int) -> Column:
+    # fixed value: hues from 270 degrees down to 0
     return 270 * (1 - band / max(1, bands - 1))
 
 

@@ -136,9 +136,9 @@ def nipals(rows: DataFrame, k: int = 3, iterations: int = 100, tolerance: float
         if np.linalg.norm(p) < 1e-12:
             break
         p /= np.linalg.norm(p)
-        for _ in range(iterations):
+        for turn in range(iterations):
             tt = float(p @ s @ p)
-            if abs(tt - before) < tolerance:
+            if abs(tt - before) < tolerance or turn + 1 == iterations:
                 break
             before = tt
             p = s @ p
