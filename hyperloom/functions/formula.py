@@ -151,13 +151,17 @@ class _Parser:
         return F.when(is_valid(v), v).otherwise(F.lit(0.0))
 
 
-def compile_formula(text: str, wavelengths: list[float], excluded: list[tuple[float, float]] | None = None, spectrum: str = "spectrum") -> Column:
-    """A formula over a ``spectrum`` array column as a column; FormulaError says what is wrong with it."""
+def compile_formula(text: str, wavelengths: list[float], excluded: list[tuple[float, float]] | None = None, spectrum: str = "spectrum", strict: bool = False) -> Column:
+    """A formula over a ``spectrum`` array column as a column; FormulaError says what is wrong with it.
+
+    A result that is no finite number is 0, or with ``strict`` an error that ends the job.
+    """
     parser = _Parser(text, wavelengths, excluded or [], spectrum)
     out = parser.sum()
     if parser.peek() is not None:
         raise FormulaError(f"unexpected {parser.peek()}")
-    return F.when(out.isNotNull() & ~F.isnan(out) & (F.abs(out) < float("inf")), out).otherwise(0.0)
+    otherwise = F.raise_error(F.lit(f"no finite result: {text}")).cast("double") if strict else F.lit(0.0)
+    return F.when(out.isNotNull() & ~F.isnan(out) & (F.abs(out) < float("inf")), out).otherwise(otherwise)
 
 
 def preview(pixels: DataFrame, text: str, wavelengths: list[float], lines: int, samples: int, mask: DataFrame | None = None) -> DataFrame:

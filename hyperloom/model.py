@@ -75,6 +75,8 @@ class BatchOptions:
     window: int = 15
     polynomial: int = 2
     derivative: int = 1
+    #: Derivatives per nm instead of per band.
+    per_nm: bool = False
     median: bool = False
     segment: bool = True
     segment_band: int = 65

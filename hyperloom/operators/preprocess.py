@@ -182,16 +182,16 @@ def savgol_window(bands: int, window: int, polynomial: int) -> int | None:
     return None if window < 3 or polynomial >= window else window
 
 
-def savgol(pixels: DataFrame, bands: int, window: int, polynomial: int, derivative: int) -> DataFrame:
+def savgol(pixels: DataFrame, bands: int, window: int, polynomial: int, derivative: int, spacing: float = 1.0) -> DataFrame:
     """Savitzky-Golay along the bands with replicated ends, as one product with a banded matrix a batch.
 
-    An invalid centre gives NaN; an invalid neighbour gives 0.
+    An invalid centre gives NaN; an invalid neighbour gives 0. Derivatives are per band, or per nm where ``spacing`` is the bands' distance in nm.
     """
     used = savgol_window(bands, window, polynomial)
     if used is None:
         warnings.warn("Savitzky-Golay doesn't apply to these bands; left as they are", stacklevel=2)
         return pixels
-    weights, half = savgol_coefficients(used, polynomial, derivative), used // 2
+    weights, half = savgol_coefficients(used, polynomial, derivative) / spacing**derivative, used // 2
     matrix, touched = np.zeros((bands, bands)), np.zeros((bands, bands))
     for b in range(bands):
         for k, w in enumerate(weights):

@@ -43,7 +43,9 @@ def _steps(pixels, header, o, white, dark, degrees, both) -> DataFrame:
     if o.msc and (both or not o.snv):
         pixels = pre.msc(pixels)
     if o.savgol:
-        pixels = pre.savgol(pixels, header.bands, o.window, o.polynomial, o.derivative)
+        wl = header.wavelengths
+        spacing = (wl[-1] - wl[0]) / (len(wl) - 1) if o.per_nm and len(wl) > 1 else 1.0
+        pixels = pre.savgol(pixels, header.bands, o.window, o.polynomial, o.derivative, spacing)
     if o.median:
         pixels = pre.median_filter(pixels, 3, lines, samples)
     return pixels

@@ -58,6 +58,14 @@ def batch_table(spectra: DataFrame, wavelengths: list[float]) -> DataFrame:
     return wide_spectra(rows, wavelengths, ["Image_Name", "Instance_ID"])
 
 
+def with_problems(table: DataFrame, problems: DataFrame) -> DataFrame:
+    """A table of text (see ``formatted``) with the rows of ``problems`` (file, problem) in it, as the batch's CSV file has them."""
+    name, second, *others = table.columns
+    text = F.when(F.col("problem") == "no objects found", "NO_OBJECTS_FOUND").otherwise(F.concat(F.lit("ERROR: "), F.col("problem")))
+    rows = problems.select(F.col("file").alias(name), text.alias(second), *[F.lit(None).cast("string").alias(c) for c in others])
+    return table.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in table.columns]).union(rows)
+
+
 def pixel_table(pixels: DataFrame, wavelengths: list[float]) -> DataFrame:
     """PixelX, PixelY and a column a band, NaN as 0, by line and sample."""
     clean = F.transform(F.col("spectrum").cast("array<double>"), lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(v))

@@ -311,3 +311,20 @@ def test_moments_of_large_values_keep_their_digits(spark):
     got = {(r["i"], r["j"]): r["covariance"] for r in stats.covariance(df).collect()}
     want = np.cov(x.T)
     assert all(got[i, j] == pytest.approx(want[i, j], rel=1e-6, abs=1e-8) for i in range(3) for j in range(i, 3)) and len(got) == 6
+
+
+def test_options(spark):
+    from hyperloom.sources import sinks
+
+    x = np.arange(12.0)
+    p = one(spark, x * x)
+    plain, per_nm = (spectra(pipelines.batch(p, Header(1, 1, 12, wavelengths=tuple(400 + 5 * x)), BatchOptions(savgol=True, window=5, segment=False, per_nm=n)))[0, 0] for n in (False, True))
+    assert np.allclose(np.array(plain) / 5, per_nm) and np.allclose(plain[2:-2], 2 * x[2:-2])
+    assert one(spark, [4.0]).select(compile_formula("sqrt(B[1])", [400], strict=True)).first()[0] == 2
+    with pytest.raises(Exception, match="no finite result"):
+        one(spark, [0.0]).select(compile_formula("1/B[1]", [400], strict=True)).collect()
+    means = spark.createDataFrame([("img_7", 1, [1.0, 2.0])], "cube_id string, roi_id int, mean array<double>")
+    table = sinks.formatted(sinks.batch_table(means, [400.0, 401.0]), 5, ["Image_Name", "Instance_ID"])
+    problems = spark.createDataFrame([("a", "no objects found"), ("b", "bad header")], "file string, problem string")
+    got = sorted(map(tuple, sinks.with_problems(table, problems).collect()))
+    assert got == [("a", "NO_OBJECTS_FOUND", None, None), ("b", "ERROR: bad header", None, None), ("img_7", "Instancia_001", "1", "2")]
