@@ -32,6 +32,8 @@ SLACK = 0.22
 LEADER_ROUNDS = 2
 #: Members of a star that one group compares with the leader.
 GROUP = 256
+#: Wanted ids that are broadcast at most: a few MB.
+BROADCAST_IDS = 200_000
 #: Buckets of more open nodes are compared with full sets at hand, in blocks of ``OPEN_BLOCK`` nodes.
 SMALL_BUCKET = 64
 OPEN_BLOCK = 512
@@ -200,8 +202,9 @@ def sorted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     types = dict(wanted.dtypes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a small table of wanted ids is broadcast by its size, and the texts stay where they are
-    return texts.join(wanted, "doc_id").select(*keep, "doc_id", "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "doc_id long", "set binary"]))
+    # few wanted ids are broadcast, and the texts stay where they are; more of them meet the texts by hash
+    met = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    return texts.join(met, "doc_id").select(*keep, "doc_id", "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "doc_id long", "set binary"]))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -351,7 +354,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         more.append(stored(confirmed(docs, pairs, percent), "minhash-links"))
     large = rows_open.where(F.col("n") > SMALL_BUCKET)
     if not large.isEmpty():
-        sets = sorted_sets(docs, large.select("doc_id").distinct())
+        sets = sorted_sets(docs, stored(large.select("doc_id").distinct(), "minhash-wanted"))
         more.append(stored(open_links(large.join(sets, "doc_id"), percent), "minhash-links"))
     if more:
         found = reduce(DataFrame.union, more if found is None else [found, *more])
