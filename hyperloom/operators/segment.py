@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +108,24 @@ def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -
 STRIP = 256
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, or one group if that is longer, from batches sorted by ``keys``; no group is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        last = [table.column(k)[-1].as_py() for k in keys]
+        same = np.logical_and.reduce([pc.equal(table.column(k), v).to_numpy() for k, v in zip(keys, last)])
+        begin = int(np.argmax(same))
+        if begin:
+            yield table.slice(0, begin)
+            held = table.slice(begin).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
     """Runs (line, first, last sample) of a strip's pixels and, for each, the first run that it is connected to within the strip."""
     order = np.lexsort((sample, line))
@@ -120,9 +141,11 @@ def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.n
             i = root[i]
         return i
 
-    of_line = np.searchsorted(y, np.arange(y[0], y[-1] + 2))
-    for top, middle, end in zip(of_line[:-2].tolist(), of_line[1:-1].tolist(), of_line[2:].tolist()):
-        i, j = top, middle
+    lines, begin_of = np.unique(y, return_index=True)
+    end_of = np.r_[begin_of[1:], len(y)]
+    for k in np.flatnonzero(np.diff(lines) == 1).tolist():
+        i, middle, end = int(begin_of[k]), int(end_of[k]), int(end_of[k + 1])
+        j = middle
         while i < middle and j < end:
             if a[i] <= b[j] + reach and a[j] <= b[i] + reach:
                 p, q = find(i), find(j)
@@ -141,13 +164,27 @@ def labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """
     reach = 1 if connectivity == 8 else 0
 
-    def strip(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["line", "sample"])
-        y, a, b, part = _joined_runs(rows["line"].to_numpy(), rows["sample"].to_numpy(), reach)
-        return pd.DataFrame({"cube_id": rows["cube_id"].iloc[0], "strip": rows["strip"].iloc[0], "line": y, "a": a, "b": b, "part": part})
-
-    strips = mask.select("cube_id", "line", "sample", F.floor(F.col("line") / STRIP).cast("int").alias("strip"))
-    runs = stored(strips.groupBy("cube_id", "strip").applyInPandas(strip, "cube_id string, strip int, line int, a int, b int, part int"), "runs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["cube_id", "strip"]):
+            cube, strip = table.column("cube_id").combine_chunks(), table.column("strip").to_numpy()
+            code = cube.dictionary_encode().indices.to_numpy()
+            new = np.r_[True, (code[1:] != code[:-1]) | (strip[1:] != strip[:-1])]
+            group = np.cumsum(new) - 1
+            # strips of one table lie below each other, a line apart
+            top = group * (STRIP + 1) - strip.astype(np.int64) * STRIP
+            line, sample = table.column("line").to_numpy() + top, table.column("sample").to_numpy()
+            once = np.r_[True, (line[1:] != line[:-1]) | (sample[1:] != sample[:-1])]
+            y, a, b, root = _joined_runs(line[once], sample[once], reach)
+            of = y // (STRIP + 1)
+            first_row = np.flatnonzero(new)[of]
+            part = root - np.searchsorted(of, of)  # counted from its strip's first run
+            yield pa.RecordBatch.from_arrays(
+                [cube.take(pa.array(first_row)), *(pa.array(v.astype(np.int32)) for v in (strip[first_row], y - top[first_row], a, b, part))], names=["cube_id", "strip", "line", "a", "b", "part"]
+            )
+
+    strips = mask.select("cube_id", F.floor(F.col("line") / STRIP).cast("int").alias("strip"), F.col("line").cast("int").alias("line"), F.col("sample").cast("int").alias("sample"))
+    spread = strips.repartition("cube_id", "strip").sortWithinPartitions("cube_id", "strip", "line", "sample")
+    runs = stored(spread.mapInArrow(run, "cube_id string, strip int, line int, a int, b int, part int"), "runs")
     parts = runs.groupBy("cube_id", "strip", "part").agg(F.min(F.struct("line", "a")).alias("first"))
     parts = stored(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
     keys = ["cube_id", "strip", "part"]
