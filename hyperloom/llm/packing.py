@@ -65,8 +65,8 @@ def long_runs(column: pa.Array) -> list[int]:
     return out
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, ids``: each text's ids, then id 1, as little-endian 32-bit words. Null texts count as empty.
+def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """``doc_id, ids``: each text's ids, then ``end_id``, as little-endian 32-bit words. Null texts count as empty.
 
     Ids are those of ``tokenizers`` with ``byte_bpe_50k.json``. Its ranks file and added tokens go through a faster encoder of the same ids, but for texts with very
     long runs, which go through ``tokenizers``; tests hold the one against the other. ``vocabulary`` is the path of another ranks file, with its tokenizer file beside it.
@@ -88,7 +88,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 aside = {row: whole.encode(texts[row], add_special_tokens=False).ids for row in slow}
                 ids = [aside[row] if row in aside else encoder.encode(t or "", allowed_special="all") for row, t in enumerate(texts)]
                 for x in ids:
-                    x.append(END_ID)
+                    x.append(end_id)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)

@@ -84,11 +84,32 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bestfit import digests, pack
+
+    return digests(pack(_table(spark, sf_dir, "documents")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import mine
+
+    return mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lines, op2_langid, op3_packing, op4_pii, op5_decontaminate, op6_quality, op7_topk, op8_minhash, op9_warc, op10_licences)}
+    found = (op1_lines, op2_langid, op3_packing, op4_pii, op5_decontaminate, op6_quality, op7_topk, op8_minhash, op9_warc, op10_licences, op11_bestfit, op12_centroids, op13_collocations)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import minhash, pii, topk, warc
+    from . import centroids, collocations, minhash, pii, topk, warc
 
-    return {"op4_pii": pii.oracle(PII_KEY), "op7_topk": topk.ORACLE, "op8_minhash": minhash.ORACLE, "op9_warc": warc.ORACLE}
+    return {
+        "op4_pii": pii.oracle(PII_KEY), "op7_topk": topk.ORACLE, "op8_minhash": minhash.ORACLE, "op9_warc": warc.ORACLE, "op12_centroids": centroids.ORACLE, "op13_collocations": collocations.ORACLE,
+    }
