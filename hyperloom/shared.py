@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set and removed at exit.
+    Only where the session names none and runs on one machine (``local`` masters, as in tests) a temporary folder is set and removed at exit. On a
+    cluster each executor would write to a disk of its own there, and rows would be lost; so that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="hyperloom-")
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext.setCheckpointDir(f"file://{local}")
