@@ -82,12 +82,16 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
         raise ValueError("headers do not end")
-    headers = {}
+    headers, last = {}, None
     for line in raw[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and last:  # a header goes on
+            headers[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         if not colon:
             raise ValueError("header without a colon")
-        headers[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("ascii", "replace")
+        headers[last] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
     begin, size = stop + 4, int(headers["content-length"])
@@ -295,9 +299,15 @@ def gaps(spark: SparkSession, path: str, names: str = "*.warc*", archives: DataF
     return _contents(spark, path, names, archives, run, GAPS)
 
 
+def _long(text: str) -> int | None:
+    """A whole number that fits 64 bits."""
+    found = int(text) if re.fullmatch("-?[0-9]{1,19}", text) else 1 << 63
+    return found if -(1 << 63) <= found < 1 << 63 else None
+
+
 def _number(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", urn or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch("<urn:page:(.*)>", urn or "")
+    return _long(found[1]) if found else None
 
 
 def _payload(kind: str | None, headers: dict[str, str], block: bytes) -> bytes | None:
@@ -312,7 +322,7 @@ def _row(name: str, at: int, size: int, inside: int | None, headers: dict[str, s
     payload = _payload(kind, headers, block)
     if payload is None:
         digest, length = sha1_of(headers.get("warc-payload-digest")), headers.get("warc-payload-length", "")
-        n = int(length) if re.fullmatch("[0-9]{1,18}", length) else None
+        n = _long(length)
     else:
         digest, n = hashlib.sha1(payload).hexdigest(), len(payload)
     return name, at, size, inside, kind, _number(headers.get("warc-record-id")), _number(headers.get("warc-refers-to")), headers.get("warc-target-uri"), payload, n, digest, sound

@@ -172,3 +172,21 @@ def test_one_payload_of_very_many_pages(spark):
     df = spark.createDataFrame([(i, "u", "same " * 300) for i in range(2000)] + [(3000 + i, "u", f"own {i} " * 200) for i in range(50)], SCHEMA)
     got = warc.round_trip(df).groupBy("record_type").count().collect()
     assert {r["record_type"]: r["count"] for r in got} == {"response": 51, "revisit": 1999}
+
+
+def test_ids_and_lengths_of_64_bits(spark):
+    big = (1 << 63) - 1
+    rows = [(i, "u", "x" * 2000) for i in (big, big - 1, 10**18, -(1 << 63), -1, 0)] + [(big - 2, None, "y"), (None, "u", "z" * 1500)]
+    got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    assert [got[i]["refers_to"] for i in (big, big - 1, 10**18, -(1 << 63), -1, 0)] == [None, *[big] * 5]
+    assert warc._long("9223372036854775808") is None and warc._long("-9223372036854775809") is None and warc._long("") is None and warc._long("9" * 5000) is None
+    assert warc._long(str(big)) == big and warc._long(str(-(1 << 63))) == -(1 << 63)
+
+
+def test_headers_that_go_on_in_the_next_line():
+    raw = warc.record(3, "http://x/a", b"payload", None).replace(b"WARC-Target-URI: http://x/a", b"WARC-Target-URI: http://x/a\r\n  and on\r\n\tand on")
+    headers, _, end = warc.parse(raw)
+    assert headers["warc-target-uri"] == "http://x/a and on and on" and end == len(raw)
+    assert found(raw + archive(1)[0]) == ([3, 0], [])
+    assert found(raw.replace(b"WARC/1.1\r\n", b"WARC/1.1\r\n folded first\r\n") + archive(1)[0])[0] == [0]
