@@ -32,7 +32,7 @@ MAX_TRAIN = 3000
 EPOCHS = 40
 THRESHOLD = 0.3
 
-_EDGE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+_WORD = re.compile(r"\w")
 
 
 @dataclass
@@ -54,9 +54,20 @@ def index_vectors(seed: int = 3) -> np.ndarray:
     return out
 
 
+def edges(token: str) -> tuple[str, str, str]:
+    """What stands before a token's first letter, digit or underscore, from it to the last one, and after that; marks alone are all before."""
+    if token.isalnum():
+        return "", token, ""
+    first = _WORD.search(token)
+    if not first:
+        return token, "", ""
+    begin, end = first.start(), len(token) - _WORD.search(token[::-1]).start()
+    return token[:begin], token[begin:end], token[end:]
+
+
 def shape(token: str) -> str:
     """Marks before and after, and the case of what is between: ``THE!!`` is ``A!!``."""
-    before, core, after = _EDGE.match(token).groups()
+    before, core, after = edges(token)
     case = "0" if any(c.isdigit() for c in core) else "" if not core else "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "Aa"
     return f"{before[:4]}{case}{after[:4]}"
 
@@ -74,7 +85,7 @@ class Slots:
         if len(known) > self.most:
             known.clear()
         for t in set(tokens).difference(known):
-            core = _EDGE.match(t).group(2)
+            core = edges(t)[1]
             known[t] = (zlib.crc32(core.lower().encode()) % SLOTS, zlib.crc32(shape(t).encode()) % (SLOTS - 1))
         if not tokens:
             return np.zeros(0, np.int32), np.zeros(0, np.int32)

@@ -61,7 +61,7 @@ def test_scores_against_a_plain_loop(spark):
             continue
         word, form, last, counts = np.zeros(quality.DIMENSIONS), np.zeros(quality.DIMENSIONS), None, {}
         for t in tokens:
-            slot = zlib.crc32(quality._EDGE.match(t).group(2).lower().encode()) % quality.SLOTS
+            slot = zlib.crc32(quality.edges(t)[1].lower().encode()) % quality.SLOTS
             word += m.words[slot]
             form += m.shapes[quality.SLOTS - 1 if slot == last else zlib.crc32(quality.shape(t).encode()) % (quality.SLOTS - 1)]
             counts[slot] = counts.get(slot, 0) + 1
@@ -71,3 +71,28 @@ def test_scores_against_a_plain_loop(spark):
         w1, b1, w2, b2 = m.layers
         z = np.maximum((x - m.center) / m.scale @ w1 + b1, 0) @ w2 + b2[0]
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z / m.temperature))) < 1e-3
+
+
+def test_edges_of_tokens():
+    import random
+    import re
+
+    plain = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+    r = random.Random(0)
+    for _ in range(3000):
+        t = "".join(r.choice("aZ9_é漢-!.\u0301'") for _ in range(r.randrange(0, 9)))
+        assert quality.edges(t) == plain.match(t).groups()
+
+
+def test_tokens_of_a_million_characters_take_linear_time(docs, spark):
+    import time
+
+    n = 1_000_000
+    odd = ["a" + "-" * n + "b", "-" * n, "-" * n + "a", "a" + "-" * n, "a" * n, ("a-" * n)[:n], "A" + "." * n + "1"]
+    began = time.perf_counter()
+    for t in odd:
+        quality.Slots().of(t)
+    assert time.perf_counter() - began < 10
+    d, labels = small(docs, spark)
+    model = quality.train(d, labels, F.lit(True))
+    assert quality.score(docs(odd), model).count() == len(odd)
