@@ -72,15 +72,16 @@ class Index:
     #: Largest impact of each term in each block of parts.
     part_blocks: np.ndarray
     block_size: int
+    #: Each part's row in ``rows``.
     item: list[int]
-    texts: dict[int, str]
+    rows: list[tuple[int, str]]
 
 
 def build(rows: list[tuple[int, str]], frequency: dict[str, int], n_parts: int, mean_length: float) -> Index:
     term: dict[str, int] = {}
     lists: list[list[tuple[int, float]]] = []
     item: list[int] = []
-    for item_id, part in sorted(((i, p) for i, t in rows for p in parts(t)), key=lambda x: len(x[1])):
+    for row, part in sorted(((k, p) for k, (_, t) in enumerate(rows) for p in parts(t)), key=lambda x: len(x[1])):
         counts: dict[str, int] = {}
         for w in part:
             counts[w] = counts.get(w, 0) + 1
@@ -94,7 +95,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[str, int], n_parts: int,
             if t == len(lists):
                 lists.append([])
             lists[t].append((len(item), x / own))
-        item.append(item_id)
+        item.append(row)
     postings = [np.array([p for p, _ in x], np.int64) for x in lists]
     impacts = [np.array([i for _, i in x]) for x in lists]
     size = max(1, min(BLOCK_PARTS, -(-len(item) // PART_BLOCKS)))
@@ -107,7 +108,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[str, int], n_parts: int,
         [p[np.minimum(c + POSTINGS_PER_BLOCK, len(p)) - 1] for p, c in zip(postings, cuts)],
         [np.maximum.reduceat(i, c) for i, c in zip(impacts, cuts)],
         np.array([i.max() for i in impacts] or [0.0]),
-        part_blocks, size, item, dict(rows),
+        part_blocks, size, item, rows,
     )
 
 
@@ -215,8 +216,8 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 def hits(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
     """One row for each document and benchmark item that it leaks: best passage score, and overlaps of question and answer.
 
-    Null and empty texts on either side match nothing, nor do items without an id. Repeated rows of a document are reported as often as they occur; repeated
-    item_ids are joined into one item per distinct text. Other columns are ignored; an empty table gives no rows. The corpus is read once for
+    Null and empty texts on either side match nothing, nor do items without an id. Repeated rows of a document are reported as often as they occur; different
+    texts of one item_id are searched and verified one by one, and the one of the best score is reported. Other columns are ignored; an empty table gives no rows. The corpus is read once for
     each ``ITEMS_PER_INDEX`` items, so that a broadcast index has a bound.
     """
     spark = docs.sparkSession
@@ -229,7 +230,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, least_overlap: float = LEAST_OVE
         n_items = rows.count()
         n_blocks = -(-n_items // ITEMS_PER_INDEX)
         for k in range(n_blocks):
-            block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+            block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
             used = block.mapInArrow(_part_terms, "part long, size int, terms array<string>").select(F.explode("terms").alias("term")).distinct()
             index = build(sorted(tuple(r) for r in block.collect()), {r["term"]: r["n"] for r in frequency.join(used, "term").collect()}, n_parts, mean_length)
             some = _search(docs, index, least_overlap)
@@ -248,7 +249,7 @@ def _search(docs: DataFrame, index: Index, least_overlap: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        wanted = {i: question_and_answer(t) for i, t in own.texts.items()}
+        wanted = [question_and_answer(t) for _, t in own.rows]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 found = [words(t) for t in part.column("text").to_pylist()]
@@ -257,15 +258,16 @@ def _search(docs: DataFrame, index: Index, least_overlap: float) -> DataFrame:
                     for p, s in wand(own, terms, LEAST_SCORE, first, stop):
                         key = d, own.item[p]
                         scores[key] = max(s, scores.get(key, 0.0))
-                out = []
+                found_hits: dict[tuple[int, int], tuple[float, float, float]] = {}
                 shingles: tuple[int, set, str] | None = None
                 for (d, i), s in sorted(scores.items()):
                     if shingles is None or shingles[0] != d:
                         shingles = d, {tuple(found[d][k : k + SHINGLE]) for k in range(len(found[d]) - SHINGLE + 1)}, f" {' '.join(found[d])} "
                     q, a = (overlap(w, *shingles[1:]) for w in wanted[i])
                     if q >= least_overlap and a >= least_overlap:
-                        out.append((d, i, s, q, a))
-                columns = list(zip(*out)) if out else [()] * 5
+                        key = d, own.rows[i][0]
+                        found_hits[key] = max((s, q, a), found_hits.get(key, (0.0, 0.0, 0.0)))
+                columns = list(zip(*((*k, *v) for k, v in found_hits.items()))) if found_hits else [()] * 5
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     bounded_batches(docs.sparkSession)

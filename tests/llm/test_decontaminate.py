@@ -89,3 +89,14 @@ def test_edges(docs, spark, clashing):
     kept = dec.clean(clashing(docs(rows)), benchmark)
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 4]
     assert dec.hits(docs(rows), benchmark.limit(0)).count() == 0 and dec.hits(docs(rows).limit(0), benchmark).count() == 0
+
+
+@pytest.mark.parametrize("per_index", [1, 10_000])
+def test_every_text_of_an_item_id_counts(docs, spark, monkeypatch, per_index):
+    monkeypatch.setattr(dec, "ITEMS_PER_INDEX", per_index)
+    r = random.Random(5)
+    items = [(1, sentence(r, 12)), (1, sentence(r, 14)), (1, sentence(r, 14)), (2, sentence(r, 12))]
+    rows = [(k, f"{sentence(r, 30)} {t} {sentence(r, 30)}") for k, (_, t) in enumerate(items)] + [(9, f"{items[0][1]} {sentence(r, 200)} {items[2][1]}")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in dec.hits(docs(rows), spark.createDataFrame(items, ITEMS)).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 2), (9, 1)]
+    assert [r["doc_id"] for r in dec.clean(docs([*rows, (10, "quite clean")]), spark.createDataFrame(items, ITEMS)).collect()] == [10]
