@@ -29,19 +29,29 @@ SAMPLE = 4096
 BLOCK = 2048
 CHUNK = 256
 SCALE = 1024
+#: Vectors of a larger squared norm (quantised) take no part: their products might not fit 64 bits.
+LARGEST = 4e18
 #: Annuli of a query that are expanded before its k-th score is looked at again.
 FIRST = 8
 LOWEST = np.iinfo(np.int64).min
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, vec array<long>``: floor(1024 x) of each component; vectors null, empty or with a null or non-finite component are left out."""
+    """``vec_id, vec array<long>``: floor(1024 x) of each component; vectors null, empty, with a null or non-finite component or of a squared norm over ``LARGEST`` are left out."""
     x = F.col("embedding").cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & good)
+    norm2 = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v * SCALE, F.lit(2.0)))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & good & (norm2 <= LARGEST))
     return rows.select("vec_id", F.transform("embedding", lambda v: F.floor(v * SCALE)).alias("vec"))
 
 
+def padded(vectors: DataFrame) -> tuple[DataFrame, int, int]:
+    """``vectors`` with zeros up to the longest one's length, how many there are, and that length; so shorter ones score by what they have in common."""
+    n, width = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    zeros = F.array_repeat(F.lit(0).cast("long"), F.lit(width or 0) - F.size("vec"))
+    return vectors.withColumn("vec", F.when(F.size("vec") == width, F.col("vec")).otherwise(F.concat("vec", zeros))), n, width
+
+
 def fit(vectors: np.ndarray, seed: int = 5, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Pivots (Lloyd's rounds from random rows) and each pivot's inner annulus edges (quantiles of its distances)."""
     rng = np.random.default_rng(seed)
@@ -178,16 +188,14 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     Ties go to the smaller vec_id; a query of fewer than k other rows gets all of them. Rows of an equal vec_id are not each other's
     candidates; repeated rows of a query are one query, and a candidate that repeats counts once. Vectors null or with null or
-    non-finite components, and rows of a null vec_id, take no part; nor do vectors of another length than most have (the longest such). Other columns are ignored; an empty table gives no rows.
+    non-finite components, empty ones, those of a squared norm over ``LARGEST`` and rows of a null vec_id take no part. Vectors of different lengths score by the components
+    that both have. Other columns are ignored; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
     out_type = "query_id long, rank int, vec_id long, score long"
-    vectors = quantised(embeddings)
-    lengths = vectors.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("m")).first()["m"]
-    if lengths is None:
+    vectors, n, width = padded(quantised(embeddings))
+    if not n:
         return spark.createDataFrame([], out_type)
-    n, width = lengths["n"], lengths["size"]
-    vectors = vectors.where(F.size("vec") == width)
     share = vectors if n <= SAMPLE else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
     sample = {r["vec_id"]: r["vec"] for r in share.collect() or vectors.limit(1).collect()}  # about SAMPLE rows
     pivots, edges = fit(np.array(list(sample.values()), np.int64))
@@ -233,8 +241,9 @@ with v as (
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and list_sum(list_transform(embedding, lambda x: pow(1024 * cast(x as double), 2))) <= 4e18
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.vec, c.vec, true), lambda z: z[1] * z[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id
   where q.vec_id % 100 = 0
 ), r as (

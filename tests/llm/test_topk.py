@@ -52,10 +52,26 @@ def test_large_components_stay_exact(spark):
     assert search(spark, rows) == brute(rows)
 
 
-def test_vectors_of_other_lengths_take_no_part(spark):
-    rows = [(i, [float(i % 7), 1.0, -0.5]) for i in range(50)]
-    odd = [(100, [1.0, 2.0]), (101, [1.0] * 6), (200, [5.0])]
-    assert search(spark, rows + odd) == brute(rows)
+def test_vectors_of_any_length_score_by_what_both_have(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(size=int(rng.integers(1, 7)))]) for i in range(300)]
+    got = search(spark, rows)
+    assert got == brute(rows) and len(got) == 30
+    for more in (rows + [(1000 + i, [1.0, 2.0]) for i in range(600)], rows + [(1000 + i, [0.5] * 9) for i in range(600)]):  # another commonest length
+        assert search(spark, more) == brute(more)
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    con.execute("create view embeddings as select vec_id, cast(embedding as float[]) as embedding from frame")
+    assert sorted(con.execute(topk.ORACLE).fetchall()) == got
+
+
+def test_products_beyond_64_bits_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e30, 0.0]), (2, [3e6, -1.0]), (3, [-1e6, 1e6]), (100, [1.9e6, 0.0])]
+    got = search(spark, rows)
+    assert got == brute([r for r in rows if r[0] not in (1, 2)]) and {r[2] for r in got} == {0, 3, 100}
 
 
 def test_expansion_is_ordered_and_stops():
