@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIXELS = "cube_id string, line int, sample int, spectrum array<float>"
+PIXELS_LONG = "cube_id string, band int, line int, sample int, value float"
 ROIS = (
     "roi_id int, kind string, xs array<int>, ys array<int>, radius int, color int, variety string, date string, brix float, notes string"
 )

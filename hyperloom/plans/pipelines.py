@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,24 +71,42 @@ SPECTRA = "cube_id string, roi_id int, mean array<double>"
 PROBLEMS = "file string, problem string"
 
 
-def by_shape(headers: list[str]) -> tuple[dict[tuple[int, int, int], list[str]], list[tuple[str, str]]]:
-    """Headers grouped by their cubes' (lines, samples, bands), and (file, problem) of those that can't be read."""
+def by_shape(spark: SparkSession, headers: list[str]) -> tuple[dict[tuple[int, int, int], list[str]], list[tuple[str, str]]]:
+    """Headers grouped by their cubes' (lines, samples, bands), and (file, problem) of those that can't be read. Tasks open them."""
+
+    def look(batches):
+        for batch in batches:
+            found = [_shape(p) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([e for _, e in found], pa.string())], names=["path", "shape", "problem"])
+
     shapes: dict[tuple[int, int, int], list[str]] = {}
     problems: list[tuple[str, str]] = []
-    for p in headers:
-        try:
-            h = envi.load_header(p)
-            envi.mapped(p, h)
-        except (ValueError, OSError) as e:
-            problems.append((p, str(e)))
-            continue
-        shapes.setdefault((h.lines, h.samples, h.bands), []).append(p)
+    if not headers:
+        return shapes, problems
+    tasks = min(len(headers), 10_000)
+    rows = spark.createDataFrame([(p,) for p in headers], "path string").repartition(tasks).mapInArrow(look, "path string, shape array<long>, problem string").collect()
+    for r in sorted(rows, key=lambda r: r["path"]):
+        if r["problem"] is not None:
+            problems.append((r["path"], r["problem"]))
+        else:
+            shapes.setdefault(tuple(r["shape"]), []).append(r["path"])
     return shapes, problems
 
 
+def _shape(header_path: str) -> tuple[list[int] | None, str | None]:
+    """Lines, samples and bands of a cube whose data file is there as a whole, or what is wrong with it."""
+    try:
+        h = envi.load_header(header_path)
+        store, at = envi.located(envi.binary_of(header_path))
+        short = envi.file_bytes(h) - store.get_file_info(at).size
+        return (None, f"the data file ends {short} bytes early") if short > 0 else ([h.lines, h.samples, h.bands], None)
+    except (ValueError, OSError) as e:
+        return None, str(e)
+
+
 def extract_all(spark: SparkSession, headers: list[str], options: BatchOptions, white: DataFrame | None = None, dark: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Spectra of cubes, a scan and a job for each shape among them; and the files left out, with their problems, as rows worked out when they are asked for."""
-    shapes, unreadable = by_shape(headers)
+    shapes, unreadable = by_shape(spark, headers)
     spectra, problems = spark.createDataFrame([], SPECTRA), spark.createDataFrame(unreadable, PROBLEMS)
     for paths in shapes.values():
         h = envi.load_header(paths[0])

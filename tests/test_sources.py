@@ -45,6 +45,117 @@ def test_reader(spark, tmp_path):
     assert list(envi.read(spark, f"{tmp_path}/a.hdr", bands="4,0").where("line = 1 and sample = 2").first()["spectrum"]) == [cube[4, 1, 2], cube[0, 1, 2]]
 
 
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+@pytest.mark.parametrize("data_type", [2, 5, 12])
+def test_blocks(tmp_path, interleave, data_type):
+    cube = make(tmp_path, "a", interleave, data_type, 1, 7)
+    h = envi.load_header(f"{tmp_path}/a.hdr")
+    store, at = envi.located(envi.binary_of(f"{tmp_path}/a.hdr"))
+    with store.open_input_file(at) as f:
+        for bands in ([0, 1, 2, 3, 4], [3], [4, 0]):
+            for first, last, left, right in ((0, 3, 0, 4), (1, 2, 0, 4), (1, 3, 1, 3), (2, 3, 3, 4)):
+                got = envi.block(f, h, bands, first, last, left, right)
+                assert (got == cube[bands][:, first:last, left:right].transpose(1, 2, 0)).all()
+    with open(f"{tmp_path}/a.raw", "ab") as f:
+        f.truncate(60)
+    with pytest.raises(ValueError, match="early"), store.open_input_file(at) as f:
+        envi.block(f, h, [0, 4], 0, 3, 0, 4)
+
+
+FILTERS = ["line = 1", "line >= 1 and line < 2", "line in (0, 2)", "line > 7", "1 >= line", "line = 1 or sample = 2", "cube_id = 'b'", "cube_id = 'a' and line <=> 2", "line is not null", "sample = 3", "sample between 1 and 2 and line = 0"]
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_plain_filters_reach_the_file(spark, tmp_path, interleave):
+    make(tmp_path, "a", interleave)
+    whole = envi.read(spark, f"{tmp_path}/a.hdr")
+    rows = {(r["cube_id"], r["line"], r["sample"]): list(r["spectrum"]) for r in whole.collect()}
+    cells = envi.read(spark, f"{tmp_path}/a.hdr", layout="long")
+    sums = {(r["band"], r["line"], r["sample"]): r["value"] for r in cells.collect()}
+    assert sums == {(b, line, sample): v for (_, line, sample), x in rows.items() for b, v in enumerate(x)}
+    for condition in FILTERS:
+        some = envi.read(spark, f"{tmp_path}/a.hdr").where(condition)
+        kept = {(r["cube_id"], r["line"], r["sample"]): list(r["spectrum"]) for r in some.collect()}
+        local = spark.createDataFrame([(*k, v) for k, v in rows.items()], PIXELS).where(condition)
+        assert kept == {(r["cube_id"], r["line"], r["sample"]): list(r["spectrum"]) for r in local.collect()}
+        assert (" or " in condition) == ("Filter (" in some._jdf.queryExecution().executedPlan().toString())
+    long = {(r["band"], r["line"], r["sample"]): r["value"] for r in cells.where("band in (1, 4) and line = 2 and sample <> 0").collect()}
+    assert long == {k: v for k, v in sums.items() if k[0] in (1, 4) and k[1] == 2 and k[2] != 0}
+
+
+def test_bytes_that_filters_leave(tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, Not
+
+    sizes = []
+    real = envi.read_at
+    monkeypatch.setattr(envi, "read_at", lambda f, at, size: sizes.append(size) or real(f, at, size))
+
+    def read(filters, interleave, **options):
+        make(tmp_path, "a", interleave)
+        r = envi._Reader({"path": f"{tmp_path}/a.hdr", **options})
+        rest = list(r.pushFilters(filters))
+        sizes.clear()
+        n = sum(b.num_rows for p in r.partitions() for b in r.read(p))
+        return n, sum(sizes), len(rest)
+
+    line, sample, band = EqualTo(("line",), 1), EqualTo(("sample",), 2), EqualTo(("band",), 3)
+    for interleave in ("bsq", "bil", "bip"):
+        assert read([], interleave) == (12, 120, 0)
+        assert read([line], interleave) == (4, 40, 0)
+        assert read([line, sample], interleave)[:2] == (1, 10)
+        assert read([In(("line",), (0, 2)), Not(line)], interleave) == (8, 80, 1)
+        assert read([GreaterThan(("line",), 5)], interleave) == (0, 0, 0)
+        assert read([band], interleave) == (12, 120, 1)  # a whole spectrum's column
+        assert read([], interleave, bands="3")[1] == (120 if interleave == "bip" else 24)
+        assert read([band, line], interleave, layout="long")[:2] == (4, 40 if interleave == "bip" else 8)
+        assert read([EqualTo(("cube_id",), "b")], interleave) == (0, 0, 0)
+
+
+def test_a_failed_write_leaves_the_older_file(spark, tmp_path):
+    h = Header(4, 30, 5, interleave="bsq", wavelengths=(1, 2, 3, 4, 5))
+    rows = spark.range(120, numPartitions=6).selectExpr("'c' as cube_id", "cast(id div 4 as int) as line", "cast(id % 4 as int) as sample", "transform(sequence(1, 5), b -> cast(b * id as float)) as spectrum")
+    envi.write(rows, h, f"{tmp_path}/out")
+    key = lambda d: sorted((r["line"], r["sample"], list(r["spectrum"])) for r in d.collect())
+    old = key(envi.read(spark, f"{tmp_path}/out.hdr"))
+    assert old == key(rows)
+    bad = rows.selectExpr("cube_id", "line", "sample", "case when line = 17 then array(cast(raise_error('lost') as float)) else transform(spectrum, v -> v + 1) end as spectrum")
+    with pytest.raises(Exception, match="lost"):
+        envi.write(bad, h, f"{tmp_path}/out")
+    assert key(envi.read(spark, f"{tmp_path}/out.hdr")) == old
+    # two tasks with a line in common, lines out of order, and cells beyond the header
+    for odd in (rows.repartition(3), rows.orderBy("line").union(rows.where("line = 3")), rows.selectExpr("cube_id", "line + 5 as line", "sample", "spectrum").coalesce(1)):
+        with pytest.raises(Exception):
+            odd.select("line", "sample", "spectrum").write.format("envi").mode("overwrite").options(header=envi.header_text(h)).save(f"{tmp_path}/out")
+    assert key(envi.read(spark, f"{tmp_path}/out.hdr")) == old
+    assert sorted(os.listdir(tmp_path)) == ["out.hdr", "out.raw"]
+    with pytest.raises(Exception, match="overwrite"):
+        rows.select("line", "sample", "spectrum").coalesce(1).write.format("envi").mode("append").options(header=envi.header_text(h)).save(f"{tmp_path}/out")
+    envi.write(rows.where("line in (3, 29)"), h, f"{tmp_path}/out")
+    got = {r["line"]: sum(r["spectrum"]) for r in envi.read(spark, f"{tmp_path}/out.hdr").where("sample = 1").collect()}
+    assert len(got) == 30 and {k for k, v in got.items() if v} == {3, 29}
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_chunks_and_types_written(spark, tmp_path, interleave, monkeypatch):
+    """Chunks of a line or two, whole numbers, both byte orders."""
+    x = np.arange(7 * 3 * 2).reshape(7, 3, 2)
+    h = Header(3, 7, 2, data_type=12, interleave=interleave, byte_order=1)
+    w = envi.Writer({"path": f"{tmp_path}/o.hdr", "header": envi.header_text(h)}, True)
+    monkeypatch.setattr(envi, "CHUNK_BYTES", 20)
+
+    def batch(lines):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_pydict({"line": pa.array(np.repeat(lines, 3)), "sample": pa.array(np.tile(range(3), len(lines))), "spectrum": [x[i, s].astype(float).tolist() for i in lines for s in range(3)]})
+
+    lost = w.write(iter([batch([0, 1])]))  # an attempt that doesn't count
+    w.commit([w.write(iter([batch([4]), batch([5, 6])])), w.write(iter([])), None, w.write(iter([batch([0, 1, 2])]))])
+    assert lost.chunks and sorted(os.listdir(tmp_path)) == ["o.hdr", "o.raw"]
+    back = np.asarray(envi.mapped(f"{tmp_path}/o.hdr", envi.load_header(f"{tmp_path}/o.hdr")))
+    x[3] = 0
+    assert (back == x.transpose(2, 0, 1)).all()
+
+
 def test_headers():
     h = envi.parse_header("ENVI\nbands = 2\nband names = { b 410.5, b 420 }\ninterleave = xyz\n")
     assert h.wavelengths == (410.5, 420) and h.interleave == "bil" and h.band_names == ("b 410.5", "b 420")
