@@ -47,34 +47,38 @@ _BRACKET = 0.002
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: list[tuple[str, float, str]]) -> DataFrame:
     """``keys`` and one exact order statistic a column: (name, percent, convention) of ``wanted``; null values are skipped.
 
-    No group is ever sorted as a whole: approximate percentiles bracket each rank. A row is counted once, by how many brackets begin at or below it; only rows within a
-    bracket are also counted by their values, which alone are ordered.
+    No group is ever sorted as a whole: one sketch brackets all ranks, a second pass counts what lies below each bracket without leaving code generation, and a third one
+    orders the few values within the brackets alone.
     """
     order = sorted(wanted, key=lambda w: w[1])
+    at = range(len(order))
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    low = [max(0.0, p / 100 - _BRACKET) for _, p, _ in order]
-    high = [min(1.0, p / 100 + _BRACKET) for _, p, _ in order]
-    accuracy = int(4 / _BRACKET)
-    stats = rows.groupBy(*keys).agg(F.percentile_approx("__v", low, accuracy).alias("__lo"), F.percentile_approx("__v", high, accuracy).alias("__hi"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-    ends = [(F.col("__min") if low[i] <= 0 else F.col("__lo")[i]).alias(f"__lo{i}") for i in range(len(order))]
-    ends += [(F.col("__max") if high[i] >= 1 else F.col("__hi")[i]).alias(f"__hi{i}") for i in range(len(order))]
-    stats = stats.select(*keys, *ends)
-    joined = rows.join(stats, keys) if keys else rows.crossJoin(F.broadcast(stats))  # one row
+    cuts = [c for _, p, _ in order for c in (max(0.0, p / 100 - _BRACKET), min(1.0, p / 100 + _BRACKET))]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", cuts, int(2 / _BRACKET)).alias("__q"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    low = [F.col("__min") if cuts[2 * i] <= 0 else F.col("__q")[2 * i] for i in at]
+    high = [F.col("__max") if cuts[2 * i + 1] >= 1 else F.col("__q")[2 * i + 1] for i in at]
+    ends = [c.alias(f"__{n}{i}") for i in at for n, c in (("lo", low[i]), ("hi", high[i]))]
+    brackets = sketch.select(*keys, *ends)
+    met = lambda some: rows.join(some, keys) if keys else rows.crossJoin(F.broadcast(some))  # noqa: E731  (a row a group)
     v = F.col("__v")
-    begun = sum((v >= F.col(f"__lo{i}")).cast("int") for i in range(len(order)))
-    one = lambda i, x: F.struct(F.lit(i).alias("__i"), x.alias("__x"))
-    inside = [F.when(v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), one(i, v)) for i in range(len(order))]
-    some = F.explode(F.array_compact(F.array(F.struct((-1 - begun).alias("__i"), F.lit(None).cast(rows.schema["__v"].dataType).alias("__x")), *inside)))
-    counted = joined.select(*keys, some.alias("__s")).groupBy(*keys, "__s").agg(F.count("*").alias("__c")).select(*keys, "__s.*", "__c")
-    whole = counted.where("__i < 0")
-    below = [F.coalesce(F.sum(F.when(-1 - F.col("__i") <= i, F.col("__c"))), F.lit(0)).alias(f"__b{i}") for i in range(len(order))]
-    totals = whole.groupBy(*keys).agg(F.sum("__c").alias("__n"), *below)
-    pick = lambda f: F.element_at(F.array(*[f(i) for i in range(len(order))]), F.col("__i") + 1)
-    near = counted.where("__i >= 0")
-    near = near.join(totals, keys) if keys else near.crossJoin(F.broadcast(totals))
-    place = Window.partitionBy(*keys, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("__upto", F.sum("__c").over(place) + pick(lambda i: F.col(f"__b{i}"))).withColumn("__k", pick(lambda i: rank_index(F.col("__n"), *order[i][1:])))
-    found = near.where("__upto > __k")
-    picked = {name: F.min(F.when(F.col("__i") == i, F.col("__x"))).alias(name) for i, (name, _, _) in enumerate(order)}
+    below = [F.count(F.when(v < F.col(f"__lo{i}"), 1)).alias(f"__b{i}") for i in at]
+    kept = [F.first(f"__{n}{i}").alias(f"__{n}{i}") for i in at for n in ("lo", "hi")]
+    totals = met(brackets).groupBy(*keys).agg(F.count("*").alias("__n"), *below, *kept)
+    inside = [v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in at]
+    near = met(totals).where(_any(inside))
+    of = F.explode(F.filter(F.array(*[F.when(inside[i], F.lit(i)) for i in at]), lambda i: i.isNotNull()))
+    pick = lambda f: F.element_at(F.array(*[f(i) for i in at]), F.col("__i") + 1)
+    near = near.withColumn("__i", of).select(*keys, "__i", "__v", pick(lambda i: F.col(f"__b{i}")).alias("__b"), pick(lambda i: rank_index(F.col("__n"), *order[i][1:])).alias("__k"))
+    counted = near.groupBy(*keys, "__i", "__v").agg(F.count("*").alias("__c"), F.first("__b").alias("__b"), F.first("__k").alias("__k"))
+    place = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("__upto", F.sum("__c").over(place) + F.col("__b")).where("__upto > __k")
+    picked = {name: F.min(F.when(F.col("__i") == i, v)).alias(name) for i, (name, _, _) in enumerate(order)}
     picked = [picked[name] for name, _, _ in wanted]
     return found.groupBy(*keys).agg(*picked) if keys else found.agg(*picked)
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out

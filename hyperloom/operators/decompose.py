@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .preprocess import doubles
+from .roi import select_pixels
 from .stats import cross_products, pixel_stats
 
 
@@ -24,10 +26,14 @@ class Moments:
 
 
 def moments(pixels: DataFrame) -> Moments:
-    """Count, mean and centred cross products of the rows without an invalid value, in one pass; merged before they reach the driver."""
+    """Count, mean and centred cross products of the rows without an invalid value, of all cubes together, in one pass; merged before they reach the driver."""
     found = cross_products(pixels.withColumn("cube_id", F.lit("all"))).first()
     if found is None or not found["n"]:
         raise ValueError("no valid rows")
+    return _moments(found)
+
+
+def _moments(found) -> Moments:
     mean = np.array(found["mean"])
     return Moments(found["n"], mean, np.array(found["scatter"]).reshape(len(mean), -1))
 
@@ -45,7 +51,10 @@ def principal(pixels: DataFrame, k: int, compat: str | None = None) -> Component
 
     ``compat="jacobi100"`` stops a Jacobi solver after 100 rotations in all.
     """
-    m = moments(pixels)
+    return components_of(moments(pixels), k, compat)
+
+
+def components_of(m: Moments, k: int, compat: str | None = None) -> Components:
     if k > len(m.mean):
         raise ValueError("more components than bands")
     cov = m.scatter / max(1, m.n - 1)
@@ -89,6 +98,38 @@ def project(pixels: DataFrame, components: Components, centred: bool) -> DataFra
     return pixels.select(*names, doubles().alias("spectrum")).mapInArrow(run, schema)
 
 
+def project_each(pixels: DataFrame, k: int, centred: bool = True) -> DataFrame:
+    """``scores`` beside the pixels' other columns, by the k components of each pixel's own cube. Cubes without a valid pixel have no rows.
+
+    Tasks fit a cube's components where its moments are merged; they meet its pixels by a join on cube_id, of a table that is stored first, so that it is broadcast if small.
+    """
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["n"]:
+                    c = components_of(_moments(r), k)
+                    yield pa.RecordBatch.from_pydict({"cube_id": [r["cube_id"]], "__mean": [c.mean.tolist()], "__loadings": [c.loadings.T.ravel().tolist()]})
+
+    fitted = stored(cross_products(pixels).mapInArrow(fit, "cube_id string, __mean array<double>, __loadings array<double>"), "components")
+    names = [c for c in pixels.columns if c != "spectrum"]
+    schema = pixels.select(*names, doubles().alias("scores")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column("cube_id").to_pylist(), object)
+            for cube in dict.fromkeys(ids.tolist()):
+                some = batch.filter(pa.array(ids == cube))
+                x, mean, loadings = (np.asarray(some.column(c).slice(0, n).flatten(), dtype=float) for c, n in (("spectrum", len(some)), ("__mean", 1), ("__loadings", 1)))
+                x = x.reshape(len(some), -1)
+                t = np.where(np.isfinite(x), x - (mean if centred else 0), 0) @ loadings.reshape(k, -1).T
+                out = pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, k, dtype=np.int32)), pa.array(t.ravel()))
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), out], names=[*names, "scores"])
+
+    wide = pixels.select(*names, doubles().alias("spectrum")).join(fitted, "cube_id")
+    return wide.select(*names, "spectrum", "__mean", "__loadings").mapInArrow(run, schema)
+
+
 def refit_without(rows: DataFrame, outliers: list, k: int, key: str = "id") -> tuple[DataFrame, Components]:
     """The rows without the named samples, and components fitted again on what is left."""
     left = rows.where(~F.col(key).isin(outliers))
@@ -96,16 +137,17 @@ def refit_without(rows: DataFrame, outliers: list, k: int, key: str = "id") -> t
 
 
 def scaled(scores: DataFrame, k: int) -> DataFrame:
-    """Each component from 0 to 1 over all rows; a range under 1e-9 counts as 1."""
-    ends = scores.agg(*[f(F.col("scores")[i]).alias(f"{n}{i}") for i in range(k) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    one = lambda i: (F.col("scores")[i] - F.col(f"lo{i}")) / F.when(F.col(f"hi{i}") - F.col(f"lo{i}") < 1e-9, F.lit(1.0)).otherwise(F.col(f"hi{i}") - F.col(f"lo{i}"))
-    wide = scores.crossJoin(F.broadcast(ends))
+    """Each component from 0 to 1 over all rows of its cube; a range under 1e-9 counts as 1."""
+    ends = scores.groupBy("cube_id").agg(*[f(F.col("scores")[i]).alias(f"__{n}{i}") for i in range(k) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    one = lambda i: (F.col("scores")[i] - F.col(f"__lo{i}")) / F.when(F.col(f"__hi{i}") - F.col(f"__lo{i}") < 1e-9, F.lit(1.0)).otherwise(F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+    # of a known size: broadcast if small
+    wide = scores.join(stored(ends, "ranges"), "cube_id")
     return wide.withColumn("scores", F.array(*[one(i) for i in range(k)])).select(*scores.columns)
 
 
 def analysed(pixels: DataFrame, k: int = 10, mask: DataFrame | None = None) -> DataFrame:
     """``cube_id, line, sample, spectrum``: mean, min, max and range of each pixel, then k components fitted under the mask, not centred, scaled 0 to 1."""
-    fit_on = pixels if mask is None else pixels.join(mask.select("line", "sample").distinct(), ["line", "sample"], "left_semi")
+    fit_on = select_pixels(pixels, mask)
     components = principal(fit_on, k)
     scores = scaled(project(pixels.select("cube_id", "line", "sample", "spectrum"), components, centred=False), k)
     stats = pixel_stats(pixels)
@@ -116,7 +158,7 @@ def pca_rgb(pixels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """First three components, centred, each scaled to 0 ... 255, as r, g, b; fitted under the mask or on every fourth line and sample."""
     from ..functions.color import to_byte
 
-    fit_on = pixels.where("line % 4 = 0 and sample % 4 = 0") if mask is None else pixels.join(mask.select("line", "sample").distinct(), ["line", "sample"], "left_semi")
+    fit_on = pixels.where("line % 4 = 0 and sample % 4 = 0") if mask is None else select_pixels(pixels, mask)
     scores = scaled(project(pixels.select("cube_id", "line", "sample", "spectrum"), principal(fit_on, 3), centred=True), 3)
     return scores.select("cube_id", "line", "sample", *[to_byte(F.col("scores")[i]).alias(n) for i, n in enumerate("rgb")])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import band_hue, clamp, colormap, dimmed, gamma, hue_color, jet, stretch, to_byte
 from ..functions.valid import nearest_rank, valid
 from ..model import RenderOptions
-from .roi import extremes
+from .roi import extremes, place, spots
 from .stats import band_minmax
 
 
@@ -44,8 +44,8 @@ def render_rgb(pixels: DataFrame, bands: tuple[int, int, int], options: RenderOp
 def masked_render(pixels: DataFrame, band: int, mask: DataFrame, name: str = "rainbow") -> DataFrame:
     """Colours within the mask, stretched between its own extremes; gray at a quarter of the brightness elsewhere."""
     ends = band_minmax(pixels, mask=mask).where(F.col("band") == band).select("cube_id", F.col("min").alias("lo"), F.col("max").alias("hi"))
-    inside = mask.select("line", "sample").distinct().withColumn("on", F.lit(True))
-    v = pixels.select("cube_id", "line", "sample", F.col("spectrum")[band].cast("double").alias("v")).join(ends, "cube_id").join(inside, ["line", "sample"], "left")
+    inside = spots(mask, pixels).withColumn("on", F.lit(True))
+    v = pixels.select("cube_id", "line", "sample", F.col("spectrum")[band].cast("double").alias("v")).join(ends, "cube_id").join(inside, place(mask, pixels), "left")
     t = F.when(F.isnan("v"), F.lit(0.0)).otherwise(stretch(F.col("v"), F.col("lo"), F.col("hi"), 0.0, 1e-6))
     gray = dimmed(t, 0.25)
     c = F.when(F.col("on"), colormap(t, name)).otherwise(F.struct(*[gray.alias(n) for n in "rgb"]))
@@ -55,13 +55,13 @@ def masked_render(pixels: DataFrame, band: int, mask: DataFrame, name: str = "ra
 def prediction_render(predicted: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """A prediction map between its 2nd and 98th percentile; outside the mask, band 0 as gray at a fifth."""
     v = predicted.select("cube_id", "line", "sample", F.col("spectrum")[0].cast("double").alias("gray"), F.col("prediction").alias("v"))
-    within = v if mask is None else v.join(mask.select("line", "sample").distinct(), ["line", "sample"], "left_semi")
+    within = v if mask is None else v.join(spots(mask, v), place(mask, v), "left_semi")
     ends = nearest_rank(within.withColumn("v", valid(F.col("v"))), ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")])
     out = v.join(ends, "cube_id", "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
     t = stretch(F.col("v"), F.col("lo"), F.col("hi"), 1e-4, 1.0)
     on = F.lit(True)
     if mask is not None:
-        out = out.join(mask.select("line", "sample").distinct().withColumn("on", F.lit(True)), ["line", "sample"], "left")
+        out = out.join(spots(mask, out).withColumn("on", F.lit(True)), place(mask, out), "left")
         on = F.coalesce("on", F.lit(False))
     dark = dimmed(F.when(F.isnan("gray"), F.lit(0.0)).otherwise(F.col("gray")), 0.2)
     return out.select("cube_id", "line", "sample", F.when(on, jet(t)).otherwise(F.struct(*[dark.alias(n) for n in "rgb"])).alias("c")).select("cube_id", "line", "sample", "c.*")
@@ -69,9 +69,9 @@ def prediction_render(predicted: DataFrame, mask: DataFrame | None = None) -> Da
 
 def overlay(gray: DataFrame, mask: DataFrame) -> DataFrame:
     """A gray image with the mask in green."""
-    on = mask.select("line", "sample").distinct().withColumn("on", F.lit(True))
+    on = spots(mask, gray).withColumn("on", F.lit(True))
     g = F.col("gray")
-    return gray.join(on, ["line", "sample"], "left").select("cube_id", "line", "sample", F.when(F.col("on"), 0).otherwise(g).alias("r"), F.when(F.col("on"), 255).otherwise(g).alias("g"), F.when(F.col("on"), 0).otherwise(g).alias("b"))
+    return gray.join(on, place(mask, gray), "left").select("cube_id", "line", "sample", F.when(F.col("on"), 0).otherwise(g).alias("r"), F.when(F.col("on"), 255).otherwise(g).alias("g"), F.when(F.col("on"), 0).otherwise(g).alias("b"))
 
 
 def faces(pixels: DataFrame, mask: DataFrame, lo: float, hi: float, bands: int) -> DataFrame:
@@ -80,8 +80,8 @@ def faces(pixels: DataFrame, mask: DataFrame, lo: float, hi: float, bands: int)
     sides = []
     for face, along, end in (("top", "line", "first"), ("bottom", "line", "last"), ("left", "sample", "first"), ("right", "sample", "last")):
         other = "sample" if along == "line" else "line"
-        outer = extremes(mask, along).select(other, F.col(end).alias(along))
-        cells = pixels.join(outer, ["line", "sample"]).select(F.lit(face).alias("face"), F.posexplode("spectrum").alias("band", "v"), F.col(other).alias("at"))
+        outer = extremes(mask, along).withColumnRenamed(end, along)
+        cells = pixels.join(spots(outer, pixels), place(outer, pixels)).select(F.lit(face).alias("face"), F.posexplode("spectrum").alias("band", "v"), F.col(other).alias("at"))
         sides.append(cells)
     out = sides[0].union(sides[1]).union(sides[2]).union(sides[3])
     i = 0.25 + 0.75 * clamp((F.col("v").cast("double") - lo) / width)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import stretch
@@ -17,6 +17,7 @@ from ..functions.valid import nearest_rank, valid
 from ..model import SegmentationParams
 from ..shared import stored
 from .graph import components
+from .numbering import numbered
 
 #: The 5 x 5 ellipse as (line, sample) offsets.
 ELLIPSE = [(dy, dx) for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2) if abs(dy) < 2 or dx == 0]
@@ -104,26 +105,31 @@ def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -
     return mask
 
 
-#: Lines of an image that one task labels at a time.
-STRIP = 256
+#: Lines and samples of the tiles in which tasks join pixels; an image of any height and width is many of them.
+STRIP, COLUMN = 256, 4096
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows, or one group if that is longer, from batches sorted by ``keys``; no group is in two of them."""
-    held: list[pa.RecordBatch] = []
+    """Tables of about ``rows`` rows, or one group if that is longer, from batches sorted by ``keys``; no group is in two of them. Each batch is looked at once."""
+    done: list[pa.RecordBatch] = []
+    current: list[pa.RecordBatch] = []
+    at = None
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+        if not batch.num_rows:
             continue
-        table = pa.Table.from_batches(held)
-        last = [table.column(k)[-1].as_py() for k in keys]
-        same = np.logical_and.reduce([pc.equal(table.column(k), v).to_numpy() for k, v in zip(keys, last)])
+        last = tuple(batch.column(k)[-1].as_py() for k in keys)
+        same = np.logical_and.reduce([pc.equal(batch.column(k), v).to_numpy(zero_copy_only=False) for k, v in zip(keys, last)])
         begin = int(np.argmax(same))
-        if begin:
-            yield table.slice(0, begin)
-            held = table.slice(begin).to_batches()
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held)
+        if begin or last != at:
+            done += current + ([batch.slice(0, begin)] if begin else [])
+            current = []
+            if sum(b.num_rows for b in done) >= rows:
+                yield pa.Table.from_batches(done)
+                done = []
+        current.append(batch.slice(begin))
+        at = last
+    if done or current:
+        yield pa.Table.from_batches(done + current)
 
 
 def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
@@ -157,68 +163,129 @@ def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.n
     return y, a, b, np.array([find(i) for i in range(len(root))])
 
 
-def labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """``cube_id, line, sample, label``: connected components, numbered from 1 in the order of their first pixel (by line, then sample).
+_TILE = ["cube_id", "strip", "col"]
+_RUNS = "cube_id string, strip int, col int, line int, a int, b int, part int"
+
+
+def _tile_of(line: Column, sample: Column) -> list[Column]:
+    return [F.floor(line / STRIP).cast("int").alias("strip"), F.floor(sample / COLUMN).cast("int").alias("col")]
+
 
-    Tasks join what touches within strips of ``STRIP`` lines; only contacts across the strips' edges are links of a distributed components job, between numbers given to the strips' parts.
+def _off_runs(line: np.ndarray, sample: np.ndarray, lines: range, samples: range) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of a tile that aren't on."""
+    off = np.ones((len(lines), len(samples)), bool)
+    off[line - lines.start, sample - samples.start] = False
+    y, x = np.nonzero(off)
+    return y + lines.start, x + samples.start
+
+
+def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None) -> DataFrame:
+    """Runs of pixels (line, first and last sample), with the number of the part of their tile that they belong to: the runs of a part touch within the tile.
+
+    ``background``: lines and samples of the images, whose other pixels are taken instead.
     """
-    reach = 1 if connectivity == 8 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["cube_id", "strip"]):
-            cube, strip = table.column("cube_id").combine_chunks(), table.column("strip").to_numpy()
+        for table in _whole_groups(batches, _TILE):
+            cube, strip, col = table.column("cube_id").combine_chunks(), table.column("strip").to_numpy(), table.column("col").to_numpy()
             code = cube.dictionary_encode().indices.to_numpy()
-            new = np.r_[True, (code[1:] != code[:-1]) | (strip[1:] != strip[:-1])]
-            group = np.cumsum(new) - 1
-            # strips of one table lie below each other, a line apart
-            top = group * (STRIP + 1) - strip.astype(np.int64) * STRIP
-            line, sample = table.column("line").to_numpy() + top, table.column("sample").to_numpy()
-            once = np.r_[True, (line[1:] != line[:-1]) | (sample[1:] != sample[:-1])]
-            y, a, b, root = _joined_runs(line[once], sample[once], reach)
-            of = y // (STRIP + 1)
-            first_row = np.flatnonzero(new)[of]
-            part = root - np.searchsorted(of, of)  # counted from its strip's first run
-            yield pa.RecordBatch.from_arrays(
-                [cube.take(pa.array(first_row)), *(pa.array(v.astype(np.int32)) for v in (strip[first_row], y - top[first_row], a, b, part))], names=["cube_id", "strip", "line", "a", "b", "part"]
-            )
-
-    strips = mask.select("cube_id", F.floor(F.col("line") / STRIP).cast("int").alias("strip"), F.col("line").cast("int").alias("line"), F.col("sample").cast("int").alias("sample"))
-    spread = strips.repartition("cube_id", "strip").sortWithinPartitions("cube_id", "strip", "line", "sample")
-    runs = stored(spread.mapInArrow(run, "cube_id string, strip int, line int, a int, b int, part int"), "runs")
-    parts = runs.groupBy("cube_id", "strip", "part").agg(F.min(F.struct("line", "a")).alias("first"))
+            new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (strip[1:] != strip[:-1]) | (col[1:] != col[:-1])])
+            line, sample = table.column("line").to_numpy(), table.column("sample").to_numpy()
+            if background:
+                found = []
+                for k, (i, j) in enumerate(zip(new, np.r_[new[1:], len(line)])):
+                    tops, lefts = (range(int(n) * size, min((int(n) + 1) * size, most)) for n, size, most in ((strip[i], STRIP, background[0]), (col[i], COLUMN, background[1])))
+                    own = line[i:j] >= 0  # but for the row that stands for the tile itself
+                    y, x = _off_runs(line[i:j][own], sample[i:j][own], tops, lefts)
+                    found.append((np.full(len(y), k), y, x))
+                of, line, sample = (np.concatenate(c) for c in zip(*found))
+            else:
+                of = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(line)]))
+            if not len(line):
+                continue
+            # tiles of one table lie below each other, a line apart
+            top = of * (STRIP + 1) - strip[new[of]].astype(np.int64) * STRIP
+            y = line + top
+            once = np.r_[True, (y[1:] != y[:-1]) | (sample[1:] != sample[:-1])]
+            y, a, b, root = _joined_runs(y[once], sample[once], reach)
+            tile = y // (STRIP + 1)
+            row = new[tile]
+            part = root - np.searchsorted(tile, tile)  # counted from its tile's first run
+            line_of = y - tile * (STRIP + 1) + strip[row].astype(np.int64) * STRIP
+            yield pa.RecordBatch.from_arrays([cube.take(pa.array(row)), *(pa.array(v.astype(np.int32)) for v in (strip[row], col[row], line_of, a, b, part))], names=[*_TILE, "line", "a", "b", "part"])
+
+    line, sample = F.col("line").cast("int"), F.col("sample").cast("int")
+    tiles = mask.select("cube_id", *_tile_of(line, sample), line.alias("line"), sample.alias("sample"))
+    if background:
+        count = [(n + size - 1) // size for n, size in zip(background, (STRIP, COLUMN))]
+        every = mask.select("cube_id").distinct().select("cube_id", F.explode(F.sequence(F.lit(0), F.lit(count[0] - 1))).alias("strip"))
+        every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(count[1] - 1))).alias("col"), F.lit(-1).alias("line"), F.lit(-1).alias("sample"))
+        tiles = tiles.union(every)
+    spread = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "line", "sample")
+    return stored(spread.mapInArrow(run, _RUNS), "runs")
+
+
+def _rooted(runs: DataFrame, reach: int) -> DataFrame:
+    """``cube_id, strip, col, part, id, first, root`` of each part: its first run and the smallest id among the parts that it is connected to.
+
+    Only pixels at the tiles' edges are looked at: each is joined with the neighbours after it in reading order that lie in another tile.
+    """
+    keys = [*_TILE, "part"]
+    parts = runs.groupBy(*keys).agg(F.min(F.struct("line", "a")).alias("first"))
     parts = stored(parts.withColumn("id", F.monotonically_increasing_id()), "parts")
-    keys = ["cube_id", "strip", "part"]
-    last, first = runs.where(F.col("line") % STRIP == STRIP - 1), runs.where(F.col("line") % STRIP == 0)
-    below = first.select("cube_id", (F.col("line") - 1).alias("line"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("strip").alias("strip2"), F.col("part").alias("part2"))
-    touching = last.join(below, ["cube_id", "line"]).where((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach)).select(*keys, "strip2", "part2").distinct()
-    two = parts.select("cube_id", F.col("strip").alias("strip2"), F.col("part").alias("part2"), F.col("id").alias("b"))
-    links = stored(touching.join(parts.select(*keys, F.col("id").alias("a")), keys).join(two, ["cube_id", "strip2", "part2"]).select("a", "b"), "contacts")
-    root = F.col("id")
-    if not links.isEmpty():
-        parts = parts.join(components(links).withColumnRenamed("node", "id"), "id", "left")
-        root = F.coalesce("component", "id")
-    named = parts.withColumn("root", root)
-    numbers = named.groupBy("cube_id", "root").agg(F.min("first").alias("first")).withColumn("label", F.row_number().over(Window.partitionBy("cube_id").orderBy("first")))
-    of_part = named.join(numbers.select("cube_id", "root", "label"), ["cube_id", "root"]).select(*keys, "label")
+    row, left, right = F.pmod("line", F.lit(STRIP)), F.pmod("a", F.lit(COLUMN)) == 0, F.pmod("b", F.lit(COLUMN)) == COLUMN - 1
+    sides = F.array_distinct(F.array_compact(F.array(F.when(left, F.col("a")), F.when(right, F.col("b")))))
+    edge = runs.where((row == 0) | (row == STRIP - 1) | left | right)
+    edge = edge.select(*keys, "line", F.explode(F.when((row == 0) | (row == STRIP - 1), F.sequence("a", "b")).otherwise(sides)).alias("sample"))
+    after = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if reach else [])
+    seen = edge.withColumn("o", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in after])))
+    seen = seen.select(*keys, (F.col("line") + F.col("o.dy")).alias("line"), (F.col("sample") + F.col("o.dx")).alias("sample"))
+    strip, col = _tile_of(F.col("line"), F.col("sample"))
+    seen = seen.where((strip != F.col("strip")) | (col != F.col("col")))
+    other = edge.select("cube_id", "line", "sample", *[F.col(k).alias(f"{k}2") for k in keys[1:]])
+    touching = seen.join(other, ["cube_id", "line", "sample"]).select(*keys, *[f"{k}2" for k in keys[1:]]).distinct()
+    two = parts.select("cube_id", *[F.col(k).alias(f"{k}2") for k in keys[1:]], F.col("id").alias("b"))
+    links = stored(touching.join(parts.select(*keys, F.col("id").alias("a")), keys).join(two, ["cube_id", *[f"{k}2" for k in keys[1:]]]).select("a", "b"), "contacts")
+    if links.isEmpty():
+        return parts.withColumn("root", F.col("id"))
+    return parts.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+
+
+def labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
+    """``cube_id, line, sample, label``: connected components, numbered from 1 in the order of their first pixel (by line, then sample).
+
+    Tasks join what touches within tiles of ``STRIP`` lines and ``COLUMN`` samples; only contacts across the tiles' edges are links of a distributed components job, between numbers given to the tiles' parts.
+    """
+    reach = 1 if connectivity == 8 else 0
+    runs = _runs(mask, reach)
+    named = stored(_rooted(runs, reach), "components")
+    firsts = named.groupBy("cube_id", "root").agg(F.min("first").alias("first"))
+    numbers = numbered(firsts, ["cube_id"], ["first"], "label").select("cube_id", "root", F.col("label").cast("int").alias("label"))
+    keys = [*_TILE, "part"]
+    of_part = named.join(numbers, ["cube_id", "root"]).select(*keys, "label")
     return runs.join(of_part, keys).select("cube_id", "line", "label", F.explode(F.sequence("a", "b")).alias("sample")).select("cube_id", "line", "sample", "label")
 
 
 def segments(mask: DataFrame, min_area: int) -> DataFrame:
     """Components of ``min_area`` pixels or more, named Instancia_001 ... by label."""
-    labelled = labels(mask)
+    labelled = stored(labels(mask), "labels")
     large = labelled.groupBy("cube_id", "label").agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
-    name = F.format_string("Instancia_%03d", F.row_number().over(Window.partitionBy("cube_id").orderBy("label")))
-    return labelled.join(large.withColumn("name", name), ["cube_id", "label"])
+    name = F.format_string("Instancia_%03d", F.col("__k"))
+    return labelled.join(numbered(large, ["cube_id"], ["label"], "__k").withColumn("name", name).drop("__k"), ["cube_id", "label"])
 
 
 def fill_holes(mask: DataFrame, lines: int, samples: int) -> DataFrame:
-    """The mask and the background components (four-connected) that don't touch the image's border."""
-    cubes = mask.select("cube_id").distinct()
-    grid = cubes.select("cube_id", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line")).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    background = labels(grid.join(mask, ["cube_id", "line", "sample"], "left_anti"), connectivity=4)
-    border = (F.col("line") == 0) | (F.col("sample") == 0) | (F.col("line") == lines - 1) | (F.col("sample") == samples - 1)
-    outside = background.where(border).select("cube_id", "label").distinct()
-    holes = background.join(outside, ["cube_id", "label"], "left_anti").select("cube_id", "line", "sample")
+    """The mask and the background components (four-connected) that don't touch the image's border.
+
+    The background is made of runs inside the tiles' tasks, and only the runs of holes become pixels.
+    """
+    runs = _runs(mask, 0, (lines, samples))
+    named = stored(_rooted(runs, 0), "background")
+    border = (F.col("line") == 0) | (F.col("line") == lines - 1) | (F.col("a") == 0) | (F.col("b") == samples - 1)
+    keys = [*_TILE, "part"]
+    outside = named.join(runs.where(border).select(*keys).distinct(), keys, "left_semi").select("root").distinct()
+    holes = runs.join(named.join(outside, "root", "left_anti").select(*keys), keys, "left_semi")
+    holes = holes.select("cube_id", "line", F.explode(F.sequence("a", "b")).alias("sample"))
     return mask.select("cube_id", "line", "sample").union(holes).distinct()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.valid import is_valid, let, nearest_rank, to_long, valid
+from ..shared import stored
+from .roi import place, select_pixels
 
 
 def band_stats(pixels: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def band_stats(pixels: DataFrame) -> DataFrame:
 def band_minmax(pixels: DataFrame, ignore_value: float = float("nan"), mask: DataFrame | None = None) -> DataFrame:
     """min and max of each band over values that aren't NaN or (within 1e-5) the ignore value, infinities included; 0 and 1 where none is left."""
     if mask is not None:
-        pixels = pixels.join(mask.select("line", "sample").distinct(), ["line", "sample"], "left_semi")
+        pixels = select_pixels(pixels, mask)
     v = valid(F.col("value"), infinite=True)
     if ignore_value == ignore_value:
         v = F.when(F.abs(v - ignore_value) >= 1e-5, v)
@@ -41,7 +43,8 @@ def mean_array(pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def roi_mean_spectrum(pixels: DataFrame, mask: DataFrame, valid_only: bool = False) -> DataFrame:
     """Mean spectrum of each region. NaN is left out of the sum but counted in the denominator, and infinities take part, unless ``valid_only``."""
-    cells = to_long(pixels.join(mask.select("roi_id", "line", "sample").distinct(), ["line", "sample"]), "roi_id")
+    at = place(mask, pixels)
+    cells = to_long(pixels.join(mask.select("roi_id", *at).distinct(), at), "roi_id")
     v = F.col("value")
     mean = F.avg(valid(v)) if valid_only else F.sum(valid(v, infinite=True)) / F.count("*")
     return cells.groupBy("cube_id", "roi_id", "band").agg(F.coalesce(mean, F.lit(0.0)).alias("mean"))
@@ -183,10 +186,35 @@ def fit_quality(rows: DataFrame, y: Column, predicted: Column) -> DataFrame:
     return sums.select(r2.alias("r2"), F.sqrt(F.col("sse") / F.when(F.col("n") > 0, F.col("n"))).alias("rmse"))
 
 
+def exact_sample(rows: DataFrame, n: int, ids: list[str], by: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """min(n, all) rows of each group of ``by``: those of the smallest keyed digests of ``ids``, the same ones however rows are partitioned.
+
+    Rows of equal ids are drawn in turn. A group's count says which digests can be among its n smallest, so about n rows of a group are ever ordered, not the group; should too
+    few lie below that bound, it is doubled.
+    """
+    by = by or []
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids]).cast("binary"))
+    marked = rows.withColumn("__d", digest)
+    totals = stored(marked.groupBy(*by).agg(F.count("*").alias("__n")), "sample-counts")
+    share = F.lit(1.0) * (n + 8 * n**0.5 + 64) / F.greatest(F.col("__n"), F.lit(1))
+    least = F.lit(float(16**8))
+    factor = 1
+    while True:
+        # the digest's first eight digits as a number
+        below = F.conv(F.substring("__d", 1, 8), 16, 10).cast("double") < share * factor * least
+        drawn = (marked.join(totals, by) if by else marked.crossJoin(F.broadcast(totals))).where(below)  # a row a group
+        have = drawn.groupBy(*by).agg(F.count("*").alias("__m"))
+        both = totals.join(have, by, "left") if by else totals.crossJoin(F.broadcast(have))
+        if both.where(F.coalesce("__m", F.lit(0)) < F.least(F.col("__n"), F.lit(n))).isEmpty():
+            break
+        factor *= 2
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__d", *ids)  # about n rows
+    return drawn.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).select(*rows.columns)
+
+
 def sampled_limits(pixels: DataFrame, cells: int = 5000, seed: int = 42) -> DataFrame:
-    """2nd and 98th percentile of about ``cells`` random cells of each cube, drawn without sorting the cube."""
-    total = pixels.select(F.sum(F.size("spectrum"))).first()[0] or 0
-    drawn = to_long(pixels).sample(min(1.0, cells / max(1, total)), seed)
+    """2nd and 98th percentile of ``cells`` random cells of each cube (all, if there are fewer)."""
+    drawn = exact_sample(to_long(pixels), cells, ["line", "sample", "band"], ["cube_id"], seed)
     return nearest_rank(drawn.withColumn("v", valid(F.col("value"))), ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -16,9 +16,10 @@ from ..functions.formula import PRESETS, compile_formula, preview
 from ..functions.valid import nearest_rank, to_long
 from ..model import ROIS, BatchOptions, Header, RenderOptions, SegmentationParams, ramp, virtual_cube
 from ..operators import decompose, preprocess, render, roi, segment, stats
+from ..operators.nearest import nearest_join
 from ..sources import sinks
 from ..sources.tables import session_rois
-from . import pipelines
+from . import pipelines, sql
 
 BANDS, WIDTH = 64, 25
 WL = ramp(BANDS)
@@ -120,6 +121,8 @@ def speckle(pixels: DataFrame) -> DataFrame:
 SPECKLED = f", m as (select line, sample from px where sp[{SPECKLE_BAND + 1}] > {SPECKLE})\n"
 
 
+_FOUR = ", o as (select * from (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), n as (select m.line + dy as line, m.sample + dx as sample from m, o)\n"
+
 # -- aggregation
 
 
@@ -217,10 +220,10 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.covariance(cube(spark, sf_dir)).select("i", "j", r6("covariance", "covariance"))
 
 
-@query(f"""select source, count(*) as documents from (select regexp_extract(source, '^[^0-9]*') || '_' || split_part(source, 'src', 2) as file, source from documents) group by source, split_part(file, '_', 1)""")
+@query(f"""select source, split_part(file, '_', 1) as class, count(*) as documents from (select regexp_extract(source, '^[^0-9]*') || '_' || split_part(source, 'src', 2) as file, source from documents) group by all""")
 def class_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", F.concat_ws("_", F.regexp_extract("source", "^[^0-9]*", 0), F.split("source", "src")[1]).alias("file"))
-    return docs.groupBy("source", F.split("file", "_")[0].alias("class")).agg(F.count("*").alias("documents")).select("source", "documents")
+    return docs.groupBy("source", F.split("file", "_")[0].alias("class")).agg(F.count("*").alias("documents")).select("source", "class", "documents")
 
 
 @query("select event_type, min(event_id) as first from events group by event_type")
@@ -263,9 +266,28 @@ def profile_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).where("sample = 4").select("line", F.col("spectrum")[5].cast("double").alias("value"))
 
 
-@query("select line, sample, sp[1] as value from px where line % 4 = 0 and sample % 4 = 0")
+@query("select line, sample, band, v as value from lg where line % 4 = 0 and sample % 4 = 0")
 def subsample4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube(spark, sf_dir).where("line % 4 = 0 and sample % 4 = 0").select("line", "sample", F.col("spectrum")[0].cast("double").alias("value"))
+    return to_long(cube(spark, sf_dir).where("line % 4 = 0 and sample % 4 = 0")).select("line", "sample", "band", F.col("value").cast("double").alias("value"))
+
+
+#: Digests by which cells are drawn, as keyed as the library's.
+_DRAWN = """, d as (select label, line, sample, band, v, row_number() over (partition by label order by md5('42|' || line || '|' || sample || '|' || band || '|' || vec_id), line, sample, band, vec_id) as k from lg)
+"""
+
+
+@query(_DRAWN + "select label, line, sample, band, v as value from d where k <= 700")
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same 700 cells of each class, however they are partitioned."""
+    cells = to_long(virtual_cube(spark, sf_dir), "label", "vec_id")
+    return stats.exact_sample(cells, 700, ["line", "sample", "band", "vec_id"], ["label"]).select("label", "line", "sample", "band", F.col("value").cast("double").alias("value"))
+
+
+@query(f""", d as (select v, row_number() over (order by md5('42|' || line || '|' || sample || '|' || band), line, sample, band) as k from lv),
+q as (select list_sort(list(v) filter (isfinite(v))) as s, count(*) filter (isfinite(v)) as n from d where k <= 5000)
+select {s6('s[cast(floor(n * 2.0 / 100) as bigint) + 1]')} as lo, {s6('s[least(n, cast(floor(n * 98.0 / 100) as bigint) + 1)]')} as hi from q""")
+def sampled_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.sampled_limits(cube(spark, sf_dir, True)).select(r6("lo", "lo"), r6("hi", "hi"))
 
 
 #: Orders seen as an image 125 samples wide.
@@ -282,20 +304,45 @@ def central_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.central(image, lines, 125).select("line", "sample", r6(F.col("spectrum")[0], "value"))
 
 
-@query("""with w as (select cast(i as integer) as band, 400 + i * 500.0 / 63 as wl from range(64) t(i)), t as (select unnest([640.0, 550.0, 460.0, 800.0, 10.0, 2000.0]) as target)
-select target, cast(arg_min(band, struct_pack(d := abs(wl - target), b := band)) as integer) as band from w, t group by target""")
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube's bands and their wavelengths."""
+    n = cube(spark, sf_dir).agg(F.max(F.size("spectrum")).alias("n"))
+    return n.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("band")).select("band", (400 + F.col("band") * 500.0 / 63).alias("wl"))
+
+
+_BANDS_SQL = "w as (select cast(i as integer) as band, 400 + i * 500.0::double / 63 as wl from (select max(len(embedding)) as n from embeddings), range(1000) t(i) where i < n)"
+
+
+def _nearest_sql(left: str, right: str, on: str, key: str, column: str, distance: str, by: str | None = None) -> str:
+    """Both neighbours of each row of ``l`` by as-of joins with ``r`` (one row a value); ties go to the lower one. ``distance``: of places {a} and {b}."""
+    same = f"l.{by} = r.{by} and " if by else ""
+    one = lambda name, op: f"{name} as (select l.{key}, r.{on} as x, r.{column} from l asof join r on {same}l.{on} {op} r.{on})"
+    down, up = distance.format(a="lo.x", b=f"l.{on}"), distance.format(a=f"l.{on}", b="hi.x")
+    lower = f"lo.x is not null and (hi.x is null or {down} <= {up})"
+    return f"""with {left}, {right}, {one('lo', '>=')}, {one('hi', '<=')} select l.{key}, case when {lower} then lo.{column} else hi.{column} end as {column},
+  case when {lower} then {down} else {up} end as distance from l left join lo using ({key}) left join hi using ({key})"""
+
+
+@query(_nearest_sql("l as (select event_id, 400 + value as wl from events where isfinite(value))", _BANDS_SQL + ", r as (select * from w)", "wl", "event_id", "band", "round({b} - {a}, 6) + 0.0"))
 def nearest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wl = spark.createDataFrame(list(enumerate(WL)), "band int, wl double")
-    targets = spark.createDataFrame([(t,) for t in (640.0, 550.0, 460.0, 800.0, 10.0, 2000.0)], "target double")
-    pairs = targets.crossJoin(F.broadcast(wl))  # a header's bands
-    return pairs.groupBy("target").agg(F.min_by("band", F.struct(F.abs(F.col("wl") - F.col("target")), "band")).alias("band"))
+    """The band nearest to each of many wavelengths."""
+    targets = table(spark, sf_dir, "events").where(~F.isnan("value") & (F.abs("value") < float("inf"))).select("event_id", (400 + F.col("value")).alias("wl"))
+    return nearest_join(targets, _bands(spark, sf_dir), "wl", ["band"]).select("event_id", "band", r6("distance", "distance"))
+
 
+@query(_nearest_sql("l as (select event_id, user_id, ts from events)", "r as (select user_id, ts, min(event_id) as purchase from events where event_type = 'purchase' group by all)", "ts", "event_id", "purchase", "epoch_us({b}) - epoch_us({a})", "user_id"))
+def nearest_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's nearest purchase of the same user in time."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"))
+    return nearest_join(events.select("event_id", "user_id", "ts"), bought, "ts", ["purchase"], ["user_id"]).select("event_id", "purchase", "distance")
 
-@query("""with a as (select cast(i as integer) as band, 400 + i * 500.0 / 63 as wl from range(64) t(i)), b as (select cast(i as integer) as ref, 390 + i * 13.0 as rwl from range(40) t(i))
-select band, cast(arg_min(ref, struct_pack(d := abs(rwl - wl), b := ref)) as integer) as ref from a, b group by band""")
+
+@query(f"with {_BANDS_SQL}, r as (select 400 + (p_retailprice - 900) * 5 as rwl, min(p_partkey) as ref from part group by all) select band, arg_min(ref, struct_pack(d := abs(rwl - wl), x := rwl)) as ref from w, r group by band")
 def nearest_band_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = preprocess.nearest_bands(WL, [390 + i * 13.0 for i in range(40)])
-    return spark.createDataFrame(list(enumerate(found)), "band int, ref int")
+    """Each band of the cube and the nearest one of a reference with many bands."""
+    reference = table(spark, sf_dir, "part").select((400 + (F.col("p_retailprice") - 900) * 5).alias("wl"), F.col("p_partkey").alias("ref"))
+    return nearest_join(_bands(spark, sf_dir), reference, "wl", ["ref"]).select("band", "ref")
 
 
 @query(f"select {s6('sum(var)')} as total, cast(max(n) as bigint) as rows from (select var_samp(v) as var, count(*) as n from lg where vec_id not in (17, 30) group by band)")
@@ -355,31 +402,28 @@ def snv_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f""", me as (select band, avg(v) as m from lv where isfinite(v) group by band),
-fit as (select line, sample, regr_slope(v, m) as b, regr_intercept(v, m) as a from lv join me using (band) where isfinite(v) group by all)
-select line, sample, band, {s6('(v - a) / b')} as value from lv join fit using (line, sample) where isfinite(v) and abs(b) > 1e-3""")
+fit as (select line, sample, regr_slope(v, m) as b, regr_intercept(v, m) as a, count(*) as n from lv join me using (band) where isfinite(v) group by all)
+select line, sample, band, {s6('(v - a) / case when abs(b) < 1e-9 then 1 else b end')} as value from lv join fit using (line, sample) where isfinite(v)""")
 def msc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.valid import valid
+    return _finite(preprocess.msc(cube(spark, sf_dir, True)))
 
-    pixels = cube(spark, sf_dir, True)
-    means = stats.mean_spectrum(pixels)
-    long = to_long(pixels).withColumn("v", valid(F.col("value"))).where("v is not null").join(means, ["cube_id", "band"])
-    steep = long.groupBy("line", "sample").agg(F.regr_slope("v", "mean").alias("b")).where("abs(b) > 1e-3").select("line", "sample")
-    return _finite(preprocess.msc(pixels)).join(steep, ["line", "sample"], "left_semi")
+
+def _savgol_sql(weights: str) -> str:
+    """``weights``: a list in SQL; its middle is the centre's."""
+    return f"""select line, sample, cast(unnest(range(0, 64)) as integer) as band, {s6('unnest(y)')} as value from (select line, sample, list_transform(range(0, 64), lambda b:
+  list_sum(list_transform(range(1, len(w) + 1), lambda k: w[k] * sp[greatest(1, least(64, b + k - (len(w) - 1) // 2))]))) as y from px, (select {weights} as w))"""
 
 
-def _savgol_sql(window: int, polynomial: int, derivative: int) -> str:
-    weights = "[" + ", ".join(repr(float(w)) for w in preprocess.savgol_coefficients(window, polynomial, derivative)) + "]"
-    half = window // 2
-    total = f"list_sum(list_transform(range({-half}, {half + 1}), lambda k: {weights}[k + {half + 1}] * sp[greatest(1, least(64, b + k + 1))]))"
-    return f"""select line, sample, cast(unnest(range(0, 64)) as integer) as band, {s6('unnest(y)')} as value from (select line, sample, list_transform(range(0, 64), lambda b: {total}) as y from px)"""
+#: The closed forms: of a parabola's slope over 15 points, and of its value over 5.
+_SLOPE_15, _SMOOTH_5 = "list_transform(range(-7, 8), lambda k: k / 280.0::double)", "list_transform([-3, 12, 17, 12, -3], lambda k: k / 35.0::double)"
 
 
-@query(_savgol_sql(15, 2, 1))
+@query(_savgol_sql(_SLOPE_15))
 def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_result(preprocess.savgol(cube(spark, sf_dir), BANDS, 15, 2, 1))
 
 
-@query(_savgol_sql(5, 2, 0))
+@query(_savgol_sql(_SMOOTH_5))
 def savgol_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_result(preprocess.savgol(cube(spark, sf_dir), BANDS, 5, 2, 0))
 
@@ -487,6 +531,26 @@ _formula_query(
 _formula_query("formula_excluded", "B{680} + B{800} * 3 + B[200]", f"{_N} * 3 + sp[64]", [(670.0, 690.0)])
 
 
+_formula_query(
+    "formula_conditional", "IIF(B[1] > 0.02 AND NOT (B[2] <= B[3] OR B[4] = 0), B[1] / B[5], IIF(B[6] <> 0, B[7] * 100 % 3, -1)) + IIF(B[8] >= B[9], 1, 0)",
+    "case when sp[1] > 0.02 and not (sp[2] <= sp[3] or sp[4] = 0) then sp[1] / nullif(sp[5], 0) when sp[6] <> 0 then sp[7] * 100 - 3 * trunc(sp[7] * 100 / 3) else -1 end + case when sp[8] >= sp[9] then 1 else 0 end",
+)
+_formula_query("formula_condition", "B{800} > B{680} OR B[1] < 0", f"case when {_N} > {_R} or sp[1] < 0 then 1 else 0 end")
+
+
+@query(MASK + f"""select roi_id, count(*) as pixels, {s6('avg(v)')} as mean, {s6('max(v)')} as most
+from (select roi_id, {_guard(f'({_N} - {_R}) / nullif({_N} + {_R}, 0)')} as v from px join roi using (line, sample)) group by roi_id""")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and a formula in SQL alone."""
+    sql.register(spark, {"hl_ndvi": PRESETS["ndvi"]}, WL)
+    cube(spark, sf_dir).createOrReplaceTempView("hl_pixels")
+    rois(spark).createOrReplaceTempView("hl_regions")
+    return spark.sql("""
+        WITH size AS (SELECT max(line) + 1 AS lines, max(sample) + 1 AS samples FROM hl_pixels),
+        region AS (SELECT r.roi_id, m.line, m.sample FROM hl_regions r CROSS JOIN size s, LATERAL rasterise(r.kind, r.xs, r.ys, r.radius, s.lines, s.samples) m)
+        SELECT roi_id, count(*) AS pixels, round(avg(hl_ndvi(spectrum)), 6) + 0D AS mean, round(max(hl_ndvi(spectrum)), 6) + 0D AS most FROM hl_pixels JOIN region USING (line, sample) GROUP BY roi_id""")
+
+
 @query(f"""select line, sample, {s6('case when isfinite(a) then a else 0 end + case when isfinite(b) then b else 0 end * 2 + 1')} as value
   from (select line, sample, max(v) filter (band = 0) as a, max(v) filter (band = 1) as b from lv group by line, sample)""")
 def formula_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,6 +621,14 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.project(pixels, decompose.principal(pixels, 3), True).select("line", "sample", *[r6(F.col("scores")[i], f"pc{i + 1}") for i in range(3)])
 
 
+@query(f"""select line, sample, {s6('sum((v - m) * (v - m))')} as squares from lg join (select band, avg(v) as m from lg group by band) using (band) group by all""")
+def pca_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a pixel's centred scores together are as long as its centred spectrum."""
+    pixels = cube(spark, sf_dir)
+    scores = decompose.project(pixels, decompose.principal(pixels, BANDS), True)
+    return scores.select("line", "sample", r6(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x * x), "squares"))
+
+
 @query()
 def pca_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.pca_rgb(cube(spark, sf_dir)).drop("cube_id")
@@ -672,24 +744,73 @@ def roi_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.bounds(region_mask(spark, sf_dir))
 
 
-@query(MASK + ", mm as (select distinct line, sample from roi) select p.line, p.sample, case when mm.line is null then null else round(sp[1], 6) + 0.0 end as value from px p left join mm using (line, sample)")
+@query(MASK + f", mm as (select distinct line, sample from roi) select p.line, p.sample, band, case when mm.line is not null then {s6('v')} end as value from lg p left join mm using (line, sample)")
 def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = roi.apply_mask(cube(spark, sf_dir), region_mask(spark, sf_dir)).select("line", "sample", F.col("spectrum")[0].cast("double").alias("v"))
-    return out.select("line", "sample", r6(F.when(~F.isnan("v"), F.col("v")), "value"))
+    out = to_long(roi.apply_mask(cube(spark, sf_dir), region_mask(spark, sf_dir)))
+    return out.select("line", "sample", "band", r6(F.when(~F.isnan("value"), F.col("value").cast("double")), "value"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes as cubes of their own, with lines of twelve pixels."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = virtual_cube(spark, sf_dir).withColumn("k", k)
+    return rows.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("cube_id"), ((F.col("k") - F.col("k") % 12) / 12).cast("int").alias("line"), (F.col("k") % 12).cast("int").alias("sample"), "spectrum")
+
+
+_CUBES = """, k as (select 'c' || label as cube_id, row_number() over (partition by label order by vec_id) - 1 as k, sp from px),
+cu as (select cube_id, cast(k // 12 as integer) as line, cast(k % 12 as integer) as sample, sp from k),
+cm as (select cube_id, line, sample, cast(right(cube_id, 1) as integer) % 3 + 1 as roi_id from cu where sp[3] > 0.01)
+"""
+
+
+def _cube_masks(pixels: DataFrame) -> DataFrame:
+    own = pixels.where(F.col("spectrum")[2].cast("double") > 0.01)
+    return own.select("cube_id", "line", "sample", (F.substring("cube_id", -1, 1).cast("int") % 3 + 1).alias("roi_id"))
+
+
+@query(_CUBES + f"""select cube_id, roi_id, cast(band as integer) as band, {s6('avg(sp[band + 1])')} as mean from cu join cm using (cube_id, line, sample), range(64) t(band) group by all""")
+def cubes_under_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' mean spectra in many cubes, each under its own mask."""
+    pixels = _labelled(spark, sf_dir)
+    return stats.roi_mean_spectrum(pixels, _cube_masks(pixels)).select("cube_id", "roi_id", "band", r6("mean", "mean"))
 
 
-_POINTS = [(5, 5), (4, 3), (12, 9), (12, 4), (20, 15), (0, 0), (24, 19)]
+@query(_CUBES + _FOUR + """, nn as (select cube_id, cm.line + dy as line, cm.sample + dx as sample from cm, o),
+x as (select cube_id, line, sample from nn group by all having count(*) = 5) select cube_id, line, sample, 'erode' as step from x
+union all select cm.cube_id, cm.line, cm.sample, 'rest' from cm where not exists (select 1 from x where x.cube_id = cm.cube_id and x.line = cm.line and x.sample = cm.sample)""".replace(", n as", ", n0 as"))
+def cube_mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of many cubes eroded, and what that takes away; no cube's mask touches another's."""
+    mask = _cube_masks(_labelled(spark, sf_dir))
+    small = roi.erode(mask)
+    return small.withColumn("step", F.lit("erode")).union(roi.subtract(mask, small).withColumn("step", F.lit("rest")))
 
 
-@query(MASK + ", p as (select * from (values " + ", ".join(str(p) for p in _POINTS) + ") t(x, y)) select x, y, max(roi_id) as top, min(roi_id) as first from p left join roi on roi.sample = x and roi.line = y group by x, y")
+@query(_CUBES + f""", me as (select cube_id, cast(b as integer) as band, avg(sp[b + 1]) as m from cu, range(64) t(b) group by all)
+select cube_id, line, sample, {s6('sum((sp[band + 1] - m) * (sp[band + 1] - m))')} as squares from cu join me using (cube_id) group by all""")
+def cube_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of each cube by itself: all of a pixel's centred scores together are as long as its spectrum."""
+    scores = decompose.project_each(_labelled(spark, sf_dir), BANDS)
+    squares = F.aggregate("scores", F.lit(0.0), lambda s, x: s + x * x)
+    return scores.select("cube_id", "line", "sample", r6(squares, "squares"))
+
+
+_HITS = """, c as (select cast(100 + s_suppkey as integer) as roi_id, cast(s_suppkey * 7 % 25 as integer) as cx, cast(s_suppkey * 11 % 40 as integer) as cy, cast(s_nationkey % 5 as integer) as radius from supplier),
+n as (select cast(1000 + n_nationkey as integer) as roi_id, cast(n_nationkey * 3 % 23 as integer) as x0, cast(n_nationkey * 5 % 37 as integer) as y0, cast(n_regionkey * 4 as integer) as w from nation),
+al as (select * from roi union all select c.roi_id, line, sample from px join c on (sample - cx) * (sample - cx) + (line - cy) * (line - cy) <= radius * radius
+  union all select n.roi_id, line, sample from px join n on sample between x0 and x0 + w and line between y0 and y0 + w)
+select px.vec_id, max(roi_id) as top, min(roi_id) as first, count(roi_id) as regions from px left join al using (line, sample) group by px.vec_id
+"""
+
+
+@query(MASK + _HITS)
 def region_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regions that hold a point: the last one added, and the first."""
-    out = None
-    for x, y in _POINTS:
-        top, first = (roi.hit(rois(spark), x, y, last).withColumnRenamed("roi_id", n) for last, n in ((True, "top"), (False, "first")))
-        one = top.crossJoin(first).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "top", "first")  # a row each
-        out = one if out is None else out.union(one)
-    return out
+    """The last and the first of many regions that hold each of many points."""
+    rest = lambda c: F.lit(None).cast(c)
+    c = table(spark, sf_dir, "supplier").select((100 + F.col("s_suppkey")).cast("int").alias("roi_id"), F.lit("circle").alias("kind"), F.array((F.col("s_suppkey") * 7 % 25).cast("int")).alias("xs"), F.array((F.col("s_suppkey") * 11 % 40).cast("int")).alias("ys"), (F.col("s_nationkey") % 5).cast("int").alias("radius"))
+    side = (F.col("n_regionkey") * 4).cast("int")
+    n = table(spark, sf_dir, "nation").select((1000 + F.col("n_nationkey")).cast("int").alias("roi_id"), F.lit("rect").alias("kind"), F.array((F.col("n_nationkey") * 3 % 23).cast("int"), side).alias("xs"), F.array((F.col("n_nationkey") * 5 % 37).cast("int"), side).alias("ys"), rest("int").alias("radius"))
+    regions = rois(spark).select("roi_id", "kind", "xs", "ys", "radius").union(c).union(n)
+    return roi.hits(virtual_cube(spark, sf_dir).select("vec_id", "line", "sample"), regions).select("vec_id", "top", "first", "regions")
 
 
 _OUTLINE = [(2, 1), (3, 2), (4, 2), (9, 4), (15, 3), (20, 3), (21, 8), (23, 14), (16, 15), (8, 16), (7, 12), (3, 6)]
@@ -712,13 +833,14 @@ def freehand_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.rasterise(df, h.lines, h.samples).select("line", "sample")
 
 
-@query("select cast(roi_id as integer) as roi_id, kind from (values (2, 'rect'), (1, 'circle'), (3, 'polygon'), (4, 'pixel')) t(roi_id, kind)")
+@query("""with o as (select n_nationkey as roi_id, n_name as name from nation) select cast(case roi_id when 7 then 6 when 6 then 7 when (select min(roi_id) from o where roi_id > 11) then 11 when 11 then
+  (select min(roi_id) from o where roi_id > 11) else roi_id end as integer) as roi_id, name from o""")
 def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region moved up past its neighbour, another that is the last moved down."""
-    return roi.moved(roi.moved(rois(spark), 2, -1), 4, 1).select("roi_id", "kind")
+    """A region moved up past its neighbour, another one moved down."""
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("roi_id"), F.col("n_name").alias("name"))
+    return roi.moved(roi.moved(regions, 7, -1), 11, 1).select("roi_id", "name")
 
 
-_FOUR = ", o as (select * from (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)), n as (select m.line + dy as line, m.sample + dx as sample from m, o)\n"
 
 
 @query(SPECKLED + _FOUR + "select distinct n.line, n.sample from n, dim where n.line between 0 and n_lines - 1 and n.sample between 0 and n_samples - 1")
@@ -817,12 +939,24 @@ def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segments(mask, p.min_area).select("line", "sample", "label", "area", "name")
 
 
-@query("""with s as (select '{"SessionDate":"2024-01-01","Selections":[]}' as j) select cast(roi_id as integer) as roi_id, kind, brix from (values (0, 'rect', 12.5::float), (2, 'circle', null::float)) t(roi_id, kind, brix)""")
+@query("""with o as (select o_orderkey, cast(o_orderkey % 30 as integer) as x, cast(o_custkey % 24 as integer) as y, cast(o_orderkey % 5 + 1 as integer) as w, o_orderstatus as s, o_totalprice as p from orders),
+t as (select x, y, w, p, 0 as roi_id, 'rect' as kind, greatest(x, w) as mx, greatest(y, 3) as my from o union all select x, y, w, p, 1, 'circle', x, y from o union all select x, y, w, p, 2, 'pixel', x + 5, y from o)
+select cast(roi_id as integer) as roi_id, kind, count(*) as regions, cast(sum(x) as bigint) as xs, round(avg(case when kind = 'rect' then cast(cast(p / 1e5 as float) as double) end), 5) + 0.0 as brix
+from t where mx < 25 and my < 20 group by all""")
 def session_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of three regions for each order; regions that leave the image are dropped."""
     from ..sources.tables import SESSION
 
-    shapes = [("Rect", 0, [1, 5], [2, 6], 0, "a", "", 12.5, ""), ("Pixel", 0, [99], [2], 0, "", "", None, ""), ("Circle", 0, [5], [5], 3, "", "", None, "")]
-    return session_rois(spark.createDataFrame([("2024-01-01", shapes)], SESSION), WIDTH, 20).select("roi_id", "kind", "brix")
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 30).cast("int").alias("x"), (F.col("o_custkey") % 24).cast("int").alias("y"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("w"), (F.col("o_totalprice") / 1e5).cast("float").alias("brix"))
+    none = F.lit(None)
+    shape = lambda kind, xs, ys, radius, brix: F.struct(F.lit(kind).alias("Type"), none.alias("ColorArgb"), xs.alias("PointsX"), ys.alias("PointsY"), radius.alias("Radius"), none.alias("Variety"), none.alias("Date"), brix.alias("MeasuredBrix"), none.alias("Notes"))
+    x, y = F.col("x"), F.col("y")
+    kinds = [("Rect", F.array(x, F.col("w")), F.array(y, F.lit(3)), none, F.col("brix")), ("Circle", F.array(x), F.array(y), F.col("w"), none), ("Pixel", F.array(x + 5), F.array(y), none, none)]
+    types = dict(t.split(":", 1) for t in SESSION.split("struct<")[1].removesuffix(">>").replace("array<int>", "array_int").split(","))
+    kind_of = "array<struct<" + ",".join(f"{k}:{v.replace('array_int', 'array<int>')}" for k, v in types.items()) + ">>"
+    sessions = o.select(F.lit("2024-01-01").alias("SessionDate"), F.array(*[shape(*k) for k in kinds]).cast(kind_of).alias("Selections"))
+    out = session_rois(sessions, WIDTH, 20).withColumn("x", F.when(F.col("kind") == "pixel", F.col("xs")[0] - 5).otherwise(F.col("xs")[0]))
+    return out.groupBy("roi_id", "kind").agg(F.count("*").alias("regions"), F.sum("x").alias("xs"), (F.round(F.avg(F.col("brix").cast("double")), 5) + 0.0).alias("brix"))
 
 
 # -- rendering
@@ -851,13 +985,18 @@ _MAPS = {
     "green_fluorescent": {"r": "greatest(0.0, least(1.0, t * 2 - 1)) * 0.5", "g": "t * 1.5", "b": "t * 0.5"},
     "red_fluorescent": {"r": "t * 1.5", "g": "greatest(0.0, least(1.0, t * 0.5)) * 0.3", "b": "0.0"},
 }
-#: Fractions of 1024 are exact on both sides.
-_GRID = "with t as (select cast(i as integer) as i, cast(i as double) / 1024 as t from range(1025) g(i)) "
+#: Events' values in steps of 1024, which are exact on both sides.
+_GRID = "with t as (select event_id as i, least(1024, floor(value * 2)) / 1024 as t from events where isfinite(value)) "
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "events").where(~F.isnan("value") & (F.abs("value") < float("inf")))
+    return values.select(F.col("event_id").alias("i"), (F.least(F.lit(1024.0), F.floor(F.col("value") * 2).cast("double")) / 1024).alias("t"))
 
 
 def _colormap_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.range(1025).select(F.col("id").cast("int").alias("i"), color.colormap(F.col("id").cast("double") / 1024, name).alias("c")).select("i", "c.*")
+        return _steps(spark, sf_dir).select("i", color.colormap(F.col("t"), name).alias("c")).select("i", "c.*")
 
     query(_GRID + "select i, " + ", ".join(f"{_byte(x)} as {c}" for c, x in _MAPS[name].items()) + " from t", f"colormap_{name}")(run)
 
@@ -868,7 +1007,7 @@ for _name in _MAPS:
 
 @query(_GRID + "select i, " + ", ".join(f"{_byte(f'1.5 - abs(2 * t - {c})')} as {n}" for c, n in ((1.5, "r"), (1.0, "g"), (0.5, "b"))) + " from t")
 def colormap_jet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1025).select(F.col("id").cast("int").alias("i"), color.jet(F.col("id").cast("double") / 1024).alias("c")).select("i", "c.*")
+    return _steps(spark, sf_dir).select("i", color.jet(F.col("t")).alias("c")).select("i", "c.*")
 
 
 _RENDER = """, q as (select list_sort(list(v)) as s, count(*) as n from lv where band = 20 and not isnan(v)),
@@ -980,7 +1119,7 @@ def cube_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batch_sql() -> str:
-    sg = _savgol_sql(15, 2, 1).replace(" from px)", " from treated)")
+    sg = _savgol_sql(_SLOPE_15).replace(" from px, (", " from treated, (")
     return CALIBRATED.replace("from lv", "from lg") + """, ab as (select line, sample, band, -log10(greatest(v, 1e-4)) as v from cal),
 mo as (select line, sample, avg(v) as m, stddev_pop(v) as s from ab group by all),
 treated as (select line, sample, list((v - m) / (case when s < 1e-6 then 1 else s end) order by band) as sp from ab join mo using (line, sample) group by line, sample)
@@ -995,6 +1134,15 @@ def batch_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_result(pipelines.batch(pixels, h, o, pixels.where("line in (0, 1)"), pixels.where("line in (2, 3)")))
 
 
+@query(_segment_sql().replace("select line, sample, label, area, format('Instancia_{:03d}', k) as name from l join z2 using (label)", f", f as (select label, line, sample from l join z2 using (label)) select f.label as roi_id, band, {s6('avg(v)')} as mean from f join lg using (line, sample) group by all"))
+def segmented_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold, morphology, labels and the segments' mean spectra, as a folder run does them for each cube."""
+    pixels = cube(spark, sf_dir)
+    p = SegmentationParams(threshold=110, invert=True, open_iterations=1, close_iterations=1, min_area=4, ignore_top=5)
+    spectra, _ = pipelines.extract(pixels, size_of(pixels), BatchOptions(calibrate=False, absorbance=False, segment=True, segment_band=20, segmentation=p))
+    return spectra.select(F.col("roi_id").cast("int").alias("roi_id"), F.posexplode("mean").alias("band", "m")).select("roi_id", "band", r6("m", "mean"))
+
+
 def _scatter_sql(source: str) -> str:
     """MSC of ``source`` (line, sample, band, v) as ``out``."""
     return f""", me as (select band, avg(v) as m from {source} group by band), fit as (select line, sample, regr_slope(v, m) as sl, regr_intercept(v, m) as ic from {source} join me using (band) group by all),

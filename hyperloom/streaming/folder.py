@@ -1,26 +1,93 @@
-"""A watched folder of headers: each new cube is processed once and its spectra appended to a table."""
+"""A watched folder: each new cube is processed once both of its files are there, and its spectra are appended to a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..model import BatchOptions
-from ..plans.pipelines import extract_all
+from ..plans.pipelines import PROBLEMS, extract_all
+from ..sources.envi import EXTENSIONS
+
+ARRIVED = "header string, problem string"
+NO_DATA = "no data file within the deadline"
+
+
+class Arrivals(StatefulProcessor):
+    """Pairs a cube's header with its data file, whichever comes first.
+
+    A header is given out once, when both are there; one whose data file doesn't come within ``deadline`` seconds is given out with a problem. A data file without a header is forgotten after as long.
+    """
+
+    def __init__(self, deadline: float):
+        self.wait = int(deadline * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "header string, data boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        header, data = self.held.get() if self.held.exists() else (None, False)
+        for r in rows:
+            if r["is_header"]:
+                header = r["path"]
+            else:
+                data = True
+        if header is not None and data:
+            self._forget()
+            yield Row(header=header, problem=None)
+            return
+        if not self.held.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        self.held.update((header, data))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        header = self.held.get()[0] if self.held.exists() else None
+        self._forget()
+        if header is not None:
+            yield Row(header=header, problem=NO_DATA)
+
+    def _forget(self) -> None:
+        self.held.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(spark: SparkSession, folder: str, deadline: float, files: int) -> DataFrame:
+    """Stream of ``header, problem``. Files are told by name alone; none is read."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # binaryFile leaves the content unread where it isn't selected
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files).load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    ours = found.where(ending.isin(".hdr", "", *EXTENSIONS)).select("path", (ending == ".hdr").alias("is_header"), F.regexp_replace("path", r"\.[^./]*$", "").alias("cube"))
+    return ours.groupBy("cube").transformWithState(statefulProcessor=Arrivals(deadline), outputStructType=ARRIVED, outputMode="Append", timeMode="ProcessingTime")
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, options: BatchOptions, files: int = 1000) -> StreamingQuery:
-    """Starts a query that takes the headers that arrive in ``folder``, ``files`` at most at a time, and adds their spectra to the Parquet table ``out``.
+def watch(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, options: BatchOptions, files: int = 1000, deadline: float = 3600.0, problems: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Starts a query that takes the cubes that arrive in ``folder``, ``files`` files at most at a time, and adds their spectra to the Parquet table ``out``.
 
-    A batch is one job for each shape of its cubes and is written under its own number, so that one that is repeated after a failure replaces what it wrote before.
+    A header waits for its data file (which should be moved into the folder as a whole) up to ``deadline`` seconds, also over restarts. Cubes left out go to the table ``problems``, if it is
+    given. A batch is one job for each shape of its cubes and is written under its own number, so that one that is repeated after a failure replaces what it wrote
+    before. ``trigger``: arguments of the writer's trigger; what is there now, by default.
     """
-    headers = (
-        spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files).load(f"{folder}/*.hdr").selectExpr("_metadata.file_path as path")
-    )
 
     def process(rows: DataFrame, batch_id: int) -> None:
-        paths = sorted(r["path"].removeprefix("file://").removeprefix("file:") for r in rows.distinct().collect())  # ``files`` at most
-        spectra, _ = extract_all(spark, paths, options)
+        found = rows.distinct().collect()  # ``files`` at most, and those whose time is up
+        plain = lambda path: path.removeprefix("file://").removeprefix("file:")
+        spectra, left_out = extract_all(spark, sorted(plain(r["header"]) for r in found if r["problem"] is None), options)
         spectra.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if problems is not None:
+            late = spark.createDataFrame([(plain(r["header"]), r["problem"]) for r in found if r["problem"] is not None], PROBLEMS)
+            left_out.union(late).write.mode("overwrite").parquet(f"{problems}/batch={batch_id}")
 
-    return headers.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = arrivals(spark, folder, deadline, files).writeStream.outputMode("append").foreachBatch(process).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
