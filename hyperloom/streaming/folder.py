@@ -60,13 +60,12 @@ class Arrivals(StatefulProcessor):
 
 
 def arrivals(spark: SparkSession, folder: str, deadline: float, files: int) -> DataFrame:
-    """Stream of ``header, problem``. Files are told by name alone; none is read."""
+    """Stream of ``header, problem``. Files are told by their names' endings alone; none is read."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    endings = ",".join(e[1:] for ext in (".hdr", *EXTENSIONS) for e in (ext, ext.upper()))
     # binaryFile leaves the content unread where it isn't selected
-    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files).load(folder).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
-    ending = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    ours = found.where(ending.isin(".hdr", "", *EXTENSIONS)).select("path", (ending == ".hdr").alias("is_header"), F.regexp_replace("path", r"\.[^./]*$", "").alias("cube"))
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files).load(f"{folder}/*.{{{endings}}}").select("path")
+    ours = found.select("path", F.lower(F.substring("path", -4, 4)).eqNullSafe(".hdr").alias("is_header"), F.regexp_replace("path", r"\.[^./]*$", "").alias("cube"))
     return ours.groupBy("cube").transformWithState(statefulProcessor=Arrivals(deadline), outputStructType=ARRIVED, outputMode="Append", timeMode="ProcessingTime")
 
 
@@ -77,8 +76,10 @@ def watch(
 
     A header waits for its data file (which should be moved into the folder as a whole) up to ``deadline`` seconds, also over restarts. Cubes left out go to the table ``problems``, if it is
     given. A batch is one job for each shape of its cubes and is written under its own number, so that one that is repeated after a failure replaces what it wrote
-    before. ``trigger``: arguments of the writer's trigger; what is there now, by default.
+    before. ``trigger``: arguments of the writer's trigger. By default the query takes what is there now and ends; deadlines are then looked at whenever new files are there, and with a
+    ``processingTime`` at each of its times.
     """
+    trigger = trigger or {"availableNow": True}
 
     def process(rows: DataFrame, batch_id: int) -> None:
         found = rows.distinct().collect()  # ``files`` at most, and those whose time is up
@@ -90,4 +91,11 @@ def watch(
             left_out.union(late).write.mode("overwrite").parquet(f"{problems}/batch={batch_id}")
 
     writer = arrivals(spark, folder, deadline, files).writeStream.outputMode("append").foreachBatch(process).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    # a query of what is there now would go on without data as long as any header waits
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false" if trigger.get("availableNow") else before)
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        spark.conf.set(key, before)
