@@ -91,7 +91,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def parse(column: pa.Array) -> list[pa.Array | np.ndarray]:
-    """Row, line number, token count, hash of the leading tokens, hash of the line, and two bytes for each compared token, of every line that has tokens.
+    """Row, line number, token count, hash of the leading tokens, hash of the line, and four bytes for each compared token, of every line that has tokens.
 
     A line of one or two tokens gives a row for each neighbour in its text, with the hash of both lines.
     """
@@ -115,8 +115,8 @@ def parse(column: pa.Array) -> list[pa.Array | np.ndarray]:
         head = mix(head + np.uint64(DEPTH))
         full = n >= DEPTH
         compared = (place >= DEPTH) & np.repeat(n >= LEAST_COMPARED, n)
-        ends = np.r_[0, np.cumsum(np.where(n >= LEAST_COMPARED, n - DEPTH, 0)[full]) * 2].astype(np.int32)
-        values = pa.Array.from_buffers(pa.binary(), int(full.sum()), [None, pa.py_buffer(ends), pa.py_buffer((h[compared] & np.uint64(0xFFFF)).astype("<u2"))])
+        ends = np.r_[0, np.cumsum(np.where(n >= LEAST_COMPARED, n - DEPTH, 0)[full]) * 4].astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), int(full.sum()), [None, pa.py_buffer(ends), pa.py_buffer((h[compared] & np.uint64(0xFFFFFFFF)).astype("<u4"))])
         # lines of one or two tokens, with the line after and the line before
         a = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
         both = line[a] * np.uint64(3) + line[a + 1]
@@ -165,7 +165,7 @@ def grouped(lines: DataFrame, keys: list[str]) -> DataFrame:
         held: list[dict] = []
 
         def close() -> pa.RecordBatch:
-            compared = np.frombuffer(b"".join(r["compared"] for r in held), np.uint16).reshape(len(held), -1)
+            compared = np.frombuffer(b"".join(r["compared"] for r in held), np.uint32).reshape(len(held), -1)
             lead = leaders(compared)
             return pa.RecordBatch.from_arrays(
                 [pa.array([r["line"] for r in held], pa.int64()), pa.array([held[k]["line"] for k in lead.tolist()], pa.int64()), pa.array([r["leaf"] for r in held], pa.int64()), pa.array([r["n"] for r in held], pa.int64()), pa.array([r["compared"] for r in held], pa.binary())],
@@ -196,7 +196,7 @@ class Leaders:
         self.least = width - differ
         self.sets = [slice(k, None, differ + 1) for k in range(differ + 1)]
         self.lines = array("q")
-        self.compared = np.zeros((64, width), np.uint16)
+        self.compared = np.zeros((64, width), np.uint32)
         self.index: dict[tuple[int, bytes], array] = {}
 
     def first(self, row: np.ndarray) -> int:
@@ -235,7 +235,7 @@ def followed(lines: DataFrame, keys: list[str], grow: bool) -> DataFrame:
         for batch in batches:
             template = []
             for key, line, compared, leads in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in ("line", "compared", "leads"))):
-                row = np.frombuffer(compared, np.uint16)
+                row = np.frombuffer(compared, np.uint32)
                 if key != at:
                     at, known = key, Leaders(len(row))
                 found = -1 if leads else known.first(row)
@@ -280,7 +280,7 @@ def sharing(lines: DataFrame) -> DataFrame:
         for batch in batches:
             line, key = [], []
             for leaf, of, raw in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "compared"))):
-                row = np.frombuffer(raw, np.uint16)
+                row = np.frombuffer(raw, np.uint32)
                 sets = Leaders(len(row)).sets
                 line += [of] * len(sets)
                 key += [int.from_bytes(blake2b(b"%d %d " % (leaf, k) + row[s].tobytes(), digest_size=8).digest(), "little", signed=True) for k, s in enumerate(sets)]
