@@ -148,10 +148,8 @@ def scaled(scores: DataFrame, k: int) -> DataFrame:
 def analysed(pixels: DataFrame, k: int = 10, mask: DataFrame | None = None) -> DataFrame:
     """``cube_id, line, sample, spectrum``: mean, min, max and range of each pixel, then k components fitted under the mask, not centred, scaled 0 to 1."""
     fit_on = select_pixels(pixels, mask)
-    components = principal(fit_on, k)
-    scores = scaled(project(pixels.select("cube_id", "line", "sample", "spectrum"), components, centred=False), k)
-    stats = pixel_stats(pixels)
-    return stats.join(scores, ["cube_id", "line", "sample"]).select("cube_id", "line", "sample", F.concat(F.array("mean", "min", "max", "range"), F.col("scores")).alias("spectrum"))
+    both = project(pixel_stats(pixels, "spectrum"), principal(fit_on, k), centred=False)
+    return scaled(both, k).select("cube_id", "line", "sample", F.concat(F.array("mean", "min", "max", "range"), F.col("scores")).alias("spectrum"))
 
 
 def pca_rgb(pixels: DataFrame, mask: DataFrame | None = None) -> DataFrame:

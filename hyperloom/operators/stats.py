@@ -50,8 +50,8 @@ def roi_mean_spectrum(pixels: DataFrame, mask: DataFrame, valid_only: bool = Fal
     return cells.groupBy("cube_id", "roi_id", "band").agg(F.coalesce(mean, F.lit(0.0)).alias("mean"))
 
 
-def pixel_stats(pixels: DataFrame) -> DataFrame:
-    """mean, min, max and range over each pixel's valid bands; NaN where band 0 is NaN or no band is valid."""
+def pixel_stats(pixels: DataFrame, *keep: str) -> DataFrame:
+    """mean, min, max and range over each pixel's valid bands, beside the ``keep`` columns; NaN where band 0 is NaN or no band is valid."""
     nan = F.lit(float("nan"))
     good = F.filter(F.transform("spectrum", lambda x: x.cast("double")), lambda x: is_valid(x))
     out = let(
@@ -61,9 +61,9 @@ def pixel_stats(pixels: DataFrame) -> DataFrame:
         ),
     )
     ok = ~F.isnan(F.col("spectrum")[0]) & F.col("s.mean").isNotNull()
-    found = pixels.select("cube_id", "line", "sample", "spectrum", out.alias("s"))
+    found = pixels.select("cube_id", "line", "sample", *{"spectrum": None, **dict.fromkeys(keep)}, out.alias("s"))
     columns = {"mean": F.col("s.mean"), "min": F.col("s.min"), "max": F.col("s.max"), "range": F.col("s.max") - F.col("s.min")}
-    return found.select("cube_id", "line", "sample", *[F.when(ok, c).otherwise(nan).alias(n) for n, c in columns.items()])
+    return found.select("cube_id", "line", "sample", *keep, *[F.when(ok, c).otherwise(nan).alias(n) for n, c in columns.items()])
 
 
 def result_stats(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:

@@ -433,8 +433,9 @@ a as (select *, coalesce((lead(v) over w - lag(v) over w) / (lead(wl) over w - l
 b as (select *, (lead(d1) over w - lag(d1) over w) / (lead(wl) over w - lag(wl) over w) as e from a window w as (partition by line, sample order by band))
 select line, sample, band, {s6('d1')} as d1, {s6('case when band between 2 and 61 then e else 0 end')} as d2 from b""")
 def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = to_long(cube(spark, sf_dir)).select("line", "sample", "band", F.col("value").cast("double").alias("value"), (400 + F.col("band") * 500.0 / 63).alias("wl"))
-    return preprocess.derivatives(rows, ["line", "sample"]).select("line", "sample", "band", r6("d1", "d1"), r6("d2", "d2"))
+    both = preprocess.derivatives_of(cube(spark, sf_dir), WL)
+    cells = both.select("line", "sample", F.posexplode(F.arrays_zip("d1", "d2")).alias("band", "d"))
+    return cells.select("line", "sample", "band", r6("d.d1", "d1"), r6("d.d2", "d2"))
 
 
 @query(f""", o as (select a.i - 1 as dy, b.i - 1 as dx from range(3) a(i), range(3) b(i)),
@@ -847,12 +848,12 @@ def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     h = size_of(pixels)
-    return roi.dilate(speckle(pixels), h.lines, h.samples)
+    return roi.dilate(speckle(pixels), h.lines, h.samples).select("line", "sample")
 
 
 @query(SPECKLED + _FOUR + "select line, sample from n group by all having count(*) = 5")
 def erode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roi.erode(speckle(cube(spark, sf_dir)))
+    return roi.erode(speckle(cube(spark, sf_dir))).select("line", "sample")
 
 
 @query(SPECKLED + _FOUR + """select m.line, m.sample from m join (select line, sample, count(*) as c from n group by all) using (line, sample), dim
@@ -860,7 +861,7 @@ where c < 5 or m.line = 0 or m.sample = 0 or m.line = n_lines - 1 or m.sample =
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     h = size_of(pixels)
-    return roi.edges(speckle(pixels), h.lines, h.samples)
+    return roi.edges(speckle(pixels), h.lines, h.samples).select("line", "sample")
 
 
 def _reach(source: str, step: str) -> str:
