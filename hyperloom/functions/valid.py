@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def is_valid(v: Column, infinite: bool = False) -> Column:
     """Neither NaN nor, unless ``infinite``, an infinity; null counts as invalid."""
@@ -48,7 +50,8 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: list[tupl
     """``keys`` and one exact order statistic a column: (name, percent, convention) of ``wanted``; null values are skipped.
 
     No group is ever sorted as a whole: one sketch brackets all ranks, a second pass counts what lies below each bracket without leaving code generation, and a third one
-    orders the few values within the brackets alone.
+    orders the few values within the brackets alone. Where there are ``keys``, the brackets and counts (a row a group) are stored, so that Spark knows their size and rows of a large group don't
+    move to meet them.
     """
     order = sorted(wanted, key=lambda w: w[1])
     at = range(len(order))
@@ -58,12 +61,13 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: list[tupl
     low = [F.col("__min") if cuts[2 * i] <= 0 else F.col("__q")[2 * i] for i in at]
     high = [F.col("__max") if cuts[2 * i + 1] >= 1 else F.col("__q")[2 * i + 1] for i in at]
     ends = [c.alias(f"__{n}{i}") for i in at for n, c in (("lo", low[i]), ("hi", high[i]))]
-    brackets = sketch.select(*keys, *ends)
+    known = (lambda some, name: stored(some, name)) if keys else (lambda some, name: some)
+    brackets = known(sketch.select(*keys, *ends), "brackets")
     met = lambda some: rows.join(some, keys) if keys else rows.crossJoin(F.broadcast(some))  # noqa: E731  (a row a group)
     v = F.col("__v")
     below = [F.count(F.when(v < F.col(f"__lo{i}"), 1)).alias(f"__b{i}") for i in at]
     kept = [F.first(f"__{n}{i}").alias(f"__{n}{i}") for i in at for n in ("lo", "hi")]
-    totals = met(brackets).groupBy(*keys).agg(F.count("*").alias("__n"), *below, *kept)
+    totals = known(met(brackets).groupBy(*keys).agg(F.count("*").alias("__n"), *below, *kept), "brackets-counted")
     inside = [v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in at]
     near = met(totals).where(_any(inside))
     of = F.explode(F.filter(F.array(*[F.when(inside[i], F.lit(i)) for i in at]), lambda i: i.isNotNull()))

@@ -273,7 +273,7 @@ def rotate(pixels: DataFrame, degrees: float, lines: int, samples: int) -> DataF
     dx, dy = F.col("sample") + F.lit(min_x) - cx, F.col("line") + F.lit(min_y) - cy
     grid = grid.withColumn("__x", F.rint(cos * dx + sin * dy + cx).cast("int")).withColumn("__y", F.rint(-sin * dx + cos * dy + cy).cast("int"))
     source = pixels.select("cube_id", F.col("line").alias("__y"), F.col("sample").alias("__x"), doubles().alias("spectrum"))
-    bands = pixels.groupBy("cube_id").agg(F.max(F.size("spectrum")).alias("__b"))
+    bands = stored(pixels.groupBy("cube_id").agg(F.max(F.size("spectrum")).alias("__b")), "bands")  # of a known size: broadcast if small
     out = grid.join(source, ["cube_id", "__y", "__x"], "left").join(bands, "cube_id")
     return out.select("cube_id", "line", "sample", F.coalesce("spectrum", F.array_repeat(F.lit(float("nan")), F.col("__b"))).alias("spectrum"))
 
@@ -323,7 +323,7 @@ def derivatives(rows: DataFrame, keys: list[str]) -> DataFrame:
 def mosaic(cubes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Cubes side by side in the order of ``path``; shorter ones are padded with NaN to the largest height.
 
-    ``sizes``: cube_id, path, lines, samples, bands. Unequal band counts are an error.
+    ``sizes``: cube_id, path, lines, samples, bands, a row a cube; their places come from one running sum over it. Unequal band counts are an error.
     """
     from pyspark.sql import Window
 

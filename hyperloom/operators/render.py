@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import band_hue, clamp, colormap, dimmed, gamma, hue_color, jet, stretch, to_byte
 from ..functions.valid import nearest_rank, valid
 from ..model import RenderOptions
+from ..shared import stored
 from .roi import extremes, place, spots
 from .stats import band_minmax
 
@@ -15,7 +16,8 @@ from .stats import band_minmax
 def _with_limits(v: DataFrame, options: RenderOptions) -> DataFrame:
     """``lo`` and ``hi`` of each cube's values (NaN skipped, infinities kept), 0 and 1 without any."""
     finite = v.withColumn("v", valid(F.col("v"), infinite=True))
-    ends = nearest_rank(finite, ["cube_id"], "v", [("lo", options.low, "plain"), ("hi", options.high, "render_high")])
+    # limits are stored, here and below: of a known size, they are broadcast if small
+    ends = stored(nearest_rank(finite, ["cube_id"], "v", [("lo", options.low, "plain"), ("hi", options.high, "render_high")]), "limits")
     return finite.join(ends, "cube_id", "left").withColumns({"lo": F.least(F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(1.0))), "hi": F.coalesce("hi", F.lit(1.0))})
 
 
@@ -36,14 +38,15 @@ def render_rgb(pixels: DataFrame, bands: tuple[int, int, int], options: RenderOp
     ends = nearest_rank(channels, ["cube_id", "channel"], "v", [("lo", options.low, "plain"), ("hi", options.high, "render_high")])
     first = lambda c, i, instead: F.coalesce(F.max(F.when(F.col("channel") == i, F.col(c))), F.lit(instead))
     limits = ends.groupBy("cube_id").agg(*[f for i in range(3) for f in (first("hi", i, 1.0).alias(f"hi{i}"), F.least(first("lo", i, 0.0), first("hi", i, 1.0)).alias(f"lo{i}"))])
-    out = out.join(limits, "cube_id")
+    out = out.join(stored(limits, "limits"), "cube_id")
     byte = lambda i: to_byte(gamma(stretch(F.col(f"v{i}").cast("double"), F.col(f"lo{i}"), F.col(f"hi{i}"), 0.0, 1e-6), options.gamma))
     return out.select("cube_id", "line", "sample", *[F.when(bad, 0).otherwise(byte(i)).alias(n) for i, n in enumerate("rgb")])
 
 
 def masked_render(pixels: DataFrame, band: int, mask: DataFrame, name: str = "rainbow") -> DataFrame:
     """Colours within the mask, stretched between its own extremes; gray at a quarter of the brightness elsewhere."""
-    ends = band_minmax(pixels, mask=mask).where(F.col("band") == band).select("cube_id", F.col("min").alias("lo"), F.col("max").alias("hi"))
+    own = pixels.withColumn("spectrum", F.slice("spectrum", band + 1, 1))
+    ends = stored(band_minmax(own, mask=mask).select("cube_id", F.col("min").alias("lo"), F.col("max").alias("hi")), "limits")
     inside = spots(mask, pixels).withColumn("on", F.lit(True))
     v = pixels.select("cube_id", "line", "sample", F.col("spectrum")[band].cast("double").alias("v")).join(ends, "cube_id").join(inside, place(mask, pixels), "left")
     t = F.when(F.isnan("v"), F.lit(0.0)).otherwise(stretch(F.col("v"), F.col("lo"), F.col("hi"), 0.0, 1e-6))
@@ -56,7 +59,7 @@ def prediction_render(predicted: DataFrame, mask: DataFrame | None = None) -> Da
     """A prediction map between its 2nd and 98th percentile; outside the mask, band 0 as gray at a fifth."""
     v = predicted.select("cube_id", "line", "sample", F.col("spectrum")[0].cast("double").alias("gray"), F.col("prediction").alias("v"))
     within = v if mask is None else v.join(spots(mask, v), place(mask, v), "left_semi")
-    ends = nearest_rank(within.withColumn("v", valid(F.col("v"))), ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")])
+    ends = stored(nearest_rank(within.withColumn("v", valid(F.col("v"))), ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")]), "limits")
     out = v.join(ends, "cube_id", "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
     t = stretch(F.col("v"), F.col("lo"), F.col("hi"), 1e-4, 1.0)
     on = F.lit(True)

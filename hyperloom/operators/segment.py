@@ -27,7 +27,7 @@ def to_8bit(pixels: DataFrame, band: int, limits: tuple[float, float] | None = N
     """``gray`` 0 ... 255 of one band, stretched between its 2nd and 98th percentile; invalid cells are 0, a range of 1e-5 or less counts as 1."""
     v = pixels.select("cube_id", "line", "sample", valid(F.col("spectrum")[band]).alias("v"))
     if limits is None:
-        ends = nearest_rank(v, ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")])
+        ends = stored(nearest_rank(v, ["cube_id"], "v", [("lo", 2.0, "plain"), ("hi", 98.0, "plain")]), "limits")  # of a known size: broadcast if small
         v = v.join(ends, "cube_id", "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
     else:
         v = v.withColumns({"lo": F.lit(limits[0]), "hi": F.lit(limits[1])})
