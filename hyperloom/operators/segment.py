@@ -8,14 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import stretch
 from ..functions.valid import nearest_rank, valid
 from ..model import SegmentationParams
-from ..shared import stored
+from ..shared import stored, whole_groups
 from .graph import components
 from .numbering import numbered
 
@@ -109,29 +108,6 @@ def raw_mask(gray: DataFrame, lines: int, samples: int, p: SegmentationParams) -
 STRIP, COLUMN = 256, 4096
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows, or one group if that is longer, from batches sorted by ``keys``; no group is in two of them. Each batch is looked at once."""
-    done: list[pa.RecordBatch] = []
-    current: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = tuple(batch.column(k)[-1].as_py() for k in keys)
-        same = np.logical_and.reduce([pc.equal(batch.column(k), v).to_numpy(zero_copy_only=False) for k, v in zip(keys, last)])
-        begin = int(np.argmax(same))
-        if begin or last != at:
-            done += current + ([batch.slice(0, begin)] if begin else [])
-            current = []
-            if sum(b.num_rows for b in done) >= rows:
-                yield pa.Table.from_batches(done)
-                done = []
-        current.append(batch.slice(begin))
-        at = last
-    if done or current:
-        yield pa.Table.from_batches(done + current)
-
-
 def _joined_runs(line: np.ndarray, sample: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
     """Runs (line, first, last sample) of a strip's pixels and, for each, the first run that it is connected to within the strip."""
     order = np.lexsort((sample, line))
@@ -186,7 +162,7 @@ def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, _TILE):
+        for table in whole_groups(batches, _TILE):
             cube, strip, col = table.column("cube_id").combine_chunks(), table.column("strip").to_numpy(), table.column("col").to_numpy()
             code = cube.dictionary_encode().indices.to_numpy()
             new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (strip[1:] != strip[:-1]) | (col[1:] != col[:-1])])

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, to cut lineage."""
+"""Tables in the folder that driver and executors share, to cut lineage; groups of rows within tasks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, or one group if that is longer, from batches sorted by ``keys``; no group is in two of them. Each batch is looked at once."""
+    done: list[pa.RecordBatch] = []
+    current: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = tuple(batch.column(k)[-1].as_py() for k in keys)
+        same = np.logical_and.reduce([pc.equal(batch.column(k), v).to_numpy(zero_copy_only=False) for k, v in zip(keys, last)])
+        begin = int(np.argmax(same))
+        if begin or last != at:
+            done += current + ([batch.slice(0, begin)] if begin else [])
+            current = []
+            if sum(b.num_rows for b in done) >= rows:
+                yield pa.Table.from_batches(done)
+                done = []
+        current.append(batch.slice(begin))
+        at = last
+    if done or current:
+        yield pa.Table.from_batches(done + current)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Header
+from ..shared import stored, whole_groups
+from .envi import located
 
 
 def wide_spectra(spectra: DataFrame, wavelengths: list[float], keys: list[str], column: str = "mean", digits: int = 2, prefix: str = "") -> DataFrame:
@@ -85,16 +91,67 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def mask_array(mask: DataFrame, header: Header) -> np.ndarray:
-    """One image's mask as a line, sample array; an image is bounded by its header. Its pixels arrive as Arrow columns."""
-    out = np.zeros((header.lines, header.samples), bool)
-    found = mask.select("line", "sample").toArrow()
-    out[found["line"].to_numpy(), found["sample"].to_numpy()] = True
-    return out
+#: Bytes of an image that one task encodes at a time.
+BLOCK_BYTES = 8 << 20
+
+
+def _height(header: Header, depth: int) -> int:
+    return max(1, BLOCK_BYTES // max(1, header.samples * depth))
+
+
+def blocks(rows: DataFrame, header: Header, columns: list[str], encode: Callable[[np.ndarray], tuple[bytes, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, check, plain size) of an image's blocks of lines, from the top; ``encode`` (an array of line, sample and channel to bytes and a check) runs in tasks.
+
+    ``columns``: channels of 0 ... 255; pixels without a row are 0. The encoded blocks are stored, and the driver holds one of them at a time.
+    """
+    height, depth = _height(header, len(columns)), len(columns)
+    spark = rows.sparkSession
+    lines, samples = header.lines, header.samples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["block"], 1):
+            block, line = table.column("block").to_numpy(), table.column("line").to_numpy()
+            for k in dict.fromkeys(block.tolist()):
+                out = np.zeros((min(height, lines - k * height), samples, depth), np.uint8)
+                own = np.flatnonzero((block == k) & (line >= 0))  # but for the row that stands for the block itself
+                for c, name in enumerate(columns):
+                    out[line[own] - k * height, table.column("sample").to_numpy()[own], c] = table.column(name).to_numpy()[own]
+                data, check = encode(out)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([data], pa.binary()), pa.array([check]), pa.array([out.size])], names=["block", "data", "check", "size"])
+
+    own = rows.select(F.floor(F.col("line") / height).cast("long").alias("block"), F.col("line").cast("int").alias("line"), F.col("sample").cast("int").alias("sample"), *[F.col(c).cast("int").alias(c) for c in columns])
+    every = spark.range(-(-lines // height)).select(F.col("id").alias("block"), F.lit(-1).alias("line"), F.lit(-1).alias("sample"), *[F.lit(0).alias(c) for c in columns])
+    spread = own.union(every).repartition("block").sortWithinPartitions("block")
+    done = stored(spread.mapInArrow(run, "block long, data binary, check long, size long"), "image")
+    for r in done.orderBy("block").toLocalIterator():
+        yield bytes(r["data"]), r["check"], r["size"]
+
+
+def _plain(x: np.ndarray) -> tuple[bytes, int]:
+    return x.tobytes(), 0
+
+
+def mask_npy(mask: DataFrame, header: Header) -> Iterator[bytes]:
+    """One image's mask as the pieces of an NPY file of booleans (line, sample)."""
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": "|b1", "fortran_order": False, "shape": (header.lines, header.samples)})
+    yield head.getvalue()
+    for data, _, _ in blocks(mask.select("line", "sample", F.lit(1).alias("on")), header, ["on"], _plain):
+        yield data
 
 
 def save_mask(mask: DataFrame, header: Header, path: str) -> None:
-    np.save(path, mask_array(mask, header))
+    save(mask_npy(mask, header), path)
+
+
+def save(pieces: Iterator[bytes], path: str) -> None:
+    """Writes pieces beside ``path`` and moves them there at the end, on any file system that pyarrow opens."""
+    store, at = located(path)
+    new = f"{at}.{uuid.uuid4().hex}"
+    with store.open_output_stream(new) as out:
+        for piece in pieces:
+            out.write(piece)
+    store.move(new, at)
 
 
 def session_json(rois: DataFrame, date: str) -> DataFrame:
@@ -109,37 +166,69 @@ def session_json(rois: DataFrame, date: str) -> DataFrame:
     return kept.select(F.to_json(F.struct(F.lit(date).alias("SessionDate"), F.col("all.s").alias("Selections"))).alias("value"))
 
 
-def image_array(image: DataFrame, header: Header) -> np.ndarray:
-    """A rendered image (line, sample, r, g, b) as an array of bytes; an image is bounded by its header."""
-    out = np.zeros((header.lines, header.samples, 3), np.uint8)
-    found = image.select("line", "sample", "r", "g", "b").toArrow()
-    for k, c in enumerate("rgb"):
-        out[found["line"].to_numpy(), found["sample"].to_numpy(), k] = found[c].to_numpy()
-    return out
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def png(image: DataFrame, header: Header) -> bytes:
-    """A rendered image (line, sample, r, g, b) as a PNG file."""
-    rows = np.pad(image_array(image, header).reshape(header.lines, -1), ((0, 0), (1, 0))).tobytes()
+def _deflated(x: np.ndarray) -> tuple[bytes, int]:
+    """Lines, each after a filter byte of 0, as a part of a deflate stream that others can follow, and their checksum."""
+    raw = np.pad(x.reshape(len(x), -1), ((0, 0), (1, 0))).tobytes()
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return packer.compress(raw) + packer.flush(zlib.Z_FULL_FLUSH), zlib.adler32(raw)
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", header.samples, header.lines, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+def _joined_adler(one: int, two: int, size: int) -> int:
+    """Checksum of two stretches of bytes, the second ``size`` bytes long."""
+    a, b, c, d = one & 0xFFFF, one >> 16, two & 0xFFFF, two >> 16
+    return ((b + d + size * (a - 1)) % 65521) << 16 | (a + c - 1) % 65521
 
 
-def tiff(image: DataFrame, header: Header) -> bytes:
-    """The same as an uncompressed TIFF file of one strip."""
-    data = image_array(image, header).tobytes()
+def png_pieces(image: DataFrame, header: Header) -> Iterator[bytes]:
+    """A rendered image (line, sample, r, g, b) as the pieces of a PNG file, a chunk of data for each block."""
+    yield b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", header.samples, header.lines, 8, 2, 0, 0, 0))
+    check, held = 1, b"\x78\x9c"
+    for k, (data, own, size) in enumerate(blocks(image, header, list("rgb"), _deflated)):
+        if k:
+            yield _chunk(b"IDAT", held)
+        check, held = _joined_adler(check, own, size + size // (3 * header.samples)), data if k else held + data
+    # the stream's last, empty part and its checksum
+    yield _chunk(b"IDAT", held + b"\x03\x00" + struct.pack(">I", check)) + _chunk(b"IEND", b"")
+
+
+def png(image: DataFrame, header: Header) -> bytes:
+    return b"".join(png_pieces(image, header))
+
+
+def tiff_pieces(image: DataFrame, header: Header) -> Iterator[bytes]:
+    """The same as an uncompressed TIFF file, a strip for each block; files of this kind end at 4 GB."""
+    size, height = header.lines * header.samples * 3, _height(header, 3)
+    counts = [min(height, header.lines - k) * header.samples * 3 for k in range(0, header.lines, height)]
+    offsets = [8 + sum(counts[:k]) for k in range(len(counts))]
+    # bits a channel, then the lists of strips, then the directory; a list of one strip stands in its entry
+    lists = 8 + size
+    n = len(counts)
+    where = lambda values, k: values[0] if n == 1 else lists + 6 + 4 * n * k
+    directory_at = lists + 6 + (8 * n if n > 1 else 0)
     short, long = 3, 4
-    # width, height, bits a channel (beside the data), no compression, RGB, strip, channels, rows a strip, bytes a strip
+    # width, height, bits a channel, no compression, RGB, strips, channels, rows a strip, bytes of strips
     entries = [
-        (256, long, 1, header.samples), (257, long, 1, header.lines), (258, short, 3, 8 + len(data)), (259, short, 1, 1), (262, short, 1, 2), (273, long, 1, 8),
-        (277, short, 1, 3), (278, long, 1, header.lines), (279, long, 1, len(data)),
+        (256, long, 1, header.samples), (257, long, 1, header.lines), (258, short, 3, lists), (259, short, 1, 1), (262, short, 1, 2), (273, long, n, where(offsets, 0)),
+        (277, short, 1, 3), (278, long, 1, height if n > 1 else header.lines), (279, long, n, where(counts, 1)),
     ]
-    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, 8 + len(data) + 6) + data + struct.pack("<3H", 8, 8, 8) + directory
+    yield struct.pack("<2sHI", b"II", 42, directory_at)
+    for data, _, _ in blocks(image, header, list("rgb"), _plain):
+        yield data
+    yield struct.pack("<3H", 8, 8, 8) + (struct.pack(f"<{2 * n}I", *offsets, *counts) if n > 1 else b"")
+    yield struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+
+
+def tiff(image: DataFrame, header: Header) -> bytes:
+    return b"".join(tiff_pieces(image, header))
+
+
+def save_image(image: DataFrame, header: Header, path: str) -> None:
+    """A rendered image as PNG or TIFF, by the path's ending."""
+    save((tiff_pieces if path.lower().endswith((".tif", ".tiff")) else png_pieces)(image, header), path)
 
 
 def mat(variables: dict[str, np.ndarray]) -> bytes:

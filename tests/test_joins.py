@@ -10,6 +10,7 @@ from hyperloom.model import ROIS
 from hyperloom.operators import roi, segment, stats
 from hyperloom.operators.nearest import nearest_join
 from hyperloom.operators.numbering import numbered
+from hyperloom.shared import whole_groups
 
 
 def plain_nearest(left, right, direction):
@@ -142,7 +143,7 @@ def test_whole_groups():
         table = pa.table({"k": k, "j": k % 2})
         cuts = np.sort(rng.integers(0, 61, 6))
         batches = [b for a, z in zip(np.r_[0, cuts], np.r_[cuts, 60]) for b in table.slice(a, z - a).to_batches()]
-        out = list(segment._whole_groups(iter(batches), ["k", "j"], int(rng.integers(1, 30))))
+        out = list(whole_groups(iter(batches), ["k", "j"], int(rng.integers(1, 30))))
         assert pa.concat_tables(out).to_pydict() == table.to_pydict()
         assert sum(len(set(t.column("k").to_pylist())) for t in out) == len(set(k.tolist()))
 

@@ -245,6 +245,46 @@ def test_reads_of_some_lines_and_bands(spark, tmp_path):
     assert some == {k: [v[3], v[0]] for k, v in whole.items() if k[0] == 1}
 
 
+def strips(data):
+    """Width, height and pixels of a TIFF file of strips."""
+    import struct
+
+    at = struct.unpack_from("<I", data, 4)[0]
+    e = {x[0]: x[1:] for x in (struct.unpack_from("<HHII", data, at + 2 + 12 * k) for k in range(struct.unpack_from("<H", data, at)[0]))}
+    n = e[273][1]
+    read = lambda tag: [e[tag][2]] if n == 1 else list(struct.unpack_from(f"<{n}I", data, e[tag][2]))
+    assert struct.unpack_from("<3H", data, e[258][2]) == (8, 8, 8)
+    return e[256][2], e[257][2], b"".join(data[a : a + k] for a, k in zip(read(273), read(279)))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40, 1])
+def test_images_of_many_blocks(spark, tmp_path, monkeypatch, size):
+    import zlib
+
+    monkeypatch.setattr(sinks, "BLOCK_BYTES", size)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (23, 7, 3))
+    x[5:12] = 0  # blocks without a row
+    h = Header(7, 23, 1)
+    rows = [(y, s, *map(int, x[y, s])) for y in range(23) for s in range(7) if x[y, s].any()]
+    image = spark.createDataFrame(rows, "line int, sample int, r int, g int, b int").repartition(3)
+    sinks.save_image(image, h, str(tmp_path / "a.png"))
+    data = (tmp_path / "a.png").read_bytes()
+    at, idat = 8, b""
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        idat += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(23, 22)
+    assert (raw[:, 0] == 0).all() and (raw[:, 1:].reshape(23, 7, 3) == x).all()
+    sinks.save_image(image, h, str(tmp_path / "a.tif"))
+    width, height, pixels = strips((tmp_path / "a.tif").read_bytes())
+    assert (width, height) == (7, 23) and (np.frombuffer(pixels, np.uint8).reshape(23, 7, 3) == x).all()
+    sinks.save_mask(image, h, str(tmp_path / "m.npy"))
+    assert (np.load(tmp_path / "m.npy") == x.any(2)).all() and sorted(os.listdir(tmp_path)) == ["a.png", "a.tif", "m.npy"]
+
+
 def test_tiff(spark):
     import struct
 
