@@ -3,7 +3,7 @@
 Only documents of more than ``WINDOW`` ids are cut, into pieces of ``WINDOW`` ids of which the first may be shorter; a full piece is a sequence
 of its own. All other pieces are packed whole. A sequence is filled greedily with the largest unpacked piece that still fits. When none does and
 room is left, its smallest piece is replaced by those two unpacked pieces that fill the room and the smallest one's place most tightly, if any two fill
-more than it does.
+more than it does. Pieces of under a sixth of a sequence take no part in exchanges: they are worth more later, where they fill what is left by themselves.
 
 Documents are tokenised once, to the shared folder; there is no shuffle. A task packs blocks of ``BLOCK_IDS`` ids (and one document more at most); pieces of
 a size are interchangeable, so a block's state is one stack of rows for each of at most ``WINDOW`` sizes. What a block's last sequences leave
@@ -52,15 +52,15 @@ class Sizes:
             self.bits |= 1 << size
         self.counts[size] += 1
 
-    def two(self, room: int, more_than: int) -> tuple[int, int]:
-        """The two unpacked pieces with the largest sum of at most ``room``, if it is over ``more_than``; else (0, 0). Equal sums: the larger first piece."""
+    def two(self, room: int, more_than: int, least: int = 1) -> tuple[int, int]:
+        """The two unpacked pieces of ``least`` or more with the largest sum of at most ``room``, if it is over ``more_than``; else (0, 0). Equal sums: the larger first piece."""
         found, best = (0, 0), more_than
         a = self.largest(room - 1)
-        while a and 2 * a > best:
+        while a >= least and 2 * a > best:
             b = self.largest(min(room - a, a))
             if b == a and self.counts[a] < 2:
                 b = self.largest(a - 1)
-            if b and a + b > best:
+            if b >= least and a + b > best:
                 found, best = (a, b), a + b
                 if best == room:
                     break
@@ -82,7 +82,7 @@ def fill(counts: np.ndarray, window: int = WINDOW, replace: bool = True) -> list
             room -= size
         if replace and room and len(sequence) > 1:
             smallest = sequence[-1]
-            a, b = left.two(room + smallest, smallest)
+            a, b = left.two(room + smallest, smallest, max(1, window // 6))
             if a:
                 left.take(a)
                 left.take(b)
