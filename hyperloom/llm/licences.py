@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -203,22 +205,57 @@ def build(templates: dict[str, str], phrases: dict[str, str]) -> Automaton:
     return a
 
 
-def chain(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-    """Runs of one template, as (document word, template word, length), in document order: the most template words that
-    runs in rising order of both cover without overlap, and the first and last document word of them."""
-    best: list[tuple[int, int, int]] = []
+def chains(runs: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int]]:
+    """Disjoint chains of one template's runs, each (share covered of the template's ``size`` words, first, last document word), of ``LEAST_COVER`` or more.
+
+    Runs are (document word, template word, length) in document order. A chain covers words of both in rising order without
+    overlap. The best chain comes first (of equal ones the first), then the best of those before and after it, and so on.
+    Taking a chain changes no chain that ends before it, as a run that reaches beyond another's end never precedes it; of those
+    after it only chains that begin within or before it are worked out again.
+    """
     longest = max(n for _, _, n in runs)
-    for i, (at, place, n) in enumerate(runs):
+    starts = [at for at, _, _ in runs]
+    best: list[tuple[int, int, int]] = []
+    alive = [True] * len(runs)
+
+    def ending(i: int, floor: int) -> tuple[int, int, int]:
+        """The best chain that ends with run ``i`` and begins after document word ``floor``."""
+        at, place, n = runs[i]
         top = (n, at, at + n - 1)
         for j in range(i - 1, -1, -1):
             a, p, m = runs[j]
-            if at - (a + longest) > 2 * n + 16:
+            if a <= floor or at - (a + longest) > 2 * n + 16:
                 break
             overlap = max(0, a + m - at, p + m - place)
             if a < at and p < place and overlap < n and at - (a + m) <= 2 * n + 16 and best[j][0] + n - overlap > top[0]:
                 top = (best[j][0] + n - overlap, best[j][1], at + n - 1)
-        best.append(top)
-    return max(best, key=lambda b: (b[0], -b[1]))
+        return top
+
+    for i in range(len(runs)):
+        best.append(ending(i, -1))
+    todo = [(-b[0], b[1], i) for i, b in enumerate(best)]
+    heapify(todo)
+    out = []
+    while todo:
+        covered, first, i = heappop(todo)
+        if -covered / size < LEAST_COVER:
+            break
+        if not alive[i] or (-covered, first) != best[i][:2]:
+            continue
+        last = best[i][2]
+        out.append((-covered / size, first, last))
+        after = bisect_right(starts, last)
+        for j in range(bisect_left(starts, first - longest), after):
+            alive[j] = alive[j] and starts[j] + runs[j][2] <= first
+        stale = last
+        for j in range(after, len(runs)):
+            if starts[j] > stale + 3 * longest + 16:  # nothing from here on reaches back to a chain that begins too early
+                break
+            if best[j][1] <= last:
+                stale = starts[j]
+                best[j] = ending(j, last)
+                heappush(todo, (-best[j][0], best[j][1], j))
+    return out
 
 
 def scan_text(a: Automaton, n_phrases: int, text: str | None) -> tuple[int, list[tuple[int, int]], list[tuple[str, float, int, int]]]:
@@ -243,14 +280,7 @@ def scan_text(a: Automaton, n_phrases: int, text: str | None) -> tuple[int, list
                         runs.setdefault(template, []).append((begin + i + 1 - m, end - m, m))
     spans = []
     for template, some in sorted(runs.items()):
-        todo = [sorted(some)]
-        while todo:
-            part = todo.pop()
-            covered, first, last = chain(part)
-            share = covered / a.sizes[template]
-            if share >= LEAST_COVER:
-                spans.append((a.names[template], share, first, last))
-                todo += [x for x in ([r for r in part if r[0] + r[2] <= first], [r for r in part if r[0] > last]) if x]
+        spans += [(a.names[template], *x) for x in chains(sorted(some), a.sizes[template])]
     return len(found), places, spans
 
 

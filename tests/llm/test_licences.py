@@ -1,4 +1,5 @@
 import random
+import time
 
 from hyperloom.llm import licences as lic
 
@@ -122,6 +123,16 @@ def test_every_covered_span_is_returned():
     assert sorted((f, e, c) for _, c, f, e in spans) == [(0, 7, 1.0), (9, 16, 1.0), (67, 72, 0.75)]
 
 
+def test_many_copies_in_linear_time():
+    t = " ".join(f"w{k}" for k in range(80))
+    half = " ".join(f"w{k}" for k in range(60))
+    a = lic.build({"t": t}, {})
+    begun = time.monotonic()
+    spans = lic.scan_text(a, 0, " ".join([t, half] * 4_000))[2]
+    assert time.monotonic() - begun < 60
+    assert sorted((f, e, c) for _, c, f, e in spans) == sorted(x for k in range(4_000) for x in ((140 * k, 140 * k + 79, 1.0), (140 * k + 80, 140 * k + 139, 0.75)))
+
+
 def test_edges(docs, clashing):
     long = "word " * 60_000 + "mit license " * 3
     got = summary(clashing(docs([(1, None), (2, ""), (3, long), (3, long), (None, "MIT-License"), (4, "mitlicense"), (5, "mit é license")])))
