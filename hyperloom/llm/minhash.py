@@ -34,7 +34,7 @@ LEADER_ROUNDS = 2
 GROUP = 256
 #: Wanted ids that are broadcast at most: a few MB.
 BROADCAST_IDS = 200_000
-#: Buckets of more open nodes are compared with full sets at hand, in blocks of ``OPEN_BLOCK`` nodes.
+#: Buckets of more open nodes are compared in blocks of ``OPEN_BLOCK`` nodes, and their plausible pairs with full sets at hand.
 SMALL_BUCKET = 64
 OPEN_BLOCK = 512
 
@@ -259,6 +259,18 @@ def open_candidates(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, "a long, b long")
 
 
+def plausible_members(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of each group that are in one of its plausible pairs, with their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, PLACE):
+            a, b, _ = open_pairs(*_group_arrays(group), least)
+            if len(a):
+                yield from group.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
+
+    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, rows.schema)
+
+
 def open_links(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b``: confirmed links across components of large buckets, enough to join what is linked within each group (rows carry full sets)."""
 
@@ -352,7 +364,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = []
     if not pairs.isEmpty():
         more.append(stored(confirmed(docs, pairs, percent), "minhash-links"))
-    large = rows_open.where(F.col("n") > SMALL_BUCKET)
+    # sketches alone move to every pair of blocks; full sets only where a document has a plausible partner
+    large = stored(plausible_members(rows_open.where(F.col("n") > SMALL_BUCKET), percent / 100), "minhash-plausible")
     if not large.isEmpty():
         sets = sorted_sets(docs, stored(large.select("doc_id").distinct(), "minhash-wanted"))
         more.append(stored(open_links(large.join(sets, "doc_id"), percent), "minhash-links"))
