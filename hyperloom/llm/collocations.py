@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_values, mix, split_join, stored
+from .common import bounded_batches, hot_values, mix, split_join, stored
 
 LENGTH = 5
 LEAST = 100
@@ -31,11 +31,14 @@ LEAST = 100
 SUBSUMED = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-SHARD_WORDS = 1 << 20
+#: Words of a shard; a task's Python holds about 120 bytes for each of them while it walks an automaton.
+SHARD_WORDS = 1 << 19
+#: Bytes of the Arrow batches in which texts and shards reach tasks.
+BATCH_BYTES = 8 << 20
 #: Bytes of a text that are split into words at a time.
 TEXT_BYTES = 4 << 20
 #: Bits of a filter: sixteen for each frequent phrase, up to this bound.
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 27
 #: Parts into which a language's phrases are dealt before its first ones are taken.
 DEALT = 64
 
@@ -276,6 +279,7 @@ def phrases(parts: DataFrame, filters: list[Filter]) -> DataFrame:
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``LENGTH`` words that occur ``least`` times or more in a language (``lang, phrase, n_words, a``), and each language's words (``lang, n``)."""
+    bounded_batches(docs.sparkSession, size=BATCH_BYTES)
     parts = stored(shards(docs), "collocations-shards")
     filters: list[Filter] = []
     for _ in range(LENGTH):

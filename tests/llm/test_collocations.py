@@ -109,3 +109,22 @@ def test_automaton_counts_links_and_states():
         for m in range(shortest, longest + 1):
             found[tuple(sequence[place + longest - m : place + longest].tolist())] += n
     assert found == truth and len(states) < len(truth)
+
+
+def test_a_full_shard_fits_a_small_worker(spark):
+    """Texts of two full shards, all of whose phrases are left: what a task holds for one of them, and for the batch that brings it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = rng.zipf(1.3, 1_200_000) % 100_000
+    df = spark.createDataFrame([(i, " ".join(map(str, words[i : i + 1000].tolist())), "en") for i in range(0, len(words), 1000)], "doc_id long, text string, lang string").coalesce(1)
+    found = collocations.shards(df).select("words", "sequence").collect()
+    assert sum(len(r["sequence"]) // 4 for r in found) == len(words) + 1200
+    largest = max(found, key=lambda r: len(r["sequence"]))
+    every = collocations.Filter(np.full(1, 2**64 - 1, np.uint64))
+    tracemalloc.start()
+    automaton, _, _ = collocations.walk("en", [bytes(w) for w in largest["words"]], bytes(largest["sequence"]), [every] * collocations.LENGTH)
+    assert sum(1 for _ in automaton.states()) > 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
