@@ -147,19 +147,21 @@ def _tile_of(line: Column, sample: Column) -> list[Column]:
     return [F.floor(line / STRIP).cast("int").alias("strip"), F.floor(sample / COLUMN).cast("int").alias("col")]
 
 
-def _off_runs(line: np.ndarray, sample: np.ndarray, lines: range, samples: range) -> tuple[np.ndarray, np.ndarray]:
-    """The pixels of a tile that aren't on."""
-    off = np.ones((len(lines), len(samples)), bool)
-    off[line - lines.start, sample - samples.start] = False
+def _off_runs(line: np.ndarray, sample: np.ndarray, on: np.ndarray, lines: range, samples: range, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of a tile that aren't on; of a tile that isn't ``whole`` only those that have a row."""
+    off = np.full((len(lines), len(samples)), whole)
+    off[line[~on] - lines.start, sample[~on] - samples.start] = True
+    off[line[on] - lines.start, sample[on] - samples.start] = False
     y, x = np.nonzero(off)
     return y + lines.start, x + samples.start
 
 
-def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None) -> DataFrame:
+def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None, pixels: DataFrame | None = None) -> DataFrame:
     """Runs of pixels (line, first and last sample), with the number of the part of their tile that they belong to: the runs of a part touch within the tile.
 
-    ``background``: lines and samples of the images, whose other pixels are taken instead.
+    ``background``: lines and samples of the images, whose other pixels are taken instead; ``pixels``: those that the images have, if not all.
     """
+    whole = pixels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, _TILE):
@@ -168,11 +170,12 @@ def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None
             new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (strip[1:] != strip[:-1]) | (col[1:] != col[:-1])])
             line, sample = table.column("line").to_numpy(), table.column("sample").to_numpy()
             if background:
+                on = table.column("on").to_numpy()
                 found = []
                 for k, (i, j) in enumerate(zip(new, np.r_[new[1:], len(line)])):
                     tops, lefts = (range(int(n) * size, min((int(n) + 1) * size, most)) for n, size, most in ((strip[i], STRIP, background[0]), (col[i], COLUMN, background[1])))
                     own = line[i:j] >= 0  # but for the row that stands for the tile itself
-                    y, x = _off_runs(line[i:j][own], sample[i:j][own], tops, lefts)
+                    y, x = _off_runs(line[i:j][own], sample[i:j][own], on[i:j][own], tops, lefts, whole)
                     found.append((np.full(len(y), k), y, x))
                 of, line, sample = (np.concatenate(c) for c in zip(*found))
             else:
@@ -193,9 +196,13 @@ def _runs(mask: DataFrame, reach: int, background: tuple[int, int] | None = None
     line, sample = F.col("line").cast("int"), F.col("sample").cast("int")
     tiles = mask.select("cube_id", *_tile_of(line, sample), line.alias("line"), sample.alias("sample"))
     if background:
+        tiles = tiles.withColumn("on", F.lit(True))
+    if background and pixels is not None:
+        tiles = tiles.union(pixels.select("cube_id", *_tile_of(line, sample), line.alias("line"), sample.alias("sample"), F.lit(False).alias("on")))
+    elif background:
         count = [(n + size - 1) // size for n, size in zip(background, (STRIP, COLUMN))]
         every = mask.select("cube_id").distinct().select("cube_id", F.explode(F.sequence(F.lit(0), F.lit(count[0] - 1))).alias("strip"))
-        every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(count[1] - 1))).alias("col"), F.lit(-1).alias("line"), F.lit(-1).alias("sample"))
+        every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(count[1] - 1))).alias("col"), F.lit(-1).alias("line"), F.lit(-1).alias("sample"), F.lit(False).alias("on"))
         tiles = tiles.union(every)
     spread = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "line", "sample")
     return stored(spread.mapInArrow(run, _RUNS), "runs")
@@ -250,12 +257,13 @@ def segments(mask: DataFrame, min_area: int) -> DataFrame:
     return labelled.join(numbered(large, ["cube_id"], ["label"], "__k").withColumn("name", name).drop("__k"), ["cube_id", "label"])
 
 
-def fill_holes(mask: DataFrame, lines: int, samples: int) -> DataFrame:
+def fill_holes(mask: DataFrame, lines: int, samples: int, pixels: DataFrame | None = None) -> DataFrame:
     """The mask and the background components (four-connected) that don't touch the image's border.
 
-    The background is made of runs inside the tiles' tasks, and only the runs of holes become pixels.
+    The background is made of runs inside the tiles' tasks, and only the runs of holes become pixels. ``pixels``: those that the images have, where some are missing; a
+    missing pixel is no background, so it neither fills nor leads to the border.
     """
-    runs = _runs(mask, 0, (lines, samples))
+    runs = _runs(mask, 0, (lines, samples), pixels)
     named = stored(_rooted(runs, 0), "background")
     border = (F.col("line") == 0) | (F.col("line") == lines - 1) | (F.col("a") == 0) | (F.col("b") == samples - 1)
     keys = [*_TILE, "part"]

@@ -897,7 +897,7 @@ select line, sample from m union select line, sample from c where root not in (s
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = cube(spark, sf_dir)
     h = size_of(pixels)
-    return segment.fill_holes(speckle(pixels), h.lines, h.samples).select("line", "sample")
+    return segment.fill_holes(speckle(pixels), h.lines, h.samples, pixels).select("line", "sample")
 
 
 @query(_recursive(""", s4 as (select line, sample, list_transform(range(0, 16), lambda k: sp[k * 4 + 1]) as s from px),

@@ -169,6 +169,16 @@ def test_components_and_holes(spark):
     assert segment.labels(spiral, 4).select("label").distinct().count() == 1
 
 
+def test_missing_pixels_are_no_background(spark):
+    # a hole open to the missing pixels of the last line, and one around a missing pixel
+    on = [(0, x) for x in range(6)] + [(1, 0), (1, 2), (1, 3), (1, 5), (2, 0), (2, 1)]
+    there = on + [(1, 1), (1, 4)]
+    image = mask(spark, there)
+    filled = {(r["line"], r["sample"]) for r in segment.fill_holes(mask(spark, on), 3, 6, image).collect()}
+    assert filled == set(there)
+    assert segment.fill_holes(mask(spark, on), 3, 6).count() == len(on) + 1
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4)) * [5, 3, 1, 0.2]
