@@ -7,6 +7,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from math import isfinite, isnan
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,17 @@ def wide_spectra(spectra: DataFrame, wavelengths: list[float], keys: list[str],
 
 
 def general(v: Column, digits: int) -> Column:
-    """A number in at most ``digits`` significant digits without trailing zeros, with an exponent from 10^digits on and below 0.0001."""
-    v = v.cast("double")
-    parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
-    power = parts[1].cast("int")
-    sign = F.when(parts[0].startswith("-"), "-").otherwise("")
-    figures = F.regexp_replace(F.regexp_replace(parts[0], "[-.]", ""), "0+$", "")
-    figures = F.when(figures == "", "0").otherwise(figures)
-    n = F.length(figures)
-    piece = lambda a, size: F.substr(figures, a, size)
-    tail = F.when(n > power + 1, F.concat(F.lit("."), piece(power + 2, n))).otherwise("")
-    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)).otherwise(F.concat(F.rpad(piece(F.lit(1), power + 1), power + 1, F.lit("0")), tail))
-    rest = F.when(n > 1, F.concat(F.lit("."), piece(F.lit(2), n))).otherwise("")
-    exponent = F.concat(piece(F.lit(1), F.lit(1)), rest, F.lit("E"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
-    number = F.concat(sign, F.when((power >= digits) | (power < -4), exponent).otherwise(plain))
-    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").otherwise(number)
+    """A number in at most ``digits`` significant digits without trailing zeros, with an exponent from 10^digits on and below 0.0001.
+
+    Its exact binary value is rounded, half to even; Spark's ``format_string`` rounds the shortest decimal that stands for it, half up.
+    """
+
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        form = f"%.{digits}G"
+        return pa.array([None if x is None else form % x if isfinite(x) else "NaN" if isnan(x) else "Infinity" if x > 0 else "-Infinity" for x in values.to_pylist()], pa.string())
+
+    return text(v.cast("double"))
 
 
 def formatted(rows: DataFrame, digits: int, keys: list[str]) -> DataFrame:

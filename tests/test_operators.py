@@ -179,6 +179,14 @@ def test_missing_pixels_are_no_background(spark):
     assert segment.fill_holes(mask(spark, on), 3, 6).count() == len(on) + 1
 
 
+def test_numbers_round_exactly(spark):
+    from hyperloom.sources.sinks import general
+
+    known = {9 / 64: "0.14062", 7 / 64: "0.10938", 0.00390625: "0.0039062", -0.140625: "-0.14062", 0.123455: "0.12346" if "%.4e" % 0.123455 == "1.2346e-01" else "0.12345", 100000.5: "1E+05", None: None, float("-inf"): "-Infinity"}
+    df = spark.createDataFrame([(v,) for v in known], "v double")
+    assert [r[0] for r in df.select(general(F.col("v"), 5)).collect()] == list(known.values())
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4)) * [5, 3, 1, 0.2]
