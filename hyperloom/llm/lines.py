@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from .collocations import Filter
 from .common import bounded_batches, free, hot_values, mix, powers, slices, split_join, stored, utf8_parts
 
 #: Leading tokens of a leaf.
@@ -264,12 +265,23 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
     return lines.select("line", F.xxhash64("size", "head").alias("leaf"), "size", "n", "rows", "first")
 
 
+def maybe_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose line is in ``found`` and a few others: lines are known to the tasks by one bit each, so that the tokens of the others don't move."""
+    known = rows.sparkSession.sparkContext.broadcast(Filter.of(found.select(F.col("line").alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.holds(batch.column("line").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def crowded(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """``leaf, line, n, compared, lines`` of the lines that may share a template with another: of leaves of two lines or more that enough documents have."""
     lines = lines.where(F.col("size") >= LEAST_COMPARED).select("leaf", "line", "n")
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where((F.col("docs") >= MIN_DOCS) & (F.col("lines") > 1))
-    found = lines.join(leaves, "leaf").select("leaf", "line", "n", "lines")
-    compared = rows.where(F.col("size") >= LEAST_COMPARED).groupBy("line").agg(F.first("compared").alias("compared"))
+    found = stored(lines.join(leaves, "leaf").select("leaf", "line", "n", "lines"), "lines-crowded")
+    compared = maybe_of(rows.where(F.col("size") >= LEAST_COMPARED).select("line", "compared"), found).groupBy("line").agg(F.first("compared").alias("compared"))
     return found.join(compared, "line").select("leaf", "line", "n", "compared", "lines")
 
 

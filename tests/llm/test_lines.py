@@ -235,3 +235,16 @@ def test_versions_of_a_document_keep_their_passages(docs):
     shared = "\n".join(long_line(i) for i in range(4))
     got = run(docs([(1, f"{body(1)}\n{shared}"), (2, f"{body(2)}\n{shared}"), (3, f"{long_line(9)}\none more own line here"), (4, f"{long_line(9)}\nyet another own line here")]))
     assert all(n == 0 for _, _, n in got.values())
+
+
+def test_tokens_of_lines_that_stand_alone_do_not_move(spark, docs):
+    from hyperloom.llm import lines
+
+    alike = [f"request served from cache in the region of {w} today" for w in ("north", "south", "east", "west", "centre")]
+    table = docs(alike + [" ".join(f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(12)) for i in range(400)])
+    rows = lines.stored(lines.parsed(table), "test-parsed")
+    distinct = lines.stored(lines.distinct_lines(lines.by_text(rows.drop("compared"))), "test-distinct")
+    found = lines.crowded(distinct, rows)
+    assert found.count() == len(alike)
+    moved = lines.maybe_of(rows.select("line", "compared"), found)
+    assert len(alike) <= moved.count() < 60 and moved.join(found, "line", "left_semi").count() == len(alike)
