@@ -265,13 +265,13 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
     return lines.select("line", F.xxhash64("size", "head").alias("leaf"), "size", "n", "rows", "first")
 
 
-def maybe_of(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows whose line is in ``found`` and a few others: lines are known to the tasks by one bit each, so that the tokens of the others don't move."""
-    known = rows.sparkSession.sparkContext.broadcast(Filter.of(found.select(F.col("line").alias("key"))))
+def maybe_of(rows: DataFrame, found: DataFrame, column: str = "line") -> DataFrame:
+    """The rows whose line (or other hash) is in the stored ``found`` and a few others: it is known to the tasks by one bit each, so that the others don't move."""
+    known = rows.sparkSession.sparkContext.broadcast(Filter.of(found.select(F.col(column).alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(known.value.holds(batch.column("line").to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(known.value.holds(batch.column(column).to_numpy().view(np.uint64))))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -280,7 +280,8 @@ def crowded(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """``leaf, line, n, compared, lines`` of the lines that may share a template with another: of leaves of two lines or more that enough documents have."""
     lines = lines.where(F.col("size") >= LEAST_COMPARED).select("leaf", "line", "n")
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where((F.col("docs") >= MIN_DOCS) & (F.col("lines") > 1))
-    found = stored(lines.join(leaves, "leaf").select("leaf", "line", "n", "lines"), "lines-crowded")
+    leaves = stored(leaves, "lines-leaves")
+    found = stored(maybe_of(lines, leaves, "leaf").join(leaves, "leaf").select("leaf", "line", "n", "lines"), "lines-crowded")
     compared = maybe_of(rows.where(F.col("size") >= LEAST_COMPARED).select("line", "compared"), found).groupBy("line").agg(F.first("compared").alias("compared"))
     return found.join(compared, "line").select("leaf", "line", "n", "compared", "lines")
 
@@ -332,7 +333,7 @@ def recurring(texts: DataFrame, distinct: DataFrame, named: DataFrame, common: D
     """
     columns = ["line", F.col("first.copy").alias("first_copy"), F.col("first.line_no").alias("first_line_no")]
     alone = distinct.where(F.col("n") >= MIN_DOCS).join(named.select("line"), "line", "left_anti").select(columns)
-    lines = named.join(distinct.select("line", "n", "first"), "line")
+    lines = named.join(maybe_of(distinct.select("line", "n", "first"), named), "line")
     wide = lines.groupBy("template").agg(F.max("n").alias("least"), F.sum("n").alias("most"), F.min("first").alias("first")).where(F.col("most") >= MIN_DOCS)
     # texts of several lines of one template count once; only templates whose lines have few texts each need a look
     sure = wide.where(F.col("least") >= MIN_DOCS)
@@ -349,7 +350,8 @@ def passages(texts: DataFrame, distinct: DataFrame, common: DataFrame) -> DataFr
     Only lines of fewer than ``MIN_DOCS`` texts are looked at, so a line makes ``MIN_DOCS - 2`` pairs with its first text at most.
     """
     rare = distinct.where(F.col("n").between(2, MIN_DOCS - 1) & (F.col("size") >= PASSAGE_TOKENS)).select("line")
-    held = texts.join(F.broadcast(common), "line", "left_anti").select("line", "copy", "doc_id").join(rare, "line")
+    rare = stored(rare, "lines-rare")
+    held = maybe_of(texts.join(F.broadcast(common), "line", "left_anti").select("line", "copy", "doc_id"), rare).join(rare, "line")
     by_line = held.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("doc_id", "copy"))).alias("t"))  # MIN_DOCS - 1 at most
     pairs = by_line.select("line", F.col("t")[0]["copy"].alias("a"), F.explode(F.slice("t", 2, MIN_DOCS)).alias("b")).select("line", "a", F.col("b.copy").alias("b"))
     pairs = stored(pairs, "lines-pairs")
