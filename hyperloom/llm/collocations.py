@@ -32,7 +32,7 @@ SUBSUMED = 100
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Words of a shard; a task's Python holds about 120 bytes for each of them while it walks an automaton.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Bytes of the Arrow batches in which texts and shards reach tasks.
 BATCH_BYTES = 8 << 20
 #: Bytes of a text that are split into words at a time.

@@ -127,4 +127,4 @@ def test_a_full_shard_fits_a_small_worker(spark):
     assert sum(1 for _ in automaton.states()) > 100_000
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 80 << 20
+    assert peak < 60 << 20
