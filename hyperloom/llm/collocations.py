@@ -15,15 +15,18 @@ cannot rise on the way. So the automata's suffix links (without the first word)
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hot_values, mix, split_join, stored
+from .common import bounded_batches, hot_values, mix, powers, split_join, stored
 
 LENGTH = 5
 LEAST = 100
@@ -33,10 +36,14 @@ TOP = 2000
 NO_LANGUAGE = "und"
 #: Words of a shard; a task's Python holds about 120 bytes for each of them while it walks an automaton.
 SHARD_WORDS = 1 << 18
+#: Words of the shards of all languages that a task fills at a time, and how many different ones there may be among them.
+HELD_WORDS, HELD_VOCABULARY = 1 << 20, 1 << 18
 #: Bytes of the Arrow batches in which texts and shards reach tasks.
 BATCH_BYTES = 8 << 20
 #: Bytes of a text that are split into words at a time.
 TEXT_BYTES = 4 << 20
+#: Bytes of the longest words that are hashed in columns, and the words of a column.
+SHORT, COLUMN = 64, 1 << 13
 #: Bits of a filter: sixteen for each frequent phrase, up to this bound.
 MOST_BITS = 1 << 27
 #: Parts into which a language's phrases are dealt before its first ones are taken.
@@ -50,15 +57,12 @@ class Shard:
     """Words of one language as numbers of their own vocabulary; number 0 is a break between pieces."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {BREAK: 0}
+        self.numbers: dict[bytes, int] = defaultdict(count(1).__next__, {BREAK: 0})
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
-        numbers = self.numbers
-        for w in set(words).difference(numbers):
-            numbers[w] = len(numbers)
-        self.parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def row(self) -> tuple[list[bytes], bytes]:
@@ -67,7 +71,7 @@ class Shard:
 
 def words(text: bytes) -> list[bytes]:
     """Words and breaks of a lower-cased text."""
-    return text.lower().translate(_SPLIT).replace(BREAK, b" \xff ").split(b" ")
+    return text.lower().translate(_SPLIT).replace(BREAK, b" \xff ").split()
 
 
 def chunks(text: bytes) -> Iterator[bytes]:
@@ -87,21 +91,21 @@ def shards(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
-        total = 0
+        total = known = 0
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for i, text in enumerate(batch.column("text")):
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
                 own = held.setdefault(langs[i], Shard())
-                total -= own.size
-                for part in chunks((text.as_py() or "").encode()):
-                    found = [w for w in words(part) if w]
-                    own.add(found)
+                total, known = total - own.size, known - len(own.numbers)
+                for part in chunks(text.as_py() or b""):
+                    own.add(words(part))
                 own.add([BREAK])
-                total += own.size
-                if total >= SHARD_WORDS:
-                    most = max(held, key=lambda k: held[k].size)
+                total, known = total + own.size, known + len(own.numbers)
+                full = [langs[i]] if own.size >= SHARD_WORDS else []
+                while full or total >= HELD_WORDS or known >= HELD_VOCABULARY:
+                    most = full.pop() if full else max(held, key=lambda k: held[k].size)
                     shard = held.pop(most)
-                    total -= shard.size
+                    total, known = total - shard.size, known - len(shard.numbers)
                     yield rows([(most, shard)])
         for lang, shard in held.items():
             yield rows([(lang, shard)])
@@ -137,6 +141,26 @@ class Filter:
         return cls(bits)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of numbers from 0 on: where each different one comes first, every place's rank among them, and how often each occurs."""
+    n = len(key)
+    shift = n.bit_length()
+    if n and int(key.max()).bit_length() + shift < 64:
+        # number and place in one word each, which sorts several times as fast as an argsort
+        both = (key << shift) | np.arange(n)
+        both.sort()
+        order, key = both & ((1 << shift) - 1), both >> shift
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(new)
+    of = np.empty(n, np.int32)
+    of[order] = np.cumsum(new) - 1
+    return order[begin], of, np.diff(begin, append=n)
+
+
 @dataclass
 class Level:
     """Substrings of one length: an end position's node, and each node's count, word, prefix, suffix link and one place."""
@@ -174,7 +198,7 @@ class Automaton:
             key = before[at].astype(np.int64) * self.n_words + self.sequence[at + n]
         else:
             key = self.sequence[at].astype(np.int64)
-        _, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        first, of, count = distinct(key)
         node = np.full(len(self.sequence), -1, np.int32)
         node[at] = of
         place = at[first]
@@ -191,29 +215,51 @@ class Automaton:
             out[longer.link[longer.count == own.count[longer.link]]] = False
         return out
 
+    def states_of(self, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First positions, shortest lengths and counts of the states whose longest substring has this length."""
+        own = self.levels[longest - 1]
+        nodes = np.flatnonzero(self.longest(longest))
+        shortest = np.full(len(nodes), longest)
+        at, count = own.link[nodes], own.count[nodes]
+        for m in range(longest - 1, 0, -1):
+            same = (shortest == m + 1) & (self.levels[m - 1].count[at] == count)
+            shortest[same] = m
+            at = np.where(same, self.levels[m - 1].link[at], 0)
+        return own.place[nodes], shortest, count
+
     def states(self) -> Iterator[tuple[int, int, int, int]]:
         """(first position, longest length, shortest length, count) of each state."""
         for length in range(len(self.levels), 0, -1):
-            own = self.levels[length - 1]
-            nodes = np.flatnonzero(self.longest(length))
-            shortest = np.full(len(nodes), length)
-            at, count = own.link[nodes], own.count[nodes]
-            for m in range(length - 1, 0, -1):
-                same = (shortest == m + 1) & (self.levels[m - 1].count[at] == count)
-                shortest[same] = m
-                at = np.where(same, self.levels[m - 1].link[at], 0)
-            yield from zip(own.place[nodes].tolist(), [length] * len(nodes), shortest.tolist(), count.tolist())
-
-
-def hashes(lang: str, vocabulary: list[bytes]) -> np.ndarray:
-    import xxhash
+            place, shortest, count = self.states_of(length)
+            yield from zip(place.tolist(), [length] * len(place), shortest.tolist(), count.tolist())
 
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 
+def hashes(lang: str, vocabulary: pa.Array) -> np.ndarray:
+    """Words of a language as 64 bits each: a polynomial of the bytes of a short word, columns at a time, and xxhash of a long one."""
+    import xxhash
 
-def walk(lang: str, vocabulary: list[bytes], raw: bytes, filters: list[Filter]) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    out = np.zeros(len(vocabulary), np.uint64)
+    length = pc.binary_length(vocabulary).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(vocabulary[i].as_py(), seed)
+    short = np.flatnonzero(length <= SHORT)
+    for at in range(0, len(short), COLUMN):
+        own = short[at : at + COLUMN]
+        column = vocabulary.take(pa.array(own))
+        begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(own)]
+        sizes = length[own]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[begin[0] : begin[0] + sizes.sum()].astype(np.uint64)
+        begin = begin - begin[0]
+        place = np.arange(len(raw)) - np.repeat(begin, sizes)
+        out[own] = mix(np.add.reduceat((raw + np.uint64(1)) * powers(0x9E3779B97F4A7C15, SHORT)[place], begin) ^ np.uint64(seed))
+    return out
+
+
+def walk(lang: str, vocabulary: pa.Array | list[bytes], raw: bytes, filters: list[Filter]) -> tuple[Automaton, np.ndarray, np.ndarray]:
     """The automaton of what the filters leave, and the positions and hashes of substrings of the next length."""
+    if isinstance(vocabulary, list):
+        vocabulary = pa.array(vocabulary, pa.binary())
     sequence = np.frombuffer(raw, "<i4")
     word = np.r_[np.zeros(1, np.uint64), hashes(lang, vocabulary)][sequence]
     automaton = Automaton(sequence, len(vocabulary) + 1)
@@ -231,6 +277,10 @@ def walk(lang: str, vocabulary: list[bytes], raw: bytes, filters: list[Filter])
     return automaton, at, keys
 
 
+def shard_of(batch: pa.RecordBatch, i: int) -> tuple[str, pa.Array, bytes]:
+    return batch.column("lang")[i].as_py(), batch.column("words")[i].values, batch.column("sequence")[i].as_py()
+
+
 def counted(parts: DataFrame, filters: list[Filter]) -> DataFrame:
     """``key, n``: the hashes of the substrings of the length after the filters', with their occurrences in each shard."""
     shared = parts.sparkSession.sparkContext.broadcast(filters)
@@ -238,7 +288,7 @@ def counted(parts: DataFrame, filters: list[Filter]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, vocabulary, raw = (batch.column(c)[i].as_py() for c in ("lang", "words", "sequence"))
+                lang, vocabulary, raw = shard_of(batch, i)
                 automaton, at, keys = walk(lang, vocabulary, raw, shared.value)
                 level = automaton.extend(at)
                 key = np.zeros(len(automaton.sequence), np.uint64)
@@ -255,24 +305,24 @@ def phrases(parts: DataFrame, filters: list[Filter]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, vocabulary, raw = (batch.column(c)[i].as_py() for c in ("lang", "words", "sequence"))
+                lang, vocabulary, raw = shard_of(batch, i)
                 automaton, _, _ = walk(lang, vocabulary, raw, shared.value)
-                known = [BREAK, *vocabulary]
-                found, sizes, counts = [], [], []
-                for place, longest, shortest, n in automaton.states():
-                    own = [known[w] for w in automaton.sequence[place : place + longest].tolist()]
-                    for m in range(shortest, longest + 1):
-                        found.append(b" ".join(own[longest - m :]))
-                        sizes.append(m)
-                        counts.append(n)
-                        if len(found) == 100_000:
-                            yield rows(lang, found, sizes, counts)
-                            found, sizes, counts = [], [], []
-                yield rows(lang, found, sizes, counts)
-
-    def rows(lang: str, found: list[bytes], sizes: list[int], counts: list[int]) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "n"])
+                for longest in range(LENGTH, 0, -1):
+                    place, shortest, n = automaton.states_of(longest)
+                    for m in range(1, longest + 1):
+                        own = np.flatnonzero(shortest <= m)
+                        yield from rows(lang, vocabulary, automaton.sequence, place[own] + (longest - m), m, n[own])
+
+    def rows(lang: str, vocabulary: pa.Array, sequence: np.ndarray, place: np.ndarray, m: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.r_[0, pc.binary_length(vocabulary).to_numpy(zero_copy_only=False)].astype(np.int64)
+        block = np.cumsum(64 + sum(size[sequence[place + k]] for k in range(m))) // BATCH_BYTES
+        ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(place)]
+        for begin, end in zip([0, *ends], ends):
+            number = sequence[place[begin:end, None] + np.arange(m)].ravel() - 1
+            offsets = pa.array(np.arange(0, len(number) + 1, m, dtype=np.int32))
+            phrase = pc.binary_join(pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(number))), b" ").cast(pa.string())
+            columns = [pa.repeat(lang, end - begin), phrase, pa.repeat(pa.scalar(m, pa.int32()), end - begin), pa.array(n[begin:end].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "n"])
 
     return parts.select("lang", "words", "sequence").mapInArrow(run, "lang string, phrase string, n_words int, n long")
 

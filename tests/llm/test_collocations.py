@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hyperloom.llm import collocations
@@ -128,3 +129,40 @@ def test_a_full_shard_fits_a_small_worker(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 << 20
+
+
+def test_shards_of_mixed_languages_are_filled(spark, monkeypatch):
+    """Each pass pays for each shard and for each different word of it, so languages that alternate must not end shards early."""
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 1000)
+    df = spark.createDataFrame([(" ".join(f"w{(i * k) % 37}" for k in range(99)), f"l{i % 10}") for i in range(200)], "text string, lang string").coalesce(1)
+    sizes = [(r["lang"], len(r["sequence"]) // 4) for r in collocations.shards(df).collect()]
+    assert sum(n for _, n in sizes) == 200 * 100 and max(n for _, n in sizes) <= 1100
+    assert len(sizes) == 20
+
+
+@pytest.mark.parametrize("bound, value", [("HELD_WORDS", 200), ("HELD_VOCABULARY", 12), ("BATCH_BYTES", 500)])
+def test_bounds_change_no_result(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(collocations, "bounded_batches", lambda *a, **k: None)
+    monkeypatch.setattr(collocations, bound, value)
+    rows = texts(120, 5)
+    assert run(spark, rows, least=4) == brute(rows, 4)
+
+
+def test_hashes_depend_on_word_and_language_alone():
+    words = sorted({b"a" * n for n in range(1, 200)} | {b"\x00" * n for n in range(1, 70)} | {str(i).encode() for i in range(20_000)} | {"é漢".encode() * 11, b"ab", b"ba"})
+    own = collocations.hashes("en", pa.array(words, pa.binary()))
+    assert len(set(own.tolist())) == len(words)
+    assert not set(own.tolist()) & set(collocations.hashes("de", pa.array(words, pa.binary())).tolist())
+    some = np.random.default_rng(6).permutation(len(words))[:9_000]
+    assert (collocations.hashes("en", pa.array([b"x", *(words[i] for i in some)], pa.binary())[1:]) == own[some]).all()
+    assert len(collocations.hashes("en", pa.array([], pa.binary()))) == 0
+
+
+@pytest.mark.parametrize("most", [3, 1 << 40, (1 << 63) - 1])
+def test_distinct_numbers_in_one_sort(most):
+    key = np.random.default_rng(7).integers(0, most, 5_000, endpoint=True)
+    key[1000:2000] = key[:1000]
+    key[7] = most
+    _, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    assert all((a == b).all() for a, b in zip(collocations.distinct(key), (first, of, count)))
+    assert [len(x) for x in collocations.distinct(key[:0])] == [0, 0, 0]
